@@ -6,14 +6,21 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import suffix_array, suffix_tree
+from tessera.llm import decontaminate, language_id, pieces, quality, suffix_array, suffix_tree, topk, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_substring_dedup": suffix_tree.op1_substring_dedup,
+    "op3_topk_search": topk.op3_topk_search,
+    "op5_decontamination": decontaminate.op5_decontamination,
     "op6_suffix_array_dedup": suffix_array.op6_suffix_array_dedup,
+    "op7_toxicity": toxicity.op7_toxicity,
+    "op8_language_id": language_id.op8_language_id,
+    "op9_quality": quality.op9_quality,
+    "op10_sentencepiece": pieces.op10_sentencepiece,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op1_substring_dedup": suffix_tree.ORACLE,
+    "op3_topk_search": topk.ORACLE,
     "op6_suffix_array_dedup": suffix_array.ORACLE,
 }

@@ -28,7 +28,7 @@ class Scheme:
     unit: str  # "bytes" or "words"
     k: int
     width: int
-    hot: int = 512  # contexts of one anchor beyond which windows are counted
+    hot: int = 4096  # contexts of one anchor, about a shard of them, beyond which windows are counted
     shard: int = 1 << 20  # symbols that are resolved together
 
     @property
