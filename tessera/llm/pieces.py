@@ -15,10 +15,12 @@ each. Control pieces in a text are ordinary text.
 from __future__ import annotations
 
 import os
+import re
 import struct
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from functools import lru_cache
+from itertools import chain
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -33,6 +35,7 @@ MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = range(1, 7)
 UNIGRAM, BPE = 1, 2
 MARK = "▁"
+CUT = re.compile(f"{MARK}+[^{MARK}]*|[^{MARK}]+")
 
 
 @dataclass
@@ -137,7 +140,39 @@ def _loaded(raw: bytes):
     import sentencepiece
 
     spec = parse(raw)
-    return build(spec), sentencepiece.SentencePieceProcessor(model_proto=raw), spec
+    return Encoder(spec), sentencepiece.SentencePieceProcessor(model_proto=raw), spec
+
+
+class Encoder:
+    """Ids of whole texts. Where texts can be cut before space markers, each distinct cut is encoded once and kept."""
+
+    KEPT = 500_000
+
+    def __init__(self, spec: Spec):
+        self.spec, self.tokenizer = spec, build(spec)
+        self.cuts = self.tokenizer.pre_tokenizer is not None and not any(k == USER_DEFINED for _, _, k in spec.pieces)
+        self.known: dict[str, list[int]] = {}
+        if self.cuts:
+            self.bare = build(spec)
+            self.bare.pre_tokenizer = None
+            self.bare.normalizer = None
+
+    def normalised(self, text: str) -> str:
+        if self.spec.charsmap or not self.spec.escape:
+            return self.tokenizer.normalizer.normalize_str(text)
+        if self.spec.no_extra_spaces:
+            text = " ".join(x for x in text.split(" ") if x)
+        return (MARK + text if self.spec.dummy_prefix and text else text).replace(" ", MARK)
+
+    def __call__(self, texts: list[str]) -> list[list[int]]:
+        if not self.cuts:
+            return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        cut = [CUT.findall(self.normalised(t)) for t in texts]
+        if len(self.known) > self.KEPT:
+            self.known.clear()
+        new = list(set().union(*cut).difference(self.known))
+        self.known.update(zip(new, (e.ids for e in self.bare.encode_batch_fast(new, add_special_tokens=False)), strict=True))
+        return [list(chain.from_iterable(map(self.known.__getitem__, c))) for c in cut]
 
 
 def normal_form(text: str, spec: Spec) -> str | None:
@@ -155,12 +190,12 @@ def encode(docs: DataFrame, model: bytes, text: str = "text", parity: bool = Tru
     rows = numbered(docs, text).select("text", "rest")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokenizer, reference, spec = _loaded(model)
+        encoder, reference, spec = _loaded(model)
         for batch in batches:
             texts = batch.column("text").to_pylist()
             whole = [t or "" for t in texts]
-            ids = [e.ids for e in tokenizer.encode_batch_fast(whole, add_special_tokens=False)]
-            back = tokenizer.decode_batch(ids, skip_special_tokens=False)
+            ids = encoder(whole)
+            back = encoder.tokenizer.decode_batch(ids, skip_special_tokens=False)
             trip, same = [], []
             theirs = reference.encode(whole, num_threads=1) if parity else [None] * len(ids)
             for t, own, other, b in zip(texts, ids, theirs, back, strict=True):
