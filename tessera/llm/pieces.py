@@ -146,7 +146,7 @@ def _loaded(raw: bytes):
 class Encoder:
     """Ids of whole texts. Where texts can be cut before space markers, each distinct cut is encoded once and kept."""
 
-    KEPT = 500_000
+    KEPT = 1_000_000
 
     def __init__(self, spec: Spec):
         self.spec, self.tokenizer = spec, build(spec)

@@ -6,11 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import decontaminate, language_id, pieces, quality, suffix_array, suffix_tree, topk, toxicity
+from tessera.llm import decontaminate, jaccard, language_id, language_model, pieces, quality, suffix_array, suffix_tree, topk, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_substring_dedup": suffix_tree.op1_substring_dedup,
+    "op2_ngram_jaccard": jaccard.op2_ngram_jaccard,
     "op3_topk_search": topk.op3_topk_search,
+    "op4_lm_scoring": language_model.op4_lm_scoring,
     "op5_decontamination": decontaminate.op5_decontamination,
     "op6_suffix_array_dedup": suffix_array.op6_suffix_array_dedup,
     "op7_toxicity": toxicity.op7_toxicity,
@@ -21,6 +23,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 ORACLE_SQL: dict[str, str] = {
     "op1_substring_dedup": suffix_tree.ORACLE,
+    "op2_ngram_jaccard": jaccard.ORACLE,
     "op3_topk_search": topk.ORACLE,
     "op6_suffix_array_dedup": suffix_array.ORACLE,
 }
