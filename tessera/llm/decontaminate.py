@@ -14,7 +14,7 @@ The benchmark is taken in blocks of bounded size, each sent to all tasks.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from functools import reduce
 
 import numpy as np
@@ -78,7 +78,7 @@ def _longest(free: np.ndarray) -> int:
     return int((edge[1::2] - edge[::2]).max()) if len(edge) else 0
 
 
-def _item_blocks(items: list[tuple[int, str]]) -> Iterator[list[tuple[int, str]]]:
+def _item_blocks(items: Iterable[tuple[int, str]]) -> Iterator[list[tuple[int, str]]]:
     block: list[tuple[int, str]] = []
     size = 0
     for x in items:
@@ -136,17 +136,22 @@ def _matcher(block: list[tuple[int, str]], seed: int, coverage: float):
     return match
 
 
+def _matchers(benchmark: DataFrame, item_id: str, item_text: str, seed: int, coverage: float) -> Iterator:
+    """A matcher for each block of items."""
+    items = benchmark.select(F.col(item_id).cast("long").alias("i"), F.col(item_text).cast("string").alias("t")).filter("i IS NOT NULL AND t IS NOT NULL").distinct().orderBy("i", "t")
+    for block in _item_blocks((r["i"], r["t"]) for r in items.toLocalIterator()):
+        yield _matcher(block, seed, coverage)
+
+
 def contaminated(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text", seed: int = SEED, coverage: float = COVERAGE) -> DataFrame:
     """A row for each document and item whose words it covers far enough: row (of numbered()), rest, item_id, coverage, tiles."""
     small_batches(docs.sparkSession)
     rows = numbered(docs, text)
-    items = benchmark.select(F.col(item_id).cast("long").alias("i"), F.col(item_text).cast("string").alias("t")).filter("i IS NOT NULL AND t IS NOT NULL").distinct().orderBy("i", "t")
     schema = rows.select("row", "rest").schema
     for x in ("item_id long", "coverage double", "tiles array<array<int>>"):
         schema = schema.add(*rows.sparkSession.createDataFrame([], x).schema.fields)
     parts = []
-    for block in _item_blocks([(r["i"], r["t"]) for r in items.toLocalIterator()]):
-        match = _matcher(block, seed, coverage)
+    for match in _matchers(benchmark, item_id, item_text, seed, coverage):
 
         def run(batches: Iterator[pa.RecordBatch], match=match) -> Iterator[pa.RecordBatch]:
             for batch in batches:
@@ -161,6 +166,24 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, text: str = "text", item
     return reduce(DataFrame.unionByName, parts) if parts else rows.sparkSession.createDataFrame([], schema)
 
 
+def clean(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text", seed: int = SEED, coverage: float = COVERAGE) -> DataFrame:
+    """The rows of docs that cover no item far enough; all columns."""
+    small_batches(docs.sparkSession)
+    rows = numbered(docs, text).select("text", "rest")
+    for match in _matchers(benchmark, item_id, item_text, seed, coverage):
+
+        def run(batches: Iterator[pa.RecordBatch], match=match) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                data, bounds = tk.column_bytes(batch.column("text"))
+                fine = np.ones(len(batch), bool)
+                for i, j in tk.chunks(bounds):
+                    fine[[i + x[0] for x in match(data[bounds[i] : bounds[j]], bounds[i : j + 1] - bounds[i])]] = False
+                yield batch.filter(pa.array(fine))
+
+        rows = rows.mapInArrow(run, rows.schema)
+    return rows.select(*(F.col("text").alias(c) if c == text else F.col(f"rest.`{c}`").alias(c) for c in docs.columns))
+
+
 def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A row for each contaminated document and item; clean documents have none."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")

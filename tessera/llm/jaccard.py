@@ -354,7 +354,7 @@ def groups_of(listed: DataFrame) -> DataFrame:
 
 
 def link(docs: DataFrame, id_col: str, text: str = "text") -> tuple[DataFrame, DataFrame]:
-    """numbered(docs), and for each of its rows: row, n_shingles, component_id."""
+    """numbered(docs), and for each of its rows: row, n_shingles, component_id, and whether it stays as its component's one row."""
     spark = docs.sparkSession
     small_batches(spark)
     rows = numbered(docs, text)
@@ -403,11 +403,19 @@ def link(docs: DataFrame, id_col: str, text: str = "text") -> tuple[DataFrame, D
 
     named = described.join(ids, "row").join(comps.withColumnRenamed("node", "cls"), "cls", "left").withColumn("comp", F.coalesce("comp", "cls"))
     named = materialise(named.select("row", "id", "n", "comp"), "named")
-    least = materialise(named.filter("n > 0").groupBy("comp").agg(F.min("id").alias("least")), "least")
-    out = named.join(least, "comp", "left").select("row", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("least")).otherwise(F.col("id")).alias("component_id"))
+    least = materialise(named.filter("n > 0").groupBy("comp").agg(F.min("id").alias("least"), F.min(F.struct("id", "row")).alias("first")), "least")
+    alone = F.col("n") == 0
+    out = named.join(least, "comp", "left").select("row", F.col("n").alias("n_shingles"), F.when(alone, F.col("id")).otherwise(F.col("least")).alias("component_id"), (alone | (F.col("row") == F.col("first.row"))).alias("stays"))
     return rows, out
 
 
+def deduplicated(docs: DataFrame, id_col: str, text: str = "text") -> DataFrame:
+    """One row of each component, that of the smallest id (the first such row if it repeats); all columns of docs."""
+    rows, found = link(docs, id_col, text)
+    kept = rows.join(found.filter("stays").select("row"), "row")
+    return kept.select(*(F.col("text").alias(c) if c == text else F.col(f"rest.`{c}`").alias(c) for c in docs.columns))
+
+
 def op2_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     rows, found = link(docs, "doc_id")
