@@ -2,10 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
+from tessera.plans import event_queries, finding_queries, graph_queries, text_queries  # noqa: F401  they register themselves
+from tessera.plans.base import ORACLE_SQL, QUERIES
 
 FLAGSHIP = "q_flagship_suppliers"
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
+
+__all__ = ["FLAGSHIP", "ORACLE_SQL", "QUERIES"]
