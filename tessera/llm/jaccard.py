@@ -34,7 +34,7 @@ from tessera.llm.language_model import _mapped, _write
 from tessera.llm.repeats import numbered
 from tessera.llm.shared import materialise, release, shared_dir, small_batches, tasks_for
 
-WORDS, SAMPLE, FREQUENT, GROUP, LEAF, FAN, STARS, STAR_ROWS = 5, 4000, 100_000, 1024, 16, 8, 2, 500
+WORDS, SAMPLE, FREQUENT, GROUP, LEAF, FAN, STARS, STAR_ROWS, SMALL = 5, 4000, 100_000, 1024, 16, 8, 2, 500, 32
 
 
 def sets(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -64,8 +64,8 @@ def classes(g: np.ndarray, first: np.ndarray) -> np.ndarray:
 
 
 def signature(g: np.ndarray) -> np.ndarray:
-    """A bitmap of about a bit for each token, at least 64."""
-    bits = max(64, 1 << (len(g) - 1).bit_length())
+    """A bitmap of four to eight bits for each token, at least 64."""
+    bits = max(64, 4 << (len(g) - 1).bit_length())
     out = np.zeros(bits, bool)
     out[(g % np.uint64(bits)).astype(np.int64)] = True
     return np.packbits(out, bitorder="little")
@@ -340,11 +340,11 @@ def _with_components(listed: DataFrame, comps: DataFrame | None) -> DataFrame:
 
 
 def groups_of(listed: DataFrame) -> DataFrame:
-    """Rows dealt to groups: by token and size band, each also to the next band; larger groups by pairs of blocks."""
+    """Rows dealt to groups: by tokens, if more than a few also by size band and the next band; larger groups by pairs of blocks."""
     # tokens that the same classes list make one group
     listed = listed.groupBy("members", "m", "cls").agg(F.max("n").alias("n"), F.max("narrow").alias("narrow"), F.max("comp").alias("comp"))
     band = F.floor(F.log("n") / F.log(F.lit(4.0 / 3)) + 1e-9)
-    rows = listed.withColumn("band", F.explode(F.array(band, band + 1)))
+    rows = listed.withColumn("band", F.explode(F.when(F.col("m") <= SMALL, F.array(F.lit(0).cast("long"))).otherwise(F.array(band, band + 1))))
     blocks = F.ceil(F.col("m") / GROUP).cast("int")
     mine = F.pmod(F.xxhash64("cls"), blocks).cast("int")
     rows = rows.withColumn("blocks", blocks).withColumn("mine", mine)
@@ -363,8 +363,7 @@ def link(docs: DataFrame, id_col: str, text: str = "text") -> tuple[DataFrame, D
     ids = rows.select("row", F.col(f"rest.`{id_col}`").alias("id"))
     described = materialise(described, "described")
     total = described.count()
-    homes = materialise(described.filter("n > 0").groupBy("cls").agg(F.min("row").alias("row"), F.max_by("sign", "row").alias("sign")), "homes")
-    home = homes.select("cls", "row")
+    homes = materialise(described.filter("n > 0").groupBy("cls").agg(F.min("row").alias("row")), "homes")
 
     share = min(1.0, SAMPLE / max(1, total))
     drawn = only.filter(F.xxhash64(F.lit(3), "row") <= F.lit(min(2**63 - 1, -(2**63) + int(share * 2**64))))
@@ -391,14 +390,15 @@ def link(docs: DataFrame, id_col: str, text: str = "text") -> tuple[DataFrame, D
         centre = materialise(centre, "centres")
         votes = still.join(centre, "token").filter((F.col("ca") != F.col("comp")) & (4 * F.least("n", "na") >= 3 * F.greatest("n", "na")))
         best = votes.groupBy("cls", "a").agg(F.count(F.lit(1)).alias("votes")).groupBy("cls").agg(F.max(F.struct("votes", "a")).alias("at"))
-        found = materialise(verified(rows, home, best.select(F.col("at.a").alias("a"), F.col("cls").alias("b"))), "links")
+        found = materialise(verified(rows, homes, best.select(F.col("at.a").alias("a"), F.col("cls").alias("b"))), "links")
         edges = found if edges is None else edges.union(found)
         comps = components(edges)
     still = _with_components(listed, comps)
-    grouped = groups_of(still).join(homes.select("cls", "sign"), "cls")
+    signs = described.join(homes.select("row"), "row", "left_semi").select("cls", "sign")
+    grouped = groups_of(still).join(signs, "cls")
     n = tasks_for(spark, still.count(), 20_000)
     pairs = grouped.repartition(n, "group").sortWithinPartitions("group").mapInArrow(_tree_pairs, "a long, b long").distinct()
-    last = materialise(verified(rows, home, pairs), "links")
+    last = materialise(verified(rows, homes, pairs), "links")
     comps = components(edges.union(last))
 
     named = described.join(ids, "row").join(comps.withColumnRenamed("node", "cls"), "cls", "left").withColumn("comp", F.coalesce("comp", "cls"))
