@@ -4,9 +4,9 @@ The model's protobuf is parsed here, and its parts rebuilt: the normaliser with
 its character map, the marker for spaces, unigram scores or ranked merges, and
 byte fallback. Texts are encoded in batches on several threads. Where no piece
 holds the space marker after another character, texts are cut before each run
-of markers first, as no merge can cross there. Every text is decoded again and
-held against its normalised form, and its ids against the sentencepiece
-library's where parity is asked for.
+of markers first, as no piece can cross there; each distinct cut is then
+encoded, decoded again and held against the sentencepiece library once, which
+decides for every text made of such cuts. Else this is done text by text.
 
 Null text: null ids, no tokens. Empty text: no ids. Repeated rows are encoded
 each. Control pieces in a text are ordinary text.
@@ -109,7 +109,7 @@ def build(spec: Spec):
         model = models.Unigram([(p, s) for p, s, _ in spec.pieces], unk_id=unk, byte_fallback=spec.byte_fallback)
     elif spec.kind == BPE:
         vocab = {p: i for i, (p, _, _) in enumerate(spec.pieces)}
-        model = models.BPE(vocab, merges_of(spec), unk_token=None if unk is None else spec.pieces[unk][0], fuse_unk=True, byte_fallback=spec.byte_fallback, cache_capacity=200_000)
+        model = models.BPE(vocab, merges_of(spec), unk_token=None if unk is None else spec.pieces[unk][0], fuse_unk=True, byte_fallback=spec.byte_fallback)
     else:
         raise ValueError(f"model type {spec.kind} is neither unigram nor byte-pair")
     t = Tokenizer(model)
@@ -135,27 +135,29 @@ def build(spec: Spec):
 
 
 @lru_cache(maxsize=2)
-def _loaded(raw: bytes):
+def _loaded(raw: bytes) -> Coder:
     os.environ["TOKENIZERS_PARALLELISM"] = "true"
-    import sentencepiece
+    return Coder(raw)
 
-    spec = parse(raw)
-    return Encoder(spec), sentencepiece.SentencePieceProcessor(model_proto=raw), spec
 
+class Coder:
+    """Encodes and decodes whole texts. Where texts can be cut before space markers, each distinct cut is taken once and kept."""
 
-class Encoder:
-    """Ids of whole texts. Where texts can be cut before space markers, each distinct cut is encoded once and kept."""
+    KEPT = 400_000
 
-    KEPT = 1_000_000
+    def __init__(self, raw: bytes):
+        import sentencepiece
 
-    def __init__(self, spec: Spec):
-        self.spec, self.tokenizer = spec, build(spec)
-        self.cuts = self.tokenizer.pre_tokenizer is not None and not any(k == USER_DEFINED for _, _, k in spec.pieces)
+        self.spec = parse(raw)
+        self.tokenizer, self.reference = build(self.spec), sentencepiece.SentencePieceProcessor(model_proto=raw)
+        self.cuts = self.tokenizer.pre_tokenizer is not None and self.spec.escape and not any(k == USER_DEFINED for _, _, k in self.spec.pieces)
+        self.pieces = [p for p, _, _ in self.spec.pieces]
         self.known: dict[str, list[int]] = {}
+        self.odd: set[str] = set()  # cuts that decode to something else
+        self.unlike: set[str] = set()  # cuts that the reference encodes otherwise
         if self.cuts:
-            self.bare = build(spec)
-            self.bare.pre_tokenizer = None
-            self.bare.normalizer = None
+            self.bare = build(self.spec)
+            self.bare.pre_tokenizer = self.bare.normalizer = None
 
     def normalised(self, text: str) -> str:
         if self.spec.charsmap or not self.spec.escape:
@@ -164,15 +166,44 @@ class Encoder:
             text = " ".join(x for x in text.split(" ") if x)
         return (MARK + text if self.spec.dummy_prefix and text else text).replace(" ", MARK)
 
-    def __call__(self, texts: list[str]) -> list[list[int]]:
+    def learn(self, new: list[str]) -> None:
+        """Encode cuts, decode them again, and hold them against the reference, which puts a marker before each itself."""
+        ids = [e.ids for e in self.bare.encode_batch_fast(new, add_special_tokens=False)]
+        self.known.update(zip(new, ids, strict=True))
+        piece = self.pieces.__getitem__
+        other = [i for i, (c, x) in enumerate(zip(new, ids, strict=True)) if "".join(map(piece, x)) != c]  # bytes or unknown pieces
+        plain = [c.replace(MARK, " ") for c in new]
+        if self.spec.dummy_prefix:
+            plain = [c[1:] if c[:1] == " " else c for c in plain]
+            theirs = self.reference.encode(plain, num_threads=1)
+            lone = [self.reference.piece_to_id(MARK)]  # no marker is put before an empty text
+            self.unlike.update(c for c, a, b in zip(new, ids, theirs, strict=True) if a != (b if c != MARK else lone))
+        back = self.bare.decode_batch([ids[i] for i in other], skip_special_tokens=False)
+        self.odd.update(new[i] for i, b in zip(other, back, strict=True) if b != plain[i])
+
+    def __call__(self, texts: list[str], parity: bool) -> tuple[list[list[int]], list[str], list[bool | None]]:
+        """ids, decoded texts, and whether the reference has the same ids."""
         if not self.cuts:
-            return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-        cut = [CUT.findall(self.normalised(t)) for t in texts]
+            ids = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+            same = [a == b for a, b in zip(ids, self.reference.encode(texts, num_threads=1), strict=True)] if parity else [None] * len(ids)
+            return ids, self.tokenizer.decode_batch(ids, skip_special_tokens=False), same
+        whole = [self.normalised(t) for t in texts]
+        cut = [CUT.findall(t) for t in whole]
+        every = set().union(*cut)
         if len(self.known) > self.KEPT:
-            self.known.clear()
-        new = list(set().union(*cut).difference(self.known))
-        self.known.update(zip(new, (e.ids for e in self.bare.encode_batch_fast(new, add_special_tokens=False)), strict=True))
-        return [list(chain.from_iterable(map(self.known.__getitem__, c))) for c in cut]
+            self.known, self.odd, self.unlike = {}, set(), set()
+        self.learn(list(every.difference(self.known)))
+        ids = [list(chain.from_iterable(map(self.known.__getitem__, c))) for c in cut]
+        odd, unlike = every & self.odd, every & self.unlike
+        skip = int(self.spec.dummy_prefix)
+        back = [t.replace(MARK, " ")[skip:] for t in whole]
+        for i in [i for i, c in enumerate(cut) if odd and not odd.isdisjoint(c)]:
+            back[i] = self.tokenizer.decode(ids[i], skip_special_tokens=False)
+        if not parity:
+            return ids, back, [None] * len(ids)
+        if not self.spec.dummy_prefix:
+            return ids, back, [a == b for a, b in zip(ids, self.reference.encode(texts, num_threads=1), strict=True)]
+        return ids, back, [not unlike or unlike.isdisjoint(c) for c in cut]
 
 
 def normal_form(text: str, spec: Spec) -> str | None:
@@ -190,18 +221,14 @@ def encode(docs: DataFrame, model: bytes, text: str = "text", parity: bool = Tru
     rows = numbered(docs, text).select("text", "rest")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, reference, spec = _loaded(model)
+        coder = _loaded(model)
         for batch in batches:
             texts = batch.column("text").to_pylist()
             whole = [t or "" for t in texts]
-            ids = encoder(whole)
-            back = encoder.tokenizer.decode_batch(ids, skip_special_tokens=False)
-            trip, same = [], []
-            theirs = reference.encode(whole, num_threads=1) if parity else [None] * len(ids)
-            for t, own, other, b in zip(texts, ids, theirs, back, strict=True):
-                want = normal_form(t, spec) if t is not None else None
-                trip.append(None if want is None else b == want)
-                same.append(None if t is None or other is None else own == other)
+            ids, back, same = coder(whole, parity)
+            same = [None if t is None else x for t, x in zip(texts, same, strict=True)]
+            want = [None if t is None else normal_form(t, coder.spec) for t in texts]
+            trip = [None if w is None else b == w for w, b in zip(want, back, strict=True)]
             null = [t is None for t in texts]
             cols = [batch.column("rest"), pa.array([None if x else i for x, i in zip(null, ids, strict=True)], pa.list_(pa.int32())), pa.array([len(i) for i in ids], pa.int64()), pa.array([None if x else b for x, b in zip(null, back, strict=True)], pa.string()), pa.array(trip, pa.bool_()), pa.array(same, pa.bool_())]
             yield pa.RecordBatch.from_arrays(cols, ["rest", "ids", "n_tokens", "decoded", "round_trip", "parity"])
