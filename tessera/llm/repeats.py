@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm import text_kernels as tk
-from tessera.llm.shared import materialise, small_batches, tasks_for
+from tessera.llm.shared import discard, materialise, small_batches, tasks_for
 
 
 @dataclass(frozen=True)
@@ -71,8 +71,7 @@ def _places(scheme: Scheme, grams_only: bool) -> Callable[[Iterator[pa.RecordBat
                     gram, n = np.unique(gram, return_counts=True)
                     yield pa.RecordBatch.from_arrays([pa.array(gram.view(np.int64)), pa.array(n)], ["h", "n"])
                 else:
-                    right = np.minimum(np.diff(sym_bounds)[doc], pos + scheme.span) - pos
-                    yield pa.RecordBatch.from_arrays([pa.array(gram.view(np.int64)), pa.array(context.view(np.int64)), pa.array(ids[i + doc]), pa.array(pos.astype(np.int32)), pa.array(right.astype(np.int32))], ["h", "c", "row", "pos", "right"])
+                    yield pa.RecordBatch.from_arrays([pa.array(gram.view(np.int64)), pa.array(context.view(np.int64)), pa.array(ids[i + doc]), pa.array(pos.astype(np.int32))], ["h", "c", "row", "pos"])
 
     return run
 
@@ -170,8 +169,9 @@ def repeated_spans(rows: DataFrame, scheme: Scheme, resolve: Resolver) -> DataFr
     text = rows.select("row", "text")
     counted = text.mapInArrow(_places(scheme, True), "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).filter("n > 1").select("h")
     counted = materialise(counted, "grams")
-    places = text.mapInArrow(_places(scheme, False), "h long, c long, row long, pos int, right int")
+    places = text.mapInArrow(_places(scheme, False), "h long, c long, row long, pos int")
     places = materialise(places.join(counted, "h", "left_semi"), "places")
+    discard(counted)
 
     kinds = materialise(places.groupBy("h", "c").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("row", "pos")).alias("at")), "kinds")
     several = materialise(kinds.groupBy("h").agg(F.count(F.lit(1)).alias("n_kinds")).filter("n_kinds > 1"), "several")
@@ -183,18 +183,23 @@ def repeated_spans(rows: DataFrame, scheme: Scheme, resolve: Resolver) -> DataFr
     n = tasks_for(spark, unclear.filter("not hot").count(), 20_000)
     hot = several.filter(F.col("n_kinds") > scheme.hot).select("h")
     solved = cut.join(hot, "h", "left_anti").repartition(n, "h").sortWithinPartitions("h").mapInArrow(_resolved(scheme, resolve), "h long, c long, spans array<int>")
+    counting: list[DataFrame] = []
     if hot.limit(1).count():
         each = materialise(cut.join(hot, "h", "left_semi").mapInArrow(_exploded(scheme), "h long, c long, start int, w long"), "windows")
         twice = materialise(each.groupBy("h", "start", "w").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n"), "twice")
         starts = each.join(twice, ["h", "start", "w"], "left_semi").groupBy("h", "c").agg(F.collect_list("start").alias("starts"))
         counted_spans = starts.select("h", "c", F.flatten(F.transform("starts", lambda s: F.array(s, s + scheme.span))).alias("spans"))
         solved = solved.unionByName(counted_spans)
+        counting = [each, twice]
     # a context that occurs twice is repeated as a whole; of the others only what was resolved
-    solved = materialise(solved, "solved").withColumnRenamed("spans", "part")
-    whole = materialise(kinds.filter("n > 1").select("h", "c"), "whole")
-    full = places.join(whole, ["h", "c"], "left_semi").select("row", F.array(F.col("pos") - F.least("pos", F.lit(scheme.width - 1)), F.col("pos") + F.col("right")).alias("spans"))
-    part = places.join(whole, ["h", "c"], "left_anti").join(solved, ["h", "c"]).select("row", F.transform("part", lambda x: x + F.col("pos")).alias("spans"))
-    return full.unionByName(part).groupBy("row").agg(F.flatten(F.collect_list("spans")).alias("spans"))
+    part = materialise(solved, "solved")
+    whole = kinds.filter("n > 1").select("h", "c", F.lit(None).cast("array<int>").alias("spans"))
+    marks = materialise(whole.unionByName(part.join(whole, ["h", "c"], "left_anti")), "marks")
+    discard(kinds, several, unclear, part, *counting)
+    # one join of places, which Spark may split where a context is common; spans may end beyond the text
+    low = F.greatest(F.col("pos") - F.lit(scheme.width - 1), F.lit(0))
+    found = F.when(F.col("spans").isNull(), F.array(low, F.col("pos") + scheme.span)).otherwise(F.transform("spans", lambda x: x + F.col("pos")))
+    return places.join(marks, ["h", "c"]).select("row", found.alias("spans")).groupBy("row").agg(F.flatten(F.collect_list("spans")).alias("spans"))
 
 
 def without_repeats(docs: DataFrame, text: str, scheme: Scheme, resolve: Resolver) -> DataFrame:
