@@ -43,6 +43,15 @@ class Scheme:
         return tk.word_hashes(data, starts, ends), first, starts, ends
 
 
+    def of(self, pieces: list[bytes]) -> list[np.ndarray]:
+        """The symbols of pieces of text: bytes, or hashes of words."""
+        if self.unit == "bytes":
+            return [np.frombuffer(x, np.uint8) for x in pieces]
+        bounds = np.concatenate([[0], np.cumsum([len(x) for x in pieces])])
+        sym, first, _, _ = self.symbols(np.frombuffer(b"".join(pieces), np.uint8), bounds)
+        return [sym[a:b] for a, b in zip(first[:-1].tolist(), first[1:].tolist(), strict=True)]
+
+
 #: resolve(groups, left, right, scheme) -> for each row a boolean array over its window starts.
 Resolver = Callable[[np.ndarray, list[np.ndarray], list[np.ndarray], Scheme], list[np.ndarray]]
 
@@ -85,17 +94,21 @@ def _contexts(scheme: Scheme) -> Callable[[Iterator[pa.RecordBatch]], Iterator[p
             asked = batch.column("asked").to_pylist()
             for i, j in tk.chunks(bounds):
                 chunk = data[bounds[i] : bounds[j]]
-                if scheme.unit == "bytes":
-                    seq, first, size = chunk.tobytes(), bounds[i : j + 1] - bounds[i], 1
-                else:
-                    sym, first, _, _ = scheme.symbols(chunk, bounds[i : j + 1] - bounds[i])
-                    seq, size = sym.tobytes(), 8
+                raw, first, starts, ends = chunk.tobytes(), bounds[i : j + 1] - bounds[i], None, None
+                if scheme.unit == "words":
+                    starts, ends, first = tk.words(chunk, first)
+
+                def cut(a: int, b: int) -> bytes:
+                    if a >= b:
+                        return b""
+                    return raw[a:b] if starts is None else raw[starts[a] : ends[b - 1]]  # noqa: B023  used within this turn
+
                 out: list[tuple] = []
                 for d in range(i, j):
                     lo, hi = int(first[d - i]), int(first[d - i + 1])
                     for x in asked[d]:
                         at = lo + x["pos"]
-                        out.append((x["h"], x["c"], seq[size * max(lo, at - scheme.width + 1) : size * at], seq[size * (at + scheme.k) : size * min(hi, at + scheme.span)]))
+                        out.append((x["h"], x["c"], cut(max(lo, at - scheme.width + 1), at), cut(at + scheme.k, min(hi, at + scheme.span))))
                 if out:
                     h, c, left, right = zip(*out, strict=True)
                     yield pa.RecordBatch.from_arrays([pa.array(h, pa.int64()), pa.array(c, pa.int64()), pa.array(left, pa.binary()), pa.array(right, pa.binary())], ["h", "c", "left", "right"])
@@ -119,10 +132,8 @@ def spans_of(starts: np.ndarray, n_left: int, span: int) -> list[int]:
 
 
 def _resolved(scheme: Scheme, resolve: Resolver) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    kind = np.uint8 if scheme.unit == "bytes" else np.uint64
-
     def solve(rows: list[tuple]) -> pa.RecordBatch:
-        left, right = ([np.frombuffer(r[i], kind) for r in rows] for i in (2, 3))
+        left, right = (scheme.of([r[i] for r in rows]) for i in (2, 3))
         _, groups = np.unique(np.array([r[0] for r in rows]), return_inverse=True)
         marks = resolve(groups, left, right, scheme)
         spans = [spans_of(m, len(x), scheme.span) for m, x in zip(marks, left, strict=True)]
@@ -151,8 +162,9 @@ def _exploded(scheme: Scheme) -> Callable[[Iterator[pa.RecordBatch]], Iterator[p
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             h, c, left, right = (batch.column(x).to_pylist() for x in ("h", "c", "left", "right"))
+            left, right = scheme.of(left), scheme.of(right)
             for i in range(len(h)):
-                sym = [np.frombuffer(x[i], np.uint8 if scheme.unit == "bytes" else np.uint64) for x in (left, right)]
+                sym = left[i], right[i]
                 prefix = tk.Prefix(np.concatenate([tk.BYTE_HASH[x] if scheme.unit == "bytes" else x for x in sym]))
                 n, many = len(sym[0]), _windows(len(sym[0]), len(sym[1]), scheme)
                 made = prefix.window(scheme.width - 1)[:many]
@@ -179,7 +191,7 @@ def repeated_spans(rows: DataFrame, scheme: Scheme, resolve: Resolver) -> DataFr
     unclear = materialise(unclear, "unclear")
 
     asked = unclear.groupBy("row").agg(F.collect_list(F.struct("h", "c", "pos")).alias("asked"))
-    cut = rows.join(asked, "row").mapInArrow(_contexts(scheme), "h long, c long, left binary, right binary")
+    cut = text.join(asked, "row").mapInArrow(_contexts(scheme), "h long, c long, left binary, right binary")
     n = tasks_for(spark, unclear.filter("not hot").count(), 20_000)
     hot = several.filter(F.col("n_kinds") > scheme.hot).select("h")
     solved = cut.join(hot, "h", "left_anti").repartition(n, "h").sortWithinPartitions("h").mapInArrow(_resolved(scheme, resolve), "h long, c long, spans array<int>")
