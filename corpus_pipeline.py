@@ -9,7 +9,6 @@ whatever their names, but for text, n_chars and lang, which have their meaning.
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -36,14 +35,11 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 def repeated_bytes(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Op 6: repeated 200-byte strings go; a character cut in two goes as a whole."""
     ship_package(spark)
-
-    @F.pandas_udf("string")
-    def text_of(kept: pd.Series) -> pd.Series:
-        return kept.map(lambda b: bytes(b).decode("utf-8", "ignore"))
-
-    done = suffix_array.dedup(docs).withColumn("text", text_of("kept"))
-    done = done.withColumn("n_chars", F.length("text").cast("long"))
-    return done.select(*(F.col(f"`{c}`") for c in docs.columns))
+    others = [F.col(f"`{c}`") for c in docs.columns if c != "text"]
+    done = suffix_array.dedup(docs.select("text", F.struct(F.lit(0).alias("_"), *others).alias("own")), characters=True)
+    text = F.col("kept").cast("string")
+    made = {"text": text, "n_chars": F.length(text).cast("long")}
+    return done.select(*(made.get(c, F.col(f"own.`{c}`")).alias(c) for c in docs.columns))
 
 
 def no_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -214,10 +214,11 @@ def repeated_spans(rows: DataFrame, scheme: Scheme, resolve: Resolver) -> DataFr
     return places.join(marks, ["h", "c"]).select("row", found.alias("spans")).groupBy("row").agg(F.flatten(F.collect_list("spans")).alias("spans"))
 
 
-def without_repeats(docs: DataFrame, text: str, scheme: Scheme, resolve: Resolver) -> DataFrame:
+def without_repeats(docs: DataFrame, text: str, scheme: Scheme, resolve: Resolver, characters: bool = False) -> DataFrame:
     """All columns but the text, then n_units, n_removed, n_spans, kept (the text left, as bytes).
 
-    Of words, the kept ones are joined by one space. A null text counts as empty.
+    Of words, the kept ones are joined by one space. A null text counts as empty. With characters, what is
+    left of a UTF-8 character that was cut in two goes from kept as well.
     """
     rows = numbered(docs, text)
     spans = repeated_spans(rows, scheme, resolve)
@@ -244,6 +245,8 @@ def without_repeats(docs: DataFrame, text: str, scheme: Scheme, resolve: Resolve
                         kept = raw[lo:hi] if not n_gone else chunk[lo:hi][~gone].tobytes()
                     else:
                         kept = b" ".join([raw[a:b] for a, b, g in zip(starts[lo:hi].tolist(), ends[lo:hi].tolist(), gone.tolist(), strict=True) if not g])
+                    if characters and n_gone:
+                        kept = kept.decode("utf-8", "ignore").encode()
                     made.append((hi - lo, n_gone, n_spans, kept))
             cols = list(zip(*made, strict=True)) or [(), (), (), ()]
             kinds = (pa.int64(), pa.int64(), pa.int64(), pa.binary())

@@ -212,9 +212,9 @@ def resolve(groups: np.ndarray, left: list[np.ndarray], right: list[np.ndarray],
     return [repeated[b : b + m] for b, m in zip(begin[:-1].tolist(), many.tolist(), strict=True)]
 
 
-def dedup(docs: DataFrame, text: str = "text", scheme: Scheme = SCHEME) -> DataFrame:
-    """docs without the text, with n_units, n_removed, n_spans and kept, the bytes left."""
-    return without_repeats(docs, text, scheme, resolve)
+def dedup(docs: DataFrame, text: str = "text", scheme: Scheme = SCHEME, characters: bool = False) -> DataFrame:
+    """docs without the text, with n_units, n_removed, n_spans and kept, the bytes (or whole characters) left."""
+    return without_repeats(docs, text, scheme, resolve, characters)
 
 
 def op6_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
