@@ -26,7 +26,7 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     """df written once to the shared folder and read again: what follows neither recomputes it nor depends on an executor."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     release(spark)
     return spark.read.schema(df.schema).parquet(path)
 
