@@ -211,7 +211,10 @@ def repeated_spans(rows: DataFrame, scheme: Scheme, resolve: Resolver) -> DataFr
     # one join of places, which Spark may split where a context is common; spans may end beyond the text
     low = F.greatest(F.col("pos") - F.lit(scheme.width - 1), F.lit(0))
     found = F.when(F.col("spans").isNull(), F.array(low, F.col("pos") + scheme.span)).otherwise(F.transform("spans", lambda x: x + F.col("pos")))
-    return places.join(marks, ["h", "c"]).select("row", found.alias("spans")).groupBy("row").agg(F.flatten(F.collect_list("spans")).alias("spans"))
+    spans = places.join(marks, ["h", "c"]).select("row", found.alias("spans")).groupBy("row").agg(F.flatten(F.collect_list("spans")).alias("spans"))
+    spans = materialise(spans, "spans")  # so that places are gone when texts are shuffled
+    discard(places, marks)
+    return spans
 
 
 def without_repeats(docs: DataFrame, text: str, scheme: Scheme, resolve: Resolver, characters: bool = False) -> DataFrame:
