@@ -1,14 +1,16 @@
 """Op 7. Toxicity from the nearest labelled examples by exact TF-IDF cosine.
 
-The examples are a bounded, balanced sample of labelled rows. The vocabulary is
-the words whose share of toxic and clean examples differs clearly. Postings lie
-in blocks of examples with the largest weight of each term in each block; a
-query visits blocks by falling bound and stops when none can still reach its
-k-th best cosine, so the neighbours are exact (ties: the smaller example).
+The examples are a bounded, balanced sample of labelled rows. Every word of an
+example is a term, so the cosine is that of whole texts. A term's idf is times
+the absolute log odds of its shares in toxic and clean examples: with plain idf
+the words that both classes use alike outweigh the few that differ. Postings lie in blocks of examples with the largest weight of each
+term in each block; a query visits blocks by falling bound, four times as many
+each time, and stops when none can still reach its k-th best cosine, so the
+neighbours are exact (ties: the smaller example).
 Votes weighted by cosine are turned into a score by a monotone fit on the
 examples themselves, each left out in turn.
 
-Null or empty texts and texts with no word of the vocabulary have no neighbour:
+Null or empty texts and texts with no word of an example have no neighbour:
 their score is the share of toxic ones among examples without one. Without
 labelled rows every score is 0.
 """
@@ -28,7 +30,7 @@ from tessera.llm import learn
 from tessera.llm import text_kernels as tk
 from tessera.llm.shared import small_batches
 
-PER_CLASS, TERMS, NEIGHBOURS, BLOCK, LEAST_Z = 1500, 1000, 15, 64, 6.0
+PER_CLASS, NEIGHBOURS, BLOCK = 1500, 15, 64
 
 
 @dataclass(frozen=True)
@@ -37,35 +39,48 @@ class Index:
     idf: np.ndarray
     n: int  # examples
     toxic: np.ndarray
+    first: np.ndarray  # where the blocks of each term begin
+    block: np.ndarray  # by term: the blocks with examples that hold it
+    most: np.ndarray  # largest weight of the term in the block
+    cut: np.ndarray  # where the postings of (term, block) begin
     example: np.ndarray  # postings by term and block
     weight: np.ndarray
-    cut: np.ndarray  # where the postings of (term, block) begin
-    most: np.ndarray  # largest weight by term and block
-
-    @property
-    def blocks(self) -> int:
-        return self.most.shape[1]
 
     def nearest(self, terms: np.ndarray, weights: np.ndarray, k: int, leave: int = -1) -> tuple[np.ndarray, np.ndarray]:
         """Examples of the k highest positive cosines with the query, and the cosines."""
-        bound = weights @ self.most[terms]
+        own, of = spans(self.first[terms], self.first[terms + 1])
+        block, w = self.block[own], weights[of]
+        bound = np.bincount(block, w * self.most[own], max(1, -(-self.n // BLOCK)))
+        order = np.argsort(-bound, kind="stable")[: np.count_nonzero(bound > 0)]
         found, best = np.empty(0, np.int64), np.empty(0)
-        for b in np.argsort(-bound, kind="stable"):
-            if bound[b] <= 0 or len(best) == k and bound[b] < best[-1] - 1e-9:
-                break
-            got = np.zeros(BLOCK)
-            for t, w in zip(terms.tolist(), weights.tolist(), strict=True):
-                lo, hi = self.cut[t * self.blocks + b], self.cut[t * self.blocks + b + 1]
-                got[self.example[lo:hi] - b * BLOCK] += w * self.weight[lo:hi]
-            at = np.flatnonzero(got > 0)
-            own = at + b * BLOCK
-            at, own = at[own != leave], own[own != leave]
-            found, best = np.concatenate([found, own]), np.concatenate([best, got[at]])
-            order = np.lexsort((found, -np.round(best, 12)))[:k]
-            found, best = found[order], best[order]
+        at, step = 0, 4
+        while at < len(order):
+            now = np.zeros(len(bound), bool)
+            now[order[at : at + step]] = True
+            if len(best) == k:
+                now &= bound >= best[-1] - 1e-9
+                if not now.any():
+                    break
+            mine = now[block]
+            posting, of = spans(self.cut[own[mine]], self.cut[own[mine] + 1])
+            got = np.bincount(self.example[posting], w[mine][of] * self.weight[posting], self.n)
+            if leave >= 0:
+                got[leave] = 0
+            new = np.flatnonzero(got > 0)
+            found, best = np.concatenate([found, new]), np.concatenate([best, got[new]])
+            kept = np.lexsort((found, -np.round(best, 12)))[:k]
+            found, best = found[kept], best[kept]
+            at, step = at + step, 4 * step
         return found, best
 
 
+def spans(lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The places of all [lo, hi), one after the other, and which of the spans each is of."""
+    n = hi - lo
+    of = np.repeat(np.arange(len(n)), n)
+    return np.arange(len(of)) + (lo - np.cumsum(n) + n)[of], of
+
+
 def word_terms(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of the lower-cased words of letters of a chunk, and each document's first one."""
     data = TO_WORDS[data]
@@ -92,34 +107,27 @@ def queries_of(hashes: np.ndarray, first: np.ndarray, vocab: np.ndarray, idf: np
     return out
 
 
-def build(texts: list[str], toxic: np.ndarray, terms: int = TERMS) -> Index:
+def build(texts: list[str], toxic: np.ndarray) -> Index:
     """The index over examples; toxic holds 0 or 1."""
     n = len(texts)
-    n1 = max(1, int(toxic.sum()))
-    n0 = max(1, n - n1)
     sets = [np.unique(word_terms(*learn.joined([t]))[0]) for t in texts]
-    found, inv = np.unique(np.concatenate([*sets, np.empty(0, np.uint64)]), return_inverse=True)
-    of = np.repeat(np.arange(n), [len(s) for s in sets])
-    df1 = np.bincount(inv[toxic[of] == 1], minlength=len(found))
-    df = np.bincount(inv, minlength=len(found))
-    df0 = df - df1
-    share = df / n
-    z = (df1 / n1 - df0 / n0) / np.sqrt(np.maximum(share * (1 - share), 1e-12) * (1 / n1 + 1 / n0))
-    chosen = np.flatnonzero((np.abs(z) >= LEAST_Z) & (df >= 3))
-    chosen = np.sort(chosen[np.argsort(-np.abs(z[chosen]), kind="stable")[:terms]])
-    vocab, idf = found[chosen], np.log((1 + n) / (1 + df[chosen])) + 0.01
+    vocab, inv = np.unique(np.concatenate([*sets, np.empty(0, np.uint64)]), return_inverse=True)
+    df = np.bincount(inv, minlength=len(vocab))
+    df1 = np.bincount(inv[np.repeat(toxic, [len(s) for s in sets]) == 1], minlength=len(vocab))
+    n1 = int(toxic.sum())
+    odds = np.log((df1 + 0.5) / (n1 + 1)) - np.log((df - df1 + 0.5) / (n - n1 + 1))
+    idf = (np.log((1 + n) / (1 + df)) + 0.01) * (np.abs(odds) + 0.01)
     vectors = [q for t in texts for q in queries_of(*word_terms(*learn.joined([t])), vocab, idf)]
-    blocks = max(1, -(-n // BLOCK))
     term = np.concatenate([*(q[0] for q in vectors), np.empty(0, np.int64)]).astype(np.int64)
     weight = np.concatenate([*(q[1] for q in vectors), np.empty(0)])
     example = np.repeat(np.arange(n), [len(q[0]) for q in vectors])
     order = np.lexsort((example, term))
     term, weight, example = term[order], weight[order], example[order]
-    key = term * blocks + example // BLOCK
-    most = np.zeros(max(1, len(vocab)) * blocks)
-    np.maximum.at(most, key, weight)
-    cut = np.searchsorted(key, np.arange(len(vocab) * blocks + 1))
-    return Index(vocab, idf, n, toxic.astype(float), example, weight, cut, most.reshape(-1, blocks))
+    block = example // BLOCK
+    head = np.flatnonzero((np.diff(term, prepend=-1) != 0) | (np.diff(block, prepend=-1) != 0))
+    most = np.maximum.reduceat(weight, head) if len(head) else np.empty(0)
+    first = np.searchsorted(term[head], np.arange(len(vocab) + 1))
+    return Index(vocab, idf, n, toxic.astype(float), first, block[head], most, np.append(head, len(term)), example, weight)
 
 
 @dataclass(frozen=True)

@@ -44,6 +44,15 @@ def test_nearest_is_exact():
         assert index.nearest(*vectors[i], 15)[0].tolist() == want
 
 
+def test_rare_words_are_terms():
+    texts = [f"so la ti {'slur' if i < 40 else 'kind'}{'abcdefghijklmnopqrstuvwxyz'[i // 2 % 26]}{'xyz' * (i // 52)}" for i in range(400)]
+    index = toxicity.build(texts, np.repeat([1, 0], [40, 360]))
+    assert len(index.vocab) == len({w for t in texts for w in t.split()})
+    for i in (0, 14, 38):
+        vector = toxicity.queries_of(*toxicity.word_terms(*toxicity.learn.joined([texts[i]])), index.vocab, index.idf)[0]
+        assert index.nearest(*vector, 2)[0].tolist() == [i, i + 1]
+
+
 def test_edges(spark, docs, empty, labelled):
     model = language_id.fit(labelled, "lang")
     got = {r["doc_id"]: r for r in language_id.predict(docs, model).collect()}
