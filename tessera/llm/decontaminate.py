@@ -48,7 +48,6 @@ def tiles(doc: np.ndarray, item: np.ndarray, least: int) -> list[tuple[int, int,
     hash_d, hash_i = tk.Prefix(doc), tk.Prefix(item)
     while length >= least:
         at_i, at_d = _open(free_i, length), _open(free_d, length)
-        found = False
         if len(at_i) and len(at_d):
             own, other = hash_i.ranges(at_i, at_i + length), hash_d.ranges(at_d, at_d + length)
             for a in np.flatnonzero(np.isin(own, other)):
@@ -59,9 +58,8 @@ def tiles(doc: np.ndarray, item: np.ndarray, least: int) -> list[tuple[int, int,
                     if free_d[d : d + length].all() and np.array_equal(doc[d : d + length], item[i : i + length]):
                         free_d[d : d + length] = free_i[i : i + length] = False
                         out.append((d, i, length))
-                        found = True
                         break
-        length = min(length - 1, max(least, _longest(free_i))) if not found else min(length, _longest(free_i)) - 1
+        length = min(length - 1, _longest(free_i))
     return out
 
 

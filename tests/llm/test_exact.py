@@ -168,6 +168,27 @@ def test_tiling():
     assert decontaminate.tiles(ids("a b c d x e f g h"), item, 5) == []
 
 
+def plain_tiles(doc, item, least):
+    """Greedy string tiling by trying every length and place."""
+    free_d, free_i, out = [True] * len(doc), [True] * len(item), []
+    for n in range(len(item), least - 1, -1):
+        for i in range(len(item) - n + 1):
+            for d in range(len(doc) - n + 1):
+                if all(free_i[i : i + n]) and all(free_d[d : d + n]) and doc[d : d + n] == item[i : i + n]:
+                    free_i[i : i + n] = free_d[d : d + n] = [False] * n
+                    out.append((d, i, n))
+    return out
+
+
+@pytest.mark.parametrize("cuts", [[5, 6, 5], [11, 9], [5, 6, 5, 6, 5], [10, 10], [7, 5], [4, 9, 6]])
+def test_tiling_of_reordered_chunks(cuts):
+    item, edge = list(range(1, sum(cuts) + 1)), np.cumsum([0, *cuts])
+    chunks = [item[a:b] for a, b in zip(edge[:-1], edge[1:], strict=True)]
+    doc = [w for k, c in enumerate(reversed(chunks)) for w in [*c, 1000 + k]]
+    got = decontaminate.tiles(np.array(doc, np.uint64), np.array(item, np.uint64), 5)
+    assert got == plain_tiles(doc, item, 5) and sum(t[2] for t in got) == sum(c for c in cuts if c >= 5)
+
+
 def test_decontamination(spark, docs):
     bench = spark.createDataFrame([(1, "Alpha beta, gamma delta epsilon zeta eta theta iota kappa."), (2, None), (3, ""), (4, "one two"), (1, "Alpha beta, gamma delta epsilon zeta eta theta iota kappa.")], "item_id long, text string")
     own = spark.createDataFrame([(1, "x ALPHA Beta gamma delta epsilon y zeta eta theta iota kappa q", 5), (2, "zeta eta theta iota kappa, then alpha beta gamma delta epsilon", 5), (3, "alpha beta gamma delta", 5), (4, None, 5), (5, "", 5)], "doc_id long, text string, item_id long")
