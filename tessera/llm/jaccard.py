@@ -130,8 +130,8 @@ def _packed_tokens(frequent: np.ndarray, shards: int):
             rows = []
             for x in np.unique(s):
                 mine = s == x
-                # low bytes of the class tell copies of one text apart from other texts
-                rows.append((int(x), token[mine].tobytes(), (cls[mine] & np.uint64(0xFFFF)).astype(np.uint16).tobytes(), np.packbits(many[mine]).tobytes()))
+                # the class tells copies of one text apart from other texts; any part of it would lose tokens
+                rows.append((int(x), token[mine].tobytes(), cls[mine].tobytes(), np.packbits(many[mine]).tobytes()))
             cols = list(zip(*rows, strict=True))
             return pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), *(pa.array(c, pa.binary()) for c in cols[1:])], ["shard", "token", "cls", "many"])
 
@@ -147,12 +147,12 @@ def _packed_tokens(frequent: np.ndarray, shards: int):
 
 
 def _recurring(folder: str):
-    """A file for each shard: the tokens that more than one class lists (or seem to)."""
+    """A file for each shard: the tokens that more than one class lists (or seem to, as KEPT_BITS of a token are compared)."""
 
     def done(shard: int, rows: list[tuple]) -> pa.RecordBatch:
         token = np.concatenate([np.frombuffer(r[0], np.uint64) for r in rows])
-        cls = np.concatenate([np.frombuffer(r[1], np.uint16) for r in rows])
-        many = np.concatenate([np.unpackbits(np.frombuffer(r[2], np.uint8))[: len(r[1]) // 2] for r in rows]).astype(bool)
+        cls = np.concatenate([np.frombuffer(r[1], np.uint64) for r in rows])
+        many = np.concatenate([np.unpackbits(np.frombuffer(r[2], np.uint8))[: len(r[1]) // 8] for r in rows]).astype(bool)
         order = np.lexsort((cls, token))
         token, cls, many = token[order], cls[order], many[order]
         same = np.zeros(len(token), bool)

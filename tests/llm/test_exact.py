@@ -6,6 +6,7 @@ import re
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from tessera.llm import decontaminate, jaccard, language_model, suffix_array, suffix_tree, topk
@@ -112,6 +113,20 @@ def test_signature_tree_loses_no_pair():
     assert len(got) < 0.1 * len(sets) ** 2 / 2
 
 
+def test_tokens_recur_across_tasks_whatever_their_class(monkeypatch, tmp_path):
+    """Near copies in two tasks whose class hashes agree in their low bits, and exact copies in two tasks."""
+    whole = jaccard.classes
+    monkeypatch.setattr(jaccard, "classes", lambda g, first: whole(g, first) << np.uint64(16))
+    none = np.empty(0, np.uint64)
+    for texts, recur in ((["a b c d e f", "a b c d e g"], 1), (["a b c d e", "a b c d e"], 0)):
+        sent = []
+        for t in texts:
+            sent += jaccard._packed_tokens(none, 1)(iter([pa.RecordBatch.from_pydict({"text": [t]})]))
+        # both shingles of a small set are in its prefix
+        got = list(jaccard._recurring(f"file://{tmp_path}")(iter(sent)))
+        assert sum(b.column("n").to_pylist()[0] for b in got) == recur
+
+
 def test_top_k(spark):
     rng = np.random.default_rng(4)
     rows = [(i, [float(np.float32(x)) for x in rng.normal(0, 0.3, 8)]) for i in range(300)]
