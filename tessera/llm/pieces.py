@@ -5,8 +5,10 @@ its character map, the marker for spaces, unigram scores or ranked merges, and
 byte fallback. Texts are encoded in batches on several threads. Where no piece
 holds the space marker after another character, texts are cut before each run
 of markers first, as no piece can cross there; each distinct cut is then
-encoded, decoded again and held against the sentencepiece library once, which
-decides for every text made of such cuts. Else this is done text by text.
+encoded once and texts are put together from cuts. Else this is done text by
+text. Texts are decoded from their ids, piece by piece, or by the tokenizers
+library where they hold unknown pieces or bytes of no character. Parity: the sentencepiece library encodes every
+whole text, and its ids are compared with these.
 
 Null text: null ids, no tokens. Empty text: no ids. Repeated rows are encoded
 each. Control pieces in a text are ordinary text.
@@ -15,18 +17,20 @@ each. Control pieces in a text are ordinary text.
 from __future__ import annotations
 
 import os
-import re
 import struct
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from functools import lru_cache
-from itertools import chain
+from itertools import chain, repeat
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tessera.llm import text_kernels as tk
 from tessera.llm.repeats import numbered
 from tessera.llm.shared import small_batches
 
@@ -35,7 +39,9 @@ MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = range(1, 7)
 UNIGRAM, BPE = 1, 2
 MARK = "▁"
-CUT = re.compile(f"{MARK}+[^{MARK}]*|[^{MARK}]+")
+#: Threads of a Python worker; several workers share an executor.
+THREADS = 2
+EMPTY = pa.scalar("", pa.large_string())
 
 
 @dataclass
@@ -137,105 +143,156 @@ def build(spec: Spec):
 @lru_cache(maxsize=2)
 def _loaded(raw: bytes) -> Coder:
     os.environ["TOKENIZERS_PARALLELISM"] = "true"
+    os.environ.setdefault("RAYON_NUM_THREADS", str(THREADS))
     return Coder(raw)
 
 
+class Store:
+    """Distinct cuts with their ids, one after another in a flat array."""
+
+    def __init__(self):
+        self.known: dict[str, int] = {}
+        self.first = np.zeros(1, np.int64)  # where the ids of each cut begin
+        self.ids = np.empty(0, np.int32)
+
+    def add(self, cuts: list[str], ids: list[list[int]]) -> None:
+        n = len(self.known)
+        self.known.update(zip(cuts, range(n, n + len(cuts)), strict=True))
+        flat, first = _flat(ids)
+        self.first = np.concatenate([self.first, self.first[-1] + first[1:]])
+        self.ids = np.concatenate([self.ids, flat])
+
+
 class Coder:
-    """Encodes and decodes whole texts. Where texts can be cut before space markers, each distinct cut is taken once and kept."""
+    """Encodes and decodes whole texts. Where texts can be cut before space markers, each distinct cut is encoded once."""
 
-    KEPT = 400_000
+    KEPT = 500_000
 
     def __init__(self, raw: bytes):
         import sentencepiece
 
         self.spec = parse(raw)
         self.tokenizer, self.reference = build(self.spec), sentencepiece.SentencePieceProcessor(model_proto=raw)
-        self.cuts = self.tokenizer.pre_tokenizer is not None and self.spec.escape and not any(k == USER_DEFINED for _, _, k in self.spec.pieces)
-        self.pieces = [p for p, _, _ in self.spec.pieces]
-        self.known: dict[str, list[int]] = {}
-        self.odd: set[str] = set()  # cuts that decode to something else
-        self.unlike: set[str] = set()  # cuts that the reference encodes otherwise
+        own = any(k == USER_DEFINED for _, _, k in self.spec.pieces)
+        self.cuts = self.tokenizer.pre_tokenizer is not None and self.spec.escape and not own and not self.spec.charsmap
+        self.store = Store()
+        # what each id adds to a text; rows with unknown pieces are left to the library's decoder
+        self.plain = pa.array([bytes([int(p[3:5], 16)]) if k == BYTE else p.replace(MARK, " ").encode() for p, _, k in self.spec.pieces], pa.large_binary())
+        self.unknown = np.array([k == UNKNOWN for _, _, k in self.spec.pieces])
         if self.cuts:
             self.bare = build(self.spec)
             self.bare.pre_tokenizer = self.bare.normalizer = None
 
-    def normalised(self, text: str) -> str:
-        if self.spec.charsmap or not self.spec.escape:
-            return self.tokenizer.normalizer.normalize_str(text)
+    def learn(self, cuts: list[str]) -> None:
+        """Encode cuts that are not known yet; a cut holds spaces where the model has markers."""
+        made = self.bare.encode_batch_fast([c.replace(" ", MARK) for c in cuts], add_special_tokens=False)
+        self.store.add(cuts, [e.ids for e in made])
+
+    def decode(self, ids: np.ndarray, first: np.ndarray) -> pa.Array:
+        """The text of each run of ids."""
+        raw = pc.binary_join(pa.LargeListArray.from_arrays(pa.array(first), self.plain.take(pa.array(ids))), pa.scalar(b"", pa.large_binary()))
+        hard = np.flatnonzero(np.diff(np.concatenate([[0], np.cumsum(self.unknown[ids])])[first]))
+        try:
+            back = raw.cast(pa.large_string())
+        except pa.ArrowInvalid:  # bytes that make no character, which no text gives
+            back, hard = pa.nulls(len(raw), pa.large_string()), np.arange(len(raw))
+        if self.spec.dummy_prefix:  # one space goes, as the decoder's last step says
+            back = pc.replace_substring_regex(back, "\\A ", "")
+        if not len(hard):
+            return back
+        own = self.tokenizer.decode_batch([ids[first[i] : first[i + 1]].tolist() for i in hard], skip_special_tokens=False)
+        at = np.arange(len(back))
+        at[hard] = len(back) + np.arange(len(hard))
+        return pa.concat_arrays([back, pa.array(own, pa.large_string())]).take(pa.array(at))
+
+    def from_cuts(self, text: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """ids of all texts end to end, and where each text's begin."""
+        plain = pc.replace_substring(text, MARK, " ")
         if self.spec.no_extra_spaces:
-            text = " ".join(x for x in text.split(" ") if x)
-        return (MARK + text if self.spec.dummy_prefix and text else text).replace(" ", MARK)
-
-    def learn(self, new: list[str]) -> None:
-        """Encode cuts, decode them again, and hold them against the reference, which puts a marker before each itself."""
-        ids = [e.ids for e in self.bare.encode_batch_fast(new, add_special_tokens=False)]
-        self.known.update(zip(new, ids, strict=True))
-        piece = self.pieces.__getitem__
-        other = [i for i, (c, x) in enumerate(zip(new, ids, strict=True)) if "".join(map(piece, x)) != c]  # bytes or unknown pieces
-        plain = [c.replace(MARK, " ") for c in new]
+            plain = pc.utf8_trim(pc.replace_substring_regex(plain, " {2,}", " "), " ")
         if self.spec.dummy_prefix:
-            plain = [c[1:] if c[:1] == " " else c for c in plain]
-            theirs = self.reference.encode(plain, num_threads=1)
-            lone = [self.reference.piece_to_id(MARK)]  # no marker is put before an empty text
-            self.unlike.update(c for c, a, b in zip(new, ids, theirs, strict=True) if a != (b if c != MARK else lone))
-        back = self.bare.decode_batch([ids[i] for i in other], skip_special_tokens=False)
-        self.odd.update(new[i] for i, b in zip(other, back, strict=True) if b != plain[i])
-
-    def __call__(self, texts: list[str], parity: bool) -> tuple[list[list[int]], list[str], list[bool | None]]:
-        """ids, decoded texts, and whether the reference has the same ids."""
-        if not self.cuts:
-            ids = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-            same = [a == b for a, b in zip(ids, self.reference.encode(texts, num_threads=1), strict=True)] if parity else [None] * len(ids)
-            return ids, self.tokenizer.decode_batch(ids, skip_special_tokens=False), same
-        whole = [self.normalised(t) for t in texts]
-        cut = [CUT.findall(t) for t in whole]
-        every = set().union(*cut)
-        if len(self.known) > self.KEPT:
-            self.known, self.odd, self.unlike = {}, set(), set()
-        self.learn(list(every.difference(self.known)))
-        ids = [list(chain.from_iterable(map(self.known.__getitem__, c))) for c in cut]
-        odd, unlike = every & self.odd, every & self.unlike
-        skip = int(self.spec.dummy_prefix)
-        back = [t.replace(MARK, " ")[skip:] for t in whole]
-        for i in [i for i, c in enumerate(cut) if odd and not odd.isdisjoint(c)]:
-            back[i] = self.tokenizer.decode(ids[i], skip_special_tokens=False)
+            plain = pc.if_else(pc.equal(plain, EMPTY), EMPTY, pc.binary_join_element_wise(pa.scalar(" ", pa.large_string()), plain, EMPTY))
+        data, bounds = tk.column_bytes(plain)
+        space = np.concatenate([[False], data == 32])
+        begins = space[1:] & ~space[:-1]
+        begins[bounds[:-1][bounds[:-1] < bounds[1:]]] = True
+        start = np.flatnonzero(begins)
+        edge = np.concatenate([start, [len(data)]]).astype(np.int64)
+        cuts = pa.LargeStringArray.from_buffers(len(start), pa.py_buffer(edge), pa.py_buffer(np.ascontiguousarray(data))).dictionary_encode()
+        own = cuts.dictionary.to_pylist()
+        if len(self.store.known) > self.KEPT:
+            self.store = Store()
+        known = len(self.store.known)
+        found = np.fromiter(map(self.store.known.get, own, repeat(-1)), np.int64, len(own))
+        new = np.flatnonzero(found < 0)
+        if len(new):
+            self.learn([own[i] for i in new.tolist()])
+            found[new] = known + np.arange(len(new))
+        at = found[cuts.indices.to_numpy()]
+        rows = np.searchsorted(start, bounds)
+        first, size = self.store.first[at], np.diff(self.store.first)[at]
+        ends = np.concatenate([[0], np.cumsum(size)])
+        place = np.repeat((first - ends[:-1]).astype(np.int32), size)
+        place += np.arange(ends[-1], dtype=np.int32)
+        ids = self.store.ids[place]
+        return ids, ends[rows]
+
+    def __call__(self, text: pa.Array, parity: bool) -> tuple[np.ndarray, np.ndarray, pa.Array, np.ndarray | None]:
+        """from_cuts() or the same text by text, and whether the reference gives the same ids for each whole text."""
+        text = pc.fill_null(text.cast(pa.large_string()), EMPTY)
+        whole = text.to_pylist() if parity or not self.cuts else []
+        if self.cuts:
+            ids, first = self.from_cuts(text)
+            back = self.decode(ids, first)
+        else:
+            made = [e.ids for e in self.tokenizer.encode_batch_fast(whole, add_special_tokens=False)]
+            ids, first = _flat(made)
+            back = pa.array(self.tokenizer.decode_batch(made, skip_special_tokens=False), pa.large_string())
         if not parity:
-            return ids, back, [None] * len(ids)
-        if not self.spec.dummy_prefix:
-            return ids, back, [a == b for a, b in zip(ids, self.reference.encode(texts, num_threads=1), strict=True)]
-        return ids, back, [not unlike or unlike.isdisjoint(c) for c in cut]
+            return ids, first, back, None
+        mine, edge = ids.tolist(), first.tolist()
+        theirs = self.reference.encode(whole, num_threads=1)
+        return ids, first, back, np.array([x == mine[a:b] for x, a, b in zip(theirs, edge[:-1], edge[1:], strict=True)], bool)
+
 
+def _flat(lists: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
+    return np.fromiter(chain.from_iterable(lists), np.int32), np.concatenate([[0], np.cumsum([len(x) for x in lists])]).astype(np.int64)
 
-def normal_form(text: str, spec: Spec) -> str | None:
-    """What decoding must give back; None where the model's own character map decides."""
+
+def normal_form(text: pa.Array, spec: Spec) -> pa.Array:
+    """What decoding must give back; null where the model's own character map decides."""
     if spec.charsmap:
-        return None
+        return pa.nulls(len(text), pa.large_string())
     if spec.no_extra_spaces:
-        text = " ".join(x for x in text.split(" ") if x)
-    return text.replace(MARK, " ")
+        text = pc.utf8_trim(pc.replace_substring_regex(text, " {2,}", " "), " ")
+    return pc.replace_substring(text, MARK, " ")
 
 
 def encode(docs: DataFrame, model: bytes, text: str = "text", parity: bool = True) -> DataFrame:
-    """docs without the text, with ids, n_tokens, decoded, round_trip and parity (null where not asked for or no text)."""
-    small_batches(docs.sparkSession, 500)
+    """docs without the text, with ids, n_tokens, decoded, round_trip and parity (null where not asked for or no text).
+
+    These names win over columns of docs with the same name.
+    """
+    made = ("ids", "n_tokens", "decoded", "round_trip", "parity")
+    small_batches(docs.sparkSession)
     rows = numbered(docs, text).select("text", "rest")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = _loaded(model)
         for batch in batches:
-            texts = batch.column("text").to_pylist()
-            whole = [t or "" for t in texts]
-            ids, back, same = coder(whole, parity)
-            same = [None if t is None else x for t, x in zip(texts, same, strict=True)]
-            want = [None if t is None else normal_form(t, coder.spec) for t in texts]
-            trip = [None if w is None else b == w for w, b in zip(want, back, strict=True)]
-            null = [t is None for t in texts]
-            cols = [batch.column("rest"), pa.array([None if x else i for x, i in zip(null, ids, strict=True)], pa.list_(pa.int32())), pa.array([len(i) for i in ids], pa.int64()), pa.array([None if x else b for x, b in zip(null, back, strict=True)], pa.string()), pa.array(trip, pa.bool_()), pa.array(same, pa.bool_())]
-            yield pa.RecordBatch.from_arrays(cols, ["rest", "ids", "n_tokens", "decoded", "round_trip", "parity"])
+            column = batch.column("text").cast(pa.large_string())
+            ids, first, back, same = coder(column, parity)
+            null = column.is_null()
+            none = null.to_numpy(zero_copy_only=False)
+            lists = pa.ListArray.from_arrays(pa.array(first.astype(np.int32), mask=np.append(none, False)), pa.array(ids, pa.int32()))
+            back = pc.if_else(null, pa.scalar(None, pa.large_string()), back)
+            trip = pc.equal(back, normal_form(column, coder.spec))
+            cols = [batch.column("rest"), lists, pa.array(np.diff(first)), back.cast(pa.string()), trip, pa.nulls(len(none), pa.bool_()) if same is None else pa.array(same, mask=none)]
+            yield pa.RecordBatch.from_arrays(cols, ["rest", *made])
 
     schema = rows.select("rest").schema.add("ids", T.ArrayType(T.IntegerType())).add("n_tokens", "long").add("decoded", "string").add("round_trip", "boolean").add("parity", "boolean")
     out = rows.mapInArrow(run, schema)
-    return out.select(*(F.col(f"rest.`{c}`").alias(c) for c in docs.columns if c != text), "ids", "n_tokens", "decoded", "round_trip", "parity")
+    return out.select(*(F.col(f"rest.`{c}`").alias(c) for c in docs.columns if c != text and c not in made), *made)
 
 
 def op10_sentencepiece(spark: SparkSession, sf_dir: str, model: str = MODEL) -> DataFrame:

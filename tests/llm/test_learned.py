@@ -1,6 +1,9 @@
 """Operators that learn, by held-out accuracy, and SentencePiece by parity."""
 
+import random
+
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from tessera.llm import language_id, pieces, quality, toxicity
@@ -78,6 +81,35 @@ def test_pieces(docs, empty, texts):
     assert pieces.encode(empty, raw).count() == 0
 
 
+def test_pieces_against_the_library(texts):
+    """Ids and texts put together from cuts and pieces are those that the tokenizers library gives for whole texts."""
+    with open(pieces.MODEL, "rb") as f:
+        coder = pieces.Coder(f.read())
+    rng = random.Random(11)
+    odd = ["".join(rng.choice(["a", "the", " ", "  ", "\n", "▁", "é", "漢", "😀", "\x00", "\t"]) for _ in range(rng.randint(0, 40))) for _ in range(300)]
+    whole = [t or "" for t in texts] + odd
+    ids, first, back, same = coder(pa.array(whole), True)
+    theirs = coder.tokenizer.encode_batch(whole, add_special_tokens=False)
+    mine = [ids[a:b].tolist() for a, b in zip(first[:-1], first[1:], strict=True)]
+    assert mine == [e.ids for e in theirs] and same.all()
+    assert back.to_pylist() == coder.tokenizer.decode_batch(mine, skip_special_tokens=False) == [t.replace(pieces.MARK, " ") for t in whole]
+    broken = np.array([coder.spec.pieces.index(p) for p in coder.spec.pieces if p[0] in ("<0xE6>", "<unk>")] * 2)
+    assert coder.decode(broken, np.array([0, 1, 4])).to_pylist() == coder.tokenizer.decode_batch([broken[:1].tolist(), broken[1:].tolist()], skip_special_tokens=False)
+
+
+def test_pieces_parity_is_of_whole_texts(monkeypatch):
+    with open(pieces.MODEL, "rb") as f:
+        coder = pieces.Coder(f.read())
+    theirs = coder.reference.encode
+
+    class Other:
+        def encode(self, whole, num_threads):
+            return [x if i != 1 else x[:-1] + [5] for i, x in enumerate(theirs(whole))]
+
+    coder.reference = Other()
+    assert coder(pa.array(["one two", "three four", "five", ""]), True)[3].tolist() == [True, False, True, True]
+
+
 def test_unigram_model():
     spec = pieces.Spec([("<unk>", 0.0, pieces.UNKNOWN), ("▁", -2.0, pieces.NORMAL), ("▁ab", -1.0, pieces.NORMAL), ("a", -3.0, pieces.NORMAL), ("b", -3.0, pieces.NORMAL), ("c", -4.0, pieces.NORMAL)], pieces.UNIGRAM)
     t = pieces.build(spec)
