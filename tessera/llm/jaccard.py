@@ -1,44 +1,49 @@
 """Op 2. N-gram Jaccard self-join: documents whose shingle sets share 3/4 or more of their union.
 
-Equal sets are one class. Each class lists the tokens of its prefix: rarest
-first, a set of n tokens needs n - ceil(3n/4) + 1 of them against smaller sets
-and n - ceil(6n/7) + 1 against larger ones, so that no link can be missed.
-Tokens that occur once are dropped by looking them up in sorted files. Then:
-
-1. Stars: each class is held against the one class it shares most prefix tokens
-   with among the tokens' centres; links found make first components.
-2. Signature trees: for each token that still spans components, the sets that
-   list it form a tree whose nodes hold OR- and AND-combined token bitmaps and
-   size ranges. Pairs of nodes are followed from the root down and dropped when
-   the largest possible overlap is too small, or all is in one component.
-3. The pairs left are held against each other on whole texts.
-
-The order of tokens comes from a bounded sample; it decides the work, never the
-result. Null or empty texts have empty sets and link with nothing. Repeated
-rows and equal sets share a component. A null id never names a component.
+Every text is cut into shingles (tokens) once. Rows of equal words are one
+class, and the first row of a class stands for it.
+
+1. Tasks send which tokens they hold to shards, and hear back how many tasks'
+   classes hold each of those that recur. The rarest first, a set of n tokens
+   needs n - ceil(3n/4) + 1 of them (its prefix) against smaller sets and
+   n - ceil(6n/7) + 1 against larger ones, so that no link can be missed. What
+   occurs once only fills a prefix, and many prefixes hold nothing else.
+2. Rounds: each class goes with its text to the star whose centre it shares most
+   prefix tokens with. There, and at last for each token that still spans
+   components, the sets form a signature tree whose nodes hold OR- and
+   AND-combined token bitmaps and size ranges. Pairs of nodes are followed from
+   the root down and dropped when the largest possible overlap is too small, or
+   all is in one component. Pairs of sets that are left are held against each
+   other, unless links found before join them; so a group of n sets gives n - 1
+   links at most.
+
+Tokens that are told apart by part of their hash only add candidates. Null or
+empty texts have empty sets and link with nothing. Repeated rows and equal sets
+share a component. A null id never names a component.
 """
 
 from __future__ import annotations
 
-import uuid
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm import text_kernels as tk
-from tessera.llm.language_model import _mapped, _write
 from tessera.llm.repeats import numbered
-from tessera.llm.shared import materialise, release, shared_dir, small_batches, tasks_for
+from tessera.llm.shared import arrow_rows, discard, materialise, plan_bytes, tasks_for
 
-WORDS, SAMPLE, FREQUENT, GROUP, LEAF, FAN, STARS, STAR_ROWS, SMALL = 5, 4000, 100_000, 1024, 16, 8, 2, 500, 32
+#: Words of a shingle; tokens and rows that a task sends at once; rows of a part of a star, and of a group of the last trees.
+WORDS, HELD, HELD_ROWS, STAR_ROWS, GROUP = 5, 1_000_000, 60_000, 500, 1024
+#: Children of a node; rounds of stars at most; size of a list beyond which it is parted by set size.
+LEAF, FAN, ROUNDS, SMALL = 16, 8, 4, 32
 
 
-def sets(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct shingle hashes of each document, in order of hash, and where each document's begin."""
+def sets(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct shingle hashes of each document, sorted, where each document's begin; the same of its words, unsorted."""
     data = tk.LOWER[data]
     starts, ends, first = tk.words(data, bounds)
     h = tk.word_hashes(data, starts, ends)
@@ -46,21 +51,23 @@ def sets(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     prefix = tk.Prefix(h)
     lo, hi = first[:-1], np.maximum(first[:-1], first[1:] - WORDS + 1)
     count = np.where(n == 0, 0, np.maximum(1, hi - lo))
+    edge = np.concatenate([[0], np.cumsum(count)])
     doc = np.repeat(np.arange(len(n)), count)
-    at = np.arange(len(doc)) - np.repeat(np.cumsum(count) - count, count) + lo[doc]
+    at = np.arange(len(doc)) - edge[doc] + lo[doc]
     g = prefix.ranges(at, np.minimum(at + WORDS, first[doc + 1]))
-    order = np.lexsort((g, doc))
-    g, doc = g[order], doc[order]
+    for a, b in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True):
+        g[a:b].sort()
     new = np.ones(len(g), bool)
     new[1:] = (g[1:] != g[:-1]) | (doc[1:] != doc[:-1])
-    g, doc = g[new], doc[new]
-    return g, np.searchsorted(doc, np.arange(len(n) + 1))
+    return g[new], np.concatenate([[0], np.cumsum(new)])[edge], h, first
 
 
-def classes(g: np.ndarray, first: np.ndarray) -> np.ndarray:
-    """A hash of each whole set."""
-    sums = np.concatenate([[np.uint64(0)], np.cumsum(tk.mix(g ^ np.uint64(tk.MIX_2)))])
-    return tk.mix(sums[first[1:]] - sums[first[:-1]] + np.diff(first).astype(np.uint64) * np.uint64(tk.MIX_1))
+def linked(a: np.ndarray, b: np.ndarray) -> bool:
+    """Whether two sorted sets share 3/4 or more of their union."""
+    if 4 * min(len(a), len(b)) < 3 * max(len(a), len(b)):
+        return False
+    shared = len(np.intersect1d(a, b, assume_unique=True))
+    return 100 * shared >= 75 * (len(a) + len(b) - shared)
 
 
 def signature(g: np.ndarray) -> np.ndarray:
@@ -71,191 +78,146 @@ def signature(g: np.ndarray) -> np.ndarray:
     return np.packbits(out, bitorder="little")
 
 
-def prefixes(g: np.ndarray, first: np.ndarray, frequent: np.ndarray) -> tuple[np.ndarray, ...]:
-    """Tokens of all prefixes: their document, token, and whether they are in its prefix against larger sets."""
-    rank = np.zeros(len(g), np.int64)
-    if len(frequent):
-        at = np.minimum(np.searchsorted(frequent, g), len(frequent) - 1)
-        rank = (frequent[at] == g).astype(np.int64)
-    doc = np.repeat(np.arange(len(first) - 1), np.diff(first))
-    order = np.lexsort((g, rank, doc))
-    g, n = g[order], np.diff(first)[doc]
-    place = np.arange(len(g)) - first[doc]
-    wide, narrow = n - -(-3 * n // 4) + 1, n - -(-6 * n // 7) + 1
-    keep = place < wide
-    return doc[keep], g[keep], (place < narrow)[keep]
+#: Rows that tasks exchange: what a task holds of a shard's tokens (SENT), the answer to it (BACK), and what it needs to use answers (OWN).
+MESSAGE = "box int, msg long, kind int, start int, a binary, b binary, c binary, d binary, e binary"
+OWN, SENT, BACK = 0, 1, 2
 
 
-def _each_chunk(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, int, np.ndarray, np.ndarray]]:
-    for batch in batches:
-        data, bounds = tk.column_bytes(batch.column("text"))
-        for i, j in tk.chunks(bounds):
-            yield batch, i, *sets(data[bounds[i] : bounds[j]], bounds[i : j + 1] - bounds[i])
-
-
-def _described(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch, i, g, first in _each_chunk(batches):
-        own = batch.slice(i, len(first) - 1)
-        signs = [signature(g[a:b]).tobytes() if b > a else b"" for a, b in zip(first[:-1], first[1:], strict=True)]
-        yield pa.RecordBatch.from_arrays([own.column("row"), pa.array(np.diff(first)), pa.array(classes(g, first).view(np.int64)), pa.array(signs, pa.binary())], ["row", "n", "cls", "sign"])
-
+def _message(rows: list[tuple]) -> pa.RecordBatch:
+    kinds = (pa.int32(), pa.int64(), pa.int32(), pa.int32(), *[pa.binary()] * 5)
+    cols = [pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)]
+    return pa.RecordBatch.from_arrays(cols, ["box", "msg", "kind", "start", *"abcde"])
 
-def _all_tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for _, _, g, _ in _each_chunk(batches):
-        u, n = np.unique(g, return_counts=True)
-        yield pa.RecordBatch.from_arrays([pa.array(u.view(np.int64)), pa.array(n)], ["token", "n"])
 
-
-#: Bits of a token that its packed form keeps; the lowest ones go.
-KEPT_BITS, HELD = 56, 4_000_000
-
-
-def _packed_tokens(frequent: np.ndarray, shards: int):
-    """For each shard, the distinct (token, class) of a task, tokens that recur within it twice over."""
+def _sent(shards: int):
+    """Tokens of each task, by shard; and their documents, which go along to any shard and back."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[np.ndarray, np.ndarray]] = []
+        held: list[tuple] = []  # of each chunk: rows, classes, sizes and tokens
+        n_tokens = n_rows = 0
 
-        def flush() -> pa.RecordBatch:
-            token, cls = (np.concatenate(x) for x in zip(*held, strict=True))
+        def flush() -> Iterator[pa.RecordBatch]:
+            row, n, g = (np.concatenate([x[i] for x in held]) for i in (0, 2, 3))
+            cls = [c for x in held for c in x[1]]
             held.clear()
-            token = token >> np.uint64(64 - KEPT_BITS)
-            order = np.lexsort((cls, token))
-            token, cls = token[order], cls[order]
-            head = np.flatnonzero(np.diff(token, prepend=token[:1] + np.uint64(1)) != 0)
-            last = np.append(head[1:], len(token)) - 1
-            many = cls[head] != cls[last]
-            token, cls = token[head], cls[head]
-            s = (token >> np.uint64(KEPT_BITS - 20)).astype(np.int64) * shards >> 20
-            rows = []
-            for x in np.unique(s):
-                mine = s == x
-                # the class tells copies of one text apart from other texts; any part of it would lose tokens
-                rows.append((int(x), token[mine].tobytes(), cls[mine].tobytes(), np.packbits(many[mine]).tobytes()))
-            cols = list(zip(*rows, strict=True))
-            return pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), *(pa.array(c, pa.binary()) for c in cols[1:])], ["shard", "token", "cls", "many"])
-
-        for _, _, g, first in _each_chunk(batches):
-            doc, token, _ = prefixes(g, first, frequent)
-            held.append((token, classes(g, first)[doc]))
-            if sum(len(x[0]) for x in held) >= HELD:
-                yield flush()
-        if sum(len(x[0]) for x in held):
-            yield flush()
-
-    return run
+            msg = int(row[0])
+            seen: dict[bytes, int] = {}
+            own = np.fromiter((seen.setdefault(c, i) == i for i, c in enumerate(cls)), bool, len(cls))
+            doc = np.repeat(np.arange(len(row)), n)
+            if not own.all():
+                g, doc = g[own[doc]], doc[own[doc]]
+            order = np.argsort(g, kind="stable")
+            g = g[order]
+            head = np.flatnonzero(np.diff(g, prepend=~g[:1])) if len(g) else np.empty(0, np.int64)
+            count, key = np.diff(np.append(head, len(g))), g[head]
+            box = (key >> np.uint64(44)).astype(np.int64) * shards >> 20
+            rem = ((key >> np.uint64(12)) & np.uint64(0xFFFFFFFF)).astype(np.uint32)
+            few = np.minimum(count, 255).astype(np.uint8)
+            edge = np.flatnonzero(np.diff(box, prepend=-1))
+            rows = [(msg % shards, msg, OWN, 0, row.tobytes(), b"".join(cls), n.astype(np.int64).tobytes(), doc[order].astype(np.uint16).tobytes(), count.astype(np.uint32).tobytes())]
+            yield _message(rows)
+            rows = [(int(box[a]), msg, SENT, int(a), rem[a:b].tobytes(), few[a:b].tobytes(), None, None, None) for a, b in zip(edge, [*edge[1:], len(key)], strict=True)]
+            if rows:
+                yield _message(rows)
 
-
-def _recurring(folder: str):
-    """A file for each shard: the tokens that more than one class lists (or seem to, as KEPT_BITS of a token are compared)."""
-
-    def done(shard: int, rows: list[tuple]) -> pa.RecordBatch:
-        token = np.concatenate([np.frombuffer(r[0], np.uint64) for r in rows])
-        cls = np.concatenate([np.frombuffer(r[1], np.uint64) for r in rows])
-        many = np.concatenate([np.unpackbits(np.frombuffer(r[2], np.uint8))[: len(r[1]) // 8] for r in rows]).astype(bool)
-        order = np.lexsort((cls, token))
-        token, cls, many = token[order], cls[order], many[order]
-        same = np.zeros(len(token), bool)
-        same[1:] = (token[1:] == token[:-1]) & (cls[1:] != cls[:-1])
-        found = np.unique(token[same | many])
-        _write(f"{folder}/tokens-{shard}", [found])
-        return pa.RecordBatch.from_arrays([pa.array([shard]), pa.array([len(found)])], ["shard", "n"])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shard, held = None, []
         for batch in batches:
-            for r in zip(*(batch.column(x).to_pylist() for x in ("shard", "token", "cls", "many")), strict=True):
-                if held and r[0] != shard:
-                    yield done(shard, held)
-                    held = []
-                shard = r[0]
-                held.append(r[1:])
+            data, bounds = tk.column_bytes(batch.column("text"))
+            ids = batch.column("row").to_numpy()
+            for i, j in tk.chunks(bounds):
+                g, first, h, word = sets(data[bounds[i] : bounds[j]], bounds[i : j + 1] - bounds[i])
+                cls = [hashlib.blake2b(h[a:b].tobytes(), digest_size=16).digest() for a, b in zip(word[:-1].tolist(), word[1:].tolist(), strict=True)]
+                if n_rows and n_rows + j - i > HELD_ROWS:
+                    yield from flush()
+                    n_tokens = n_rows = 0
+                held.append((ids[i:j], cls, np.diff(first), g))
+                n_tokens, n_rows = n_tokens + len(g), n_rows + j - i
+                if n_tokens >= HELD:
+                    yield from flush()
+                    n_tokens = n_rows = 0
         if held:
-            yield done(shard, held)
+            yield from flush()
 
     return run
 
 
-def _listed(frequent: np.ndarray, folder: str, shards: int):
-    """(token, class) of all prefixes whose token recurs."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        files: dict[int, np.ndarray] = {}
-        for _, _, g, first in _each_chunk(batches):
-            doc, token, narrow = prefixes(g, first, frequent)
-            short = token >> np.uint64(64 - KEPT_BITS)
-            s = (short >> np.uint64(KEPT_BITS - 20)).astype(np.int64) * shards >> 20
-            order = np.argsort(short, kind="stable")
-            hit = np.zeros(len(token), bool)
-            edge = np.flatnonzero(np.diff(s[order], prepend=-1))
-            for a, b in zip(edge, [*edge[1:], len(order)], strict=True):
-                x = int(s[order[a]])
-                if x not in files:
-                    got = _mapped(f"{folder}/tokens-{x}", [np.uint64])
-                    files[x] = got[0] if got else np.empty(0, np.uint64)
-                if len(files[x]):
-                    mine = order[a:b]
-                    at = np.minimum(np.searchsorted(files[x], short[mine]), len(files[x]) - 1)
-                    hit[mine] = files[x][at] == short[mine]
-            doc, token, narrow = doc[hit], token[hit], narrow[hit]
-            if len(doc):
-                yield pa.RecordBatch.from_arrays([pa.array(token.view(np.int64)), pa.array(classes(g, first).view(np.int64)[doc]), pa.array(np.diff(first)[doc]), pa.array(narrow)], ["token", "cls", "n", "narrow"])
-
-    return run
-
-
-def _linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by star, its centre first: members that link with the centre."""
-    star, centre = None, np.empty(0, np.uint64)
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows sorted by box and kind: what was sent to each box is answered with the tokens that recur, and how often."""
+
+    def done(box: int, rows: list[tuple]) -> pa.RecordBatch:
+        rem = np.concatenate([np.frombuffer(r[3], np.uint32) for r in rows])
+        n = np.concatenate([np.frombuffer(r[4], np.uint8) for r in rows]).astype(np.int64)
+        order = np.argsort(rem, kind="stable")
+        ranked = rem[order]
+        head = np.flatnonzero(np.diff(ranked.astype(np.int64), prepend=-1))
+        total = np.add.reduceat(n[order], head)
+        every = np.empty(len(rem), np.int64)
+        every[order] = np.repeat(total, np.diff(np.append(head, len(rem))))
+        code = np.minimum(255, 8 * np.log2(every)).astype(np.uint8)  # in eighths of a doubling
+        out, at = [], 0
+        for r in rows:
+            size = len(r[3]) // 4
+            hit = np.flatnonzero(every[at : at + size] > 1)
+            if len(hit):
+                out.append((box, r[0], BACK, r[2], (r[2] + hit).astype(np.uint32).tobytes(), rem[at + hit].tobytes(), code[at + hit].tobytes(), None, None))
+            at += size
+        return _message(out) if out else None
+
+    box, held = None, []
     for batch in batches:
-        data, bounds = tk.column_bytes(batch.column("text"))
-        stars, salts, cls, head = (batch.column(x).to_pylist() for x in ("centre", "salt", "cls", "head"))
-        out: list[tuple[int, int]] = []
-        for i, j in tk.chunks(bounds):
-            g, first = sets(data[bounds[i] : bounds[j]], bounds[i : j + 1] - bounds[i])
-            for d in range(i, j):
-                own = g[first[d - i] : first[d - i + 1]]
-                if head[d] == 0:
-                    star, centre = (stars[d], salts[d]), own
-                elif star == (stars[d], salts[d]):
-                    shared = len(np.intersect1d(own, centre, assume_unique=True))
-                    if 100 * shared >= 75 * (len(own) + len(centre) - shared):
-                        out.append((stars[d], cls[d]))
-        if out:
-            a, b = zip(*out, strict=True)
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
-
-
-def verified(rows: DataFrame, home: DataFrame, pairs: DataFrame) -> DataFrame:
-    """Of pairs (a, b) of classes, those that link; home gives the row of each class.
-
-    A centre a of many pairs is sent to as many tasks as its members need.
-    """
-    spark = rows.sparkSession
-    pairs = materialise(pairs, "pairs")
-    many = pairs.groupBy("a").agg(F.count(F.lit(1)).alias("m")).select(F.col("a").alias("centre"), F.ceil(F.col("m") / STAR_ROWS).cast("int").alias("salts"))
-    many = materialise(many, "stars")
-    members = pairs.join(many, pairs["a"] == many["centre"]).select("centre", F.pmod(F.col("b"), F.col("salts")).cast("int").alias("salt"), F.col("b").alias("cls"), F.lit(1).alias("head"))
-    heads = many.select("centre", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.col("centre").alias("cls"), F.lit(0).alias("head"))
-    need = materialise(members.unionByName(heads).join(home, "cls"), "need")
-    n = tasks_for(spark, need.count(), 5000)
-    sent = rows.select("row", "text").join(need, "row").select("centre", "salt", "cls", "head", "text")
-    dealt = sent.repartition(n, "centre", "salt").sortWithinPartitions("centre", "salt", "head")
-    return dealt.mapInArrow(_linked, "a long, b long")
+        kind = batch.column("kind").to_numpy()
+        if (kind == OWN).any():
+            yield batch.filter(pa.array(kind == OWN))
+            batch = batch.filter(pa.array(kind == SENT))
+        for r in zip(*(batch.column(x).to_pylist() for x in ("box", "msg", "kind", "start", "a", "b")), strict=True):
+            if held and r[0] != box:
+                if (made := done(box, held)) is not None:
+                    yield made
+                held = []
+            box = r[0]
+            held.append(r[1:])
+    if held and (made := done(box, held)) is not None:
+        yield made
 
 
-def components(edges: DataFrame) -> DataFrame:
-    """node and the smallest node that edges (a, b) connect it with; by smallest neighbours and jumps along them."""
-    both = materialise(edges.union(edges.select("b", "a")).distinct(), "edges").toDF("node", "other")
-    labels = materialise(both.groupBy("node").agg(F.min("other").alias("m")).select("node", F.least("node", "m").alias("comp")), "labels")
-    while True:
-        near = both.join(labels.select(F.col("node").alias("other"), F.col("comp").alias("c")), "other").groupBy("node").agg(F.min("c").alias("c"))
-        low = labels.join(near, "node").select("node", F.least("comp", "c").alias("low"), "comp")
-        jump = labels.select(F.col("node").alias("low"), F.col("comp").alias("up"))
-        new = materialise(low.join(jump, "low").select("node", F.least("low", "up").alias("comp"), (F.least("low", "up") < F.col("comp")).alias("moved")), "labels")
-        labels = new.select("node", "comp")
-        if not new.filter("moved").limit(1).count():
-            return labels
+def _listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows sorted by message and kind: of each document its class, size, the recurring tokens of its prefix, and how many of them are in the shorter one."""
+
+    def done(own: dict, backs: list[tuple]) -> Iterator[pa.RecordBatch]:
+        row, cls, n = np.frombuffer(own["a"], np.int64), own["b"], np.frombuffer(own["c"], np.int64)
+        doc, count = np.frombuffer(own["d"], np.uint16).astype(np.int64), np.frombuffer(own["e"], np.uint32).astype(np.int64)
+        start = np.cumsum(count) - count
+        key = np.concatenate([np.frombuffer(b[1], np.uint32) for b in backs] or [np.empty(0, np.uint32)]).astype(np.int64)
+        token = np.concatenate([(b[0] << 32) + np.frombuffer(b[2], np.uint32).astype(np.int64) for b in backs] or [np.empty(0, np.int64)])
+        code = np.concatenate([np.frombuffer(b[3], np.uint8) for b in backs] or [np.empty(0, np.uint8)])
+        many = count[key]
+        of = np.repeat(np.arange(len(key)), many)
+        held = doc[start[key][of] + np.arange(len(of)) - (np.cumsum(many) - many)[of]]
+        order = np.lexsort((token[of], code[of], held))
+        held, token = held[order], token[of][order]
+        recurring = np.bincount(held, minlength=len(row))
+        first = np.cumsum(recurring) - recurring
+        place = n[held] - recurring[held] + np.arange(len(held)) - first[held]
+        wide, narrow = n - -(-3 * n // 4) + 1, n - -(-6 * n // 7) + 1
+        keep = place < wide[held]
+        kept = np.bincount(held[keep], minlength=len(row))
+        short = np.bincount(held[place < narrow[held]], minlength=len(row))
+        lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(kept)]).astype(np.int32)), pa.array(token[keep]))
+        names = pa.array([cls[16 * i : 16 * i + 16] for i in range(len(row))], pa.binary())
+        made = pa.RecordBatch.from_arrays([pa.array(row), names, pa.array(n), lists, pa.array(short.astype(np.int64))], ["row", "cls", "n", "tokens", "short"])
+        for i in range(0, len(row), 5000):
+            yield made.slice(i, 5000)
+
+    own, backs = None, []
+    for batch in batches:
+        for r in batch.to_pylist():
+            if r["kind"] == OWN:
+                if own is not None:
+                    yield from done(own, backs)
+                own, backs = r, []
+            else:
+                backs.append((r["box"], r["a"], r["b"], r["c"]))
+    if own is not None:
+        yield from done(own, backs)
 
 
 class Tree:
@@ -296,28 +258,110 @@ class Tree:
         return ok & (4 * high[a] - 3 * low[b] >= 7 * lone_a) & (4 * high[b] - 3 * low[a] >= 7 * lone_b)
 
 
-def folded(signs: list[bytes]) -> np.ndarray:
+def folded(signs: list[np.ndarray]) -> np.ndarray:
     """Bitmaps brought to the least width among them."""
-    raw = [np.frombuffer(s, np.uint64) for s in signs]
+    raw = [s.view(np.uint64) for s in signs]
     width = min(map(len, raw))
     return np.stack([np.bitwise_or.reduce(r.reshape(-1, width), axis=0) for r in raw])
 
 
-def _tree_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by group: pairs of each group's classes that its signature tree leaves."""
+def may_link(n: np.ndarray, comp: np.ndarray, signs: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs that a signature tree over sets of sizes n leaves; sets of one component are no pair."""
+    order = np.argsort(n, kind="stable")
+    a, b = Tree(n[order], comp[order], folded([signs[i] for i in order])).pairs()
+    return order[a], order[b]
+
+
+def links_among(own: list[np.ndarray], comp: list[int], centre: int | None = None) -> list[tuple[int, int]]:
+    """Links between sets that join their components to those that links among all of them give; the centre is tried first."""
+    _, comp = np.unique(np.array(comp), return_inverse=True)
+    up = list(range(int(comp.max()) + 1))
+
+    def root(i: int) -> int:
+        x = int(comp[i])
+        while up[x] != x:
+            up[x] = up[up[x]]
+            x = up[x]
+        return x
+
+    found: list[tuple[int, int]] = []
+
+    def tried(i: int, j: int) -> None:
+        if (x := root(i)) != (y := root(j)) and linked(own[i], own[j]):
+            up[max(x, y)] = min(x, y)
+            found.append((i, j))
+
+    if centre is not None:
+        for i in range(len(own)):
+            tried(i, centre)
+    if len({root(i) for i in range(len(own))}) > 1:
+        now = np.array([root(i) for i in range(len(own))])
+        for i, j in zip(*may_link(np.array([len(g) for g in own]), now, [signature(g) for g in own]), strict=True):
+            tried(int(i), int(j))
+    return found
+
+
+def _held_sets(batches: Iterator[pa.RecordBatch], keys: list[str], also: list[str]) -> Iterator[tuple[list[np.ndarray], list[tuple]]]:
+    """The sets of each run of rows with equal keys, and the further columns of these rows."""
+    key, own, rest = None, [], []
+    for batch in batches:
+        data, bounds = tk.column_bytes(batch.column("text"))
+        cols = list(zip(*(batch.column(x).to_pylist() for x in keys), strict=True))
+        more = list(zip(*(batch.column(x).to_pylist() for x in also), strict=True))
+        for i, j in tk.chunks(bounds):
+            g, first, _, _ = sets(data[bounds[i] : bounds[j]], bounds[i : j + 1] - bounds[i])
+            for d in range(i, j):
+                if own and cols[d] != key:
+                    yield own, rest
+                    own, rest = [], []
+                key = cols[d]
+                own.append(g[first[d - i] : first[d - i + 1]].copy())
+                rest.append(more[d])
+    if own:
+        yield own, rest
+
+
+def _pairs_out(pairs: list[tuple[int, int]]) -> pa.RecordBatch:
+    a, b = zip(*pairs, strict=True)
+    return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+
+
+def _star_links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows sorted by star and part, the centre first: links among them."""
+    for own, rest in _held_sets(batches, ["centre", "salt"], ["row", "comp"]):
+        if found := links_among(own, [r[1] for r in rest], 0):
+            yield _pairs_out([(rest[i][0], rest[j][0]) for i, j in found])
+
+
+def _group_links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for own, rest in _held_sets(batches, ["group"], ["row", "comp"]):
+        if found := links_among(own, [r[1] for r in rest]):
+            yield _pairs_out([(rest[i][0], rest[j][0]) for i, j in found])
+
+
+def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        data, bounds = tk.column_bytes(batch.column("text"))
+        for i, j in tk.chunks(bounds):
+            g, first, _, _ = sets(data[bounds[i] : bounds[j]], bounds[i : j + 1] - bounds[i])
+            signs = [signature(g[a:b]).tobytes() for a, b in zip(first[:-1], first[1:], strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column("row").slice(i, j - i), pa.array(signs, pa.binary())], ["row", "sign"])
+
+
+def _group_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows sorted by group: those that are in some pair that the group's signature tree leaves."""
 
     def done(rows: list[tuple]) -> pa.RecordBatch | None:
-        rows = sorted(rows, key=lambda r: (r[2], r[1]))
-        cls, n, narrow = np.array([r[1] for r in rows]), np.array([r[2] for r in rows]), np.array([r[3] for r in rows])
-        _, comp = np.unique(np.array([r[4] for r in rows]), return_inverse=True)
-        a, b = Tree(n, comp, folded([r[5] for r in rows])).pairs()
-        ok = (cls[a] != cls[b]) & np.where(n[a] == n[b], narrow[a] | narrow[b], np.where(n[a] < n[b], narrow[a], narrow[b]))
-        a, b = cls[a[ok]], cls[b[ok]]
-        return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"]) if len(a) else None
+        _, comp = np.unique(np.array([r[3] for r in rows]), return_inverse=True)
+        a, b = may_link(np.array([r[2] for r in rows]), comp, [np.frombuffer(r[4], np.uint8) for r in rows])
+        left = np.unique(np.concatenate([a, b]))
+        if not len(left):
+            return None
+        return pa.RecordBatch.from_arrays([pa.array([rows[i][0] for i in left]), pa.array([rows[i][1] for i in left]), pa.array([rows[i][3] for i in left])], ["group", "row", "comp"])
 
     group, held = None, []
     for batch in batches:
-        for r in zip(*(batch.column(x).to_pylist() for x in ("group", "cls", "n", "narrow", "comp", "sign")), strict=True):
+        for r in zip(*(batch.column(x).to_pylist() for x in ("group", "row", "n", "comp", "sign")), strict=True):
             if held and r[0] != group:
                 if len(held) > 1 and (made := done(held)) is not None:
                     yield made
@@ -328,84 +372,115 @@ def _tree_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield made
 
 
-def _with_components(listed: DataFrame, comps: DataFrame | None) -> DataFrame:
-    """listed and the component of each class, for tokens that span several only."""
-    if comps is None:
-        own = listed.withColumn("comp", F.col("cls"))
-    else:
-        own = listed.join(comps.withColumnRenamed("node", "cls"), "cls", "left").withColumn("comp", F.coalesce("comp", "cls"))
-    own = materialise(own, "listed")
-    open_ = materialise(own.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count(F.lit(1)).alias("m"), F.bit_xor(F.xxhash64("cls")).alias("members")).filter("lo < hi").select("token", "m", "members"), "open")
-    return own.join(open_, "token")
+def components(edges: DataFrame) -> DataFrame:
+    """node and the smallest node that edges (a, b) connect it with; by smallest neighbours and jumps along them."""
+    both = materialise(edges.union(edges.select("b", "a")).distinct(), "edges").toDF("node", "other")
+    labels = materialise(both.groupBy("node").agg(F.min("other").alias("m")).select("node", F.least("node", "m").alias("comp")), "labels")
+    while True:
+        near = both.join(labels.select(F.col("node").alias("other"), F.col("comp").alias("c")), "other").groupBy("node").agg(F.min("c").alias("c"))
+        low = labels.join(near, "node").select("node", F.least("comp", "c").alias("low"), "comp")
+        jump = labels.select(F.col("node").alias("low"), F.col("comp").alias("up"))
+        new = materialise(low.join(jump, "low").select("node", F.least("low", "up").alias("comp"), (F.least("low", "up") < F.col("comp")).alias("moved")), "labels")
+        discard(labels)
+        labels = new.select("node", "comp")
+        if not new.filter("moved").limit(1).count():
+            discard(both)
+            return labels
 
 
-def groups_of(listed: DataFrame) -> DataFrame:
+def _still_open(listed: DataFrame, comps: DataFrame | None) -> DataFrame:
+    """listed and the component of each row, for tokens that span several only; m and members tell which rows list a token."""
+    if comps is None:
+        own = listed.withColumn("comp", F.col("row"))
+    else:
+        own = listed.join(comps.withColumnRenamed("node", "row"), "row", "left").withColumn("comp", F.coalesce("comp", "row"))
+    open_ = own.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count(F.lit(1)).alias("m"), F.bit_xor(F.xxhash64("row")).alias("members")).filter("lo < hi").select("token", "m", "members")
+    return materialise(own.join(open_, "token"), "open")
+
+
+def _stars(still: DataFrame, turn: int) -> DataFrame:
+    """centre, salt, row, comp and head: each row with the centre that it shares most tokens with, centres with each part of their star."""
+    weight = still.groupBy("row").agg(F.sum(F.log2("m")).alias("weight"))
+    order = F.xxhash64(F.lit(turn), "row")
+    # rows that share most tokens are at the middle of a group of copies; every other round goes by chance
+    best = F.struct(F.lit(0.0).alias("weight") if turn % 2 else F.col("weight"), order.alias("o"), F.col("row"), F.col("n"), F.col("comp"))
+    centre = still.join(weight, "row").groupBy("token").agg(F.max(best).alias("at")).select("token", F.col("at.row").alias("a"), F.col("at.n").alias("na"), F.col("at.comp").alias("ca"))
+    votes = still.join(centre, "token").filter((F.col("ca") != F.col("comp")) & (4 * F.least("n", "na") >= 3 * F.greatest("n", "na")))
+    chosen = votes.groupBy("row", "comp", "a", "ca").agg(F.count(F.lit(1)).alias("votes")).groupBy("row", "comp").agg(F.max(F.struct("votes", "a", "ca")).alias("at"))
+    chosen = materialise(chosen.select("row", "comp", F.col("at.a").alias("centre"), F.col("at.ca").alias("ca")), "stars")
+    many = chosen.groupBy("centre").agg(F.ceil(F.count(F.lit(1)) / STAR_ROWS).cast("int").alias("salts"), F.min("ca").alias("ca"))
+    members = chosen.join(many.select("centre", "salts"), "centre").select("centre", F.pmod(F.xxhash64("row"), F.col("salts")).cast("int").alias("salt"), "row", "comp", F.lit(1).alias("head"))
+    heads = many.select("centre", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.col("centre").alias("row"), F.col("ca").alias("comp"), F.lit(0).alias("head"))
+    return members.unionByName(heads)
+
+
+def groups_of(still: DataFrame) -> DataFrame:
     """Rows dealt to groups: by tokens, if more than a few also by size band and the next band; larger groups by pairs of blocks."""
-    # tokens that the same classes list make one group
-    listed = listed.groupBy("members", "m", "cls").agg(F.max("n").alias("n"), F.max("narrow").alias("narrow"), F.max("comp").alias("comp"))
+    # tokens that the same rows list make one group
+    still = still.groupBy("members", "m", "row").agg(F.max("n").alias("n"), F.max("comp").alias("comp"))
     band = F.floor(F.log("n") / F.log(F.lit(4.0 / 3)) + 1e-9)
-    rows = listed.withColumn("band", F.explode(F.when(F.col("m") <= SMALL, F.array(F.lit(0).cast("long"))).otherwise(F.array(band, band + 1))))
+    rows = still.withColumn("band", F.explode(F.when(F.col("m") <= SMALL, F.array(F.lit(0).cast("long"))).otherwise(F.array(band, band + 1))))
     blocks = F.ceil(F.col("m") / GROUP).cast("int")
-    mine = F.pmod(F.xxhash64("cls"), blocks).cast("int")
+    mine = F.pmod(F.xxhash64("row"), blocks).cast("int")
     rows = rows.withColumn("blocks", blocks).withColumn("mine", mine)
-    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    rows = rows.withColumn("other", other)
-    return rows.select(F.xxhash64("members", "m", "band", F.least("mine", "other"), F.greatest("mine", "other")).alias("group"), "cls", "n", "narrow", "comp")
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    return rows.select(F.xxhash64("members", "m", "band", F.least("mine", "other"), F.greatest("mine", "other")).alias("group"), "row", "n", "comp")
 
 
 def link(docs: DataFrame, id_col: str, text: str = "text") -> tuple[DataFrame, DataFrame]:
-    """numbered(docs), and for each of its rows: row, n_shingles, component_id, and whether it stays as its component's one row."""
+    """numbered(docs), and for each of its rows: row, id, n_shingles, component_id, and whether it stays as its component's one row."""
     spark = docs.sparkSession
-    small_batches(spark)
     rows = numbered(docs, text)
     only = rows.select("row", "text")
-    described = only.mapInArrow(_described, "row long, n long, cls long, sign binary")
-    ids = rows.select("row", F.col(f"rest.`{id_col}`").alias("id"))
-    described = materialise(described, "described")
-    total = described.count()
-    homes = materialise(described.filter("n > 0").groupBy("cls").agg(F.min("row").alias("row")), "homes")
-
-    share = min(1.0, SAMPLE / max(1, total))
-    drawn = only.filter(F.xxhash64(F.lit(3), "row") <= F.lit(min(2**63 - 1, -(2**63) + int(share * 2**64))))
-    often = drawn.mapInArrow(_all_tokens, "token long, n long").groupBy("token").agg(F.sum("n").alias("n")).filter("n > 2")
-    frequent = np.sort(np.array([r["token"] for r in often.orderBy(F.desc("n"), "token").limit(FREQUENT).collect()], np.int64).view(np.uint64))
-
-    folder = f"{shared_dir(spark)}/tokens-{uuid.uuid4().hex}"
-    folder = folder if "://" in folder or folder.startswith("file:") else f"file://{folder}"
-    where, path = fs.FileSystem.from_uri(folder)
-    where.create_dir(path, recursive=True)
-    tokens = described.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0] // 4
-    shards = min(1 << 16, max(spark.sparkContext.defaultParallelism, -(-tokens // 2_000_000)))
-    sent = only.mapInArrow(_packed_tokens(frequent, shards), "shard long, token binary, cls binary, many binary")
-    sent.repartition(shards, "shard").sortWithinPartitions("shard").mapInArrow(_recurring(folder), "shard long, n long").agg(F.sum("n")).collect()
-    release(spark)
-    listed = only.mapInArrow(_listed(frequent, folder, shards), "token long, cls long, n long, narrow boolean")
-    listed = materialise(listed.groupBy("token", "cls").agg(F.max("n").alias("n"), F.max("narrow").alias("narrow")), "listed")
-
-    comps, edges = None, None
-    for turn in range(STARS):
-        still = _with_components(listed, comps)
-        order = F.xxhash64(F.lit(turn), "cls")
-        centre = still.groupBy("token").agg(F.min(F.struct(order.alias("o"), "cls", "n", "comp")).alias("at")).select("token", F.col("at.cls").alias("a"), F.col("at.n").alias("na"), F.col("at.comp").alias("ca"))
-        centre = materialise(centre, "centres")
-        votes = still.join(centre, "token").filter((F.col("ca") != F.col("comp")) & (4 * F.least("n", "na") >= 3 * F.greatest("n", "na")))
-        best = votes.groupBy("cls", "a").agg(F.count(F.lit(1)).alias("votes")).groupBy("cls").agg(F.max(F.struct("votes", "a")).alias("at"))
-        found = materialise(verified(rows, homes, best.select(F.col("at.a").alias("a"), F.col("cls").alias("b"))), "links")
-        edges = found if edges is None else edges.union(found)
+    shards = int(min(1 << 20, max(spark.sparkContext.defaultParallelism, plan_bytes(only) // 8_000_000)))
+    with arrow_rows(spark, 200):
+        sent = only.mapInArrow(_sent(shards), MESSAGE).repartition(shards, "box").sortWithinPartitions("box", "kind")
+        back = sent.mapInArrow(_counted, MESSAGE).repartition(shards, "msg").sortWithinPartitions("msg", "kind")
+        found = materialise(back.mapInArrow(_listed, "row long, cls binary, n long, tokens array<long>, short long"), "listed")
+    homes = materialise(found.filter("n > 0").groupBy("cls").agg(F.min("row").alias("home")), "homes")
+    firsts = found.filter(F.size("tokens") > 0).join(homes, found["row"] == homes["home"], "left_semi")
+    listed = firsts.select("row", "n", F.explode("tokens").alias("token"))
+    still = _still_open(materialise(listed, "tokens"), None)
+
+    edges, comps, texts = None, None, None
+    left = still.count()
+    for turn in range(ROUNDS):
+        if not left:
+            break
+        if texts is None:
+            texts = materialise(only.join(still.select("row").distinct(), "row", "left_semi"), "texts")
+        stars = materialise(_stars(still, turn), "stars")
+        n = tasks_for(spark, stars.count(), 2000)
+        with arrow_rows(spark, 500):
+            dealt = texts.join(stars, "row").repartition(n, "centre", "salt").sortWithinPartitions("centre", "salt", "head")
+            made = materialise(dealt.mapInArrow(_star_links, "a long, b long"), "links")
+        edges = made if edges is None else edges.union(made)
         comps = components(edges)
-    still = _with_components(listed, comps)
-    signs = described.join(homes.select("row"), "row", "left_semi").select("cls", "sign")
-    grouped = groups_of(still).join(signs, "cls")
-    n = tasks_for(spark, still.count(), 20_000)
-    pairs = grouped.repartition(n, "group").sortWithinPartitions("group").mapInArrow(_tree_pairs, "a long, b long").distinct()
-    last = materialise(verified(rows, homes, pairs), "links")
-    comps = components(edges.union(last))
-
-    named = described.join(ids, "row").join(comps.withColumnRenamed("node", "cls"), "cls", "left").withColumn("comp", F.coalesce("comp", "cls"))
+        before, still = left, _still_open(still.select("token", "row", "n"), comps)
+        left = still.count()
+        if 4 * left > 3 * before and turn:
+            break
+    if left:
+        with arrow_rows(spark, 500):
+            signs = materialise(texts.join(still.select("row").distinct(), "row", "left_semi").mapInArrow(_signed, "row long, sign binary"), "signs")
+            grouped = groups_of(still).join(signs, "row")
+            dealt = grouped.repartition(tasks_for(spark, left, 20_000), "group").sortWithinPartitions("group")
+            kept = materialise(dealt.mapInArrow(_group_rows, "group long, row long, comp long"), "groups")
+            dealt = texts.join(kept, "row").repartition(tasks_for(spark, kept.count(), 2000), "group").sortWithinPartitions("group")
+            made = materialise(dealt.mapInArrow(_group_links, "a long, b long"), "links")
+        edges = made if edges is None else edges.union(made)
+        comps = components(edges)
+
+    ids = rows.select("row", F.col(f"rest.`{id_col}`").alias("id"))
+    named = found.select("row", "cls", "n").join(ids, "row").join(homes, "cls", "left")
+    if comps is None:
+        named = named.withColumn("comp", F.col("home"))
+    else:
+        named = named.join(comps.withColumnRenamed("node", "home"), "home", "left").withColumn("comp", F.coalesce("comp", "home"))
     named = materialise(named.select("row", "id", "n", "comp"), "named")
-    least = materialise(named.filter("n > 0").groupBy("comp").agg(F.min("id").alias("least"), F.min(F.struct("id", "row")).alias("first")), "least")
+    least = materialise(named.filter("n > 0").groupBy("comp").agg(F.min("id").alias("least"), F.min(F.struct(F.col("id").isNull().alias("none"), "id", "row")).alias("first")), "least")
     alone = F.col("n") == 0
-    out = named.join(least, "comp", "left").select("row", F.col("n").alias("n_shingles"), F.when(alone, F.col("id")).otherwise(F.col("least")).alias("component_id"), (alone | (F.col("row") == F.col("first.row"))).alias("stays"))
+    out = named.join(least, "comp", "left").select("row", "id", F.col("n").alias("n_shingles"), F.when(alone, F.col("id")).otherwise(F.col("least")).alias("component_id"), (alone | (F.col("row") == F.col("first.row"))).alias("stays"))
     return rows, out
 
 
@@ -418,8 +493,7 @@ def deduplicated(docs: DataFrame, id_col: str, text: str = "text") -> DataFrame:
 
 def op2_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    rows, found = link(docs, "doc_id")
-    return rows.select("row", "rest.doc_id").join(found, "row").select("doc_id", "n_shingles", "component_id")
+    return link(docs, "doc_id")[1].select(F.col("id").alias("doc_id"), "n_shingles", "component_id")
 
 
 ORACLE = r"""

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm import text_kernels as tk
-from tessera.llm.shared import discard, materialise, small_batches, tasks_for
+from tessera.llm.shared import discard, materialise, reread, small_batches, tasks_for
 
 
 @dataclass(frozen=True)
@@ -59,10 +59,11 @@ Resolver = Callable[[np.ndarray, list[np.ndarray], list[np.ndarray], Scheme], li
 def numbered(docs: DataFrame, text: str) -> DataFrame:
     """Rows with a number of their own, their text, and all other columns packed, so that no name can clash.
 
-    The number is that of the row in its partition: the input must be read the same way twice, as a table is.
+    The number is that of the row in its partition; rows that may be dealt otherwise when read again are written first.
     """
     rest = [F.col(f"`{c}`") for c in docs.columns if c != text]
-    return docs.select(F.monotonically_increasing_id().alias("row"), F.col(f"`{text}`").cast("string").alias("text"), F.struct(F.lit(0).alias("_"), *rest).alias("rest"))
+    packed = reread(docs.select(F.col(f"`{text}`").cast("string").alias("text"), F.struct(F.lit(0).alias("_"), *rest).alias("rest")))
+    return packed.select(F.monotonically_increasing_id().alias("row"), "text", "rest")
 
 
 def _places(scheme: Scheme, grams_only: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:

@@ -5,6 +5,8 @@ from __future__ import annotations
 import gc
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -45,6 +47,30 @@ def release(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
+@contextmanager
+def arrow_rows(spark: SparkSession, rows: int) -> Iterator[None]:
+    """Within, an Arrow batch has so many rows at most; for what is run at once, as the setting is put back."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
+def plan_bytes(df: DataFrame) -> int:
+    """Bytes that df reads, as far as the planner knows; it decides the number of parts only."""
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+
+
+def reread(df: DataFrame) -> DataFrame:
+    """df itself if each read of it gives the same rows in the same partitions, as a table's files do; else a copy that does."""
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    fixed = not any(x in plan for x in ("Exchange", "Sample", "Python", "Arrow", "Pandas", "Union", "ExistingRDD", "Coalesce"))
+    return df if fixed else materialise(df, "rows")
+
+
 def small_batches(spark: SparkSession, rows: int = ARROW_ROWS) -> None:
     """Bound the rows of an Arrow batch, as long texts would otherwise make batches of gigabytes."""
     if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > rows:

@@ -6,6 +6,7 @@ of whole documents, with ``bounds`` holding the offset of each one.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -117,8 +118,51 @@ def words(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     return starts, ends, np.searchsorted(starts, bounds)
 
 
+def loads(data: np.ndarray) -> np.ndarray:
+    """The 8 bytes from each place on as one number, zeros beyond the end."""
+    padded = np.zeros(len(data) + 8, np.uint8)
+    padded[: len(data)] = data
+    return np.ndarray(len(data) + 1, "<u8", padded, strides=(1,)).astype(U64)
+
+
+#: Bytes of a word beyond which it is hashed by itself.
+LONG_WORD = 64
+
+
 def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    return Prefix(BYTE_HASH[data]).ranges(starts, ends)
+    """A hash of each word: its blocks of 8 bytes go through mix() one after another, so that no pattern of letters cancels out."""
+    size = ends - starts
+    out = mix(size.astype(U64) * U64(MIX_1) + U64(BASE))
+    if not len(size):
+        return out
+    block = loads(data)
+    live = np.arange(len(size))
+    for step in range(0, LONG_WORD, 8):
+        rest = size[live] - step
+        live, rest = live[rest > 0], rest[rest > 0]
+        if not len(live):
+            break
+        own = block[starts[live] + step]
+        short = rest < 8
+        own[short] &= (U64(1) << (rest[short] * 8).astype(U64)) - U64(1)
+        out[live] = mix(out[live] ^ own)
+    for i in np.flatnonzero(size > LONG_WORD):
+        out[i] = int.from_bytes(hashlib.blake2b(data[starts[i] : ends[i]].tobytes(), digest_size=8).digest(), "little")
+    return out
+
+
+#: Bytes that each symbol of byte_symbols() reads beyond its own.
+REACH = 7
+
+
+def byte_symbols(data: np.ndarray) -> np.ndarray:
+    """A symbol for each place, mixed from the 8 bytes there, so that no pattern of bytes cancels out in sums."""
+    x = loads(data)[: len(data)]
+    x *= U64(MIX_1)
+    x ^= x >> U64(29)
+    x *= U64(MIX_2)
+    x ^= x >> U64(32)
+    return x
 
 
 def sliding_min(x: np.ndarray, width: int) -> np.ndarray:

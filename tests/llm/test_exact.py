@@ -2,6 +2,7 @@
 
 import hashlib
 import math
+import random
 import re
 from collections import Counter, defaultdict
 
@@ -103,7 +104,7 @@ def test_signature_tree_loses_no_pair():
     sets = [np.unique(np.concatenate([b[: 60 - d], rng.integers(0, 1 << 62, d).astype(np.uint64)])) for b in base for d in (0, 3, 6, 30)]
     order = sorted(range(len(sets)), key=lambda i: len(sets[i]))
     sets = [sets[i] for i in order]
-    tree = jaccard.Tree(np.array([len(s) for s in sets]), np.arange(len(sets)), jaccard.folded([jaccard.signature(s).tobytes() for s in sets]))
+    tree = jaccard.Tree(np.array([len(s) for s in sets]), np.arange(len(sets)), jaccard.folded([jaccard.signature(s) for s in sets]))
     got = {tuple(sorted(p)) for p in zip(*(x.tolist() for x in tree.pairs()), strict=True)}
     for i in range(len(sets)):
         for j in range(i):
@@ -113,18 +114,72 @@ def test_signature_tree_loses_no_pair():
     assert len(got) < 0.1 * len(sets) ** 2 / 2
 
 
-def test_tokens_recur_across_tasks_whatever_their_class(monkeypatch, tmp_path):
-    """Near copies in two tasks whose class hashes agree in their low bits, and exact copies in two tasks."""
-    whole = jaccard.classes
-    monkeypatch.setattr(jaccard, "classes", lambda g, first: whole(g, first) << np.uint64(16))
-    none = np.empty(0, np.uint64)
-    for texts, recur in ((["a b c d e f", "a b c d e g"], 1), (["a b c d e", "a b c d e"], 0)):
-        sent = []
-        for t in texts:
-            sent += jaccard._packed_tokens(none, 1)(iter([pa.RecordBatch.from_pydict({"text": [t]})]))
-        # both shingles of a small set are in its prefix
-        got = list(jaccard._recurring(f"file://{tmp_path}")(iter(sent)))
-        assert sum(b.column("n").to_pylist()[0] for b in got) == recur
+def test_prefixes_hold_every_shared_token(monkeypatch):
+    """Messages of many small tasks: each document's prefix lists what an order of all tokens by their counts gives."""
+    rng = random.Random(8)
+    monkeypatch.setattr(jaccard, "HELD", 300)
+    texts = []
+    for _ in range(12):
+        w = [str(rng.randint(0, 10**9)) for _ in range(rng.randint(3, 60))]
+        for _ in range(rng.randint(1, 6)):
+            v = list(w)
+            v[rng.randrange(len(v))] = str(rng.randint(0, 10**9))
+            texts.append(" ".join(v))
+    texts += [texts[0], texts[0], "", "a b", texts[5]]
+    order = rng.sample(range(len(texts)), len(texts))
+    sent = []
+    for part in range(4):  # four tasks
+        own = [i for i in order if i % 4 == part]
+        batch = pa.RecordBatch.from_pydict({"row": pa.array([(part << 33) + k for k in range(len(own))], pa.int64()), "text": [texts[i] for i in own]})
+        sent += [r for b in jaccard._sent(3)(iter([batch])) for r in b.to_pylist()]
+    rows = {(i % 4 << 33) + [x for x in order if x % 4 == i % 4].index(i): i for i in order}
+    back = []
+    by_box = sorted(sent, key=lambda r: (r["box"], r["kind"]))
+    for b in jaccard._counted(iter([pa.RecordBatch.from_pylist(by_box, jaccard._message([(0, 0, 0, 0, *[None] * 5)]).schema)])):
+        back += b.to_pylist()
+    back.sort(key=lambda r: (r["msg"], r["kind"]))
+    got = {}
+    for b in jaccard._listed(iter([pa.RecordBatch.from_pylist(back, jaccard._message([(0, 0, 0, 0, *[None] * 5)]).schema)])):
+        got |= {rows[r["row"]]: r for r in b.to_pylist()}
+    sets = [shingles(t) for t in texts]
+    assert sorted(got) == list(range(len(texts))) and all(got[i]["n"] == len(sets[i]) for i in got)
+    classes = defaultdict(set)
+    for i in got:
+        classes[got[i]["cls"]].add(" ".join(words(lower(texts[i]))))
+    assert all(len(c) == 1 for c in classes.values()) and len(classes) == len({" ".join(words(lower(t))) for t in texts})
+    for i in got:
+        for j in got:
+            if i < j and sets[i] and got[i]["cls"] != got[j]["cls"] and 100 * len(sets[i] & sets[j]) >= 75 * len(sets[i] | sets[j]):
+                firsts = [min(r for r in got if got[r]["cls"] == got[x]["cls"]) for x in (i, j)]
+                assert any(set(got[x]["tokens"]) & set(got[y]["tokens"]) for x in got for y in got if got[x]["cls"] == got[i]["cls"] and got[y]["cls"] == got[j]["cls"]), firsts
+
+
+def test_links_among_join_as_all_pairs_do():
+    rng = np.random.default_rng(6)
+    for _ in range(30):
+        base = [rng.integers(0, 1 << 62, 40).astype(np.uint64) for _ in range(3)]
+        own = [np.unique(np.concatenate([b[: 40 - d], rng.integers(0, 1 << 62, d).astype(np.uint64)])) for b in base for d in rng.integers(0, 8, 6)]
+        found = jaccard.links_among(own, list(range(len(own))), int(rng.integers(0, len(own))) if rng.random() < 0.5 else None)
+        up, want = list(range(len(own))), list(range(len(own)))
+        for comp, pairs in ((up, found), (want, [(i, j) for i in range(len(own)) for j in range(i) if jaccard.linked(own[i], own[j])])):
+            for i, j in pairs:
+                a, b = comp[i], comp[j]
+                comp[:] = [min(a, b) if c in (a, b) else c for c in comp]
+        assert up == want and len(found) == len(own) - len(set(want))
+
+
+def test_words_of_any_pattern_have_their_own_hash():
+    """Patterns that cancel out in sums of powers modulo 2**64."""
+    a, b = "a", "b"
+    for _ in range(10):
+        a, b = a + b, b + a
+    pairs = [(a, b), (a[:64], b[:64]), ("ab" * 16, "ba" * 16), ("abababab", "babababa")]
+    for x, y in pairs:
+        data, bounds = np.frombuffer(f"{x} {y}".encode(), np.uint8), np.array([0, len(x) + len(y) + 1])
+        h = tk.word_hashes(data, *tk.words(data, bounds)[:2])
+        assert len(set(h.tolist())) == 2
+    h = tk.word_hashes(np.frombuffer(b"abc abcdefgh abcdefghi abc", np.uint8), np.array([0, 4, 13, 23]), np.array([3, 12, 22, 26]))
+    assert h[0] == h[3] and len(set(h.tolist())) == 3
 
 
 def test_top_k(spark):
