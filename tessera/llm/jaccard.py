@@ -32,6 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera.llm import recurring
 from tessera.llm import text_kernels as tk
 from tessera.llm.repeats import numbered
 from tessera.llm.shared import arrow_rows, discard, materialise, plan_bytes, tasks_for
@@ -78,17 +79,6 @@ def signature(g: np.ndarray) -> np.ndarray:
     return np.packbits(out, bitorder="little")
 
 
-#: Rows that tasks exchange: what a task holds of a shard's tokens (SENT), the answer to it (BACK), and what it needs to use answers (OWN).
-MESSAGE = "box int, msg long, kind int, start int, a binary, b binary, c binary, d binary, e binary"
-OWN, SENT, BACK = 0, 1, 2
-
-
-def _message(rows: list[tuple]) -> pa.RecordBatch:
-    kinds = (pa.int32(), pa.int64(), pa.int32(), pa.int32(), *[pa.binary()] * 5)
-    cols = [pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)]
-    return pa.RecordBatch.from_arrays(cols, ["box", "msg", "kind", "start", *"abcde"])
-
-
 def _sent(shards: int):
     """Tokens of each task, by shard; and their documents, which go along to any shard and back."""
 
@@ -100,25 +90,15 @@ def _sent(shards: int):
             row, n, g = (np.concatenate([x[i] for x in held]) for i in (0, 2, 3))
             cls = [c for x in held for c in x[1]]
             held.clear()
-            msg = int(row[0])
             seen: dict[bytes, int] = {}
             own = np.fromiter((seen.setdefault(c, i) == i for i, c in enumerate(cls)), bool, len(cls))
             doc = np.repeat(np.arange(len(row)), n)
             if not own.all():
                 g, doc = g[own[doc]], doc[own[doc]]
             order = np.argsort(g, kind="stable")
-            g = g[order]
-            head = np.flatnonzero(np.diff(g, prepend=~g[:1])) if len(g) else np.empty(0, np.int64)
-            count, key = np.diff(np.append(head, len(g))), g[head]
-            box = (key >> np.uint64(44)).astype(np.int64) * shards >> 20
-            rem = ((key >> np.uint64(12)) & np.uint64(0xFFFFFFFF)).astype(np.uint32)
-            few = np.minimum(count, 255).astype(np.uint8)
-            edge = np.flatnonzero(np.diff(box, prepend=-1))
-            rows = [(msg % shards, msg, OWN, 0, row.tobytes(), b"".join(cls), n.astype(np.int64).tobytes(), doc[order].astype(np.uint16).tobytes(), count.astype(np.uint32).tobytes())]
-            yield _message(rows)
-            rows = [(int(box[a]), msg, SENT, int(a), rem[a:b].tobytes(), few[a:b].tobytes(), None, None, None) for a, b in zip(edge, [*edge[1:], len(key)], strict=True)]
-            if rows:
-                yield _message(rows)
+            key, count = recurring.runs(g[order])
+            mine = row.tobytes(), b"".join(cls), n.astype(np.int64).tobytes(), doc[order].astype(np.uint16).tobytes(), count.astype(np.uint32).tobytes()
+            yield from recurring.sent(int(row[0]), key, count, mine, shards)
 
         for batch in batches:
             data, bounds = tk.column_bytes(batch.column("text"))
@@ -140,84 +120,26 @@ def _sent(shards: int):
     return run
 
 
-def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by box and kind: what was sent to each box is answered with the tokens that recur, and how often."""
-
-    def done(box: int, rows: list[tuple]) -> pa.RecordBatch:
-        rem = np.concatenate([np.frombuffer(r[3], np.uint32) for r in rows])
-        n = np.concatenate([np.frombuffer(r[4], np.uint8) for r in rows]).astype(np.int64)
-        order = np.argsort(rem, kind="stable")
-        ranked = rem[order]
-        head = np.flatnonzero(np.diff(ranked.astype(np.int64), prepend=-1))
-        total = np.add.reduceat(n[order], head)
-        every = np.empty(len(rem), np.int64)
-        every[order] = np.repeat(total, np.diff(np.append(head, len(rem))))
-        code = np.minimum(255, 8 * np.log2(every)).astype(np.uint8)  # in eighths of a doubling
-        out, at = [], 0
-        for r in rows:
-            size = len(r[3]) // 4
-            hit = np.flatnonzero(every[at : at + size] > 1)
-            if len(hit):
-                out.append((box, r[0], BACK, r[2], (r[2] + hit).astype(np.uint32).tobytes(), rem[at + hit].tobytes(), code[at + hit].tobytes(), None, None))
-            at += size
-        return _message(out) if out else None
-
-    box, held = None, []
-    for batch in batches:
-        kind = batch.column("kind").to_numpy()
-        if (kind == OWN).any():
-            yield batch.filter(pa.array(kind == OWN))
-            batch = batch.filter(pa.array(kind == SENT))
-        for r in zip(*(batch.column(x).to_pylist() for x in ("box", "msg", "kind", "start", "a", "b")), strict=True):
-            if held and r[0] != box:
-                if (made := done(box, held)) is not None:
-                    yield made
-                held = []
-            box = r[0]
-            held.append(r[1:])
-    if held and (made := done(box, held)) is not None:
-        yield made
-
-
-def _listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by message and kind: of each document its class, size, the recurring tokens of its prefix, and how many of them are in the shorter one."""
-
-    def done(own: dict, backs: list[tuple]) -> Iterator[pa.RecordBatch]:
-        row, cls, n = np.frombuffer(own["a"], np.int64), own["b"], np.frombuffer(own["c"], np.int64)
-        doc, count = np.frombuffer(own["d"], np.uint16).astype(np.int64), np.frombuffer(own["e"], np.uint32).astype(np.int64)
-        start = np.cumsum(count) - count
-        key = np.concatenate([np.frombuffer(b[1], np.uint32) for b in backs] or [np.empty(0, np.uint32)]).astype(np.int64)
-        token = np.concatenate([(b[0] << 32) + np.frombuffer(b[2], np.uint32).astype(np.int64) for b in backs] or [np.empty(0, np.int64)])
-        code = np.concatenate([np.frombuffer(b[3], np.uint8) for b in backs] or [np.empty(0, np.uint8)])
-        many = count[key]
-        of = np.repeat(np.arange(len(key)), many)
-        held = doc[start[key][of] + np.arange(len(of)) - (np.cumsum(many) - many)[of]]
-        order = np.lexsort((token[of], code[of], held))
-        held, token = held[order], token[of][order]
-        recurring = np.bincount(held, minlength=len(row))
-        first = np.cumsum(recurring) - recurring
-        place = n[held] - recurring[held] + np.arange(len(held)) - first[held]
-        wide, narrow = n - -(-3 * n // 4) + 1, n - -(-6 * n // 7) + 1
-        keep = place < wide[held]
-        kept = np.bincount(held[keep], minlength=len(row))
-        short = np.bincount(held[place < narrow[held]], minlength=len(row))
-        lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(kept)]).astype(np.int32)), pa.array(token[keep]))
-        names = pa.array([cls[16 * i : 16 * i + 16] for i in range(len(row))], pa.binary())
-        made = pa.RecordBatch.from_arrays([pa.array(row), names, pa.array(n), lists, pa.array(short.astype(np.int64))], ["row", "cls", "n", "tokens", "short"])
-        for i in range(0, len(row), 5000):
-            yield made.slice(i, 5000)
-
-    own, backs = None, []
-    for batch in batches:
-        for r in batch.to_pylist():
-            if r["kind"] == OWN:
-                if own is not None:
-                    yield from done(own, backs)
-                own, backs = r, []
-            else:
-                backs.append((r["box"], r["a"], r["b"], r["c"]))
-    if own is not None:
-        yield from done(own, backs)
+def _listed(own: dict, key: np.ndarray, token: np.ndarray, code: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """Of each document its class, size, the recurring tokens of its prefix, and how many of them are in the shorter one."""
+    row, cls, n = np.frombuffer(own["a"], np.int64), own["b"], np.frombuffer(own["c"], np.int64)
+    doc, count = np.frombuffer(own["d"], np.uint16).astype(np.int64), np.frombuffer(own["e"], np.uint32).astype(np.int64)
+    of, entry = recurring.occurrences(count, key)
+    held = doc[entry]
+    order = np.lexsort((token[of], code[of], held))
+    held, token = held[order], token[of][order]
+    recur = np.bincount(held, minlength=len(row))
+    first = np.cumsum(recur) - recur
+    place = n[held] - recur[held] + np.arange(len(held)) - first[held]
+    wide, narrow = n - -(-3 * n // 4) + 1, n - -(-6 * n // 7) + 1
+    keep = place < wide[held]
+    kept = np.bincount(held[keep], minlength=len(row))
+    short = np.bincount(held[place < narrow[held]], minlength=len(row))
+    lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(kept)]).astype(np.int32)), pa.array(token[keep]))
+    names = pa.array([cls[16 * i : 16 * i + 16] for i in range(len(row))], pa.binary())
+    made = pa.RecordBatch.from_arrays([pa.array(row), names, pa.array(n), lists, pa.array(short.astype(np.int64))], ["row", "cls", "n", "tokens", "short"])
+    for i in range(0, len(row), 5000):
+        yield made.slice(i, 5000)
 
 
 class Tree:
@@ -434,9 +356,8 @@ def link(docs: DataFrame, id_col: str, text: str = "text") -> tuple[DataFrame, D
     only = rows.select("row", "text")
     shards = int(min(1 << 20, max(spark.sparkContext.defaultParallelism, plan_bytes(only) // 8_000_000)))
     with arrow_rows(spark, 200):
-        sent = only.mapInArrow(_sent(shards), MESSAGE).repartition(shards, "box").sortWithinPartitions("box", "kind")
-        back = sent.mapInArrow(_counted, MESSAGE).repartition(shards, "msg").sortWithinPartitions("msg", "kind")
-        found = materialise(back.mapInArrow(_listed, "row long, cls binary, n long, tokens array<long>, short long"), "listed")
+        sent = only.mapInArrow(_sent(shards), recurring.MESSAGE)
+        found = materialise(recurring.exchange(sent, shards, _listed, "row long, cls binary, n long, tokens array<long>, short long"), "listed")
     homes = materialise(found.filter("n > 0").groupBy("cls").agg(F.min("row").alias("home")), "homes")
     firsts = found.filter(F.size("tokens") > 0).join(homes, found["row"] == homes["home"], "left_semi")
     listed = firsts.select("row", "n", F.explode("tokens").alias("token"))

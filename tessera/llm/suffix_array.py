@@ -39,7 +39,7 @@ def s_types(s: np.ndarray) -> np.ndarray:
 def _place(sa: np.ndarray, edge: np.ndarray, s: np.ndarray, j: np.ndarray, way: int) -> None:
     """Put suffixes j, in order, at the edges of their buckets, which move up (way 1) or down (way -1)."""
     c = s[j]
-    order = np.argsort(c, kind="stable")
+    order = np.argsort(c.astype(np.uint16) if len(edge) <= 1 << 16 else c, kind="stable")  # small numbers are sorted by radix
     j, c = j[order], c[order]
     head = np.flatnonzero(np.diff(c, prepend=-1))
     size = np.diff(np.append(head, len(c)))
@@ -109,7 +109,7 @@ def _names(s: np.ndarray, order: np.ndarray, length: np.ndarray) -> np.ndarray:
 
 
 def _doubling(s: np.ndarray) -> np.ndarray:
-    """Suffix array by rank doubling, for the short strings over large alphabets deep in the recursion."""
+    """Suffix array by rank doubling, for strings over nearly as many symbols as they are long, where induction would take its buckets one by one."""
     n = len(s)
     rank, step = np.unique(s, return_inverse=True)[1].astype(np.int64), 1
     while True:
@@ -150,10 +150,15 @@ def suffix_array(s: np.ndarray, sizes: np.ndarray | None = None) -> np.ndarray:
     return induce(s, t, sorted_lms, bounds)
 
 
+#: Symbols of 9 bits that are compared at once.
+BITS, PACK = 9, 7
+
+
 def permuted_lcp(s: np.ndarray, sa: np.ndarray, limit: int) -> np.ndarray:
     """For each suffix, in text order, the symbols shared with the suffix before it in sa, as far as limit.
 
-    Only where the preceding symbols differ are symbols compared; elsewhere the value is the last one less the distance.
+    Only where the preceding symbols differ are symbols compared; elsewhere the value is the last one less the distance,
+    or compared as well where the last one was cut at the limit. Symbols are below 511.
     """
     n = len(s)
     phi = np.full(n, -1, np.int64)
@@ -161,29 +166,31 @@ def permuted_lcp(s: np.ndarray, sa: np.ndarray, limit: int) -> np.ndarray:
     at = np.arange(n)
     before = np.where(at > 0, s[at - 1], -1)
     direct = (phi <= 0) | (at == 0) | (before != s[phi - 1])
-    start = np.flatnonzero(direct)
+    padded = np.concatenate([s, np.full(limit + 2 * PACK, 511, np.int64)])
+    packed = padded[: len(padded) - PACK].copy()
+    for i in range(1, PACK):
+        packed |= padded[i : i + len(packed)] << (BITS * i)
+
+    def compared(live: np.ndarray, have: np.ndarray) -> np.ndarray:
+        """Shared symbols of suffixes and those before them, of which so many are known."""
+        have = have.copy()
+        todo = np.flatnonzero(phi[live] >= 0)
+        while len(todo):
+            x = packed[live[todo] + have[todo]] ^ packed[phi[live[todo]] + have[todo]]
+            same = x == 0
+            have[todo] += np.where(same, PACK, np.bitwise_count((x & -x) - 1) // BITS)
+            todo = todo[same & (have[todo] < limit)]
+        return np.minimum(have, limit)
+
     plcp = np.zeros(n, np.int64)
-    live = start[phi[start] >= 0]
-    padded = np.concatenate([s, np.full(limit + 1, -1, s.dtype)])
-    step = 0
-    while len(live) and step < limit:
-        live = live[padded[live + step] == padded[phi[live] + step]]
-        plcp[live] += 1
-        step += 1
-    # a value cut at the limit may only fall short where the true one is beyond it, so carry on comparing there
+    start = np.flatnonzero(direct)
+    plcp[start] = compared(start, np.zeros(len(start), np.int64))
     last = np.maximum.accumulate(np.where(direct, at, 0))
-    carried = plcp[last] - (at - last)
-    cut = (plcp[last] >= limit) & ~direct
-    out = np.where(direct, plcp, np.maximum(carried, 0))
-    todo = np.flatnonzero(cut)
-    out[todo] = np.maximum(out[todo], 0)
-    live = todo.copy()
-    step = out[live].copy()
-    while len(live):
-        more = (step < limit) & (padded[live + step] == padded[phi[live] + step])
-        out[live] = step
-        live, step = live[more], step[more] + 1
-    return np.minimum(out, limit)
+    out = np.maximum(plcp[last] - (at - last), 0)
+    # a value cut at the limit may only fall short where the true one is beyond it
+    cut = np.flatnonzero((plcp[last] >= limit) & ~direct)
+    out[cut] = compared(cut, out[cut])
+    return out
 
 
 def resolve(groups: np.ndarray, left: list[np.ndarray], right: list[np.ndarray], scheme: Scheme) -> list[np.ndarray]:

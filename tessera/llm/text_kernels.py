@@ -188,7 +188,7 @@ POSITION_BITS = 24
 PIECE = 1 << 22
 
 
-def minimizers(prefix: Prefix, bounds: np.ndarray, k: int, width: int) -> np.ndarray:
+def minimizers(prefix: Prefix, bounds: np.ndarray, k: int, width: int, reach: int = 0) -> np.ndarray:
     """Start of the k-gram of least hash, the leftmost if tied, of every window of k + width - 1 symbols.
 
     Windows lie inside one document. Equal windows choose the same place, wherever they stand.
@@ -197,7 +197,7 @@ def minimizers(prefix: Prefix, bounds: np.ndarray, k: int, width: int) -> np.nda
     if n < span:
         return np.empty(0, np.int64)
     low = U64((1 << POSITION_BITS) - 1)
-    packed = (prefix.window(k) & ~low) | np.arange(n - k + 1, dtype=U64)
+    packed = (prefix.window(k - reach)[: n - k + 1] & ~low) | np.arange(n - k + 1, dtype=U64)
     least = sliding_min(packed, width)
     ends = bounds[1:]
     lo = np.maximum(bounds[:-1], ends - span + 1)
@@ -206,20 +206,21 @@ def minimizers(prefix: Prefix, bounds: np.ndarray, k: int, width: int) -> np.nda
     return at[np.flatnonzero(np.diff(at, prepend=-1))] if len(at) else at
 
 
-def anchors(symbols: np.ndarray, bounds: np.ndarray, k: int, width: int) -> tuple[np.ndarray, ...]:
+def anchors(symbols: np.ndarray, bounds: np.ndarray, k: int, width: int, reach: int = 0) -> tuple[np.ndarray, ...]:
     """Of every anchor: its document, its place in it, the hash of its k-gram and that of its context.
 
-    The context is what all windows over the anchor cover, cut at the document's ends.
+    The context is what all windows over the anchor cover, cut at the document's ends. A symbol tells of so many
+    further ones as reach says, so the last of a k-gram need not be looked at.
     """
     span = k + width - 1
     if int(bounds[-1]) <= PIECE:
-        return _anchors(symbols, bounds, k, width)
+        return _anchors(symbols, bounds, k, width, reach)
     made = []
     for d in range(len(bounds) - 1):
         lo, hi = int(bounds[d]), int(bounds[d + 1])
         for at in range(lo, max(lo + 1, hi), PIECE // 2):
             a, b = max(lo, at - span), min(hi, at + PIECE // 2 + 2 * span)
-            _, place, gram, context = _anchors(symbols[a:b], np.array([0, b - a]), k, width)
+            _, place, gram, context = _anchors(symbols[a:b], np.array([0, b - a]), k, width, reach)
             inner = ((place >= span) | (a == lo)) & ((place <= b - a - span) | (b == hi))
             made.append(np.stack([np.full(inner.sum(), d, U64), (place[inner] + a - lo).astype(U64), gram[inner], context[inner]]))
     _, first = np.unique((all_ := np.concatenate(made, axis=1))[0] * U64(1 << 40) + all_[1], return_index=True)
@@ -227,12 +228,12 @@ def anchors(symbols: np.ndarray, bounds: np.ndarray, k: int, width: int) -> tupl
     return doc.astype(np.int64), place.astype(np.int64), gram, context
 
 
-def _anchors(symbols: np.ndarray, bounds: np.ndarray, k: int, width: int) -> tuple[np.ndarray, ...]:
+def _anchors(symbols: np.ndarray, bounds: np.ndarray, k: int, width: int, reach: int) -> tuple[np.ndarray, ...]:
     prefix = Prefix(symbols)
-    at = minimizers(prefix, bounds, k, width)
+    at = minimizers(prefix, bounds, k, width, reach)
     doc = np.searchsorted(bounds, at, "right") - 1
     first, last = bounds[doc], bounds[doc + 1]
     lo, hi = np.maximum(first, at - width + 1), np.minimum(last, at + k + width - 1)
-    gram = prefix.ranges(at, at + k)
-    context = mix(prefix.ranges(lo, hi) + (at - lo).astype(U64) * U64(MIX_1))
+    gram = prefix.ranges(at, at + k - reach)
+    context = mix(prefix.ranges(lo, hi - reach) + (at - lo).astype(U64) * U64(MIX_1))
     return doc, at - first, gram, context

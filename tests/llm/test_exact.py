@@ -10,7 +10,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from tessera.llm import decontaminate, jaccard, language_model, suffix_array, suffix_tree, topk
+from tessera.llm import decontaminate, jaccard, language_model, recurring, suffix_array, suffix_tree, topk
 from tessera.llm import text_kernels as tk
 from tessera.llm.repeats import Scheme
 
@@ -135,11 +135,11 @@ def test_prefixes_hold_every_shared_token(monkeypatch):
     rows = {(i % 4 << 33) + [x for x in order if x % 4 == i % 4].index(i): i for i in order}
     back = []
     by_box = sorted(sent, key=lambda r: (r["box"], r["kind"]))
-    for b in jaccard._counted(iter([pa.RecordBatch.from_pylist(by_box, jaccard._message([(0, 0, 0, 0, *[None] * 5)]).schema)])):
+    for b in recurring.answered(iter([pa.RecordBatch.from_pylist(by_box, recurring.message([(0, 0, 0, 0, *[None] * 5)]).schema)])):
         back += b.to_pylist()
     back.sort(key=lambda r: (r["msg"], r["kind"]))
     got = {}
-    for b in jaccard._listed(iter([pa.RecordBatch.from_pylist(back, jaccard._message([(0, 0, 0, 0, *[None] * 5)]).schema)])):
+    for b in recurring.used(jaccard._listed)(iter([pa.RecordBatch.from_pylist(back, recurring.message([(0, 0, 0, 0, *[None] * 5)]).schema)])):
         got |= {rows[r["row"]]: r for r in b.to_pylist()}
     sets = [shingles(t) for t in texts]
     assert sorted(got) == list(range(len(texts))) and all(got[i]["n"] == len(sets[i]) for i in got)
