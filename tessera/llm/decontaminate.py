@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from tessera.llm import text_kernels as tk
 from tessera.llm.repeats import numbered
-from tessera.llm.shared import small_batches
+from tessera.llm.shared import materialise, small_batches
 
 SEED, COVERAGE, BLOCK_ITEMS, BLOCK_BYTES = 5, 0.5, 20_000, 16 << 20
 #: ASCII that is no letter or digit parts words; capitals become small.
@@ -148,8 +148,10 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, text: str = "text", item
     schema = rows.select("row", "rest").schema
     for x in ("item_id long", "coverage double", "tiles array<array<int>>"):
         schema = schema.add(*rows.sparkSession.createDataFrame([], x).schema.fields)
-    parts = []
+    parts: list[DataFrame] = []
     for match in _matchers(benchmark, item_id, item_text, seed, coverage):
+        if parts:  # so that one block at a time is held
+            parts[-1] = materialise(parts[-1], "contaminated")
 
         def run(batches: Iterator[pa.RecordBatch], match=match) -> Iterator[pa.RecordBatch]:
             for batch in batches:
@@ -168,7 +170,9 @@ def clean(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id: st
     """The rows of docs that cover no item far enough; all columns."""
     small_batches(docs.sparkSession)
     rows = numbered(docs, text).select("text", "rest")
-    for match in _matchers(benchmark, item_id, item_text, seed, coverage):
+    for n, match in enumerate(_matchers(benchmark, item_id, item_text, seed, coverage)):
+        if n:
+            rows = materialise(rows, "clean")
 
         def run(batches: Iterator[pa.RecordBatch], match=match) -> Iterator[pa.RecordBatch]:
             for batch in batches:

@@ -92,7 +92,8 @@ def fit(rows: DataFrame, lang: str, per_language: int = PER_LANGUAGE) -> Model:
 
 
 def predict(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
-    """docs, all columns, with lang_pred, score and rejected."""
+    """docs with lang_pred, score and rejected, which win over columns of docs with these names."""
+    made_here = ("lang_pred", "score", "rejected")
     small_batches(docs.sparkSession)
     rows = numbered(docs, text).select(F.lower("text").alias("low"), F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)).alias("letters"), "text", "rest")
 
@@ -116,7 +117,7 @@ def predict(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column("text"), batch.column("rest"), pa.array(made, pa.string()), pa.array(np.where(known, score, 0.0)), pa.array(rejected)], ["text", "rest", "lang_pred", "score", "rejected"])
 
     out = rows.mapInArrow(run, rows.select("text", "rest").schema.add("lang_pred", "string").add("score", "double").add("rejected", "boolean"))
-    return out.select(*(F.col("text").alias(c) if c == text else F.col(f"rest.`{c}`").alias(c) for c in docs.columns), "lang_pred", "score", "rejected")
+    return out.select(*(F.col("text").alias(c) if c == text else F.col(f"rest.`{c}`").alias(c) for c in docs.columns if c not in made_here), *made_here)
 
 
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -341,8 +341,8 @@ def train(texts: DataFrame) -> Model:
 
 
 def score(docs: DataFrame, model: Model, keep: list[str]) -> DataFrame:
-    """The columns of keep, and n_tokens, n_known, base_score, score; docs has a column text."""
-    rows = docs.select(F.struct(*keep).alias("rest"), F.col("text").cast("string").alias("text"))
+    """The columns of keep, and n_tokens, n_known, base_score, score, which win over columns with these names; docs has a column text."""
+    rows = docs.select(F.struct(F.lit(0).alias("_"), *(F.col(f"`{c}`") for c in keep)).alias("rest"), F.col("text").cast("string").alias("text"))
     small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -353,7 +353,8 @@ def score(docs: DataFrame, model: Model, keep: list[str]) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([batch.column("rest"), *(pa.array(np.concatenate(x)) for x in zip(*made, strict=True))], ["rest", "n_tokens", "n_known", "base_score", "score"])
 
     schema = rows.select("rest").schema.add("n_tokens", "long").add("n_known", "long").add("base_score", "double").add("score", "double")
-    return rows.mapInArrow(run, schema).select("rest.*", "n_tokens", "n_known", "base_score", "score")
+    made_here = ("n_tokens", "n_known", "base_score", "score")
+    return rows.mapInArrow(run, schema).select(*(F.col(f"rest.`{c}`").alias(c) for c in keep if c not in made_here), *made_here)
 
 
 def op4_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:

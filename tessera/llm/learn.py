@@ -17,22 +17,24 @@ def remainder(id_col: str, n: int) -> Column:
     return F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")) % n
 
 
-def sample(rows: DataFrame, label: str, per_label: int, max_labels: int = 1000) -> pd.DataFrame:
-    """At most per_label rows of each label, chosen by a hash of their text; columns text and label.
+def sample(rows: DataFrame, label: str, per_label: int, max_labels: int = 1000, id_col: str | None = None) -> pd.DataFrame:
+    """At most per_label texts of each label, chosen by their hash; columns text, label and id (0 without id_col).
 
-    The counts are of all rows; a share of each label's hash range is then read, about twice what is kept.
+    The counts are of the distinct texts of all rows; a share of each label's hash range is then read, about twice
+    what is kept. A text counts once for each label it has; its id is the least of its rows'.
     """
-    rows = rows.select(F.coalesce(F.col("text"), F.lit("")).alias("text"), F.col(label).alias("label"), F.xxhash64(F.lit(7), F.coalesce(F.col("text"), F.lit(""))).alias("h"))
-    counts = {r["label"]: r["n"] for r in rows.groupBy("label").agg(F.count(F.lit(1)).alias("n")).limit(max_labels + 1).collect()}
+    own = F.col(id_col).cast("long") if id_col else F.lit(0).cast("long")
+    rows = rows.select(F.coalesce(F.col("text"), F.lit("")).alias("text"), F.col(label).alias("label"), own.alias("id"), F.xxhash64(F.lit(7), F.coalesce(F.col("text"), F.lit(""))).alias("h"))
+    counts = {r["label"]: max(1, r["n"]) for r in rows.groupBy("label").agg(F.approx_count_distinct("h").alias("n")).limit(max_labels + 1).collect()}
     if len(counts) > max_labels:
         raise ValueError(f"more than {max_labels} labels")
     share = F.lit(False)
     for value, n in counts.items():
         most = -(2**63) + min(2**64 - 1, int(2**64 * min(1.0, 2.0 * per_label / n)))
         share = share | ((F.col("label") == F.lit(value)) & (F.col("h") <= F.lit(most)))
-    # a few texts in many copies share a hash, so the number of rows is bounded by a limit as well
-    got = rows.filter(share).dropDuplicates(["h", "label"]).orderBy("h", "label").limit(3 * per_label * max(1, len(counts))).toPandas()
-    return got.groupby("label", sort=True).head(per_label).sort_values(["label", "h"]).reset_index(drop=True)[["text", "label"]]
+    # the count is near, not exact, so the number of rows is bounded by a limit as well
+    got = rows.filter(share).groupBy("h", "label").agg(F.min("text").alias("text"), F.min("id").alias("id")).orderBy("h", "label").limit(4 * per_label * max(1, len(counts))).toPandas()
+    return got.groupby("label", sort=True).head(per_label).sort_values(["label", "h"]).reset_index(drop=True)[["text", "label", "id"]]
 
 
 def doc_chunks(bounds: np.ndarray, docs: int) -> Iterator[tuple[int, int]]:

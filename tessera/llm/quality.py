@@ -6,7 +6,8 @@ score. Vectors and weights are learned together by stochastic gradient descent
 with per-parameter steps, on a bounded sample of labelled rows.
 
 Null or empty text: the average is the zero vector and the score that of the
-bias. Without labelled rows every score is 0.5.
+bias. Without labelled rows every score is 0.5. A text labelled more than once
+is an example for each label it has.
 """
 
 from __future__ import annotations
@@ -73,9 +74,9 @@ def fit(rows: DataFrame, label: str, per_class: int = PER_CLASS) -> Model:
 
 
 def score(docs: DataFrame, model: Model, keep: list[str]) -> DataFrame:
-    """The columns of keep, and score; docs has a column text."""
+    """The columns of keep, and score, which wins over a column of keep with this name; docs has a column text."""
     small_batches(docs.sparkSession)
-    rows = docs.select(F.struct(*keep).alias("rest"), F.col("text").cast("string").alias("text"))
+    rows = docs.select(F.struct(F.lit(0).alias("_"), *(F.col(f"`{c}`") for c in keep)).alias("rest"), F.col("text").cast("string").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -84,7 +85,7 @@ def score(docs: DataFrame, model: Model, keep: list[str]) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column("rest"), pa.array(np.concatenate([*made, np.empty(0)]).astype(float))], ["rest", "score"])
 
     out = rows.mapInArrow(run, rows.select("rest").schema.add("score", "double"))
-    return out.select("rest.*", "score")
+    return out.select(*(F.col(f"rest.`{c}`").alias(c) for c in keep if c != "score"), "score")
 
 
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

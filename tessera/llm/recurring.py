@@ -35,13 +35,14 @@ def runs(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 def sent(msg: int, key: np.ndarray, count: np.ndarray, own: tuple[bytes, ...], shards: int) -> Iterator[pa.RecordBatch]:
     """A message with sorted distinct keys of 64 bits, and up to five byte strings of the task's own."""
     yield message([(msg % shards, msg, OWN, 0, *own, *[None] * (5 - len(own)))])
+    if not len(key):
+        return
     box = (key >> np.uint64(44)).astype(np.int64) * shards >> 20
     rem = ((key >> np.uint64(12)) & np.uint64(0xFFFFFFFF)).astype(np.uint32)
     few = np.minimum(count, 255).astype(np.uint8)
     edge = np.flatnonzero(np.diff(box, prepend=-1))
     rows = [(int(box[a]), msg, SENT, int(a), rem[a:b].tobytes(), few[a:b].tobytes(), None, None, None) for a, b in zip(edge, [*edge[1:], len(key)], strict=True)]
-    if rows:
-        yield message(rows)
+    yield message(rows)
 
 
 def _answered(box: int, rows: list[tuple]) -> pa.RecordBatch | None:

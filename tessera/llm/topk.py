@@ -3,15 +3,19 @@
 Components x become floor(256 * x). Each dimension is a term; its posting of a
 vector is how far the component is from the one that contributes least for the
 query's sign, so every contribution is at least 0 and a constant is added back.
-For a query, terms go by falling bound. The essential ones are those without
-which no vector can reach the k-th best score; their postings are traversed for
-the whole shard, the rest is probed for the vectors that still compete. Shards
-give their k best, which are merged.
-
-Vectors that are null, or hold null or non-finite components, take no part, nor
-do those of another length than the first dimension count given. Null ids take
-no part. Ties go to the smaller id. Fewer than k candidates: all of them. Rows
-that repeat an id are candidates each; a query passes over rows of its own id.
+For a query, terms go by falling bound. A few vectors scored in full give a
+first threshold; the essential terms are the first ones up to where all further
+bounds together stay below it, so that no vector can compete by those alone.
+Their postings are traversed for the whole shard (dense vectors stand in every
+posting); the other terms are probed, some at a time, for the vectors that still
+compete, while the threshold rises. Shards give their k best, which are merged.
+
+Vectors that are null, or hold null or non-finite components, take no part; nor
+do vectors with a component whose integer exceeds 56 bits. A query is held against vectors of
+its own length. Null ids take no part. Ties go to the smaller id. Fewer than k
+candidates: all of them. Rows that repeat an id are candidates each; a query
+passes over rows of its own id. Scores beyond 64 bits are ranked exactly and
+given as the largest or smallest long.
 """
 
 from __future__ import annotations
@@ -23,49 +27,67 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.shared import materialise
+from tessera.llm.shared import arrow_rows, materialise
 
-SHARD, QUERY_BLOCK, STEP = 8192, 1024, 16
+SHARD, QUERY_BLOCK, STEP, FIRST, LENGTHS = 8192, 1024, 16, 64, 10_000
+#: A score is carried in two numbers, of which the lower has 62 bits.
+LOW = (1 << 62) - 1
+
+
+def exact(q: np.ndarray, m: np.ndarray) -> list[int]:
+    """Scores by integers of any size."""
+    return [sum(a * b for a, b in zip(q.tolist(), col, strict=True)) for col in m.T.tolist()]
 
 
 def best_in_shard(ids: np.ndarray, m: np.ndarray, q_id: int, q: np.ndarray, k: int, top: np.ndarray, low: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The k best (ids, scores) of one shard; m has a row for each dimension, top and low its extremes."""
+    live = np.flatnonzero(ids != q_id)
+    if (np.abs(q.astype(float)) * np.maximum(np.abs(top.astype(float)), np.abs(low.astype(float)))).sum() * 4 >= 2.0**63:
+        total = exact(q, m[:, live])
+        first = sorted(range(len(live)), key=lambda i: (-total[i], ids[live[i]]))[:k]
+        return ids[live][first], np.array([total[i] for i in first], object)
     edge = np.where(q >= 0, low, top)  # the component that gives least
     bound = q * (np.where(q >= 0, top, low) - edge)
     order = np.argsort(-bound, kind="stable")
     rest = np.concatenate([np.cumsum(bound[order][::-1])[::-1], [0]])
-    live = np.flatnonzero(ids != q_id)
+    least = 0
+    if len(live) > k:
+        some = q @ (m[:, live[: max(FIRST, k)]] - edge[:, None])
+        least = int(np.partition(some, len(some) - k)[len(some) - k])
+    # rest falls, so the essential terms end where it first lies below the threshold
+    essential = int(np.argmax(rest < least)) if (rest < least).any() else len(q)
     part = np.zeros(len(live), np.int64)
-    for at in range(0, len(q), STEP):
-        if not len(live):
-            break
-        terms = order[at : at + STEP]
+    at = 0
+    while at < len(q) and len(live):
+        to = max(essential, STEP) if at == 0 else at + STEP
+        terms = order[at:to]
         own = m[terms] if len(live) == m.shape[1] else m[np.ix_(terms, live)]
         part += q[terms] @ (own - edge[terms, None])
+        at = min(to, len(q))
         if len(live) > k:
-            least = np.partition(part, len(part) - k)[len(part) - k]
-            keep = part + rest[min(at + STEP, len(q))] >= least
+            least = max(least, int(np.partition(part, len(part) - k)[len(part) - k]))
+            keep = part + rest[at] >= least
             live, part = live[keep], part[keep]
     total = part + int(q @ edge)
     first = np.lexsort((ids[live], -total))[:k]
     return ids[live][first], total[first]
 
 
-def _packed(df: DataFrame, group: str, dims: int) -> DataFrame:
-    """One row for each group of at most some thousand vectors: ids and components as bytes."""
+def _packed(df: DataFrame, group: str) -> DataFrame:
+    """One row for each length and group of at most some thousand vectors: ids and components as bytes."""
 
     def pack(pdf: pd.DataFrame) -> pd.DataFrame:
-        m = np.concatenate([np.frombuffer(x, np.int64) for x in pdf["v"]]).reshape(-1, dims)
-        return pd.DataFrame({group: [pdf[group].iloc[0]], "ids": [pdf["id"].to_numpy(np.int64).tobytes()], "m": [np.ascontiguousarray(m.T).tobytes()]})
+        m = np.concatenate([np.frombuffer(x, np.int64) for x in pdf["v"]]).reshape(len(pdf), -1)
+        return pd.DataFrame({"dims": [m.shape[1]], group: [pdf[group].iloc[0]], "ids": [pdf["id"].to_numpy(np.int64).tobytes()], "m": [np.ascontiguousarray(m.T).tobytes()]})
 
-    return df.groupBy(group).applyInPandas(pack, f"{group} long, ids binary, m binary")
+    return df.groupBy("dims", group).applyInPandas(pack, f"dims int, {group} long, ids binary, m binary")
 
 
 def integer_vectors(df: DataFrame, id_col: str, vector_col: str, scale: int = 256) -> DataFrame:
     """id and v, the components as little-endian 64-bit integers; only whole, finite vectors."""
     x = F.col(f"`{vector_col}`")
     rows = df.select(F.col(f"`{id_col}`").cast("long").alias("id"), x.cast("array<double>").alias("x"))
-    fine = rows.filter(F.col("id").isNotNull() & F.col("x").isNotNull() & F.forall("x", lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) < F.lit(1e15))))
+    fine = rows.filter(F.col("id").isNotNull() & F.col("x").isNotNull() & F.forall("x", lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) < F.lit(2.0**56 / scale))))
 
     @F.pandas_udf("binary")
     def to_bytes(v: pd.Series) -> pd.Series:
@@ -76,36 +98,44 @@ def integer_vectors(df: DataFrame, id_col: str, vector_col: str, scale: int = 25
 
 def top_k(df: DataFrame, queries: DataFrame, id_col: str, vector_col: str, k: int = 5) -> DataFrame:
     """query_id, rank, vec_id and score of the k rows of df with the highest scores for each row of queries."""
-    vectors = materialise(integer_vectors(df, id_col, vector_col), "vectors")
-    counts = vectors.groupBy("dims").count().orderBy(F.desc("count"), "dims").limit(1).collect()
     spark = df.sparkSession
-    schema = "query_id long, vec_id long, score long"
-    if not counts or counts[0]["dims"] < 1:
-        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
-    dims, n = counts[0]["dims"], counts[0]["count"]
-    vectors = vectors.filter(F.col("dims") == dims)
-    asked = integer_vectors(queries, id_col, vector_col).filter(F.col("dims") == dims)
-    n_shards = -(-n // SHARD)
-    n_blocks = max(1, -(-asked.count() // QUERY_BLOCK))
-    salt = lambda m: F.pmod(F.xxhash64("id", "v"), F.lit(m))
-    shards = materialise(_packed(vectors.withColumn("shard", salt(n_shards)), "shard", dims), "shards")
-    blocks = materialise(_packed(asked.withColumn("block", salt(n_blocks)), "block", dims), "blocks")
-    pairs = blocks.withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(n_shards - 1)).cast("array<long>"))).withColumnsRenamed({"ids": "q_ids", "m": "q_m"}).join(shards, "shard")
+    vectors = materialise(integer_vectors(df, id_col, vector_col), "vectors")
+    asked = materialise(integer_vectors(queries, id_col, vector_col), "asked")
+
+    def parts_of(rows: DataFrame, size: int) -> DataFrame:
+        """How many parts of about so many rows each length makes; few lengths, so it is sent to all tasks."""
+        found = rows.groupBy("dims").agg(F.ceil(F.count(F.lit(1)) / size).alias("parts")).limit(LENGTHS + 1).collect()
+        if len(found) > LENGTHS:
+            raise ValueError(f"vectors of more than {LENGTHS} lengths")
+        return F.broadcast(spark.createDataFrame([(r["dims"], r["parts"]) for r in found], "dims int, parts long"))
+
+    def parted(rows: DataFrame, parts: DataFrame, name: str) -> DataFrame:
+        return rows.join(parts, "dims").withColumn(name, F.pmod(F.xxhash64("id", "v"), F.col("parts"))).select("dims", name, "id", "v")
+
+    n_shards = parts_of(vectors, SHARD)
+    shards = materialise(_packed(parted(vectors, n_shards, "shard"), "shard"), "shards")
+    blocks = materialise(_packed(parted(asked, parts_of(asked, QUERY_BLOCK), "block"), "block"), "blocks")
+    # every block of queries is held against all shards of its length, as an exact answer asks
+    pairs = blocks.withColumnsRenamed({"ids": "q_ids", "m": "q_m"}).join(n_shards, "dims")
+    pairs = pairs.withColumn("shard", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1))).join(shards, ["dims", "shard"])
 
     def search(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in parts:
             for x in pdf.itertuples():
                 ids, q_ids = np.frombuffer(x.ids, np.int64), np.frombuffer(x.q_ids, np.int64)
-                m, q = np.frombuffer(x.m, np.int64).reshape(dims, -1), np.frombuffer(x.q_m, np.int64).reshape(dims, -1)
-                top, low = m.max(1), m.min(1)
-                for i, q_id in enumerate(q_ids):
-                    found, score = best_in_shard(ids, m, q_id, q[:, i], k, top, low)
-                    yield pd.DataFrame({"query_id": q_id, "vec_id": found, "score": score})
-
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "64")
-    found = pairs.repartition(max(n_shards * n_blocks, 1), "shard", "block").mapInPandas(search, schema)
-    ranked = found.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")))
-    return ranked.filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+                m, q = np.frombuffer(x.m, np.int64).reshape(x.dims, -1), np.frombuffer(x.q_m, np.int64).reshape(x.dims, -1)
+                top, low = (m.max(1), m.min(1)) if x.dims else (np.zeros(0, np.int64),) * 2
+                found = [(q_id, *best_in_shard(ids, m, q_id, q[:, i], k, top, low)) for i, q_id in enumerate(q_ids)]
+                score = np.concatenate([f[2] for f in found])
+                yield pd.DataFrame({"query_id": np.repeat([f[0] for f in found], [len(f[1]) for f in found]), "vec_id": np.concatenate([f[1] for f in found]), "high": (score >> 62).astype(np.int64), "low": (score & LOW).astype(np.int64)})
+
+    with arrow_rows(spark, 16):
+        dealt = pairs.repartition(max(1, shards.count() * blocks.count() // 4), "dims", "shard", "block")
+        found = materialise(dealt.mapInPandas(search, "query_id long, vec_id long, high long, low long"), "found")
+    ranked = found.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("high"), F.desc("low"), "vec_id")))
+    fits = F.shiftleft("high", 62) + F.col("low")
+    score = F.when(F.col("high") > 1, F.lit(2**63 - 1)).when(F.col("high") < -2, F.lit(-(2**63))).otherwise(fits)
+    return ranked.filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", score.alias("score"))
 
 
 def op3_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -12,7 +12,8 @@ examples themselves, each left out in turn.
 
 Null or empty texts and texts with no word of an example have no neighbour:
 their score is the share of toxic ones among examples without one. Without
-labelled rows every score is 0.
+labelled rows every score is 0. A text labelled more than once is an example
+for each label it has.
 """
 
 from __future__ import annotations
@@ -136,12 +137,13 @@ class Model:
     votes: np.ndarray  # rising votes and the score of each, to interpolate
     scores: np.ndarray
     alone: float  # score of a text without neighbours
+    ids: np.ndarray  # of the examples
 
     def of(self, terms: np.ndarray, weights: np.ndarray) -> tuple[float, list[int]]:
         found, cosine = self.index.nearest(terms, weights, NEIGHBOURS) if len(terms) else (np.empty(0, int), np.empty(0))
         if not len(found):
             return self.alone, []
-        return float(np.interp((cosine * self.index.toxic[found]).sum() / cosine.sum(), self.votes, self.scores)), found[:5].tolist()
+        return float(np.interp((cosine * self.index.toxic[found]).sum() / cosine.sum(), self.votes, self.scores)), self.ids[found[:5]].tolist()
 
 
 def monotone(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -158,8 +160,8 @@ def monotone(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.array([p[0] for p in pools]), np.array([p[1] / p[2] for p in pools])
 
 
-def fit(rows: DataFrame, label: str, per_class: int = PER_CLASS) -> Model:
-    got = learn.sample(rows.filter(F.col(label).isin(0, 1)), label, per_class)
+def fit(rows: DataFrame, label: str, per_class: int = PER_CLASS, id_col: str = "doc_id") -> Model:
+    got = learn.sample(rows.filter(F.col(label).isin(0, 1)), label, per_class, id_col=id_col)
     toxic = got["label"].to_numpy().astype(int)
     index = build(list(got["text"]), toxic)
     votes, truth, alone = [], [], []
@@ -172,13 +174,16 @@ def fit(rows: DataFrame, label: str, per_class: int = PER_CLASS) -> Model:
         else:
             alone.append(toxic[i])
     x, y = monotone(np.array(votes), np.array(truth, float)) if votes else (np.zeros(1), np.zeros(1))
-    return Model(index, x, y, float(np.mean(alone)) if alone else 0.0)
+    return Model(index, x, y, float(np.mean(alone)) if alone else 0.0, got["id"].fillna(-1).to_numpy(np.int64))
 
 
 def score(docs: DataFrame, model: Model, keep: list[str]) -> DataFrame:
-    """The columns of keep, score and evidence (the nearest examples' numbers); docs has a column text."""
+    """The columns of keep, score and evidence (the ids of the nearest examples); docs has a column text.
+
+    score and evidence win over columns of keep with these names.
+    """
     small_batches(docs.sparkSession)
-    rows = docs.select(F.struct(*keep).alias("rest"), F.col("text").cast("string").alias("text"))
+    rows = docs.select(F.struct(F.lit(0).alias("_"), *(F.col(f"`{c}`") for c in keep)).alias("rest"), F.col("text").cast("string").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -187,10 +192,10 @@ def score(docs: DataFrame, model: Model, keep: list[str]) -> DataFrame:
             for i, j in tk.chunks(bounds):
                 found = word_terms(data[bounds[i] : bounds[j]], bounds[i : j + 1] - bounds[i])
                 made += [model.of(*q) for q in queries_of(*found, model.index.vocab, model.index.idf)]
-            yield pa.RecordBatch.from_arrays([batch.column("rest"), pa.array([m[0] for m in made], pa.float64()), pa.array([m[1] for m in made], pa.list_(pa.int32()))], ["rest", "score", "evidence"])
+            yield pa.RecordBatch.from_arrays([batch.column("rest"), pa.array([m[0] for m in made], pa.float64()), pa.array([m[1] for m in made], pa.list_(pa.int64()))], ["rest", "score", "evidence"])
 
-    out = rows.mapInArrow(run, rows.select("rest").schema.add("score", "double").add("evidence", T.ArrayType(T.IntegerType())))
-    return out.select("rest.*", "score", "evidence")
+    out = rows.mapInArrow(run, rows.select("rest").schema.add("score", "double").add("evidence", T.ArrayType(T.LongType())))
+    return out.select(*(F.col(f"rest.`{c}`").alias(c) for c in keep if c not in ("score", "evidence")), "score", "evidence")
 
 
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -197,6 +197,33 @@ def test_top_k(spark):
     assert {(r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in got} == want
 
 
+def test_top_k_of_other_lengths_large_components_and_repeated_ids(spark):
+    rng = np.random.default_rng(9)
+    rows = [(i, [float(x) for x in rng.normal(0, 1, 4)], "x") for i in range(30)]
+    rows += [(i, [float(x) for x in rng.normal(0, 1, 3)], "x") for i in range(100, 108)]
+    rows += [(150, [2.0**47, -(2.0**47), 1.0, 0.0], "x"), (151, [2.0**46, 2.0**45, -1.0, 3.0], "x"), (5, rows[6][1], "x"), (152, [2.0**49, 0.0, 0.0, 0.0], "x")]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, score string")
+    got = topk.top_k(df, df.filter("vec_id % 50 = 0"), "vec_id", "embedding").collect()
+    v = [(i, [math.floor(256 * c) for c in x]) for i, x, _ in rows if max(map(abs, x)) < 2.0**48]
+    want = set()
+    for q, x in v:
+        if q % 50 == 0:
+            best = sorted((-sum(a * b for a, b in zip(x, y, strict=True)), i) for i, y in v if i != q and len(y) == len(x))[:5]
+            want |= {(q, k, i, max(-(2**63), min(2**63 - 1, -s))) for k, (s, i) in enumerate(best, 1)}
+    assert {(r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in got} == want
+
+
+def test_max_score_of_one_shard():
+    rng = np.random.default_rng(10)
+    for _ in range(40):
+        m, q = rng.integers(-50, 50, (int(rng.integers(1, 40)), int(rng.integers(1, 300)))), None
+        q = rng.integers(-9, 9, m.shape[0])
+        ids = rng.permutation(m.shape[1])
+        found, score = topk.best_in_shard(ids, m, int(ids[0]), q, 5, m.max(1), m.min(1))
+        want = sorted((-int(q @ m[:, i]), int(ids[i])) for i in range(1, m.shape[1]))[:5]
+        assert [(-int(s), int(i)) for i, s in zip(found, score, strict=True)] == want
+
+
 def test_language_model(spark, docs, texts):
     model = language_model.train(docs.filter("doc_id % 5 <> 1"))
     got = {r["doc_id"]: r for r in language_model.score(docs.select("doc_id", "text"), model, ["doc_id"]).collect()}
@@ -259,6 +286,30 @@ def test_tiling_of_reordered_chunks(cuts):
     assert got == plain_tiles(doc, item, 5) and sum(t[2] for t in got) == sum(c for c in cuts if c >= 5)
 
 
+def test_tiling_of_random_passages():
+    """Items cut and put together in any order, with words between, against plain greedy string tiling."""
+    rng = random.Random(12)
+    for _ in range(400):
+        item = [rng.randint(0, 30) for _ in range(rng.randint(5, 24))]
+        cut = sorted(rng.sample(range(1, len(item)), min(len(item) - 1, rng.randint(0, 3))))
+        chunks = [item[a:b] for a, b in zip([0, *cut], [*cut, len(item)], strict=True)]
+        rng.shuffle(chunks)
+        doc = [w for c in chunks for w in [*c, *(rng.randint(0, 40) for _ in range(rng.randint(0, 2)))]]
+        got = decontaminate.tiles(np.array(doc, np.uint64), np.array(item, np.uint64), 5)
+        assert sorted(t[2] for t in got) == sorted(t[2] for t in plain_tiles(doc, item, 5))
+
+
+def test_decontamination_by_several_blocks(spark, docs, monkeypatch):
+    monkeypatch.setattr(decontaminate, "BLOCK_ITEMS", 1)
+    items = [(i, " ".join(f"w{i}x{j}" for j in range(8))) for i in range(3)]
+    own = spark.createDataFrame([(d, f"a {items[d % 4][1]} b " * 2000 if d % 4 < 3 else "nothing here", None) for d in range(9)], "doc_id long, text string, tiles string")
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    got = decontaminate.contaminated(own, bench).select("rest.doc_id", "item_id").collect()
+    assert sorted(map(tuple, got)) == sorted((d, d % 4) for d in range(9) if d % 4 < 3)
+    kept = decontaminate.clean(own, bench)
+    assert kept.columns == own.columns and sorted(r["doc_id"] for r in kept.collect()) == [3, 7]
+
+
 def test_decontamination(spark, docs):
     bench = spark.createDataFrame([(1, "Alpha beta, gamma delta epsilon zeta eta theta iota kappa."), (2, None), (3, ""), (4, "one two"), (1, "Alpha beta, gamma delta epsilon zeta eta theta iota kappa.")], "item_id long, text string")
     own = spark.createDataFrame([(1, "x ALPHA Beta gamma delta epsilon y zeta eta theta iota kappa q", 5), (2, "zeta eta theta iota kappa, then alpha beta gamma delta epsilon", 5), (3, "alpha beta gamma delta", 5), (4, None, 5), (5, "", 5)], "doc_id long, text string, item_id long")

@@ -6,7 +6,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from tessera.llm import language_id, pieces, quality, toxicity
+from tessera.llm import language_id, language_model, learn, pieces, quality, suffix_array, suffix_tree, toxicity
 
 
 @pytest.fixture(scope="module")
@@ -115,3 +115,62 @@ def test_unigram_model():
     t = pieces.build(spec)
     assert t.encode("ab  cab", add_special_tokens=False).tokens == ["▁ab", "▁", "c", "a", "b"]
     assert t.decode(t.encode("ab cab", add_special_tokens=False).ids) == "ab cab"
+
+
+def test_sample_of_few_texts_in_many_copies(spark):
+    rows = [("one", 0)] * 3000 + [("two", 0)] * 3000 + [(f"text {i}", 1) for i in range(500)] + [(None, 1), ("text 1", 1)]
+    df = spark.createDataFrame([(i, t, y) for i, (t, y) in enumerate(rows)], "doc_id long, text string, y int")
+    got = learn.sample(df, "y", 100, id_col="doc_id")
+    assert sorted(got[got.label == 0].text) == ["one", "two"] and (got.label == 1).sum() == 100
+    assert got.id[got.text == "one"].tolist() == [0] and got.text.is_unique
+
+
+def test_nearest_examples_are_those_of_brute_force():
+    rng = random.Random(4)
+    stock = ["w" + "".join(rng.choice("abcdefgh") for _ in range(4)) for _ in range(120)]
+    texts = [" ".join(rng.choice(stock) for _ in range(rng.randint(1, 40))) for _ in range(300)]
+    index = toxicity.build(texts, np.array([i % 3 == 0 for i in range(300)], int))
+    unit = [toxicity.queries_of(*toxicity.word_terms(*learn.joined([t])), index.vocab, index.idf)[0] for t in texts]
+    dense = np.zeros((300, len(index.vocab)))
+    for i, (t, w) in enumerate(unit):
+        dense[i, t] = w
+    for i in range(0, 300, 7):
+        found, cosine = index.nearest(*unit[i], 15)
+        want = dense @ dense[i]
+        order = np.lexsort((np.arange(300), -np.round(want, 12)))[:15]
+        assert found.tolist() == order[want[order] > 0].tolist() and np.allclose(cosine, want[found])
+
+
+def test_language_is_that_of_the_nearest_centroid(labelled, docs):
+    model = language_id.fit(labelled, "lang")
+    for r in language_id.predict(docs, model).collect():
+        low = (r["text"] or "").lower()
+        if not any(c.isalpha() for c in low):
+            assert (r["lang_pred"], r["score"], r["rejected"]) == ("und", 0.0, True)
+            continue
+        cos = language_id.vectors(*learn.joined([low]), model.idf)[0] @ model.centroids
+        best = [max(cos[model.owner == x]) for x in range(len(model.langs))]
+        assert r["lang_pred"] == model.langs[int(np.argmax(best))]
+        assert r["rejected"] == (max(best) < model.floor[len(low.encode()).bit_length()])
+
+
+def test_quality_is_the_softmax_of_the_mean_vector(labelled, docs):
+    model = quality.fit(labelled, "quality")
+    for r in quality.score(docs, model, ["doc_id", "text"]).collect():
+        x = quality.features(*learn.joined([r["text"] or ""]))[0]
+        z = x @ model.vectors @ model.weights + model.bias
+        assert r["score"] == pytest.approx(float(np.exp(z[1] - z.max()) / np.exp(z - z.max()).sum()), abs=1e-5)
+
+
+def test_made_columns_win_over_those_of_the_same_name(spark, labelled):
+    names = ["score", "evidence", "lang_pred", "rejected", "ids", "n_tokens", "decoded", "round_trip", "parity", "n_units", "n_removed", "n_spans", "kept", "n_known", "base_score", "rest", "row"]
+    df = spark.createDataFrame([(1, "The quick text", *["x"] * len(names)), (1, None, *["y"] * len(names))], ["doc_id", "text", *names])
+    keep = [c for c in df.columns if c != "text"]
+    with open(pieces.MODEL, "rb") as f:
+        raw = f.read()
+    outs = [language_id.predict(df, language_id.fit(labelled, "lang")), pieces.encode(df, raw), suffix_array.dedup(df), suffix_tree.dedup(df)]
+    outs += [m.score(df, m.fit(labelled, y), keep) for m, y in ((quality, "quality"), (toxicity, "toxic"))]
+    outs.append(language_model.score(df, language_model.train(df), keep))
+    for out in outs:
+        assert len(set(out.columns)) == len(out.columns) and set(keep) <= set(out.columns) and out.count() == 2
+        assert sorted(r["rest"] for r in out.collect()) == ["x", "y"]

@@ -1,4 +1,11 @@
+import random
+import re
+
+import numpy as np
+import pytest
+
 import corpus_pipeline
+from tessera.llm import decontaminate, pieces
 from tessera.llm.shared import materialise
 
 
@@ -14,3 +21,113 @@ def test_stages(spark, sf):
         seen.append(docs.count())
     assert seen == sorted(seen, reverse=True) and seen[-1] > 0.7 * seen[0]
     assert docs.filter("NOT parity OR NOT round_trip").count() == 0
+
+
+EXTRA = ["lang_pred", "score", "rejected", "kept", "n_removed", "rest", "row", "id", "component_id", "ids", "own", "spans", "tiles", "item_id"]
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"`{c}` string" for c in EXTRA)
+
+
+def near(texts):
+    """Rows kept of documents {id: text}, by brute force: one of each group that links join."""
+    def shingles(t):
+        w = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
+        return {tuple(w)} if 0 < len(w) < 5 else {tuple(w[i : i + 5]) for i in range(len(w) - 4)}
+
+    sets, keep = {d: shingles(t) for d, t in texts.items()}, {}
+    comp = {d: d for d in texts}
+    for a in sorted(texts):
+        for b in sorted(texts):
+            if a < b and sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b]):
+                x, y = comp[a], comp[b]
+                comp = {d: min(x, y) if c in (x, y) else c for d, c in comp.items()}
+    for d in texts:
+        if comp[d] == d:
+            keep[d] = texts[d]
+    return keep
+
+
+def no_repeats(texts):
+    raw, seen = {d: (t or "").encode() for d, t in texts.items()}, {}
+    for d, b in raw.items():
+        for i in range(len(b) - 199):
+            seen.setdefault(b[i : i + 200], []).append((d, i))
+    gone = {d: np.zeros(len(b), bool) for d, b in raw.items()}
+    for at in seen.values():
+        for d, i in at if len(at) > 1 else ():
+            gone[d][i : i + 200] = True
+    return {d: bytes(np.frombuffer(b, np.uint8)[~gone[d]]).decode("utf-8", "ignore") if b else "" for d, b in raw.items()}
+
+
+def no_items(texts, items):
+    ids = lambda t: decontaminate.word_ids(np.frombuffer(t.encode(), np.uint8), np.array([0, len(t.encode())]))[0]
+    kept = {}
+    for d, t in texts.items():
+        own, bad = ids(t or ""), False
+        for x in map(ids, items):
+            least = min(5, len(x))
+            if least and not bad:
+                covered = sum(n for _, _, n in decontaminate.tiles(own, x, least))
+                bad = covered / len(x) >= decontaminate.COVERAGE
+        if not bad:
+            kept[d] = t
+    return kept
+
+
+@pytest.fixture(scope="module")
+def small(spark, tmp_path_factory):
+    """A table of documents with every awkward case, under extra columns with the names that the stages use, and a benchmark."""
+    rng = random.Random(21)
+    stock = ["".join(rng.choice("abcdeé漢") for _ in range(rng.randint(2, 7))) for _ in range(300)]
+    words = lambda n: [rng.choice(stock) for _ in range(n)]
+    passage, item = " ".join(words(60)), words(16)
+    texts = [" ".join(words(rng.randint(1, 90))) for _ in range(25)]
+    texts += [texts[0], texts[0] + " ", None, "", "  ", "12 34 !!", " ".join(words(3000))]
+    for k in range(4):
+        texts.append(" ".join(words(30)) + " " + passage + " " + " ".join(words(20 + k)))
+    texts += [" ".join([*words(20), *item[9:], "and", *item[:9], *words(5)]), " ".join([*words(9), *item, *words(30)])]
+    for i in (3, 4, 4):
+        w = texts[i].split()
+        w[0] = "changed"
+        texts.append(" ".join([*w, *words(2)]))
+    at = tmp_path_factory.mktemp("small")
+    spark.createDataFrame([(i, t, "en", "s", None if t is None else len(t), *["x"] * len(EXTRA)) for i, t in enumerate(texts)], SCHEMA).write.parquet(f"file://{at}/documents.parquet")
+    spark.createDataFrame([(1, " ".join(item)), (2, None), (3, "")], "item_id long, text string").write.parquet(f"file://{at}/benchmark.parquet")
+    return f"file://{at}", dict(enumerate(texts)), [" ".join(item)]
+
+
+def test_stages_against_brute_force(spark, small):
+    """Each stage on what its predecessor kept; the language stage is judged by which rows its operator rejects."""
+    sf_dir, texts, items = small
+    docs, stages = spark.read.parquet(f"{sf_dir}/documents.parquet"), dict(corpus_pipeline.STAGES)
+    out = materialise(stages["language_id"](spark, docs, sf_dir), "language_id")
+    now = {r["doc_id"]: r["text"] for r in out.collect()}
+    assert out.columns == docs.columns and all(texts[d] == t for d, t in now.items())
+    assert not set(now) & {d for d, t in texts.items() if not any(c.isalpha() for c in t or "")} and len(now) > 0.8 * len(texts)
+    for name, plain in (("ngram_jaccard", near), ("suffix_array_dedup", no_repeats), ("decontamination", lambda x: no_items(x, items))):
+        out = materialise(stages[name](spark, out, sf_dir), name)
+        want = plain(now)
+        now = {r["doc_id"]: r["text"] for r in out.collect()}
+        assert now == want and out.columns == docs.columns and {r["rest"] for r in out.collect()} == {"x"}, name
+        assert all(r["n_chars"] == len(r["text"]) for r in out.collect())
+    last = {r["doc_id"]: r for r in stages["sentencepiece"](spark, out, sf_dir).collect()}
+    with open(pieces.MODEL, "rb") as f:
+        reference = pieces.Coder(f.read()).reference
+    assert sorted(last) == sorted(now) and all(last[d]["ids"] == reference.encode(t) and last[d]["decoded"] == t and last[d]["parity"] for d, t in now.items())
+
+
+@pytest.mark.parametrize("kind", ["empty", "awkward"])
+def test_each_stage_takes_any_table(spark, small, kind):
+    """No rows; and nulls in every column, repeated rows, tied ids."""
+    sf_dir = small[0]
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    if kind == "empty":
+        docs = docs.limit(0)
+    else:
+        docs = docs.filter("doc_id IN (1, 2)").unionByName(docs.filter("doc_id = 1")).unionByName(docs.filter("doc_id = 2").selectExpr(*(f"CAST(NULL AS {t}) AS `{c}`" if c != "text" else "text" for c, t in docs.dtypes)))
+        docs = docs.unionByName(docs.limit(1).selectExpr(*(f"CAST(NULL AS {t}) AS `{c}`" for c, t in docs.dtypes)))
+    for name, stage in corpus_pipeline.STAGES:
+        rows = materialise(stage(spark, docs, sf_dir), name).collect()
+        if kind == "empty":
+            assert not rows
+        elif name == "ngram_jaccard":  # the null text stays, and one row of each of the two texts, that of id 2 not its copy of null id
+            assert sorted(str(r["doc_id"]) for r in rows) == ["1", "2", "None"]
