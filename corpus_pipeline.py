@@ -5,6 +5,8 @@ kept; all but the last return the columns of documents. Null and empty texts:
 language ID rejects them. Ties and repeated rows: the row of the smallest id,
 and of those the first, stays for its component. Extra columns pass through,
 whatever their names, but for text, n_chars and lang, which have their meaning.
+A document of a null id is kept or dropped as any other; an empty table gives
+an empty one. Very long texts are worked on whole.
 """
 
 from __future__ import annotations
@@ -20,10 +22,10 @@ from tessera.session import ship_package
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Op 8: documents whose language is rejected go."""
     ship_package(spark)
-    model = language_id.fit(docs, "lang")
-    flag = "rejected"
-    found = language_id.predict(docs, model)
-    return found.filter(~F.col(flag)).select(*(F.col(f"`{c}`") for c in docs.columns))
+    model = language_id.fit(docs.select("text", "lang"), "lang")
+    others = [F.col(f"`{c}`") for c in docs.columns if c != "text"]
+    found = language_id.predict(docs.select("text", F.struct(F.lit(0).alias("_"), *others).alias("own")), model)
+    return found.filter(~F.col("rejected")).select(*(F.col("text") if c == "text" else F.col(f"own.`{c}`").alias(c) for c in docs.columns))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
