@@ -38,7 +38,7 @@ from tessera.llm.repeats import numbered
 from tessera.llm.shared import arrow_rows, discard, materialise, plan_bytes, tasks_for
 
 #: Words of a shingle; tokens and rows that a task sends at once; rows of a part of a star, and of a group of the last trees.
-WORDS, HELD, HELD_ROWS, STAR_ROWS, GROUP = 5, 1_000_000, 60_000, 500, 1024
+WORDS, HELD, HELD_ROWS, STAR_ROWS, GROUP = 5, 500_000, 60_000, 500, 1024
 #: Children of a node; rounds of stars at most; size of a list beyond which it is parted by set size.
 LEAF, FAN, ROUNDS, SMALL = 16, 8, 4, 32
 
@@ -354,7 +354,7 @@ def link(docs: DataFrame, id_col: str, text: str = "text") -> tuple[DataFrame, D
     spark = docs.sparkSession
     rows = numbered(docs, text)
     only = rows.select("row", "text")
-    shards = int(min(1 << 20, max(spark.sparkContext.defaultParallelism, plan_bytes(only) // 8_000_000)))
+    shards = int(min(1 << 20, max(spark.sparkContext.defaultParallelism, plan_bytes(only) // 3_000_000)))
     with arrow_rows(spark, 200):
         sent = only.mapInArrow(_sent(shards), recurring.MESSAGE)
         found = materialise(recurring.exchange(sent, shards, _listed, "row long, cls binary, n long, tokens array<long>, short long"), "listed")

@@ -288,6 +288,7 @@ def encode(docs: DataFrame, model: bytes, text: str = "text", parity: bool = Tru
             back = pc.if_else(null, pa.scalar(None, pa.large_string()), back)
             trip = pc.equal(back, normal_form(column, coder.spec))
             cols = [batch.column("rest"), lists, pa.array(np.diff(first)), back.cast(pa.string()), trip, pa.nulls(len(none), pa.bool_()) if same is None else pa.array(same, mask=none)]
+            tk.trimmed(column.nbytes)
             yield pa.RecordBatch.from_arrays(cols, ["rest", *made])
 
     schema = rows.select("rest").schema.add("ids", T.ArrayType(T.IntegerType())).add("n_tokens", "long").add("decoded", "string").add("round_trip", "boolean").add("parity", "boolean")

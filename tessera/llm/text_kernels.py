@@ -6,6 +6,7 @@ of whole documents, with ``bounds`` holding the offset of each one.
 
 from __future__ import annotations
 
+import ctypes
 import hashlib
 from collections.abc import Iterator
 
@@ -27,7 +28,8 @@ IS_SPACE[[9, 10, 11, 12, 13, 32]] = True
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 
-CHUNK_BYTES = 1 << 20
+CHUNK_BYTES = 1 << 18  # arrays of 8 bytes for each byte of it stay in a core's cache
+TRIM_BYTES = 16 << 20
 
 _powers = (np.ones(1, U64), np.ones(1, U64))
 
@@ -92,13 +94,30 @@ def column_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw[bounds[0] : bounds[-1]] if len(raw) else raw, bounds - bounds[0]
 
 
-def chunks(bounds: np.ndarray, limit: int = CHUNK_BYTES) -> Iterator[tuple[int, int]]:
+_trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+_since_trim = 0
+
+
+def trimmed(n: int) -> None:
+    """Count n bytes of text as worked on; now and then give freed memory back, which the allocators would keep."""
+    global _since_trim
+    _since_trim += n
+    if _since_trim >= TRIM_BYTES:
+        _since_trim = 0
+        pa.default_memory_pool().release_unused()
+        if _trim is not None:
+            _trim(0)
+
+
+def chunks(bounds: np.ndarray, limit: int | None = None) -> Iterator[tuple[int, int]]:
     """Runs [i, j) of whole documents of about limit bytes, at least one document each."""
     i, n = 0, len(bounds) - 1
+    limit = limit or CHUNK_BYTES
     while i < n:
         j = max(i + 1, int(np.searchsorted(bounds, bounds[i] + limit, "right")) - 1)
         yield i, min(j, n)
         i = min(j, n)
+    trimmed(int(bounds[-1]))
 
 
 def words(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
