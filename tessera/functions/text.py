@@ -6,7 +6,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 TOKEN = "[A-Za-z0-9_'-]+"
-SECRET = r"(?i)(password|secret|token|api_key|apikey)([ ]*[=:][ ]*)([^ \n,;]+)"
+#: Keys whose values are secret, and how such a pair stands in text.
+SECRET_KEYS = ("auth_token", "auth_token_hash", "secret", "password", "jwt", "api_key", "database_url", "token")
+SECRET = r"(?i)(auth_token|secret|password|jwt|api_key|token|database_url)\s*[:=]\s*['\"]?([^\s'\";,]+)['\"]?"
+#: What tells of an environment variable, a provider of secrets, a path.
+FROM_ENVIRONMENT = r"(?i)\b(env|getenv|os\.getenv|os\.environ|process\.env)\b"
+FROM_PROVIDER = r"(?i)\b(config|Secret::|Vault::|secrets_manager|key_vault|aws_secrets|Vault|SecretsManager)\b"
+PATH_NAME = r"(?i)\b(storage_path|database_path|base_path|app_path|resource_path|path\.join|Path)\b"
 
 
 def tokens(column: str) -> Column:
@@ -22,23 +28,42 @@ def chunked(df: DataFrame, id_col: str, column: str, size: int) -> DataFrame:
 
 
 def redact(column: str) -> Column:
-    return F.regexp_replace(F.col(column), SECRET, "$1$2[REDACTED]")
+    """Values of secret keys in a text give way to a mark; quotes and the separator go with them."""
+    return F.regexp_replace(F.col(column), SECRET, "$1=[REDACTED]")
 
 
-def secret_kind(column: str) -> Column:
-    """What stands right of a secret's name."""
-    v = F.regexp_extract(column, SECRET, 3)
+def redact_map(column: str) -> Column:
+    """Of a map from text to text: values of secret keys as a whole, secrets in others; keys in any case."""
+    hide = lambda k, v: F.when(F.lower(k).isin(*SECRET_KEYS), F.lit("[REDACTED]")).otherwise(F.regexp_replace(v, SECRET, "$1=[REDACTED]"))
+    return F.transform_values(F.col(column), hide)
+
+
+def value_kind(text: Column) -> Column:
+    """What a piece of code gives as a value: the part after =>, else after =, else after a colon, else all of it."""
+    t = F.trim(text)
+    after = lambda mark: F.trim(F.substr(t, F.locate(mark, t) + len(mark)))
+    has = lambda mark: F.contains(t, F.lit(mark))
+    v = F.when(has("=>"), after("=>")).when(has("=") & ~t.rlike("^(if|while)"), after("=")).when(has(":") & ~t.rlike("^case"), after(":")).otherwise(t)
+    quoted = v.rlike(r"(?s)^'.+'$") | v.rlike(r'(?s)^".+"$')
     return (
-        F.when(F.coalesce(v, F.lit("")) == "", "NONE")
-        .when(v.rlike(r"(?i)env|getenv|\$\{"), "ENV_REFERENCE")
-        .when(v.rlike("(?i)vault|secretsmanager"), "SECRET_PROVIDER")
-        .when(v.rlike("^[\"']{2}$"), "EMPTY")
-        .when(F.lower(v).isin("null", "none", "nil"), "NULL")
-        .when(F.length(v) >= 8, "LITERAL_SECRET")
+        F.when(F.coalesce(t, F.lit("")) == "", "EMPTY_LITERAL")
+        .when(v.rlike(FROM_ENVIRONMENT), "ENV_REFERENCE")
+        .when(v.rlike(FROM_PROVIDER), "SECRET_PROVIDER_REFERENCE")
+        .when(v.rlike(PATH_NAME), "STATIC_CONSTANT")
+        .when(v.isin("", "''", '""', "b''", 'b""'), "EMPTY_LITERAL")
+        .when(F.lower(v).isin("null", "none", "undefined"), "NULL_LITERAL")
+        .when(quoted, "LITERAL_SECRET")
         .otherwise("UNKNOWN")
     )
 
 
+def secrets(df: DataFrame, id_col: str, column: str) -> DataFrame:
+    """id, place, key and kind of the value of every pair in a text that looks like a secret."""
+    pairs = F.regexp_extract_all(F.coalesce(F.col(column), F.lit("")), F.lit(SECRET), F.lit(0))
+    own = df.select(id_col, F.posexplode(pairs).alias("place", "pair"))
+    return own.select(id_col, "place", F.lower(F.regexp_extract("pair", SECRET, 1)).alias("key"), value_kind(F.col("pair")).alias("kind"))
+
+
 def url_host(column: str) -> Column:
     return F.lower(F.regexp_extract(column, "^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/@]*@)?([^/:?#]+)", 1))
 

@@ -12,13 +12,8 @@ SELECT sha, doc_id, n_copies FROM (SELECT <<sha2(text, 256)|||sha256(text)>> AS
   row_number() OVER (PARTITION BY <<sha2(text, 256)|||sha256(text)>> ORDER BY n_chars DESC, doc_id) AS k,
   count(*) OVER (PARTITION BY <<sha2(text, 256)|||sha256(text)>>) AS n_copies FROM {documents} WHERE text IS NOT NULL) x WHERE k = 1""")
 shared("f_semantic_dedup", """
-SELECT source, sha, <<max_by(doc_id, n_chars * 1000000 - doc_id)|||arg_max(doc_id, n_chars * 1000000 - doc_id)>> AS doc_id, count(*) AS n
+SELECT source, sha, <<max_by(doc_id, struct(n_chars, -doc_id))|||arg_max(doc_id, (n_chars, -doc_id))>> AS doc_id, count(*) AS n
 FROM (SELECT source, doc_id, n_chars, <<sha2|||sha256>>(<<regexp_replace(trim(text), '[ \\\\n\\\\t]+', ' '), 256|||regexp_replace(trim(text), '[ \\n\\t]+', ' ', 'g')>>) AS sha FROM {documents}) x GROUP BY source, sha""")
-shared("f_baseline_diff", """
-WITH was AS (SELECT o_custkey AS k, count(*) AS n FROM {orders} WHERE o_orderdate < TIMESTAMP '1996-01-01' GROUP BY o_custkey),
-now AS (SELECT o_custkey AS k, count(*) AS n FROM {orders} WHERE o_orderdate >= TIMESTAMP '1996-01-01' GROUP BY o_custkey)
-SELECT coalesce(was.k, now.k) AS fingerprint, CASE WHEN was.k IS NULL THEN 'NEW' WHEN now.k IS NULL THEN 'FIXED' WHEN now.n > was.n THEN 'REGRESSED' ELSE 'EXISTING' END AS status
-FROM was FULL OUTER JOIN now ON was.k = now.k""")
 shared("f_regression_sets", """
 WITH was AS (SELECT DISTINCT user_id FROM {events} WHERE event_type = 'error' AND ts < TIMESTAMP '2024-01-15'), now AS (SELECT DISTINCT user_id FROM {events} WHERE event_type = 'error' AND ts >= TIMESTAMP '2024-01-15'),
 valid AS (SELECT user_id, count(*) AS n FROM {events} WHERE ts >= TIMESTAMP '2024-01-15' GROUP BY user_id)
@@ -26,45 +21,15 @@ SELECT coalesce(was.user_id, now.user_id) AS cluster_id, CASE WHEN was.user_id I
 FROM was FULL OUTER JOIN now ON was.user_id = now.user_id LEFT JOIN valid ON valid.user_id = was.user_id""")
 shared("f_severity_summary", f"""
 SELECT s.severity, count(e.event_id) AS n FROM {SEVERITY} AS s(event_type, severity, weight) LEFT JOIN {{events}} e ON e.event_type = s.event_type GROUP BY s.severity""")
-shared("f_min_severity", f"""
-SELECT event_id, s.severity, s.weight FROM {{events}} e JOIN {SEVERITY} AS s(event_type, severity, weight) ON e.event_type = s.event_type WHERE s.weight >= 4""")
-shared("f_sort_by_severity", f"""
-SELECT event_id, severity, place FROM (SELECT event_id, s.severity, row_number() OVER (ORDER BY s.weight DESC, event_id) AS place
-FROM {{events}} e JOIN {SEVERITY} AS s(event_type, severity, weight) ON e.event_type = s.event_type) x WHERE place <= 50""")
 shared("f_group_rule", "SELECT event_type AS rule_id, count(*) AS n, min(event_id) AS first_id, count(DISTINCT user_id) AS n_users FROM {events} GROUP BY event_type")
-shared("f_calibrate", """
-WITH c AS (SELECT user_id, count(*) AS n, count(DISTINCT event_type) AS kinds, count(DISTINCT CAST(ts AS DATE)) AS days, sum(CASE WHEN event_type = 'error' THEN 1 ELSE 0 END) AS errors FROM {events} GROUP BY user_id)
-SELECT user_id AS cluster_id, round(least(1.0, 0.4 * kinds / 5.0 + 0.3 * least(days, 8) / 8.0 + 0.3 * (1.0 - errors / CAST(n AS DOUBLE))), 6) AS confidence,
-CASE WHEN kinds >= 5 AND days >= 8 THEN 'HIGH' WHEN kinds >= 3 THEN 'MEDIUM' ELSE 'LOW' END AS band FROM c""")
 shared("f_cluster_links", """
 WITH f AS (SELECT source, <<sha2(text, 256)|||sha256(text)>> AS h, doc_id FROM {documents} WHERE text IS NOT NULL), m AS (SELECT source, h, min(doc_id) AS first_id FROM f GROUP BY source, h)
 SELECT m.first_id, f.doc_id FROM f JOIN m ON m.source = f.source AND m.h = f.h WHERE f.doc_id <> m.first_id""")
 shared("f_finding_id", "SELECT event_id, <<substring(sha2(concat_ws('|', event_type, CAST(user_id AS STRING), CAST(event_id AS STRING)), 256), 1, 32)|||sha256(concat_ws('|', event_type, CAST(user_id AS VARCHAR), CAST(event_id AS VARCHAR)))[1:32]>> AS fingerprint FROM {events}")
 
-shared("s_priority", """
-WITH m AS (SELECT o_orderkey, CAST(substr(o_orderpriority, 1, 1) AS INT) AS p, least(o_totalprice / 500000.0, 1.0) AS v, o_orderstatus AS s FROM {orders})
-SELECT o_orderkey, round(0.25 * (6 - p) / 5.0 + 0.25 * v + 0.20 * (CASE WHEN s = 'F' THEN 1.0 ELSE 0.5 END) + 0.15 * v + 0.15 * (CASE WHEN s = 'O' THEN 1.0 ELSE 0.2 END), 6) AS score,
-CASE WHEN p = 1 AND v >= 0.5 THEN 'P1' WHEN p <= 2 THEN 'P2' WHEN p <= 4 THEN 'P3' ELSE 'P4' END AS priority FROM m""")
-shared("s_exploitability", """
-SELECT l_orderkey, l_linenumber, count(*) AS n, round(sum(0.30 * l_discount * 10 + 0.25 * least(l_quantity / 50.0, 1.0) + 0.20 * l_tax * 10 + 0.15 * (CASE WHEN l_returnflag = 'R' THEN 1.0 ELSE 0.0 END) + 0.10 * (1.0 - (CASE WHEN l_linestatus = 'F' THEN 1.0 ELSE 0.0 END))), 4) AS score
-FROM {lineitem} GROUP BY l_orderkey, l_linenumber""")
-shared("s_threat_risk", """
-WITH feed AS (SELECT s_suppkey AS k, s_acctbal FROM {supplier} WHERE s_acctbal > 0)
-SELECT p_partkey, round(least(1.0, greatest(0.0, 0.40 * least(p_retailprice / 2000.0, 1.0) + 0.30 * p_size / 50.0 + 0.20 * coalesce(least(f.s_acctbal / 10000.0, 1.0), 0.20) + 0.10 * (CASE WHEN p_brand = 'Brand#1' THEN 1.0 ELSE 0.0 END))), 4) AS risk
-FROM {part} LEFT JOIN feed f ON f.k = p_partkey""")
-shared("s_breach_risk", """
-WITH r AS (SELECT c_custkey, 100.0 * (0.25 * least(greatest(c_acctbal, 0.0) / 10000.0, 1.0) + 0.20 * (c_nationkey / 25.0) + 0.20 * (CASE c_mktsegment WHEN 'BUILDING' THEN 1.0 WHEN 'MACHINERY' THEN 0.6 ELSE 0.3 END) + 0.15 * 0.5 + 0.10 * 1.0 + 0.10 * 0.2) AS risk FROM {customer})
-SELECT c_custkey, round(risk, 1) AS risk, CASE WHEN risk >= 80 THEN 'CRITICAL' WHEN risk >= 60 THEN 'HIGH' WHEN risk >= 40 THEN 'MEDIUM' WHEN risk >= 20 THEN 'LOW' ELSE 'MINIMAL' END AS level FROM r""")
-shared("s_gate", """
-WITH u AS (SELECT user_id, sum(CASE WHEN event_type = 'error' THEN 1 ELSE 0 END) AS errors, sum(CASE WHEN event_type = 'purchase' THEN 1 ELSE 0 END) AS buys, count(*) AS n FROM {events} GROUP BY user_id)
-SELECT user_id, CASE WHEN n < 3 THEN 'UNKNOWN' WHEN errors * 3 > n THEN 'BLOCK' WHEN errors > 0 AND buys = 0 THEN 'BLOCK' WHEN errors * 5 > n THEN 'REVIEW' WHEN buys > 10 THEN 'REVIEW' ELSE 'ALLOW' END AS decision,
-concat_ws(',', CASE WHEN errors * 3 > n THEN 'R2' END, CASE WHEN errors > 0 AND buys = 0 THEN 'R3' END, CASE WHEN errors * 5 > n THEN 'R4' END, CASE WHEN buys > 10 THEN 'R5' END) AS failed_rules FROM u""")
 shared("s_resolution_dominance", """
 WITH f AS (SELECT user_id, bool_or(event_type = 'error') AS vulnerable, bool_or(event_type = 'signup') AS safe FROM {events} GROUP BY user_id)
 SELECT user_id, CASE WHEN vulnerable AND safe THEN 'CONFLICT' WHEN vulnerable THEN 'VULNERABLE' WHEN safe THEN 'SAFE' ELSE 'UNKNOWN' END AS verdict FROM f""")
-shared("s_drift", """
-WITH a AS (SELECT o_orderpriority AS p, count(*) AS n FROM {orders} WHERE o_orderdate < TIMESTAMP '1996-01-01' GROUP BY 1), b AS (SELECT o_orderpriority AS p, count(*) AS n FROM {orders} WHERE o_orderdate >= TIMESTAMP '1996-01-01' GROUP BY 1)
-SELECT coalesce(a.p, b.p) AS severity, coalesce(b.n, 0) - coalesce(a.n, 0) AS delta, coalesce(b.n, 0) > coalesce(a.n, 0) AS drifted FROM a FULL OUTER JOIN b ON a.p = b.p""")
 shared("s_evidence_confidence", """
 SELECT user_id, CAST(sum(w) AS BIGINT) AS score, CASE WHEN sum(w) >= 80 THEN 'HIGH' WHEN sum(w) >= 50 THEN 'MEDIUM' WHEN sum(w) > 0 THEN 'LOW' ELSE 'NONE' END AS confidence
 FROM (SELECT DISTINCT user_id, event_type, CASE event_type WHEN 'error' THEN 40 WHEN 'purchase' THEN 30 WHEN 'click' THEN 10 ELSE 0 END AS w FROM {events}) x GROUP BY user_id""")
@@ -79,16 +44,7 @@ SELECT l_orderkey, count(*) AS n_lines, bool_and(l_quantity > 0) AS inv_positive
 
 shared("e_confusion", """
 WITH p AS (SELECT d.doc_id, d.lang, n_chars > 2000 AS hit, l.toxic = 1 AS truth FROM {documents} d JOIN {labels} l ON l.doc_id = d.doc_id)
-SELECT lang, sum(CASE WHEN hit AND truth THEN 1 ELSE 0 END) AS tp, sum(CASE WHEN hit AND NOT truth THEN 1 ELSE 0 END) AS fp, sum(CASE WHEN NOT hit AND truth THEN 1 ELSE 0 END) AS fn, sum(CASE WHEN NOT hit AND NOT truth THEN 1 ELSE 0 END) AS tn FROM p GROUP BY lang""".replace("sum(CASE", "count(CASE").replace(" ELSE 0 END)", " END)"))
-shared("e_metrics", """
-WITH p AS (SELECT n_chars > 2000 AS hit, quality = 1 AS truth FROM {documents} d JOIN {labels} l ON l.doc_id = d.doc_id),
-c AS (SELECT count(CASE WHEN hit AND truth THEN 1 END) AS tp, count(CASE WHEN hit AND NOT truth THEN 1 END) AS fp, count(CASE WHEN NOT hit AND truth THEN 1 END) AS fn FROM p)
-SELECT round(CASE WHEN tp + fp = 0 THEN 0.0 ELSE tp / CAST(tp + fp AS DOUBLE) END, 6) AS precision_, round(CASE WHEN tp + fn = 0 THEN 0.0 ELSE tp / CAST(tp + fn AS DOUBLE) END, 6) AS recall_, round(CASE WHEN 2 * tp + fp + fn = 0 THEN 0.0 ELSE 2.0 * tp / CAST(2 * tp + fp + fn AS DOUBLE) END, 6) AS f1 FROM c""")
-shared("e_wilson", """
-WITH c AS (SELECT source, count(*) AS n, count(CASE WHEN quality = 1 THEN 1 END) AS k FROM {documents} d JOIN {labels} l ON l.doc_id = d.doc_id GROUP BY source),
-w AS (SELECT source, n, k, k / CAST(n AS DOUBLE) AS p, CAST(1.96 AS DOUBLE) AS z FROM c)
-SELECT source, n, round(greatest(0.0, (p + z * z / (2 * n) - z * sqrt((p * (1 - p) + z * z / (4 * n)) / n)) / (1 + z * z / n)), 6) AS low, round(least(1.0, (p + z * z / (2 * n) + z * sqrt((p * (1 - p) + z * z / (4 * n)) / n)) / (1 + z * z / n)), 6) AS high FROM w""")
-shared("e_lang_matrix", "SELECT lang, source, count(*) AS n, round(avg(CAST(n_chars AS DOUBLE)), 4) AS mean_chars FROM {documents} GROUP BY lang, source")
+SELECT lang, count(CASE WHEN hit AND truth THEN 1 END) AS tp, count(CASE WHEN hit AND NOT truth THEN 1 END) AS fp, count(CASE WHEN NOT hit AND truth THEN 1 END) AS fn, count(CASE WHEN NOT hit AND NOT truth THEN 1 END) AS tn FROM p GROUP BY lang""")
 shared("e_overlap", """
 WITH r AS (SELECT doc_id, 'long' AS rule FROM {documents} WHERE n_chars > 2000 UNION ALL SELECT doc_id, 'toxic' FROM {labels} WHERE toxic = 1 UNION ALL SELECT doc_id, 'good' FROM {labels} WHERE quality = 1)
 SELECT a.rule AS rule_a, b.rule AS rule_b, count(*) AS n FROM r a JOIN r b ON a.doc_id = b.doc_id AND a.rule < b.rule GROUP BY a.rule, b.rule""")
@@ -106,14 +62,14 @@ shared("e_coverage_rollup", "SELECT r_name, n_name, count(*) AS n FROM {customer
 shared("e_coverage_sets", "SELECT c_mktsegment, c_nationkey, count(*) AS n FROM {customer} GROUP BY GROUPING SETS ((c_mktsegment), (c_nationkey), ())")
 shared("e_conflicts_first_seen", """
 SELECT first_id, doc_id AS conflict_id FROM (SELECT doc_id, min(doc_id) OVER (PARTITION BY <<sha2(text, 256)|||sha256(text)>>) AS first_id FROM {documents} WHERE text IS NOT NULL) x WHERE first_id <> doc_id""")
-shared("e_mutation_score", """
-SELECT source, count(CASE WHEN toxic = 1 THEN 1 END) AS killed, count(CASE WHEN toxic = 0 THEN 1 END) AS survived, coalesce(round(count(CASE WHEN toxic = 1 THEN 1 END) / CAST(nullif(count(*), 0) AS DOUBLE), 6), 0.0) AS score FROM {documents} d JOIN {labels} l ON l.doc_id = d.doc_id GROUP BY source""")
-shared("e_scorecard", "SELECT avg(CAST(toxic AS DOUBLE)) >= 0.05 AS gate, count(*) AS n, round(avg(CAST(quality AS DOUBLE)), 6) AS rate FROM {labels}")
+shared("e_scorecard", """
+WITH c AS (SELECT count(CASE WHEN n_chars > 2000 AND toxic = 1 THEN 1 END) AS tp, count(CASE WHEN n_chars > 2000 AND toxic = 0 THEN 1 END) AS fp, count(CASE WHEN n_chars <= 2000 AND toxic = 1 THEN 1 END) AS fn, count(CASE WHEN n_chars <= 2000 AND toxic = 0 THEN 1 END) AS tn FROM {documents} d JOIN {labels} l ON l.doc_id = d.doc_id)
+SELECT round(tp / CAST(nullif(tp + fn, 0) AS DOUBLE), 9) AS tp_rate, round(fp / CAST(nullif(fp + tn, 0) AS DOUBLE), 9) AS fp_rate, round(fn / CAST(nullif(tp + fn, 0) AS DOUBLE), 9) AS fn_rate, tp * 10 >= (tp + fn) * 9 AND fp * 20 <= fp + tn AS gate FROM c""")
 
 shared("u_union", "SELECT l_partkey AS k FROM {lineitem} UNION SELECT p_partkey FROM {part}")
 shared("u_intersect", "SELECT DISTINCT l_suppkey AS k FROM {lineitem} INTERSECT SELECT s_suppkey FROM {supplier} WHERE s_acctbal > 0")
 shared("u_except", "SELECT p_partkey AS k FROM {part} EXCEPT SELECT l_partkey FROM {lineitem} WHERE l_quantity > 45")
 shared("w_lag_lead", "SELECT o_orderkey, lag(o_orderkey) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS prev, lead(o_orderkey) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS next FROM {orders}")
-shared("w_rank", "SELECT o_orderkey, rank() OVER (PARTITION BY o_custkey ORDER BY o_orderpriority) AS r, dense_rank() OVER (PARTITION BY o_custkey ORDER BY o_orderpriority) AS d FROM {orders}".replace("rank()", "rank()").replace(" AS r,", " + CAST(0 AS BIGINT) AS r,").replace(" AS d FROM", " + CAST(0 AS BIGINT) AS d FROM"))
+shared("w_rank", "SELECT o_orderkey, CAST(rank() OVER (PARTITION BY o_custkey ORDER BY o_orderpriority) AS BIGINT) AS r, CAST(dense_rank() OVER (PARTITION BY o_custkey ORDER BY o_orderpriority) AS BIGINT) AS d FROM {orders}")
 shared("w_frames", "SELECT o_orderkey, round(sum(o_totalprice) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey ROWS BETWEEN 2 PRECEDING AND CURRENT ROW), 2) AS rolling, count(*) OVER (PARTITION BY o_custkey) AS n FROM {orders}")
 shared("w_ntile", "SELECT o_orderkey, CAST(ntile(4) OVER (PARTITION BY o_custkey ORDER BY o_totalprice, o_orderkey) AS BIGINT) AS q, round(percent_rank() OVER (PARTITION BY o_custkey ORDER BY o_totalprice, o_orderkey), 6) AS p FROM {orders}")

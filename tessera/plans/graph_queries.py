@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.operators import dsl, graph, paths
+from tessera.operators import dsl, graph, paths, rules
 from tessera.operators.predicates import compile_predicate
 from tessera.plans.base import query
 from tessera.tables import table
@@ -134,10 +134,10 @@ def q_limit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dsl.node("SUPPLIER").limit(5).select("id").run(*_traversal(spark, sf_dir))
 
 
-@query(f"SELECT DISTINCT id FROM (SELECT {_nid('REGION', 'n_regionkey')} AS id FROM nation WHERE n_nationkey < 3 UNION ALL SELECT {_nid('CUSTOMER', 'c_custkey')} FROM customer WHERE c_nationkey < 3 UNION ALL SELECT {_nid('SUPPLIER', 's_suppkey')} FROM supplier WHERE s_nationkey < 3)")
+@query(f"SELECT DISTINCT id FROM (SELECT {_nid('REGION', 'n_regionkey')} AS id FROM nation UNION ALL SELECT {_nid('CUSTOMER', 'c_custkey')} FROM customer UNION ALL SELECT {_nid('SUPPLIER', 's_suppkey')} FROM supplier)")
 def q_neighbors(spark: SparkSession, sf_dir: str) -> DataFrame:
     nodes, edges = _traversal(spark, sf_dir)
-    starts = table(spark, sf_dir, "nation").filter("n_nationkey < 3").select(graph.keyed("NATION", "n_nationkey").alias("id")).join(nodes, "id")
+    starts = table(spark, sf_dir, "nation").select(graph.keyed("NATION", "n_nationkey").alias("id")).join(nodes, "id")
     return graph.neighbours(starts, nodes, edges).select("id")
 
 
@@ -157,9 +157,9 @@ def g_degree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.degrees(graph.build_nodes(spark, sf_dir), graph.build_edges(spark, sf_dir))
 
 
-@query(f"WITH n AS ({_nodes_sql(('CUSTOMER', 'ORDER'))}), e AS ({_edges_sql(('PLACES',))}) SELECT id, node_type FROM n WHERE id NOT IN (SELECT src FROM e) AND id NOT IN (SELECT dst FROM e)")
+@query(f"WITH n AS ({_nodes_sql(('CUSTOMER', 'ORDER', 'NATION'))}), e AS ({_edges_sql(('PLACES',))}) SELECT id, node_type FROM n WHERE id NOT IN (SELECT src FROM e) AND id NOT IN (SELECT dst FROM e)")
 def g_orphans(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return graph.orphans(graph.build_nodes(spark, sf_dir, ("CUSTOMER", "ORDER")), graph.build_edges(spark, sf_dir, ("PLACES",)))
+    return graph.orphans(graph.build_nodes(spark, sf_dir, ("CUSTOMER", "ORDER", "NATION")), graph.build_edges(spark, sf_dir, ("PLACES",)))
 
 
 @query(f"SELECT src, dst, edge_type, 'dst' AS missing FROM ({_edges_sql(('PLACES',))}) e WHERE dst NOT IN (SELECT {_nid('ORDER', 'o_orderkey')} FROM orders WHERE o_orderstatus <> 'F')")
@@ -189,15 +189,15 @@ def g_diff_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.compare_edges(e.filter("o_orderkey % 5 <> 0").drop("o_orderkey"), e.filter("o_orderkey % 3 <> 0").drop("o_orderkey"))
 
 
-#: A graph of the types of events: which follows which for some user; backward steps only where their count divides by 3.
+#: A graph of the types of events: which follows which for some user.
 _STEPS = """t AS (SELECT event_type AS src, lead(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS dst FROM events),
-c AS (SELECT src, dst, count(*) AS n FROM t WHERE dst IS NOT NULL GROUP BY src, dst), e AS (SELECT src, dst FROM c WHERE src < dst OR n % 3 = 0)"""
+c AS (SELECT src, dst, count(*) AS n FROM t WHERE dst IS NOT NULL GROUP BY src, dst), e AS (SELECT src, dst FROM c)"""
 
 
 def transitions(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = table(spark, sf_dir, "events")
     steps = events.selectExpr("event_type AS src", "lead(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS dst").filter("dst IS NOT NULL")
-    return steps.groupBy("src", "dst").agg(F.count(F.lit(1)).alias("n")).filter("src < dst OR n % 3 = 0").select("src", "dst")
+    return steps.groupBy("src", "dst").agg(F.count(F.lit(1)).alias("n")).select("src", "dst")
 
 
 def _types(edges: DataFrame) -> DataFrame:
@@ -264,9 +264,18 @@ def g_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     return paths.components(docs.select(F.col("doc_id").alias("id")), edges)
 
 
-@query(f"SELECT {_nid('CUSTOMER', 'c_custkey')} AS id FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)")
+@query(f"SELECT {_nid('REGION', 'r_regionkey')} AS id FROM region UNION ALL SELECT {_nid('NATION', 'n_nationkey')} FROM nation WHERE n_nationkey NOT IN (SELECT s_nationkey FROM supplier)")
 def r_graph_rule_missing_edge(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Customers without a PLACES edge: a graph rule with a negated edge predicate."""
-    edges = graph.build_edges(spark, sf_dir, ("PLACES",))
-    nodes = graph.build_nodes(spark, sf_dir, ("CUSTOMER",))
-    return nodes.join(edges, nodes["id"] == edges["src"], "left_anti").select("id")
+    """Nations and regions without a supplier in them: a graph rule with a negated edge predicate."""
+    edges = graph.build_edges(spark, sf_dir, ("IN_NATION", "IN_REGION"))
+    nodes = graph.build_nodes(spark, sf_dir, ("NATION", "REGION", "SUPPLIER"))
+    rule = {"any": [{"node_type_equals": "NATION"}, {"node_type_equals": "REGION"}], "not": {"incoming_edge": {"type": "IN_NATION", "source_type": "SUPPLIER"}}}
+    return rules.matching(nodes, edges, rule).select("id")
+
+
+@query(f"SELECT {_nid('NATION', 'n_nationkey')} AS id FROM nation JOIN supplier ON s_nationkey = n_nationkey GROUP BY n_nationkey HAVING count(*) BETWEEN 3 AND 5")
+def r_graph_rule_edge_count(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nations with three to five suppliers: an edge count with bounds."""
+    nodes, edges = graph.build_nodes(spark, sf_dir, ("NATION", "SUPPLIER")), graph.build_edges(spark, sf_dir, ("IN_NATION",))
+    suppliers = edges.join(nodes.filter("node_type = 'SUPPLIER'").select(F.col("id").alias("src")), "src", "left_semi")
+    return rules.matching(nodes, suppliers, {"node_type_equals": "NATION", "edge_count": {"direction": "incoming", "type": "IN_NATION", "min": 3, "max": 5}}).select("id")

@@ -12,7 +12,7 @@ from tessera.sinks import reports
 from tessera.tables import table
 
 
-@query("""WITH r AS (SELECT event_type, dense_rank() OVER (ORDER BY event_type) - 1 AS i FROM (SELECT DISTINCT event_type FROM events))
+@query("""WITH r AS (SELECT event_type, row_number() OVER (ORDER BY min(event_id)) - 1 AS i FROM events GROUP BY event_type)
 SELECT event_id AS id, '{"ruleId":"' || e.event_type || '","ruleIndex":' || i || ',"level":"' || CASE e.event_type WHEN 'error' THEN 'error' WHEN 'purchase' THEN 'error' WHEN 'signup' THEN 'warning' ELSE 'note' END || '","message":{"text":"user ' || user_id || '"}}' AS result
 FROM events e JOIN r ON r.event_type = e.event_type""")
 def k_sarif(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -30,3 +30,15 @@ def k_prometheus(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""SELECT '  "' || src || '" -> "' || dst || '" [label="' || edge_type || '"];' AS line FROM ({_edges_sql(('IN_NATION', 'IN_REGION'))})""")
 def k_dot(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reports.dot_lines(graph.build_edges(spark, sf_dir, ("IN_NATION", "IN_REGION")))
+
+
+@query("SELECT '  ' || n_name || '[\"' || n_name || '\"] -->|IN_REGION| ' || r_name || '[\"' || r_name || '\"]' AS line FROM (SELECT regexp_replace(n_name, '[^A-Za-z0-9_]', '_', 'g') AS n_name, regexp_replace(r_name, '[^A-Za-z0-9_]', '_', 'g') AS r_name FROM nation JOIN region ON r_regionkey = n_regionkey)")
+def k_mermaid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    plain = lambda c: F.regexp_replace(c, "[^A-Za-z0-9_]", "_")
+    both = table(spark, sf_dir, "nation").join(table(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    return reports.mermaid_lines(both.select(plain("n_name").alias("src"), plain("r_name").alias("dst"), F.lit("IN_REGION").alias("edge_type")))
+
+
+@query("SELECT '{\"n_name\":\"' || n_name || '\",\"n_nationkey\":' || n_nationkey || ',\"n_regionkey\":' || n_regionkey || '}' AS value FROM nation")
+def k_json(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reports.json_lines(table(spark, sf_dir, "nation").select("n_regionkey", "n_name", "n_nationkey"))

@@ -36,42 +36,54 @@ co AS (SELECT q.item_id, p.doc_id, round(sum(qf * tf) / (max(nd.norm) * max(nq.n
 cor AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM co)"""
 
 
-def _index(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    docs = retrieval.postings(table(spark, sf_dir, "documents"), "doc_id", "text")
-    return docs, retrieval.postings(table(spark, sf_dir, "benchmark"), "item_id", "text")
+def _index(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    docs = table(spark, sf_dir, "documents")
+    return retrieval.postings(docs, "doc_id", "text"), retrieval.lengths_of(docs, "doc_id", "text"), retrieval.postings(table(spark, sf_dir, "benchmark"), "item_id", "text")
 
 
 @query(f"WITH {_POSTINGS} SELECT item_id, doc_id, score, rank FROM bmr WHERE rank <= 5")
 def t_bm25_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs, queries = _index(spark, sf_dir)
-    return retrieval.top(retrieval.bm25(docs, queries, "doc_id", "item_id"), "item_id", "doc_id", 5)
+    return retrieval.top(retrieval.bm25(*_index(spark, sf_dir), "doc_id", "item_id"), "item_id", "doc_id", 5)
 
 
 @query(f"WITH {_POSTINGS} SELECT item_id, doc_id, score, rank FROM cor WHERE rank <= 5")
 def t_cosine_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs, queries = _index(spark, sf_dir)
+    docs, _, queries = _index(spark, sf_dir)
     return retrieval.top(retrieval.cosine(docs, queries, "doc_id", "item_id"), "item_id", "doc_id", 5)
 
 
 @query(f"WITH {_POSTINGS}, u AS (SELECT item_id, doc_id, rank FROM bmr WHERE rank <= 10 UNION ALL SELECT item_id, doc_id, rank FROM cor WHERE rank <= 10), r AS (SELECT item_id, doc_id, round(sum(1.0 / (60 + rank)), 9) AS score FROM u GROUP BY item_id, doc_id), k AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM r) SELECT item_id, doc_id, score, rank FROM k WHERE rank <= 5")
 def t_rrf(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs, queries = _index(spark, sf_dir)
-    lists = [retrieval.top(f(docs, queries, "doc_id", "item_id"), "item_id", "doc_id", 10) for f in (retrieval.bm25, retrieval.cosine)]
+    docs, lengths, queries = _index(spark, sf_dir)
+    scored = retrieval.bm25(docs, lengths, queries, "doc_id", "item_id"), retrieval.cosine(docs, queries, "doc_id", "item_id")
+    lists = [retrieval.top(x, "item_id", "doc_id", 10) for x in scored]
     return retrieval.fuse(lists, "item_id", "doc_id", 5)
 
 
-_REDACT = r"(?i)(password|secret|token|api_key|apikey)([ ]*[=:][ ]*)([^ \n,;]+)"
+#: Lines put before a text, by its id, so that every kind of value stands in some of them.
+_SAMPLES = ("password = 'hunter2'", "token: os.getenv(TOKEN)", 'api_key="" and jwt=null', "secret=Vault::read, database_url = \"db://x\"", "no secret here", "PASSWORD:process.env.PW; token=abc", "auth_token = Path")
+_REDACT = r"""(auth_token|secret|password|jwt|api_key|token|database_url)\s*[:=]\s*[''"]?([^\s''";,]+)[''"]?"""
+_SAMPLED = "(SELECT doc_id, ([" + ", ".join("'" + x.replace("'", "''") + "'" for x in _SAMPLES) + f"])[doc_id % {len(_SAMPLES)} + 1] || chr(10) || coalesce(text, '') AS text FROM documents)"
+
+
+def _sampled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    line = F.element_at(F.array(*map(F.lit, _SAMPLES)), (F.col("doc_id") % len(_SAMPLES) + 1).cast("int"))
+    return table(spark, sf_dir, "documents").select("doc_id", F.concat(line, F.lit("\n"), F.coalesce("text", F.lit(""))).alias("text"))
 
 
-@query(rf"SELECT doc_id, sha256(regexp_replace(text, '{_REDACT}', '\1\2[REDACTED]', 'g')) AS sha, regexp_matches(text, '{_REDACT}') AS redacted FROM documents")
+@query(rf"SELECT doc_id, sha256(regexp_replace(text, '{_REDACT}', '\1=[REDACTED]', 'gi')) AS sha, regexp_matches(text, '{_REDACT}', 'i') AS redacted FROM {_SAMPLED}")
 def t_redact(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select("doc_id", F.sha2(text.redact("text"), 256).alias("sha"), F.col("text").rlike(text.SECRET).alias("redacted"))
+    return _sampled(spark, sf_dir).select("doc_id", F.sha2(text.redact("text"), 256).alias("sha"), F.col("text").rlike(text.SECRET).alias("redacted"))
 
 
-@query(r"""WITH v AS (SELECT doc_id, nullif(regexp_extract(text, '(?i)(?:password|secret|token|api_key|apikey)[ ]*[=:][ ]*([^ \n,;]+)', 1), '') AS v FROM documents)
-SELECT doc_id, CASE WHEN v IS NULL THEN 'NONE' WHEN regexp_matches(v, '(?i)env|getenv|\$\{') THEN 'ENV_REFERENCE' WHEN regexp_matches(v, '(?i)vault|secretsmanager') THEN 'SECRET_PROVIDER' WHEN regexp_matches(v, '^["'']{2}$') THEN 'EMPTY' WHEN lower(v) IN ('null', 'none', 'nil') THEN 'NULL' WHEN length(v) >= 8 THEN 'LITERAL_SECRET' ELSE 'UNKNOWN' END AS kind FROM v""")
+@query(rf"""WITH p AS (SELECT doc_id, unnest(regexp_extract_all(text, '{_REDACT}', 0, 'i')) AS pair, unnest(range(len(regexp_extract_all(text, '{_REDACT}', 0, 'i')))) AS place FROM {_SAMPLED}),
+v AS (SELECT doc_id, CAST(place AS INTEGER) AS place, lower(regexp_extract(pair, '^\w+', 0)) AS key, trim(CASE WHEN contains(pair, '=') THEN substr(pair, instr(pair, '=') + 1) ELSE substr(pair, instr(pair, ':') + 1) END, ' ' || chr(9) || chr(10) || chr(13)) AS v FROM p)
+SELECT doc_id, place, key, CASE WHEN regexp_matches(v, '\b(env|getenv|os\.getenv|os\.environ|process\.env)\b', 'i') THEN 'ENV_REFERENCE' WHEN regexp_matches(v, '\b(config|Secret::|Vault::|secrets_manager|key_vault|aws_secrets|Vault|SecretsManager)\b', 'i') THEN 'SECRET_PROVIDER_REFERENCE'
+WHEN regexp_matches(v, '\b(storage_path|database_path|base_path|app_path|resource_path|path\.join|Path)\b', 'i') THEN 'STATIC_CONSTANT' WHEN v IN ('', chr(39) || chr(39), '""') THEN 'EMPTY_LITERAL' WHEN lower(v) IN ('null', 'none', 'undefined') THEN 'NULL_LITERAL'
+WHEN length(v) > 2 AND (starts_with(v, chr(39)) AND ends_with(v, chr(39)) OR starts_with(v, '"') AND ends_with(v, '"')) THEN 'LITERAL_SECRET' ELSE 'UNKNOWN' END AS kind FROM v""")
 def t_secret_class(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select("doc_id", text.secret_kind("text").alias("kind"))
+    """Every pair in a text that looks like a secret, and what its value is."""
+    return text.secrets(_sampled(spark, sf_dir), "doc_id", "text")
 
 
 #: Addresses of each zone, judged beside the pages' own.

@@ -1 +1 @@
-
+"""Files and manifests as tables."""
