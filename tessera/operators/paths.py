@@ -1,4 +1,4 @@
-"""Reachability, paths, components, cycles, orders and dominators as rounds of joins.
+"""Reachability, paths, components, cycles and orders as rounds of joins.
 
 Every round is written to the shared folder; rounds end when nothing is new or
 the depth is reached. Edges: src, dst.
@@ -26,18 +26,6 @@ def distances(starts: DataFrame, edges: DataFrame, depth: int) -> DataFrame:
     return seen
 
 
-def closure(edges: DataFrame) -> DataFrame:
-    """src, dst for every pair with a path of at least one edge; paths double in each round."""
-    own = cut(edges.select("src", "dst").distinct())
-    n = own.count()
-    while True:
-        further = own.alias("a").join(own.alias("b"), F.col("a.dst") == F.col("b.src")).select("a.src", "b.dst")
-        own = cut(own.unionByName(further).distinct())
-        if (m := own.count()) == n:
-            return own
-        n = m
-
-
 def simple_paths(starts: DataFrame, edges: DataFrame, depth: int) -> DataFrame:
     """path: every path without a repeated node, of 1 to depth edges."""
     front = starts.select(F.array("id").alias("path"))
@@ -79,16 +67,44 @@ def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
             return labels
 
 
+def _reaching_least(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """id and the least id that reaches it along edges, itself included; nodes whose label fell go on."""
+    labels = cut(nodes.select("id", F.col("id").alias("comp")))
+    front = labels
+    while not front.isEmpty():
+        near = front.join(edges, front["id"] == edges["src"]).groupBy(F.col("dst").alias("id")).agg(F.min("comp").alias("c"))
+        new = cut(labels.join(near, "id", "left").select("id", F.least("comp", F.coalesce("c", "comp")).alias("comp"), (F.coalesce("c", "comp") < F.col("comp")).alias("moved")))
+        labels, front = new.select("id", "comp"), new.filter("moved").select("id", "comp")
+    return labels
+
+
 def strong_components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """id and the least id that it reaches and that reaches it."""
-    reach = closure(edges)
-    mutual = reach.join(reach.select(F.col("dst").alias("src"), F.col("src").alias("dst")), ["src", "dst"])
-    least = mutual.groupBy(F.col("src").alias("id")).agg(F.min("dst").alias("m"))
-    return nodes.select("id").join(least, "id", "left").select("id", F.least("id", F.coalesce("m", "id")).alias("comp"))
+    """id and the least id that it reaches and that reaches it.
+
+    By colours: of nodes with the same least node that reaches them, those that lead back to it are its component and
+    leave; the others are coloured again. No pairs of nodes are made.
+    """
+    left, own, done = cut(nodes.select("id").distinct()), cut(edges.select("src", "dst").distinct()), None
+    while not left.isEmpty():
+        colour = _reaching_least(left, own)
+        same = cut(own.join(colour.select(F.col("id").alias("src"), F.col("comp").alias("a")), "src").join(colour.select(F.col("id").alias("dst"), F.col("comp").alias("b")), "dst").filter("a = b").select("src", "dst"))
+        found = front = cut(colour.filter("id = comp"))
+        while not front.isEmpty():
+            near = front.join(same, front["id"] == same["dst"]).select(F.col("src").alias("id"), "comp").distinct()
+            front = cut(near.join(found, "id", "left_anti"))
+            found = cut(found.unionByName(front))
+        done = found if done is None else done.unionByName(found)
+        left = cut(left.join(found, "id", "left_anti"))
+        own = cut(own.join(left.withColumnRenamed("id", "src"), "src", "left_semi").join(left.withColumnRenamed("id", "dst"), "dst", "left_semi"))
+    return done if done is not None else nodes.select("id", F.col("id").alias("comp"))
 
 
 def on_cycles(edges: DataFrame) -> DataFrame:
-    return closure(edges).filter("src = dst").select(F.col("src").alias("id"))
+    """Nodes of components of several nodes, and those with an edge to themselves."""
+    ids = edges.select(F.col("src").alias("id")).unionByName(edges.select(F.col("dst").alias("id"))).distinct()
+    comp = cut(strong_components(ids, edges))
+    many = comp.groupBy("comp").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    return comp.join(many, "comp").select("id").unionByName(edges.filter("src = dst").select(F.col("src").alias("id"))).distinct()
 
 
 def levels(nodes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -107,22 +123,3 @@ def levels(nodes: DataFrame, edges: DataFrame) -> DataFrame:
         level += 1
     rest = left.withColumn("level", F.lit(None).cast("int"))
     return rest if done is None else done.unionByName(rest)
-
-
-def dominators(nodes: DataFrame, edges: DataFrame, entry: str, depth: int) -> DataFrame:
-    """id, dom: dom is on every path from the entry to id. A node dominates what can't be reached without it."""
-    own = cut(edges.select("src", "dst").distinct())
-    all_ids = cut(nodes.select("id").distinct())
-    reached = cut(distances(all_ids.filter(F.col("id") == entry), own, depth).select("id"))
-    without = all_ids.select(F.col("id").alias("dom")).filter(F.col("dom") != entry)
-    seen = cut(without.select("dom", F.lit(entry).alias("id")))
-    front = seen
-    for _ in range(depth):
-        near = front.join(own, front["id"] == own["src"]).select("dom", F.col("dst").alias("id")).filter("dom <> id").distinct()
-        front = cut(near.join(seen, ["dom", "id"], "left_anti"))
-        if front.isEmpty():
-            break
-        seen = cut(seen.unionByName(front))
-    # of one graph of functions' size; a larger one is cut by function before
-    every = reached.crossJoin(reached.select(F.col("id").alias("dom")))
-    return every.join(seen, ["dom", "id"], "left_anti").select("id", "dom")

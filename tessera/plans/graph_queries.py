@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.operators import dsl, graph, paths, rules
+from tessera.operators import dsl, graph, paths, rules, small_graphs
 from tessera.operators.predicates import compile_predicate
 from tessera.plans.base import query
 from tessera.tables import table
@@ -238,8 +238,15 @@ def g_scc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH RECURSIVE {_STEPS}, n AS (SELECT src AS id FROM e UNION SELECT dst FROM e), r(dom, id) AS (SELECT n.id, 'click' FROM n WHERE n.id <> 'click' UNION SELECT r.dom, e.dst FROM r JOIN e ON e.src = r.id WHERE e.dst <> r.dom), k(id) AS (SELECT 'click' UNION SELECT e.dst FROM k JOIN e ON e.src = k.id) SELECT a.id, d.id AS dom FROM k a, k d WHERE NOT EXISTS (SELECT 1 FROM r WHERE r.dom = d.id AND r.id = a.id)")
 def g_dominators(spark: SparkSession, sf_dir: str) -> DataFrame:
-    edges = transitions(spark, sf_dir)
-    return paths.dominators(_types(edges), edges, "click", 10)
+    edges = small_graphs.as_one(transitions(spark, sf_dir))
+    return small_graphs.dominators(edges, spark.createDataFrame([(0, "click")], "graph int, id string")).select("id", "dom")
+
+
+@query(f"WITH RECURSIVE {_STEPS}, r(id, hops) AS (SELECT 'click', 0 UNION SELECT e.dst, r.hops + 1 FROM r JOIN e ON e.src = r.id WHERE r.hops < 6) SELECT id, CAST(min(hops) AS BIGINT) AS hops FROM r GROUP BY id")
+def g_visits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Breadth-first visits; the order of visits is tested on small graphs."""
+    edges = small_graphs.as_one(transitions(spark, sf_dir))
+    return small_graphs.visits(edges, spark.createDataFrame([(0, "click")], "graph int, id string")).select("id", "hops")
 
 
 @query(f"SELECT {_nid('SUPPLIER', 's_suppkey')} AS id, 0 AS level FROM supplier UNION ALL SELECT {_nid('CUSTOMER', 'c_custkey')}, 0 FROM customer UNION ALL SELECT {_nid('NATION', 'n_nationkey')}, 1 FROM nation UNION ALL SELECT {_nid('REGION', 'r_regionkey')}, 2 FROM region")

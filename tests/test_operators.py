@@ -1,11 +1,12 @@
 import json
 import math
+import random
 
 import pytest
 from pyspark.sql import functions as F
 
 from tessera.functions import text
-from tessera.operators import dataflow, decisions, dsl, evaluation, findings, graph, lookup, paths, retrieval, rules
+from tessera.operators import dataflow, decisions, dsl, evaluation, findings, graph, lookup, paths, retrieval, rules, small_graphs
 from tessera.operators.predicates import as_text, compile_predicate
 from tessera.sinks import reports
 from tessera.sources import files
@@ -72,10 +73,42 @@ def test_paths(g, spark):
     assert {r["id"]: r["comp"] for r in paths.strong_components(nodes, real).collect()} == {"n1": "n1", "n2": "n1", "n3": "n1", "n4": "n4", "n5": "n5"}
     assert {r["id"]: r["comp"] for r in paths.components(nodes, real).collect()}["n4"] == "n1"
     assert {r["id"]: r["level"] for r in paths.levels(nodes, real).collect()} == {"n5": 0, "n1": None, "n2": None, "n3": None, "n4": None}
-    dom = {(r["id"], r["dom"]) for r in paths.dominators(nodes, real, "n1", 9).collect()}
+    assert {r["id"] for r in paths.on_cycles(real).collect()} == {"n1", "n2", "n3", "n4"}
+    one = small_graphs.as_one(real)
+    dom = {(r["id"], r["dom"]) for r in small_graphs.dominators(one, spark.createDataFrame([(0, "n1")], "graph int, id string")).collect()}
     assert ("n4", "n3") in dom and ("n4", "n1") in dom and ("n3", "n4") not in dom
 
 
+def test_small_graphs(spark):
+    rows = [("f", *e) for e in ((1, 2), (1, 3), (2, 4), (3, 4), (4, 2), (4, 5))] + [("g", 1, 1), ("g", 2, 1)]
+    edges = spark.createDataFrame(rows, "graph string, src int, dst int")
+    starts = spark.createDataFrame([("f", 1), ("g", 2), ("h", 7)], "graph string, id int")
+    order = lambda **k: {g: [r["id"] for r in sorted(small_graphs.visits(edges, starts, **k).collect(), key=lambda r: r["place"]) if r["graph"] == g] for g in "fgh"}
+    assert order() == {"f": [1, 2, 3, 4, 5], "g": [2, 1], "h": [7]} and order(depth_first=True)["f"] == [1, 2, 4, 5, 3]
+    assert order(depth=1)["f"] == [1, 2, 3] and order(depth=-1) == {"f": [], "g": [], "h": []}
+    back = spark.createDataFrame([("f", 5)], "graph string, id int")
+    assert [r["id"] for r in sorted(small_graphs.visits(edges, back, reverse=True).collect(), key=lambda r: r["place"])] == [5, 4, 2, 3, 1]
+    pairs = spark.createDataFrame([("f", 1, 5)], "graph string, src int, dst int")
+    assert [r["path"] for r in sorted(small_graphs.bounded_paths(edges, pairs).collect(), key=lambda r: r["number"])] == [[1, 2, 4, 5], [1, 3, 4, 5]]
+    assert small_graphs.bounded_paths(edges, pairs, most_paths=1).count() == 1 and small_graphs.bounded_paths(edges, pairs, most_nodes=3).count() == 0
+    comp = {(r["graph"], r["id"]): (r["comp"], r["place"]) for r in small_graphs.strong_components(edges).collect()}
+    assert comp["f", 2][0] == comp["f", 4][0] == 2 and comp["f", 5][1] < comp["f", 4][1] < comp["f", 3][1] < comp["f", 1][1] and comp["g", 1][1] < comp["g", 2][1]
+
+
+def test_strong_components_of_random_graphs(spark):
+    rng = random.Random(3)
+    rows = [(rng.randrange(14), rng.randrange(14)) for _ in range(22)]
+    edges = spark.createDataFrame(rows, "src int, dst int")
+    nodes = spark.createDataFrame([(i,) for i in range(14)], "id int")
+    reach = {i: {i} for i in range(14)}
+    for _ in range(14):
+        for a, b in rows:
+            for r in reach.values():
+                if a in r:
+                    r.add(b)
+    assert {r["id"]: r["comp"] for r in paths.strong_components(nodes, edges).collect()} == {i: min(j for j in reach[i] if i in reach[j]) for i in reach}
+
+
 def test_chain(spark):
     rows = spark.createDataFrame([(1, "2024-01-01", 1, "a"), (1, "2024-01-02", 2, "b"), (2, "2024-01-01", 3, "a")], "user_id long, ts string, event_id long, event_type string")
     chain = chained(rows)
