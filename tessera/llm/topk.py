@@ -102,19 +102,19 @@ def top_k(df: DataFrame, queries: DataFrame, id_col: str, vector_col: str, k: in
     vectors = materialise(integer_vectors(df, id_col, vector_col), "vectors")
     asked = materialise(integer_vectors(queries, id_col, vector_col), "asked")
 
-    def parts_of(rows: DataFrame, size: int) -> DataFrame:
-        """How many parts of about so many rows each length makes; few lengths, so it is sent to all tasks."""
+    def parts_of(rows: DataFrame, size: int) -> tuple[DataFrame, int]:
+        """How many parts of about so many rows each length makes, which is sent to all tasks as lengths are few; and all of them."""
         found = rows.groupBy("dims").agg(F.ceil(F.count(F.lit(1)) / size).alias("parts")).limit(LENGTHS + 1).collect()
         if len(found) > LENGTHS:
             raise ValueError(f"vectors of more than {LENGTHS} lengths")
-        return F.broadcast(spark.createDataFrame([(r["dims"], r["parts"]) for r in found], "dims int, parts long"))
+        return F.broadcast(spark.createDataFrame([(r["dims"], r["parts"]) for r in found], "dims int, parts long")), sum(r["parts"] for r in found)
 
     def parted(rows: DataFrame, parts: DataFrame, name: str) -> DataFrame:
         return rows.join(parts, "dims").withColumn(name, F.pmod(F.xxhash64("id", "v"), F.col("parts"))).select("dims", name, "id", "v")
 
-    n_shards = parts_of(vectors, SHARD)
+    (n_shards, some_shards), (n_blocks, some_blocks) = parts_of(vectors, SHARD), parts_of(asked, QUERY_BLOCK)
     shards = materialise(_packed(parted(vectors, n_shards, "shard"), "shard"), "shards")
-    blocks = materialise(_packed(parted(asked, parts_of(asked, QUERY_BLOCK), "block"), "block"), "blocks")
+    blocks = materialise(_packed(parted(asked, n_blocks, "block"), "block"), "blocks")
     # every block of queries is held against all shards of its length, as an exact answer asks
     pairs = blocks.withColumnsRenamed({"ids": "q_ids", "m": "q_m"}).join(n_shards, "dims")
     pairs = pairs.withColumn("shard", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1))).join(shards, ["dims", "shard"])
@@ -130,7 +130,7 @@ def top_k(df: DataFrame, queries: DataFrame, id_col: str, vector_col: str, k: in
                 yield pd.DataFrame({"query_id": np.repeat([f[0] for f in found], [len(f[1]) for f in found]), "vec_id": np.concatenate([f[1] for f in found]), "high": (score >> 62).astype(np.int64), "low": (score & LOW).astype(np.int64)})
 
     with arrow_rows(spark, 16):
-        dealt = pairs.repartition(max(1, shards.count() * blocks.count() // 4), "dims", "shard", "block")
+        dealt = pairs.repartition(max(1, some_shards * some_blocks), "dims", "shard", "block")
         found = materialise(dealt.mapInPandas(search, "query_id long, vec_id long, high long, low long"), "found")
     ranked = found.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("high"), F.desc("low"), "vec_id")))
     fits = F.shiftleft("high", 62) + F.col("low")
