@@ -57,16 +57,16 @@ def build_nodes(spark: SparkSession, sf_dir: str, kinds: tuple[str, ...] = tuple
     return reduce(DataFrame.unionByName, map(one, kinds))
 
 
-def build_edges(spark: SparkSession, sf_dir: str, types: tuple[str, ...] | None = None) -> DataFrame:
-    """Distinct edges; several of the same type between two nodes are one."""
-    parts = [table(spark, sf_dir, t).select(keyed(a, x).alias("src"), keyed(b, y).alias("dst"), F.lit(e).alias("edge_type")) for e, t, a, x, b, y in LINKS if types is None or e in types]
-    return reduce(DataFrame.unionByName, parts).distinct()
+def key_edges(spark: SparkSession, sf_dir: str, edge_type: str) -> DataFrame:
+    """src_type, src, dst_type, dst of the distinct edges of a type, by the keys of their tables: for long ways, whose ends are named last."""
+    parts = [table(spark, sf_dir, t).select(F.lit(a).alias("src_type"), F.col(x).cast("long").alias("src"), F.lit(b).alias("dst_type"), F.col(y).cast("long").alias("dst")).distinct() for e, t, a, x, b, y in LINKS if e == edge_type]
+    return reduce(DataFrame.unionByName, parts)
 
 
-def latest(nodes: DataFrame, order: str) -> DataFrame:
-    """The last writer of each id wins."""
-    cols = [c for c in nodes.columns if c != "id"]
-    return nodes.groupBy("id").agg(F.max_by(F.struct(*cols), order).alias("x")).select("id", "x.*")
+def build_edges(spark: SparkSession, sf_dir: str, types: tuple[str, ...] | None = None) -> DataFrame:
+    """Distinct edges; several of the same type between two nodes are one. Keys are made distinct before they are hashed."""
+    parts = [table(spark, sf_dir, t).select(x, y).distinct().select(keyed(a, x).alias("src"), keyed(b, y).alias("dst"), F.lit(e).alias("edge_type")) for e, t, a, x, b, y in LINKS if types is None or e in types]
+    return reduce(DataFrame.unionByName, parts)
 
 
 def link_colocated(nodes: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -96,10 +96,11 @@ def neighbours(current: DataFrame, nodes: DataFrame, edges: DataFrame) -> DataFr
 
 
 def degrees(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """id, n_out and n_in of every node; counted before joining, so hubs don't skew the join."""
-    out = edges.groupBy(F.col("src").alias("id")).agg(F.count(F.lit(1)).alias("n_out"))
-    into = edges.groupBy(F.col("dst").alias("id")).agg(F.count(F.lit(1)).alias("n_in"))
-    return nodes.select("id", "node_type").join(out, "id", "left").join(into, "id", "left").na.fill(0, ["n_out", "n_in"])
+    """id, n_out and n_in of every node; both ends of an edge are counted in one pass, before joining, so hubs don't skew the join."""
+    end = lambda name, out: F.struct(F.col(name).alias("id"), F.lit(out).alias("out"), F.lit(1 - out).alias("in"))
+    ends = edges.select(F.explode(F.array(end("src", 1), end("dst", 0))).alias("e"))
+    counts = ends.groupBy("e.id").agg(F.sum("e.out").alias("n_out"), F.sum("e.in").alias("n_in"))
+    return nodes.select("id", "node_type").join(counts, "id", "left").na.fill(0, ["n_out", "n_in"])
 
 
 def orphans(nodes: DataFrame, edges: DataFrame) -> DataFrame:

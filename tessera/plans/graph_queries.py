@@ -47,13 +47,12 @@ JOIN (SELECT DISTINCT l_partkey, l_suppkey FROM lineitem) s ON s.l_partkey = c.l
 """)
 def q_flagship_suppliers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """From each BUILDING customer over PLACES, CONTAINS and SUPPLIED_BY: how many suppliers it reaches. Each hop keeps distinct pairs only."""
-    nodes = graph.build_nodes(spark, sf_dir, ("CUSTOMER",))
-    edges = graph.build_edges(spark, sf_dir, ("PLACES", "CONTAINS", "SUPPLIED_BY"))
-    at = dsl.node("CUSTOMER").where(c_mktsegment="BUILDING").run(nodes, edges).select("id", F.col("id").alias("at"))
+    at = table(spark, sf_dir, "customer").filter("c_mktsegment = 'BUILDING'").select(F.col("c_custkey").alias("start"), F.col("c_custkey").alias("at"))
     for kind in ("PLACES", "CONTAINS", "SUPPLIED_BY"):
-        hop = edges.filter(F.col("edge_type") == kind).select(F.col("src").alias("at"), "dst")
-        at = at.join(hop, "at").select("id", F.col("dst").alias("at")).distinct()
-    return at.groupBy("id").agg(F.count(F.lit(1)).alias("n_suppliers"))
+        hop = graph.key_edges(spark, sf_dir, kind).select(F.col("src").alias("at"), "dst")
+        at = at.join(hop, "at").select("start", F.col("dst").alias("at")).distinct()
+    counts = at.groupBy("start").agg(F.count(F.lit(1)).alias("n_suppliers"))
+    return counts.select(graph.keyed("CUSTOMER", "start").alias("id"), "n_suppliers")
 
 
 @query(f"SELECT id, node_type, label, file_path, line_number, array_to_string(labels, ',') AS labels FROM ({_nodes_sql(ALL)})")

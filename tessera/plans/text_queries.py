@@ -43,7 +43,9 @@ def _index(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, Data
 
 @query(f"WITH {_POSTINGS} SELECT item_id, doc_id, score, rank FROM bmr WHERE rank <= 5")
 def t_bm25_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return retrieval.top(retrieval.bm25(*_index(spark, sf_dir), "doc_id", "item_id"), "item_id", "doc_id", 5)
+    docs, queries = table(spark, sf_dir, "documents"), retrieval.postings(table(spark, sf_dir, "benchmark"), "item_id", "text")
+    index = retrieval.postings(docs, "doc_id", "text", queries)
+    return retrieval.top(retrieval.bm25(index, retrieval.lengths_of(docs, "doc_id", "text"), queries, "doc_id", "item_id"), "item_id", "doc_id", 5)
 
 
 @query(f"WITH {_POSTINGS} SELECT item_id, doc_id, score, rank FROM cor WHERE rank <= 5")
