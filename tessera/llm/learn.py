@@ -17,14 +17,23 @@ def remainder(id_col: str, n: int) -> Column:
     return F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")) % n
 
 
+def hashed(docs: DataFrame) -> DataFrame:
+    """docs (with a column text) and a hash of the text, to be taken before a join, so that counting texts needn't move them."""
+    return docs.withColumn(HASH, F.xxhash64(F.lit(7), F.coalesce(F.col("text").cast("string"), F.lit(""))))
+
+
+HASH = "_text_hash"
+
+
 def sample(rows: DataFrame, label: str, per_label: int, max_labels: int = 1000, id_col: str | None = None) -> pd.DataFrame:
     """At most per_label texts of each label, chosen by their hash; columns text, label and id (0 without id_col).
 
     The counts are of the distinct texts of all rows; a share of each label's hash range is then read, about twice
     what is kept. A text counts once for each label it has; its id is the least of its rows'.
     """
+    rows = rows if HASH in rows.columns else hashed(rows)
     own = F.col(id_col).cast("long") if id_col else F.lit(0).cast("long")
-    rows = rows.select(F.coalesce(F.col("text"), F.lit("")).alias("text"), F.col(label).alias("label"), own.alias("id"), F.xxhash64(F.lit(7), F.coalesce(F.col("text"), F.lit(""))).alias("h"))
+    rows = rows.select(F.coalesce(F.col("text"), F.lit("")).alias("text"), F.col(label).alias("label"), own.alias("id"), F.col(HASH).alias("h"))
     counts = {r["label"]: max(1, r["n"]) for r in rows.groupBy("label").agg(F.approx_count_distinct("h").alias("n")).limit(max_labels + 1).collect()}
     if len(counts) > max_labels:
         raise ValueError(f"more than {max_labels} labels")

@@ -91,6 +91,6 @@ def score(docs: DataFrame, model: Model, keep: list[str]) -> DataFrame:
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "quality").filter("quality IS NOT NULL")
-    model = fit(docs.join(labels, "doc_id").filter(learn.remainder("doc_id", 3) != 1), "quality")
+    model = fit(learn.hashed(docs).join(labels, "doc_id").filter(learn.remainder("doc_id", 3) != 1), "quality")
     held = (learn.remainder("doc_id", 3) == 1).alias("held_out")
     return score(docs, model, ["doc_id"]).select("doc_id", held, "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
