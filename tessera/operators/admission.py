@@ -152,7 +152,7 @@ def hash_context(argument: Column, variable: Column, statements: Column) -> Colu
     """What a weak hash is used for: how it is used comes before how its variable is named; what is unclear stays UNKNOWN."""
     text, given, name = (F.lower(F.coalesce(c, F.lit(""))) for c in (statements, argument, variable))
     secret = _any_in(given, PASSWORDS + CREDENTIALS) | _any_in(text, PASSWORDS + CREDENTIALS)
-    quoted = F.concat(F.lit(r"\$\w+\s*\[\s*(?:\Q"), F.replace(F.coalesce(variable, F.lit("")), F.lit("\\E"), F.lit("")), F.lit(r"\E|md5|sha1|hash)\s*\]"))
+    quoted = F.concat(F.lit(r"\$\w+\s*\[\s*(?:\Q"), F.replace(F.coalesce(variable, F.lit("")), F.lit("\\E"), F.lit(r"\E\\E\Q")), F.lit(r"\E|md5|sha1|hash)\s*\]"))
     return (
         F.when(secret & (_any_in(given, PASSWORDS) | _any_in(text, PASSWORDS[:1])), "PASSWORD_HASH").when(secret, "SECURITY_TOKEN")
         .when(F.rlike(text, quoted) | _any_in(text, ("array_key_exists",)), "NON_SECURITY_IDENTIFIER").when(_any_in(text, CHECKSUMS), "CHECKSUM")

@@ -128,7 +128,6 @@ def gate(rows: DataFrame) -> DataFrame:
         ((p == "CRITICAL") & (r == "REQUIRED") & F.coalesce(F.col("block_unknown"), F.lit(True)), "BLOCK", 6), ((p == "CRITICAL") & (r == "REQUIRED"), "REVIEW", 6),
         ((p == "HIGH") & (r == "REQUIRED"), "REVIEW", 7), (r == "RECOMMENDED", "REVIEW", None), (low, "REVIEW", 10),
     ]
-    made = F.lit(None).cast("struct<decision:string,failed_rule:int>")
     made = F.struct(F.lit("ALLOW").alias("decision"), F.lit(None).cast("int").alias("failed_rule"))
     for when, decision, rule in reversed(ladder):
         made = F.when(when, F.struct(F.lit(decision).alias("decision"), F.lit(rule).cast("int").alias("failed_rule"))).otherwise(made)

@@ -119,11 +119,11 @@ def s_hash_context(spark: SparkSession, sf_dir: str) -> DataFrame:
     return own.select("doc_id", ad.hash_context(_pick("doc_id", *_USED), _pick("doc_id", *_HELD), F.col("t")).alias("context"))
 
 
-@query("""WITH b AS (SELECT DISTINCT l_suppkey AS f, l_linenumber AS r FROM lineitem WHERE l_returnflag = 'R'), c AS (SELECT DISTINCT l_suppkey AS f, l_linenumber AS r FROM lineitem WHERE l_returnflag = 'A'),
+@query("""WITH b AS (SELECT DISTINCT l_orderkey AS f, l_linenumber AS r FROM lineitem WHERE l_returnflag = 'R'), c AS (SELECT DISTINCT l_orderkey AS f, l_linenumber AS r FROM lineitem WHERE l_returnflag = 'A'),
 d AS (SELECT coalesce(b.f, c.f) AS fixture_id, count(*) FILTER (b.f IS NULL) AS added, count(*) FILTER (c.f IS NULL) AS removed FROM b FULL JOIN c ON b.f = c.f AND b.r = c.r GROUP BY 1)
 SELECT *, CASE WHEN added > 0 AND removed > 0 THEN 'MISMATCH' WHEN added > 0 THEN 'ADDED' WHEN removed > 0 THEN 'REMOVED' ELSE 'EQUIVALENT' END AS status FROM d""")
 def e_detectors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    own = lambda flag: table(spark, sf_dir, "lineitem").filter(F.col("l_returnflag") == flag).select(F.col("l_suppkey").alias("fixture_id"), F.col("l_linenumber").cast("string").alias("rule_id"), F.lit("p").alias("property_name"), F.lit(None).cast("string").alias("knowledge_pack"), F.lit("HIGH").alias("severity"))
+    own = lambda flag: table(spark, sf_dir, "lineitem").filter(F.col("l_returnflag") == flag).select(F.col("l_orderkey").alias("fixture_id"), F.col("l_linenumber").cast("string").alias("rule_id"), F.lit("p").alias("property_name"), F.lit(None).cast("string").alias("knowledge_pack"), F.lit("HIGH").alias("severity"))
     return ad.detector_difference(own("R"), own("A"))
 
 
@@ -138,7 +138,7 @@ def e_epistemic_change(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("""SELECT p_partkey AS rule_id, CASE WHEN p_size % 3 <> 0 AND p_partkey % 4 <> 0 THEN 'NO_CONDITION' ELSE '' END || '|' || CASE WHEN p_size % 5 = 0 THEN 'NO_LANGUAGE' ELSE '' END AS issues FROM part WHERE p_size % 3 <> 0 AND p_partkey % 4 <> 0 OR p_size % 5 = 0""")
 def e_dead_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rules = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("rule_id"), F.when(F.col("p_size") % 3 == 0, F.col("p_name")).otherwise("").alias("pattern"), F.when(F.col("p_partkey") % 4 == 0, F.array("p_brand")).alias("symbol_triggers"), F.when(F.col("p_size") % 5 == 0, F.array().cast("array<string>")).otherwise(F.array("p_type" if "p_type" in table(spark, sf_dir, "part").columns else "p_brand")).alias("languages"))
+    rules = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("rule_id"), F.when(F.col("p_size") % 3 == 0, F.col("p_name")).otherwise("").alias("pattern"), F.when(F.col("p_partkey") % 4 == 0, F.array("p_brand")).alias("symbol_triggers"), F.when(F.col("p_size") % 5 == 0, F.array().cast("array<string>")).otherwise(F.array("p_brand")).alias("languages"))
     has = lambda x: F.when(F.array_contains("issues", x), x).otherwise("")
     return ad.dead_rules(rules).select("rule_id", F.concat(has("NO_CONDITION"), F.lit("|"), has("NO_LANGUAGE")).alias("issues"))
 
@@ -156,14 +156,14 @@ def d_ssa(spark: SparkSession, sf_dir: str) -> DataFrame:
     _, cfg, defs = _functions(spark, sf_dir)
     versions, reached = ssa.converted(cfg, defs)
     operands = reached.groupBy("fn", "node", "var").agg(F.array_join(F.array_sort(F.collect_set("version")), ",").alias("operands")).withColumn("phi", F.lit(True))
-    return versions.join(operands, ["fn", "node", "var", "phi"], "left").select("fn", "node", "var", "version", "phi", "operands")
+    return versions.join(operands, ["fn", "node", "var", "phi"], "left").select("fn", "node", "var", F.col("version").cast("long").alias("version"), "phi", "operands")
 
 
 @query(f"WITH RECURSIVE {_SSA} SELECT l.fn, l.node, u.var, coalesce((SELECT v.version FROM v WHERE v.fn = l.fn AND v.node = l.node AND v.var = u.var AND v.phi), (SELECT max(z.version) FROM q JOIN z ON z.fn = q.fn AND z.node = q.def AND z.var = q.var WHERE q.fn = l.fn AND q.node = l.node AND q.var = u.var), 0) AS version FROM l CROSS JOIN (VALUES ('x'), ('y')) u(var)")
 def d_ssa_uses(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every statement uses both variables."""
     nodes, cfg, defs = _functions(spark, sf_dir)
-    return ssa.used(*ssa.converted(cfg, defs), nodes.withColumn("var", F.explode(F.array(F.lit("x"), F.lit("y")))))
+    return ssa.used(*ssa.converted(cfg, defs), nodes.withColumn("var", F.explode(F.array(F.lit("x"), F.lit("y"))))).withColumn("version", F.col("version").cast("long"))
 
 
 _TAINTS = ("UNTAINTED", "TAINTED", "SANITIZED", "UNTAINTED", "CONSTRAINED", "UNTAINTED", None)
@@ -225,12 +225,12 @@ def x_routing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return workers.routed(asked, REGISTRY).select("l_orderkey", "l_linenumber", "l_partkey", chosen.alias("chosen"), "cost")
 
 
-@query("""WITH s AS (SELECT c_nationkey AS k, o_orderdate >= TIMESTAMP '1996-01-01' AS late, count(*) FILTER (o_orderpriority LIKE '1%') AS c, count(*) FILTER (o_orderpriority LIKE '2%') AS h FROM orders JOIN customer ON c_custkey = o_custkey GROUP BY 1, 2), b AS (SELECT * FROM s WHERE NOT late AND k % 3 <> 0)
+@query("""WITH s AS (SELECT c_nationkey AS k, o_orderkey % 2 = 0 AS late, count(*) FILTER (o_orderpriority LIKE '1%') AS c, count(*) FILTER (o_orderpriority LIKE '2%') AS h FROM orders JOIN customer ON c_custkey = o_custkey GROUP BY 1, 2), b AS (SELECT * FROM s WHERE NOT late AND k % 3 <> 0)
 SELECT CASE WHEN s.k <> 5 THEN 't' || s.k END AS target_id, s.c, CASE WHEN s.k = 5 THEN 'INVALID_INPUT' WHEN b.k IS NULL THEN 'MISSING_BASELINE' WHEN s.c > b.c THEN 'CRITICAL_DRIFT' WHEN s.h > b.h THEN 'POSTURE_DRIFT' ELSE 'NO_DRIFT' END AS drift FROM s LEFT JOIN b ON b.k = s.k WHERE s.late""")
 def x_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Orders of each nation from 1996 on against those before as its registered baseline, which every third nation lacks."""
+    """Even orders of each nation against the odd ones as its registered baseline, which every third nation lacks."""
     own = table(spark, sf_dir, "orders").join(table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("o_custkey"), F.col("c_nationkey").alias("k")), "o_custkey")
-    snap = own.groupBy("k", (F.col("o_orderdate") >= "1996-01-01").alias("late")).agg(F.struct(F.count_if(F.col("o_orderpriority").startswith("1")).alias("critical"), F.count_if(F.col("o_orderpriority").startswith("2")).alias("high"), F.lit("p").alias("policy")).alias("snapshot"))
+    snap = own.groupBy("k", (F.col("o_orderkey") % 2 == 0).alias("late")).agg(F.struct(F.count_if(F.col("o_orderpriority").startswith("1")).alias("critical"), F.count_if(F.col("o_orderpriority").startswith("2")).alias("high"), F.lit("p").alias("policy")).alias("snapshot"))
     named = snap.withColumn("target_id", F.when(F.col("k") != 5, F.concat(F.lit("t"), F.col("k").cast("string"))))
     found = workers.verified_targets(named.filter("late").select("target_id", "snapshot"), named.filter("NOT late AND k % 3 <> 0").select("target_id", "snapshot"))
     return found.select("target_id", F.col("snapshot.critical").alias("c"), "drift")
