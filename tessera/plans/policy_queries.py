@@ -243,3 +243,26 @@ def k_graph_kept(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = f"{shared_folder(spark)}/graph-{uuid.uuid4().hex}"
     graphs.save(edges.select(F.col("src").alias("id")).distinct(), edges, path, "json.gz")
     return graphs.load(spark, path)[1].select("src", "dst", "edge_type")
+
+
+@query(f"""WITH RECURSIVE {_ROWS}, w AS (SELECT user_id, event_id, k, ts, {_sql('event_id', 'a', 'b', 'a')} AS own, 40000 + event_id % 7 * 30000 AS s FROM e),
+r AS (SELECT DISTINCT user_id, CAST(0 AS BIGINT) AS event_id, CAST(0 AS BIGINT) AS k, '' AS owner, CAST(0 AS DOUBLE) AS until, 0 AS token, '' AS o FROM events
+UNION ALL SELECT user_id, event_id, k, CASE WHEN free OR own = owner THEN own ELSE owner END, CASE WHEN free OR own = owner THEN epoch(ts) + s ELSE until END, token + free::INT, CASE WHEN free OR own = owner THEN 'HELD ' || token + free::INT ELSE 'REFUSED' END
+FROM (SELECT w.*, r.owner, r.until, r.token, epoch(w.ts) >= r.until AS free FROM r JOIN w ON w.user_id = r.user_id AND w.k = r.k + 1) a) SELECT user_id, event_id, o AS outcome FROM r WHERE k > 0""")
+def x_leases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Users stand for locks that two owners ask for."""
+    own = table(spark, sf_dir, "events").select("user_id", "ts", "event_id", _pick("event_id", "a", "b", "a").alias("event_type"), (40000.0 + F.col("event_id") % 7 * 30000).alias("value"))
+    return ev.folded(own, workers.Leases(), "outcome", T.StringType()).select("user_id", "event_id", "outcome")
+
+
+_BEFORE, _AFTER = ("NONE", "QUEUED", "RUNNING", "RUNNING", "PENDING"), ("QUEUED", "RUNNING", "COMPLETED", "FAILED", "QUEUED", "CANCELLED", "FAILED_RETRYABLE")
+
+
+@query(f"""WITH a AS (SELECT event_id, ts, user_id AS t, event_id % 3 AS v, {_sql('event_id', *_BEFORE)} AS p, {_sql('event_id', *_AFTER)} AS n FROM events), k AS (SELECT *, CASE WHEN p || '>' || n IN ('NONE>QUEUED', 'PENDING>QUEUED') THEN 'task_created_' || t
+ELSE 'task_' || CASE WHEN p || '>' || n = 'QUEUED>RUNNING' THEN 'assigned' WHEN p || '>' || n = 'RUNNING>COMPLETED' THEN 'completed' WHEN n LIKE 'FAILED%' THEN 'failure' ELSE 'transition' END || '_' || t || '_' || v END AS key FROM a)
+SELECT DISTINCT ON (key) key AS deduplication_key, 'evt_' || t || '_' || v AS event_id, n AS new_state, 'TASK_' || CASE p || '>' || n WHEN 'NONE>QUEUED' THEN 'CREATED' WHEN 'PENDING>QUEUED' THEN 'CREATED' WHEN 'QUEUED>RUNNING' THEN 'ASSIGNED' WHEN 'RUNNING>QUEUED' THEN 'RECOVERED' ELSE n END AS event_type FROM k WHERE t % 4 <> 0 OR NOT starts_with(key, 'task_created') ORDER BY key, ts, event_id""")
+def x_outbox_rebuilt(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The outbox holds the creation of every fourth task."""
+    audit = table(spark, sf_dir, "events").select(F.col("event_id").alias("id"), F.col("ts").alias("at"), F.col("user_id").alias("task_id"), _pick("event_id", *_BEFORE).alias("previous_state"), _pick("event_id", *_AFTER).alias("new_state"), (F.col("event_id") % 3).alias("lease_version"))
+    kept = audit.filter("task_id % 4 = 0").select(F.concat(F.lit("task_created_"), F.col("task_id").cast("string")).alias("deduplication_key")).distinct()
+    return workers.rebuilt_outbox(audit, kept).select("deduplication_key", "event_id", "new_state", "event_type")

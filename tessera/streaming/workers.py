@@ -18,6 +18,11 @@ from tessera.operators.decisions import drift
 NEXT_STATES = {
     "PENDING": ("QUEUED",), "QUEUED": ("RUNNING", "CANCELLED"), "RUNNING": ("COMPLETED", "FAILED_RETRYABLE", "FAILED", "CANCELLED", "QUEUED"), "FAILED_RETRYABLE": ("QUEUED", "FAILED"),
 }
+#: The event of each change of state; any other is TASK_ and the new state.
+TASK_EVENTS = {
+    "NONE>QUEUED": "TASK_CREATED", "PENDING>QUEUED": "TASK_CREATED", "QUEUED>RUNNING": "TASK_ASSIGNED", "RUNNING>COMPLETED": "TASK_COMPLETED", "RUNNING>FAILED": "TASK_FAILED",
+    "RUNNING>QUEUED": "TASK_RECOVERED", "RUNNING>FAILED_RETRYABLE": "TASK_FAILED_RETRYABLE", "FAILED_RETRYABLE>QUEUED": "TASK_REQUEUED",
+}
 PROVIDER = "struct<provider_id:string,model_id:string,priority:int,health:string,circuit_open:boolean,cooling:boolean,tokens_left:long,capabilities:array<string>,input_price:long,output_price:long>"
 
 
@@ -118,3 +123,45 @@ def verified_targets(current: DataFrame, baselines: DataFrame) -> DataFrame:
     own = drift(both)
     closed = own.withColumns({"drift": F.coalesce(bad, "drift"), "reasons": F.when(bad.isNotNull(), F.array(bad)).otherwise(F.col("reasons"))})
     return closed.drop("_target", "_known", "old").withColumnRenamed("new", "snapshot")
+
+
+class Leases:
+    """Who holds a lock: HELD with its fencing token, or REFUSED. An owner's own lease is renewed; one that ran out goes to whoever asks, with the next token.
+
+    Rows are requests by an owner (event_type) for so many seconds (value).
+    """
+
+    def __call__(self, parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        key = owner = until = None
+        token = 0
+        for pdf in parts:
+            out = []
+            for k, t, asks, seconds in zip(pdf["user_id"], pdf["ts"], pdf["event_type"], pdf["value"], strict=True):
+                if k != key:
+                    key, owner, until, token = k, None, None, 0
+                free = until is None or t >= until
+                if free or asks == owner:
+                    token += free
+                    owner, until = asks, t + pd.Timedelta(seconds=seconds)
+                out.append(f"HELD {token}" if asks == owner else "REFUSED")
+            yield pdf.assign(outcome=out)
+
+
+def rebuilt_outbox(audit: DataFrame, outbox: DataFrame) -> DataFrame:
+    """Events that audit entries ask for and the outbox (deduplication_key) lacks, under their first identity.
+
+    audit: id, at, task_id, previous_state, new_state, lease_version. Of entries with one key the first by (at, id) counts.
+    """
+    old, new = F.col("previous_state"), F.col("new_state")
+    kind = (
+        F.when(old.isin("NONE", "PENDING") & (new == "QUEUED"), "created").when((old == "QUEUED") & (new == "RUNNING"), "assigned")
+        .when((old == "RUNNING") & (new == "COMPLETED"), "completed").when(new.isin("FAILED", "FAILED_RETRYABLE"), "failure").otherwise("transition")
+    )
+    lease = F.col("lease_version").cast("string")
+    key = F.concat_ws("_", F.lit("task"), F.col("_kind"), F.col("task_id").cast("string"), F.when(F.col("_kind") != "created", lease))
+    wanted = audit.withColumn("_kind", kind).withColumn("deduplication_key", key)
+    first = wanted.groupBy("deduplication_key").agg(F.min_by(F.struct("task_id", "previous_state", "new_state", "lease_version"), F.struct("at", "id")).alias("x"))
+    lacking = first.join(outbox.select("deduplication_key"), "deduplication_key", "left_anti")
+    change = F.concat_ws(">", "x.previous_state", "x.new_state")
+    event = F.coalesce(*(F.when(change == k, F.lit(v)) for k, v in TASK_EVENTS.items()), F.concat(F.lit("TASK_"), F.col("x.new_state")))
+    return lacking.select("deduplication_key", event.alias("event_type"), F.concat_ws("_", F.lit("evt"), F.col("x.task_id").cast("string"), F.col("x.lease_version").cast("string")).alias("event_id"), "x.*")

@@ -1,5 +1,6 @@
 """Edge cases of evidence, admission, privileges, SSA, tasks, routing and kept graphs on hand-made rows."""
 
+import json
 import math
 import random
 from datetime import datetime, timedelta
@@ -11,6 +12,7 @@ from pyspark.sql import functions as F
 from tessera.operators import admission as ad
 from tessera.operators import ssa
 from tessera.sinks import graphs
+from tessera.sources import rules
 from tessera.streaming import workers
 
 FINDINGS = "cluster_id string, vulnerability_class string, sink_category string, source_fact string, sink_fact string, confidence double"
@@ -155,3 +157,26 @@ def test_graphs_are_kept(spark, tmp_path, kind):
     assert sorted((r["src"], r["missing"]) for r in graphs.dangling(n, e).collect()) == [("a", "dst"), ("no", "both")]
     with pytest.raises(Exception, match="exists"):
         graphs.save(nodes, edges, path, kind)
+
+
+def test_rules_use_predicates(spark, tmp_path):
+    texts = {
+        "a.json": '{"id": "R1", "uses": {"predicate": "p"}, "metadata": {"name": "", "cwe": 89}, "condition": {"symbol_triggers": ["f"]}, "target": {"languages": ["py"]}}',
+        "sub/b.json": '{"id": "R2", "uses": {"predicate": "gone"}, "condition": {"pattern": "x"}}', "c.json": '{"id": "R3"}', "d.json": '{"name": "no rule"}', "e.txt": "id: R9",
+    }
+    for name, text in texts.items():
+        (tmp_path / "rules" / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / "rules" / name).write_text(text)
+    made = {"p": ["q"], "q": [], "c1": ["c2"], "c2": ["c1"], "own": ["own"], "lost": ["nowhere"]}
+    (tmp_path / "shared").mkdir()
+    for name, needs in made.items():
+        (tmp_path / "shared" / f"{name}.json").write_text(json.dumps({"predicate": {"name": name, "metadata": {"name": name, "cwe": "1"}, "condition": {"pattern": "pp", "symbol_triggers": ["f", "g", "g"]}, "dependencies": needs}}))
+    own, shared = rules.rules(spark, f"file://{tmp_path}/rules"), rules.predicates(spark, f"file://{tmp_path}/shared")
+    got = {r["rule_id"]: (r["metadata"], r["pattern"], r["symbol_triggers"], r["languages"], r["resolved"]) for r in rules.resolved(own, shared).collect()}
+    assert got == {"R1": ({"name": "p", "cwe": "89"}, "pp", ["f", "g"], ["py"], True), "R2": ({}, "x", [], [], False), "R3": ({}, None, [], [], True)}
+    assert sorted(map(tuple, rules.broken(shared).collect())) == [("c1", "CYCLE"), ("c2", "CYCLE"), ("lost", "MISSING"), ("own", "CYCLE")]
+
+
+def test_leases():
+    got = _fold(workers.Leases(), [(1, 0, "a", 10), (1, 5, "b", 10), (1, 9, "a", 10), (1, 18, "b", 1), (1, 19, "b", 10), (1, 20, "a", 1), (2, 0, "a", 1)])
+    assert got == ["HELD 1", "REFUSED", "HELD 1", "REFUSED", "HELD 2", "REFUSED", "HELD 1"]
