@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import decontaminate, jaccard, language_id, language_model, pieces, quality, suffix_array, suffix_tree, topk, toxicity
+from tessera.llm import decontaminate, jaccard, language_id, language_model, periods, pieces, quality, suffix_array, suffix_tree, topk, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_substring_dedup": suffix_tree.op1_substring_dedup,
@@ -19,6 +19,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_language_id": language_id.op8_language_id,
     "op9_quality": quality.op9_quality,
     "op10_sentencepiece": pieces.op10_sentencepiece,
+    "op13_periodic_runs": periods.op13_periodic_runs,
 }
 
 ORACLE_SQL: dict[str, str] = {

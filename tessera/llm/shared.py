@@ -9,6 +9,7 @@ from collections.abc import Iterator
 from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 ARROW_ROWS = 1000
 
@@ -77,6 +78,12 @@ def small_batches(spark: SparkSession, rows: int = ARROW_ROWS) -> None:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
 
 
+def packed(docs: DataFrame, text: str) -> DataFrame:
+    """The text as text, and all other columns packed as rest, so that no name can clash."""
+    rest = [F.col(f"`{c}`") for c in docs.columns if c != text]
+    return docs.select(F.col(f"`{text}`").cast("string").alias("text"), F.struct(F.lit(0).alias("_"), *rest).alias("rest"))
+
+
 def tasks_for(spark: SparkSession, rows: int, rows_per_task: int) -> int:
     """Partitions for so many rows; at least two for each core."""
     return max(2 * spark.sparkContext.defaultParallelism, -(-rows // rows_per_task))
