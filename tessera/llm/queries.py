@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import decontaminate, jaccard, language_id, language_model, periods, pieces, quality, suffix_array, suffix_tree, topk, toxicity
+from tessera.llm import decontaminate, jaccard, language_id, language_model, periods, pieces, quality, spelling, suffix_array, suffix_tree, token_files, topk, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_substring_dedup": suffix_tree.op1_substring_dedup,
@@ -19,6 +19,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_language_id": language_id.op8_language_id,
     "op9_quality": quality.op9_quality,
     "op10_sentencepiece": pieces.op10_sentencepiece,
+    "op11_spelling_variants": spelling.op11_spelling_variants,
+    "op12_token_files": token_files.op12_token_files,
     "op13_periodic_runs": periods.op13_periodic_runs,
 }
 
@@ -27,4 +29,5 @@ ORACLE_SQL: dict[str, str] = {
     "op2_ngram_jaccard": jaccard.ORACLE,
     "op3_topk_search": topk.ORACLE,
     "op6_suffix_array_dedup": suffix_array.ORACLE,
+    "op11_spelling_variants": spelling.ORACLE,
 }
