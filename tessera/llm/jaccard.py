@@ -34,8 +34,8 @@ from pyspark.sql import functions as F
 
 from tessera.llm import recurring
 from tessera.llm import text_kernels as tk
-from tessera.llm.repeats import numbered
-from tessera.llm.shared import arrow_rows, discard, materialise, plan_bytes, tasks_for
+from tessera.llm.repeats import stored
+from tessera.llm.shared import arrow_rows, discard, materialise, tasks_for
 
 #: Words of a shingle; tokens and rows that a task sends at once; rows of a part of a star, and of a group of the last trees.
 WORDS, HELD, HELD_ROWS, STAR_ROWS, GROUP = 5, 500_000, 60_000, 500, 1024
@@ -350,11 +350,11 @@ def groups_of(still: DataFrame) -> DataFrame:
 
 
 def link(docs: DataFrame, id_col: str, text: str = "text") -> tuple[DataFrame, DataFrame]:
-    """numbered(docs), and for each of its rows: row, id, n_shingles, component_id, and whether it stays as its component's one row."""
+    """The rows of stored(docs), and for each of its rows: row, id, n_shingles, component_id, and whether it stays as its component's one row."""
     spark = docs.sparkSession
-    rows = numbered(docs, text)
+    rows, size = stored(docs, text)
     only = rows.select("row", "text")
-    shards = int(min(1 << 20, max(spark.sparkContext.defaultParallelism, plan_bytes(only) // 3_000_000)))
+    shards = int(min(1 << 20, max(spark.sparkContext.defaultParallelism, size // 3_000_000)))
     with arrow_rows(spark, 200):
         sent = only.mapInArrow(_sent(shards), recurring.MESSAGE)
         found = materialise(recurring.exchange(sent, shards, _listed, "row long, cls binary, n long, tokens array<long>, short long"), "listed")

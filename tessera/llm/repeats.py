@@ -75,6 +75,19 @@ def numbered(docs: DataFrame, text: str) -> DataFrame:
     return packed.select(F.monotonically_increasing_id().alias("row"), "text", "rest")
 
 
+def stored(docs: DataFrame, text: str) -> tuple[DataFrame, int]:
+    """numbered() with the numbers written beside the texts, and the bytes of docs.
+
+    The numbers stay when the table is read again in other parts, as happens when executors come or go.
+    """
+    rows = docs.select(F.col(f"`{text}`").cast("string").alias("text"), F.struct(F.lit(0).alias("_"), *(F.col(f"`{c}`") for c in docs.columns if c != text)).alias("rest"))
+    size = plan_bytes(docs.select(f"`{text}`"))
+    rows = materialise(rows.select(F.monotonically_increasing_id().alias("row"), "text", "rest"), "rows")
+    return rows, size if size < UNKNOWN else plan_bytes(rows.select("row", "text"))
+
+
+#: Bytes that the planner names where it knows nothing.
+UNKNOWN = 1 << 60
 #: Places that a task sends at once.
 HELD = 400_000
 
@@ -88,11 +101,12 @@ def _sent(scheme: Scheme, shards: int) -> Callable[[Iterator[pa.RecordBatch]], I
         def flush() -> Iterator[pa.RecordBatch]:
             gram, context, row, pos = (np.concatenate(x) for x in zip(*held, strict=True))
             held.clear()
-            base = int(row[0])
+            rows, of = np.unique(row, return_inverse=True)
             order = np.argsort(gram, kind="stable")
             key, count = recurring.runs(gram[order])
-            own = key.tobytes(), context[order].tobytes(), (row[order] - base).astype(np.uint32).tobytes(), pos[order].astype(np.int32).tobytes(), count.astype(np.uint32).tobytes()
-            yield from recurring.sent(base, key, count, own, shards)
+            place = np.array([len(rows), *rows], np.int64).tobytes() + of[order].astype(np.uint32).tobytes()
+            own = key.tobytes(), context[order].tobytes(), place, pos[order].astype(np.int32).tobytes(), count.astype(np.uint32).tobytes()
+            yield from recurring.sent(int(rows[0]), key, count, own, shards)
 
         for batch in batches:
             data, bounds = tk.column_bytes(batch.column("text"))
@@ -114,11 +128,13 @@ def _sent(scheme: Scheme, shards: int) -> Callable[[Iterator[pa.RecordBatch]], I
 def _places(own: dict, key: np.ndarray, token: np.ndarray, code: np.ndarray) -> Iterator[pa.RecordBatch]:
     """The places whose k-gram recurs: h and c, the hashes of k-gram and context, row and pos."""
     gram, context = np.frombuffer(own["a"], np.int64), np.frombuffer(own["b"], np.int64)
-    row, pos, count = (np.frombuffer(own[x], t) for x, t in (("c", np.uint32), ("d", np.int32), ("e", np.uint32)))
+    pos, count = np.frombuffer(own["d"], np.int32), np.frombuffer(own["e"], np.uint32)
+    rows = np.frombuffer(own["c"], np.int64, int(np.frombuffer(own["c"], np.int64, 1)[0]), 8)
+    row = np.frombuffer(own["c"], np.uint32, offset=8 + rows.nbytes)
     of, entry = recurring.occurrences(count.astype(np.int64), key)
     for i in range(0, len(of), 100_000):
         at = entry[i : i + 100_000]
-        yield pa.RecordBatch.from_arrays([pa.array(gram[key[of[i : i + 100_000]]]), pa.array(context[at]), pa.array(row[at].astype(np.int64) + own["msg"]), pa.array(pos[at])], ["h", "c", "row", "pos"])
+        yield pa.RecordBatch.from_arrays([pa.array(gram[key[of[i : i + 100_000]]]), pa.array(context[at]), pa.array(rows[row[at]]), pa.array(pos[at])], ["h", "c", "row", "pos"])
 
 
 def _contexts(scheme: Scheme) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
@@ -250,11 +266,11 @@ def _shorter(hot: DataFrame, scheme: Scheme) -> tuple[list[DataFrame], list[Data
             return parts, whole
 
 
-def repeated_spans(rows: DataFrame, scheme: Scheme, resolve: Resolver) -> DataFrame:
-    """For each row of numbered() that has any: spans [lo, hi, ...] of symbols that repeated windows cover, not merged."""
+def repeated_spans(rows: DataFrame, size: int, scheme: Scheme, resolve: Resolver) -> DataFrame:
+    """For each row of stored() that has any: spans [lo, hi, ...] of symbols that repeated windows cover, not merged."""
     spark = rows.sparkSession
     text = rows.select("row", "text")
-    shards = int(min(1 << 20, max(spark.sparkContext.defaultParallelism, plan_bytes(text) // 16_000_000)))
+    shards = int(min(1 << 20, max(spark.sparkContext.defaultParallelism, size // 16_000_000)))
     with arrow_rows(spark, 200):
         messages = text.mapInArrow(_sent(scheme, shards), recurring.MESSAGE)
         places = materialise(recurring.exchange(messages, shards, _places, "h long, c long, row long, pos int"), "places")
@@ -295,8 +311,8 @@ def without_repeats(docs: DataFrame, text: str, scheme: Scheme, resolve: Resolve
     with the same name.
     """
     made_here = ("n_units", "n_removed", "n_spans", "kept")
-    rows = numbered(docs, text)
-    spans = repeated_spans(rows, scheme, resolve)
+    rows, size = stored(docs, text)
+    spans = repeated_spans(rows, size, scheme, resolve)
     small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
