@@ -1,8 +1,10 @@
 """Op 12. Token ids as Parquet lists, and reading them back in part.
 
 Texts are encoded by the tokenizers library. Under the byte-level pattern no token reaches from a character that is not
-white space into white space, so texts are cut there, each distinct cut is encoded once, and texts are put together from
-the ids of their cuts. A tokenizer of another make, or one whose added tokens hold white space, encodes text by text.
+white space into white space, nor from a letter into punctuation, so texts are cut there, each distinct cut is encoded
+once, and texts are put together from the ids of their cuts. Cuts without inner white space are handed over many at a time,
+with line ends between them, which are tokens of their own there. Chunks that hold an added token's text, and all texts for a
+tokenizer of another make, are encoded text by text.
 
 Documents are sorted by id into range partitions, one file each. A file's columns are id, shard (the partition), first (ids
 of the shard's documents before this one), n_tokens, ids and meta (all other columns). The list of ids is dictionary
@@ -19,6 +21,7 @@ from __future__ import annotations
 
 import json
 import os
+import re
 import uuid
 import zlib
 from collections.abc import Iterable, Iterator
@@ -32,7 +35,6 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tessera.llm import text_kernels as tk
-from tessera.llm.pieces import Store
 from tessera.llm.shared import materialise, plan_bytes, shared_dir, small_batches
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -40,13 +42,39 @@ END = 2
 #: Bytes of a row group and of a page, and rows of a page.
 GROUP_BYTES, PAGE_BYTES, PAGE_ROWS = 8 << 20, 64 << 10, 1000
 #: Bytes of input for each file.
-SHARD_BYTES = 32 << 20
+SHARD_BYTES = 8 << 20
 #: Bytes that the planner names where it knows nothing, as of rows that a driver holds; such input is written before it is dealt out.
 UNKNOWN = 1 << 60
+#: Files up to which where they begin is sent to all executors.
+FILES = 100_000
 #: Shards whose sizes are summed in one task.
 BLOCK = 1024
-#: Distinct cuts that a worker keeps.
-KEPT = 300_000
+#: Distinct cuts that a worker keeps, and how many are handed over at once.
+KEPT, TOGETHER = 600_000, 400
+#: Bytes of text that are cut together.
+CHUNK = 1 << 22
+IS_LETTER = np.zeros(256, bool)
+IS_LETTER[[*range(65, 91), *range(97, 123)]] = True
+IS_POINT = np.zeros(256, bool)
+IS_POINT[[*range(33, 48), *range(58, 65), *range(91, 97), *range(123, 127)]] = True
+#: Second bytes of the two signs among the letters U+00C0 to U+00FF.
+SIGNS = 0x97, 0xB7
+PLAIN = re.compile(r" ?[^\s\x1c-\x1f\x85]+")
+
+
+class Store:
+    """Distinct cuts, and their ids end to end."""
+
+    def __init__(self):
+        self.known: dict[str, int] = {}
+        self.first = np.zeros(1, np.int64)
+        self.ids = np.empty(0, np.int32)
+
+    def add(self, cuts: list[str], ids: np.ndarray, size: np.ndarray) -> None:
+        n = len(self.known)
+        self.known.update(zip(cuts, range(n, n + len(cuts)), strict=True))
+        self.first = np.concatenate([self.first, self.first[-1] + np.cumsum(size)])
+        self.ids = np.concatenate([self.ids, ids])
 
 
 @lru_cache(maxsize=2)
@@ -64,20 +92,36 @@ class Coder:
         self.tokenizer, self.end, self.store = Tokenizer.from_str(raw), end, Store()
         spec = json.loads(raw)
         pre = spec.get("pre_tokenizer") or {}
-        added = [t["content"] for t in spec.get("added_tokens", []) if t["lstrip"] or t["rstrip"] or t["single_word"] or any(c.isspace() for c in t["content"])]
-        self.cuts = not added and spec.get("normalizer") is None and pre.get("type") == "ByteLevel" and pre.get("use_regex", True) and not pre.get("add_prefix_space", True) and spec.get("truncation") is None and spec.get("padding") is None
+        self.added = [t["content"].encode() for t in spec.get("added_tokens", [])]
+        line = self.tokenizer.encode("\n", add_special_tokens=False).ids
+        self.line = line[0] if line else None
+        self.cuts = len(line) == 1 and spec.get("normalizer") is None and pre.get("type") == "ByteLevel" and pre.get("use_regex", True) and not pre.get("add_prefix_space", True) and spec.get("truncation") is None and spec.get("padding") is None
 
     def encoded(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def learn(self, cuts: list[str]) -> None:
+        """Encode cuts that are not known yet: plain ones together, parted by the token of a line end, and others one by one."""
+        plain = [c for c in cuts if PLAIN.fullmatch(c)]
+        odd = [c for c in cuts if not PLAIN.fullmatch(c)]
+        made = self.encoded(["\n".join(plain[i : i + TOGETHER]) for i in range(0, len(plain), TOGETHER)])
+        flat = np.array(list(chain.from_iterable(chain.from_iterable((x, (self.line,)) for x in made))), np.int32)
+        end = np.flatnonzero(flat == self.line)
+        if len(end) != len(plain):
+            raise ValueError("a line end is not a token of its own")
+        self.store.add(plain, np.delete(flat, end), np.diff(end, prepend=-1) - 1)
+        made = self.encoded(odd)
+        self.store.add(odd, np.array(list(chain.from_iterable(made)), np.int32), np.array([len(x) for x in made], np.int64))
+
     def starts_of_cuts(self, data: np.ndarray, bounds: np.ndarray) -> np.ndarray:
-        """Where texts begin, and ASCII white space after a character that is known to be none."""
+        """Where texts begin, ASCII white space after a character that is known to be none, and ASCII punctuation after a letter."""
         begins = np.zeros(len(data) + 1, bool)
         if len(data) > 1:
             lead = np.zeros(len(data), np.uint8)  # the byte before the one before
             lead[1:] = data[:-1]
             solid = (data > 32) & (data < 127) | (data >= 128) & (data < 192) & (lead >= 0xC3) & (lead < 0xE0)
-            begins[1:-1] = tk.IS_SPACE[data[1:]] & solid[:-1]
+            letter = IS_LETTER[data] | (lead == 0xC3) & (data != SIGNS[0]) & (data != SIGNS[1])
+            begins[1:-1] = tk.IS_SPACE[data[1:]] & solid[:-1] | IS_POINT[data[1:]] & letter[:-1]
         begins[bounds[:-1][bounds[:-1] < bounds[1:]]] = True
         return np.flatnonzero(begins[:-1])
 
@@ -88,13 +132,12 @@ class Coder:
         own = cuts.dictionary.to_pylist()
         if len(self.store.known) > KEPT:
             self.store = Store()
-        known = len(self.store.known)
         found = np.fromiter(map(self.store.known.get, own, repeat(-1)), np.int64, len(own))
         new = np.flatnonzero(found < 0)
         if len(new):
             words = [own[i] for i in new.tolist()]
-            self.store.add(words, self.encoded(words))
-            found[new] = known + np.arange(len(new))
+            self.learn(words)
+            found[new] = [self.store.known[w] for w in words]
         at = found[cuts.indices.to_numpy()]
         first, size = self.store.first[at], np.diff(self.store.first)[at]
         ends = np.concatenate([[0], np.cumsum(size)])
@@ -104,9 +147,10 @@ class Coder:
         """ids of all texts end to end, each with the end id behind it, and where each text's begin."""
         data, bounds = tk.column_bytes(text)
         parts, edges, total = [], [np.zeros(1, np.int64)], 0
-        for i, j in tk.chunks(bounds, 1 << 20):
+        for i, j in tk.chunks(bounds, CHUNK):
             own = bounds[i : j + 1] - bounds[i]
-            if self.cuts:
+            raw = data[bounds[i] : bounds[j]].tobytes() if self.added else b""
+            if self.cuts and not any(a in raw for a in self.added):
                 ids, first = self.from_cuts(data[bounds[i] : bounds[j]], own)
             else:
                 made = self.encoded([x or "" for x in text[i:j].to_pylist()])
@@ -167,7 +211,10 @@ def read(spark: SparkSession, path: str, columns: Iterable[str] = ("id", "n_toke
     if "start" not in columns:
         return found.select(*columns)
     held = [c for c in columns if c != "start"]
-    return found.select(*dict.fromkeys(["shard", "first", *held])).join(shard_starts(spark, path), "shard").withColumn("start", F.col("base") + F.col("first")).select(*columns)
+    starts = shard_starts(spark, path)
+    if len(found.inputFiles()) <= FILES:  # a row of two numbers for each, so that ids are not shuffled
+        starts = F.broadcast(starts)
+    return found.select(*dict.fromkeys(["shard", "first", *held])).join(starts, "shard").withColumn("start", F.col("base") + F.col("first")).select(*columns)
 
 
 def shard_starts(spark: SparkSession, path: str) -> DataFrame:
