@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.operators import control_flow
+from tessera.operators import control_flow, guards
 from tessera.plans.base import query
 from tessera.tables import cut, table
 
@@ -65,3 +65,46 @@ def g_cfg_problems(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Structural validation; the builder's graphs have no problems."""
     blocks, found, _ = control_flow.graphs(program(spark, sf_dir))
     return control_flow.violations(blocks, found)
+
+
+def _guard_sql() -> str:
+    """A worklist's fixpoint by whole rounds over single statements, a row of four variables for each node."""
+    v = range(4)
+    bits = {"NUMERIC": 1, "INTEGER": 2, "DIGITS_ONLY": 4, "SHELL_ESCAPED": 8, "HTML_ESCAPED": 16, "SQL_ESCAPED": 32, "PATH_NORMALIZED": 64}
+    src_t = "CASE c.src " + " ".join(f"WHEN 'v{j}' THEN t{j}" for j in v) + " END"
+    src_b = "CASE c.src " + " ".join(f"WHEN 'v{j}' THEN b{j}" for j in v) + " END"
+    step_t = lambda i: f"CASE WHEN c.var = 'v{i}' AND c.kind = 'assign' THEN CASE c.op WHEN 'source' THEN 'TAINTED' WHEN 'const' THEN 'UNKNOWN' WHEN 'copy' THEN {src_t} ELSE CASE {src_t} WHEN 'TAINTED' THEN 'CONSTRAINED' ELSE {src_t} END END ELSE t{i} END"
+    step_b = lambda i: f"CASE WHEN c.var = 'v{i}' AND c.kind = 'assign' THEN CASE c.op WHEN 'source' THEN 0 WHEN 'const' THEN 0 WHEN 'copy' THEN {src_b} WHEN 'intval' THEN {bits['INTEGER'] + bits['NUMERIC']} WHEN 'htmlspecialchars' THEN {bits['HTML_ESCAPED']} END ELSE b{i} END"
+    proven = f"CASE c.guard WHEN 'is_numeric' THEN {bits['NUMERIC']} WHEN 'ctype_digit' THEN {bits['DIGITS_ONLY'] + bits['NUMERIC']} WHEN 'is_int' THEN {bits['INTEGER'] + bits['NUMERIC']} ELSE 0 END"
+    more = lambda i: f"CASE WHEN c.kind = 'if' AND c.var = 'v{i}' AND x.kind = CASE WHEN c.negated THEN 'FALSE_BRANCH' ELSE 'TRUE_BRANCH' END THEN {proven} ELSE 0 END"
+    new_t = lambda i: f"CASE WHEN {more(i)} > 0 AND ({step_t(i)}) = 'TAINTED' THEN 'CONSTRAINED' ELSE {step_t(i)} END"
+    meet = lambda i: f"CASE WHEN min(n{i}) = max(n{i}) THEN min(n{i}) WHEN bool_or(n{i} <> 'UNKNOWN') THEN 'TAINTED' ELSE 'UNKNOWN' END, bit_and(m{i})"
+    names = "".join(f" || CASE WHEN b & {b} > 0 THEN ' {n}' ELSE '' END" for n, b in bits.items())
+    return f"""WITH RECURSIVE {_GRAPH}, s AS (SELECT fn, block, min(line) AS x, max(line) AS y FROM p GROUP BY fn, block),
+x AS (SELECT fn, CAST(2 * line AS BIGINT) AS a, CAST(2 * lead(line) OVER (PARTITION BY fn, block ORDER BY line) AS BIGINT) AS z, 'FALLTHROUGH' AS kind FROM p
+  UNION ALL SELECT e.fn, CAST(coalesce(2 * q.y, e.src) AS BIGINT), CAST(coalesce(2 * w.x, e.dst) AS BIGINT), e.kind FROM e LEFT JOIN s q ON q.fn = e.fn AND q.block = e.src LEFT JOIN s w ON w.fn = e.fn AND w.block = e.dst
+  UNION ALL SELECT DISTINCT fn, CAST(0 AS BIGINT), CAST(0 AS BIGINT), 'FALLTHROUGH' FROM e),
+c AS (SELECT fn, 2 * line AS node, kind, var, src, op, guard, negated FROM code),
+far AS (SELECT fn, 3 * count(DISTINCT z) + 10 AS far FROM x GROUP BY fn),
+env(r, fn, node, {', '.join(f't{i}, b{i}' for i in v)}) AS (SELECT 0, fn, CAST(0 AS BIGINT), {', '.join("'UNKNOWN', 0" for i in v)} FROM far
+  UNION ALL SELECT r, fn, z, {', '.join(meet(i) for i in v)} FROM (SELECT r + 1 AS r, env.fn, x.z, {', '.join(f'{new_t(i)} AS n{i}, ({step_b(i)}) | ({more(i)}) AS m{i}' for i in v)}
+    FROM env JOIN far ON far.fn = env.fn AND env.r < far.far JOIN x ON x.fn = env.fn AND x.a = env.node AND x.z IS NOT NULL LEFT JOIN c ON c.fn = env.fn AND c.node = env.node) GROUP BY r, fn, z),
+last AS (SELECT env.* FROM env JOIN far ON far.fn = env.fn AND env.r = far.far),
+a AS (SELECT fn, src AS block FROM e UNION SELECT fn, dst FROM e),
+k AS (SELECT a.fn, a.block, coalesce(2 * s.x, a.block) AS node FROM a LEFT JOIN s ON s.fn = a.fn AND s.block = a.block),
+w AS (SELECT DISTINCT fn, var FROM code WHERE kind IN ('if', 'assign') UNION SELECT fn, src FROM code WHERE kind = 'assign'),
+o AS (SELECT k.fn, k.block, unnest(['v0', 'v1', 'v2', 'v3']) AS var, unnest([t0, t1, t2, t3]) AS taint, unnest([b0, b1, b2, b3]) AS b FROM k JOIN last ON last.fn = k.fn AND last.node = k.node)
+SELECT o.fn, CAST(o.block AS BIGINT) AS block, o.var, o.taint, trim(''{names}) AS facts, true AS settled FROM o JOIN (SELECT fn, var FROM w) w ON w.fn = o.fn AND w.var = o.var"""
+
+
+@query(_guard_sql())
+def d_guarded_states(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """States of variables at the beginning of each block; conditions on predicates guard their branches."""
+    code = program(spark, sf_dir)
+    place = cut(control_flow.placed(control_flow.nested(code)))
+    own = cut(place.select("fn", "line", "block").join(code, ["fn", "line"]))
+    held = guards.guards_of(own.filter("kind = 'if'"))
+    # a predicate that is not known proves nothing, but its variable is one of the function's
+    lines = own.filter("kind = 'assign'").select("fn", "line", "block", "var", "op", "src").unionByName(own.filter("kind = 'if'").selectExpr("fn", "line", "block", "var", "'copy' AS op", "var AS src"))
+    found = guards.states(control_flow.edges(place), lines, held)
+    return found.select("fn", "block", "var", "taint", F.array_join(guards.fact_names(F.col("bits")), " ").alias("facts"), "settled")
