@@ -154,3 +154,15 @@ def violations(blocks: DataFrame, found: DataFrame) -> DataFrame:
     count = blocks.groupBy("fn").agg(F.count_if(F.col("block") == ENTRY).alias("a"), F.count_if(F.col("block") == EXIT).alias("b"))
     ends = count.filter("a <> 1 OR b > 1").select("fn", F.lit(None).cast("long").alias("block"), F.lit("not one entry and at most one exit").alias("problem"))
     return reduce(DataFrame.unionByName, [lost, stuck, back, into, ends])
+
+
+def extents(statements: DataFrame) -> DataFrame:
+    """fn, line, kind, end: the opening lines, and where what they open ends (null: never)."""
+    kind, opens = F.col("kind"), F.col("kind").isin(*OPENS)
+    order = Window.partitionBy("fn").orderBy("line")
+    rows = statements.filter("fn IS NOT NULL AND line IS NOT NULL").groupBy("fn", "line").agg(F.min(F.coalesce("kind", F.lit("plain"))).alias("kind")).filter(kind.isin("end", *OPENS))
+    rows = rows.withColumn("s", F.sum(F.when(opens, 1).otherwise(-1)).over(order))
+    rows = rows.withColumn("after", F.col("s") - F.least(F.lit(0), F.min("s").over(order))).withColumn("before", F.lag("after", 1, 0).over(order))
+    level = F.when(opens, F.col("after")).otherwise(F.col("before"))
+    following = Window.partitionBy("fn", "level").orderBy("line")
+    return rows.withColumn("level", level).filter("level > 0").withColumn("end", F.lead("line").over(following)).filter(opens).select("fn", "line", "kind", "end")

@@ -10,16 +10,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.operators import control_flow, guards
+from tessera.operators import containment, control_flow, expressions, guards, slices, summaries, symbols
 from tessera.plans.base import query
 from tessera.tables import cut, table
 
 #: The lines of all functions; both engines read it.
 CODE = """c0 AS (SELECT l_partkey AS fn, row_number() OVER (PARTITION BY l_partkey ORDER BY l_shipdate, l_orderkey, l_linenumber, l_suppkey, l_quantity, l_extendedprice, l_discount, l_tax) AS line,
   (l_orderkey + l_linenumber * 5 + l_suppkey) % 16 AS k, l_orderkey AS o, l_suppkey AS s, l_linenumber AS ln, CAST(l_quantity AS BIGINT) AS q FROM {lineitem}),
-code AS (SELECT fn, CAST(line AS BIGINT) AS line, CASE WHEN k < 3 THEN 'if' WHEN k = 3 THEN 'else' WHEN k = 4 THEN 'loop' WHEN k < 9 THEN 'end' WHEN k = 9 AND q % 3 = 0 THEN 'exit' WHEN k < 12 THEN 'call' ELSE 'assign' END AS kind,
+code AS (SELECT fn, CAST(line AS BIGINT) AS line, CASE WHEN k < 3 THEN 'if' WHEN k = 3 THEN 'else' WHEN k = 4 THEN 'loop' WHEN k < 9 THEN 'end' WHEN k = 9 AND q % 3 = 0 THEN 'exit' WHEN k = 9 THEN 'sink' WHEN k < 12 THEN 'call' ELSE 'assign' END AS kind,
   concat('v', (o + ln) % 4) AS var, concat('v', (o + s) % 4) AS src, CASE q % 6 WHEN 0 THEN 'source' WHEN 1 THEN 'const' WHEN 2 THEN 'intval' WHEN 3 THEN 'htmlspecialchars' ELSE 'copy' END AS op,
-  CASE s % 4 WHEN 0 THEN 'is_numeric' WHEN 1 THEN 'ctype_digit' WHEN 2 THEN 'is_int' ELSE 'unknown' END AS guard, o % 3 = 0 AS negated, o, s, q FROM c0)"""
+  CASE s % 4 WHEN 0 THEN 'is_numeric' WHEN 1 THEN 'ctype_digit' WHEN 2 THEN 'is_int' ELSE 'unknown' END AS guard, o % 3 = 0 AS negated, o, s, q,
+  CASE WHEN o % 9 = 0 THEN CASE WHEN (fn - fn % 4) % 8 = 0 THEN fn + 4 ELSE fn - 4 END WHEN o % 23 = 1 THEN fn WHEN fn % 4 < 3 THEN fn - fn % 4 + 4 * (s % 5) + fn % 4 + 1 ELSE -1 END AS callee FROM c0)"""
 
 
 def program(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -108,3 +109,135 @@ def d_guarded_states(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = own.filter("kind = 'assign'").select("fn", "line", "block", "var", "op", "src").unionByName(own.filter("kind = 'if'").selectExpr("fn", "line", "block", "var", "'copy' AS op", "var AS src"))
     found = guards.states(control_flow.edges(place), lines, held)
     return found.select("fn", "block", "var", "taint", F.array_join(guards.fact_names(F.col("bits")), " ").alias("facts"), "settled")
+
+
+#: Parameters, arguments (one by name now and then), returns, and what each line sets; the slices and summaries read these.
+_CALLS = f"""{_CODE},
+pr AS (SELECT DISTINCT fn, unnest([0, 1]) AS pos, unnest(['p0', 'p1']) AS name, unnest(['v0', 'v1']) AS var FROM code),
+ar AS (SELECT fn, line, callee, 0 AS pos, CAST(NULL AS VARCHAR) AS name, src AS var FROM code WHERE kind = 'call' UNION ALL
+  SELECT fn, line, callee, CASE WHEN s % 6 = 0 THEN NULL ELSE 1 END, CASE WHEN s % 6 = 0 THEN 'p0' END, concat('v', q % 4) FROM code WHERE kind = 'call'),
+bd AS (SELECT a.fn, a.line, a.callee, p.pos, max_by(a.var, CASE WHEN a.name IS NULL THEN 0 ELSE 1 END) AS var FROM ar a JOIN pr p ON p.fn = a.callee AND (p.pos = a.pos OR p.name = a.name) GROUP BY a.fn, a.line, a.callee, p.pos),
+rt AS (SELECT fn, line, var FROM code WHERE kind = 'exit' UNION SELECT fn, max(line), max_by(var, line) FROM code GROUP BY fn)"""
+
+
+def calling(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
+    code = cut(program(spark, sf_dir))
+    call = code.filter("kind = 'call'")
+    first = call.selectExpr("fn", "line", "callee", "0 AS pos", "CAST(NULL AS STRING) AS name", "src AS var")
+    second = call.selectExpr("fn", "line", "callee", "CASE WHEN s % 6 = 0 THEN NULL ELSE 1 END AS pos", "CASE WHEN s % 6 = 0 THEN 'p0' END AS name", "concat('v', q % 4) AS var")
+    params = code.select("fn").distinct().selectExpr("fn", "stack(2, 0, 'p0', 'v0', 1, 'p1', 'v1') AS (pos, name, var)")
+    returns = code.filter("kind = 'exit'").select("fn", "line", "var").union(code.groupBy("fn").agg(F.max("line").alias("line"), F.max_by("var", "line").alias("var"))).distinct()
+    bound = cut(summaries.bound_arguments(first.unionByName(second), params))
+    return {"code": code, "call": call, "params": params, "returns": returns, "bound": bound}
+
+
+@query(f"WITH {_CALLS} SELECT fn, line, pos, var FROM bd")
+def j_arguments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return calling(spark, sf_dir)["bound"]
+
+
+_SANITIZERS = "('intval', 'htmlspecialchars')"
+
+
+@query(f"""WITH RECURSIVE {_CALLS},
+df AS (SELECT fn, line, var, CASE WHEN kind = 'call' THEN 'call' WHEN op IN {_SANITIZERS} THEN 'sanitizer' ELSE op END AS op, src, callee FROM code WHERE kind IN ('assign', 'call')),
+us AS (SELECT fn, line, src AS var FROM code WHERE kind = 'sink' UNION SELECT fn, line, src FROM df WHERE op = 'copy' UNION SELECT fn, line, var FROM bd UNION SELECT fn, line, var FROM rt),
+la AS (SELECT us.fn, us.line, us.var, max(df.line) AS at FROM us LEFT JOIN df ON df.fn = us.fn AND df.var = us.var AND df.line < us.line GROUP BY us.fn, us.line, us.var),
+xs AS (SELECT la.fn, la.line, la.var, d.op, CASE WHEN d.op = 'copy' THEN 0 ELSE 1 END AS crosses,
+    CASE WHEN d.op = 'copy' THEN [{{'f': d.fn, 'l': d.line, 'v': d.src}}] WHEN d.op = 'call' THEN (SELECT list({{'f': r.fn, 'l': r.line, 'v': r.var}}) FROM rt r WHERE r.fn = d.callee)
+      WHEN la.at IS NULL THEN (SELECT list({{'f': b.fn, 'l': b.line, 'v': b.var}}) FROM bd b JOIN pr q ON q.pos = b.pos AND q.fn = b.callee WHERE b.callee = la.fn AND q.var = la.var) END AS ways
+  FROM la LEFT JOIN df d ON d.fn = la.fn AND d.line = la.at),
+w(sf, sl, hops, calls, seen, path, stop, ways, here, crosses, step) AS (
+  SELECT c.fn, c.line, 0, 0, 1 + sum(CASE WHEN x.op IN ('source', 'const', 'sanitizer') THEN 0 ELSE coalesce(len(ways), 0) END) OVER (PARTITION BY c.fn, c.line), CAST([] AS VARCHAR[]),
+    CASE WHEN x.op IN ('source', 'const', 'sanitizer') THEN x.op WHEN coalesce(len(ways), 0) = 0 THEN 'undefined' WHEN len(ways) > 99 THEN 'nodes' END, ways, c.fn || ':' || c.src, crosses, 0
+  FROM code c JOIN xs x ON x.fn = c.fn AND x.line = c.line AND x.var = c.src WHERE c.kind = 'sink'
+  UNION ALL
+  SELECT sf, sl, hops, calls, total, path, coalesce(stop, CASE WHEN total > 100 THEN 'nodes' END), ways, here, crosses, hops FROM (
+    SELECT *, seen + sum(CASE WHEN stop IS NULL THEN len(ways) ELSE 0 END) OVER (PARTITION BY sf, sl) AS total FROM (
+      SELECT t.sf, t.sl, t.hops, t.calls, t.seen, t.path, CASE WHEN t.hops >= 10 THEN 'flow' WHEN t.calls >= 5 THEN 'call' WHEN list_contains(t.path, t.here) THEN 'cycle' WHEN x.op IN ('source', 'const', 'sanitizer') THEN x.op WHEN coalesce(len(x.ways), 0) = 0 THEN 'undefined' END AS stop, x.ways, t.here, x.crosses
+      FROM (SELECT sf, sl, hops + 1 AS hops, calls + crosses AS calls, seen, list_append(path, here) AS path, u.f || ':' || u.v AS here, u FROM (SELECT *, unnest(ways) AS u FROM w WHERE stop IS NULL) q) t
+      JOIN xs x ON x.fn = t.u.f AND x.line = t.u.l AND x.var = t.u.v) y) z),
+e AS (SELECT sf, sl, stop, count(*) AS n, max(hops) AS hops FROM w WHERE stop IS NOT NULL GROUP BY sf, sl, stop)
+SELECT sf AS sink_fn, sl AS sink_line, CASE WHEN bool_or(stop = 'source') THEN 'TAINTED' WHEN bool_or(stop NOT IN ('source', 'const', 'sanitizer')) THEN 'UNKNOWN' WHEN bool_or(stop = 'sanitizer') THEN 'SANITIZED' ELSE 'STATIC' END AS verdict,
+  CAST(sum(n) AS BIGINT) AS n_walks, string_agg(stop || ':' || n, ' ' ORDER BY stop || ':' || n) AS reasons, max(hops) AS hops FROM e GROUP BY sf, sl""")
+def d_backward_slice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How each sink's value came about, by walks back over assignments, calls and parameters."""
+    c = calling(spark, sf_dir)
+    op = F.when(F.col("kind") == "call", "call").when(F.col("op").isin("intval", "htmlspecialchars"), "sanitizer").otherwise(F.col("op"))
+    defs = c["code"].filter("kind IN ('assign', 'call')").select("fn", "line", "var", op.alias("op"), "src", "callee")
+    sinks = c["code"].filter("kind = 'sink'").select("fn", "line", F.col("src").alias("var"))
+    args = c["bound"].join(c["call"].select("fn", "line", "callee"), ["fn", "line"])
+    return slices.verdicts(slices.walks(defs, sinks, c["params"], args, c["returns"]))
+
+
+@query(f"""WITH RECURSIVE {_CALLS},
+fl AS (SELECT fn, src AS a, var AS b FROM code WHERE kind = 'assign' AND op = 'copy' UNION SELECT fn, 'S', var FROM code WHERE kind = 'assign' AND op = 'source' UNION SELECT fn, src, 'K' FROM code WHERE kind = 'sink'
+  UNION SELECT fn, var, 'R' FROM rt UNION SELECT fn, concat('P', pos), var FROM pr),
+sg AS (SELECT fn, callee, var AS dst FROM code WHERE kind = 'call'), bn AS (SELECT DISTINCT bd.fn, bd.callee, concat('P', pos) AS p, bd.var, c.var AS dst FROM bd JOIN code c ON c.fn = bd.fn AND c.line = bd.line),
+t(r, fn, x, pt) AS (SELECT 0, fn, a, b FROM fl WHERE a IN ('S', 'P0', 'P1') UNION SELECT 0, sg.fn, 'U', sg.dst FROM sg WHERE callee NOT IN (SELECT fn FROM code)
+  UNION ALL SELECT DISTINCT r + 1, fn, x, pt FROM (SELECT r, fn, x, pt FROM t UNION ALL SELECT t.r, t.fn, t.x, fl.b FROM t JOIN fl ON fl.fn = t.fn AND fl.a = t.pt
+    UNION ALL SELECT t.r, t.fn, t.x, CASE u.pt WHEN 'K' THEN 'K' ELSE bn.dst END FROM t JOIN bn ON bn.fn = t.fn AND bn.var = t.pt JOIN t u ON u.r = t.r AND u.fn = bn.callee AND u.x = bn.p AND u.pt IN ('R', 'K')
+    UNION ALL SELECT u.r, sg.fn, u.x, sg.dst FROM sg JOIN t u ON u.fn = sg.callee AND u.x IN ('S', 'U') AND u.pt = 'R') WHERE r < 40)
+SELECT fn, x AS src, pt AS dst FROM t WHERE r = 40 AND pt IN ('R', 'K')""")
+def d_summaries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What flows from parameters and sources to returns and sinks of every function, through calls and recursion."""
+    c = calling(spark, sf_dir)
+    code = c["code"]
+    flows = code.filter("kind = 'assign' AND op IN ('copy', 'source')").select("fn", F.when(F.col("op") == "source", "S").otherwise(F.col("src")).alias("src"), F.col("var").alias("dst"))
+    flows = flows.union(code.filter("kind = 'sink'").select("fn", "src", F.lit("K"))).union(c["returns"].select("fn", "var", F.lit("R"))).union(c["params"].select("fn", F.concat(F.lit("P"), "pos"), "var"))
+    calls = c["call"].select("fn", "line", "callee", F.col("var").alias("dst"))
+    return summaries.solve(code.select("fn").distinct(), flows, calls, c["bound"])[0]
+
+
+@query(f"""WITH RECURSIVE {_GRAPH},
+bi AS (SELECT c.fn, c.line, 'n' || ((o + s) % 23) AS name, CASE WHEN q % 5 = 0 THEN 'mod' || (o % 7) || '.f' || (s % 5) WHEN q % 5 = 1 THEN 'n' || ((o + s + 1 + o % 3) % 23) || '.a' ELSE 'n' || ((o + s + 1 + o % 3) % 23) END AS target FROM code c WHERE kind = 'assign'),
+sc AS (SELECT st.fn, st.line + 1 AS line, list_transform(stack, lambda x: x // 4) AS scopes FROM st),
+ls AS (SELECT bi.fn, list_extract(list_prepend(0, scopes), -1) AS scope, name, max(bi.line) AS line FROM bi JOIN sc ON sc.fn = bi.fn AND sc.line = bi.line GROUP BY ALL),
+bo AS (SELECT ls.fn, ls.scope, ls.name, ls.line, target, list_prepend(0, scopes) AS chain FROM ls JOIN bi ON bi.fn = ls.fn AND bi.line = ls.line JOIN sc ON sc.fn = ls.fn AND sc.line = ls.line),
+us AS (SELECT c.fn, c.line, 'n' || (q % 23) AS name, list_prepend(0, scopes) AS chain FROM code c JOIN sc ON sc.fn = c.fn AND sc.line = c.line WHERE kind IN ('call', 'sink')),
+lk AS (SELECT fn, line, name, max(scope) AS home FROM (SELECT us.fn, us.line, us.name, bo.scope FROM us JOIN bo ON bo.fn = us.fn AND bo.name = us.name AND list_contains(us.chain, bo.scope)) GROUP BY ALL),
+nx AS (SELECT b.fn, b.scope, b.name, split_part(b.target, '.', 1) AS base, CASE WHEN contains(b.target, '.') THEN substr(b.target, strpos(b.target, '.')) ELSE '' END AS rest, max(h.scope) AS home FROM bo b LEFT JOIN bo h ON h.fn = b.fn AND h.name = split_part(b.target, '.', 1) AND list_contains(b.chain, h.scope) GROUP BY ALL),
+w(fn, line, name, scope, at_name, rest, path, stop) AS (SELECT fn, line, name, home, name, '', CAST([] AS VARCHAR[]), false FROM lk UNION ALL
+  SELECT w.fn, w.line, w.name, nx.home, nx.base, nx.rest || w.rest, list_append(w.path, w.scope || ':' || w.at_name), nx.home IS NULL OR list_contains(list_append(w.path, w.scope || ':' || w.at_name), nx.home || ':' || nx.base) FROM w JOIN nx ON nx.fn = w.fn AND nx.scope = w.scope AND nx.name = w.at_name WHERE NOT w.stop)
+SELECT us.fn AS file, us.line, us.name, CAST(list_extract(us.chain, -1) AS BIGINT) AS scope, CASE WHEN w.scope IS NULL THEN w.at_name || w.rest END AS symbol, CASE WHEN w.fn IS NULL THEN 'UNBOUND' WHEN w.scope IS NULL THEN 'EXTERNAL' ELSE 'CYCLE' END AS status
+FROM us LEFT JOIN w ON w.stop AND w.fn = us.fn AND w.line = us.line""")
+def g_resolved_symbols(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Names of calls and sinks, through scopes and chains of aliases with suffixes, to what is imported; circles are told."""
+    code = cut(program(spark, sf_dir).withColumnRenamed("fn", "file"))
+    scopes = control_flow.extents(code.withColumnRenamed("file", "fn")).select(F.col("fn").alias("file"), F.col("line").alias("scope"), F.col("line").alias("lo"), F.col("end").alias("hi"))
+    alias = "concat('n', (o + s + 1 + o % 3) % 23)"
+    bindings = code.filter("kind = 'assign'").selectExpr("file", "line", "concat('n', (o + s) % 23) AS name", f"CASE WHEN q % 5 = 0 THEN concat('mod', o % 7, '.f', s % 5) WHEN q % 5 = 1 THEN concat({alias}, '.a') ELSE {alias} END AS target")
+    uses = code.filter("kind IN ('call', 'sink')").selectExpr("file", "line", "concat('n', q % 23) AS name")
+    return symbols.resolved(cut(scopes), bindings, uses)
+
+
+#: Expression trees: a tree for each order, its nodes a heap of lineitems, the leaves' kinds from their keys.
+_TREES = """t0 AS (SELECT l_partkey AS tree, row_number() OVER (PARTITION BY l_partkey ORDER BY l_shipdate, l_orderkey, l_linenumber, l_suppkey, l_quantity, l_extendedprice, l_discount, l_tax) AS node, l_orderkey AS o, l_returnflag AS f, l_linestatus AS ls FROM {lineitem}),
+t1 AS (SELECT *, count(*) OVER (PARTITION BY tree) AS n, CASE WHEN tree % 10 = 0 THEN node - 1 ELSE (node - node % 2) / 2 END AS up FROM t0),
+trees AS (SELECT tree, node, CASE WHEN node > 1 THEN CAST(up AS BIGINT) END AS parent, node % 2 AS pos, CASE WHEN (tree % 10 = 0 AND node < n) OR (tree % 10 > 0 AND 2 * node <= n) THEN CASE o % 9 WHEN 0 THEN 'upper' WHEN 1 THEN 'lower' WHEN 2 THEN 'trim' WHEN 3 THEN 'choice' WHEN 4 THEN CASE WHEN tree % 3 = 0 THEN 'other' ELSE 'concat' END ELSE 'concat' END
+  WHEN o % 40 = 0 THEN 'dynamic' WHEN o % 37 = 0 THEN 'unknown' ELSE 'const' END AS op, concat(f, ' ', ls) AS value FROM t1)"""
+
+
+@query(f"""WITH RECURSIVE {_TREES.replace("{lineitem}", "lineitem")},
+dp(tree, node, d) AS (SELECT tree, node, 0 FROM trees WHERE parent IS NULL UNION ALL SELECT t.tree, t.node, dp.d + 1 FROM dp JOIN trees t ON t.tree = dp.tree AND t.parent = dp.node),
+k AS (SELECT t.*, dp.d, max(dp.d) OVER () AS deep FROM trees t JOIN dp ON dp.tree = t.tree AND dp.node = t.node),
+r(d, tree, node, kind, value) AS (SELECT max(d) + 1, CAST(-1 AS BIGINT), CAST(0 AS BIGINT), CAST('' AS VARCHAR), CAST(NULL AS VARCHAR) FROM k
+  UNION ALL SELECT x.d, x.tree, x.node, x.kind, CASE WHEN x.kind = 'CONSTANT' THEN x.value END FROM (
+    SELECT y.d, y.tree, y.node, CASE WHEN y.op = 'dynamic' AND y.d <= 10 THEN 'DYNAMIC' WHEN y.op = 'const' AND y.d <= 10 THEN 'CONSTANT' WHEN y.op IN ('dynamic', 'const', 'unknown') THEN 'UNKNOWN' WHEN y.kinds IS NULL THEN 'UNKNOWN'
+        WHEN list_contains(y.kinds, 'DYNAMIC') THEN 'DYNAMIC' WHEN list_contains(y.kinds, 'UNKNOWN') OR y.d > 10 OR y.op = 'other' OR (y.op IN ('upper', 'lower', 'trim') AND len(y.vals) <> 1) OR (y.op = 'choice' AND len(list_distinct(y.vals)) <> 1) THEN 'UNKNOWN' ELSE 'CONSTANT' END AS kind,
+      CASE y.op WHEN 'const' THEN y.value WHEN 'concat' THEN array_to_string(y.vals, '') WHEN 'upper' THEN upper(y.vals[1]) WHEN 'lower' THEN lower(y.vals[1]) WHEN 'trim' THEN trim(y.vals[1]) ELSE y.vals[1] END AS value
+    FROM (SELECT k.d, k.tree, k.node, any_value(k.op) AS op, any_value(k.value) AS value, list(r.kind ORDER BY c.pos, c.node) FILTER (WHERE r.kind IS NOT NULL AND r.tree = k.tree) AS kinds, list(r.value ORDER BY c.pos, c.node) FILTER (WHERE r.tree = k.tree) AS vals
+      FROM (SELECT DISTINCT d - 1 AS d FROM r) q JOIN k ON k.d = q.d LEFT JOIN k c ON c.tree = k.tree AND c.parent = k.node LEFT JOIN r ON r.tree = c.tree AND r.node = c.node GROUP BY k.d, k.tree, k.node) y) x)
+SELECT tree, node, kind, value FROM r WHERE tree >= 0""")
+def d_constant_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Constant parts of expression trees of all shapes, chains among them that are deeper than the bound."""
+    nodes = spark.sql(f"WITH {_TREES} SELECT * FROM trees", lineitem=table(spark, sf_dir, "lineitem"))
+    return expressions.folded(nodes)
+
+
+@query("""WITH a AS (SELECT DISTINCT unnest(regexp_extract_all(lower(text), '[a-z]+')) AS w FROM benchmark), b AS (SELECT DISTINCT unnest(regexp_extract_all(lower(text), '[a-z]+')) AS w FROM conversations)
+SELECT a.w AS left_id, b.w AS right_id, CASE WHEN a.w = b.w THEN 'both' WHEN contains(b.w, a.w) THEN 'left' ELSE 'right' END AS held FROM a JOIN b ON contains(b.w, a.w) OR contains(a.w, b.w)""")
+def j_contains(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of the benchmark and of conversations of which one holds the other."""
+    side = lambda name: table(spark, sf_dir, name).select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]+"), F.lit(0))).alias("id")).distinct().withColumn("text", F.col("id"))
+    return containment.either_way(side("benchmark"), side("conversations"))
