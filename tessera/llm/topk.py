@@ -10,12 +10,13 @@ Their postings are traversed for the whole shard (dense vectors stand in every
 posting); the other terms are probed, some at a time, for the vectors that still
 compete, while the threshold rises. Shards give their k best, which are merged.
 
-Vectors that are null, or hold null or non-finite components, take no part; nor
-do vectors with a component whose integer exceeds 56 bits. A query is held against vectors of
-its own length. Null ids take no part. Ties go to the smaller id. Fewer than k
-candidates: all of them. Rows that repeat an id are candidates each; a query
-passes over rows of its own id. Scores beyond 64 bits are ranked exactly and
-given as the largest or smallest long.
+Vectors that are null, or hold null or non-finite components, take no part. A
+query is held against vectors of its own length; empty vectors score 0 with each
+other. Vectors with a component of more than 56 bits make shards of their own,
+which are scored by integers of any size. Null ids take no part. Ties go to the
+smaller id. Fewer than k candidates: all of them. Rows that repeat an id are
+candidates each; a query passes over rows of its own id. Scores beyond 64 bits
+are ranked exactly and given as the largest or smallest long.
 """
 
 from __future__ import annotations
@@ -29,9 +30,25 @@ from pyspark.sql import functions as F
 
 from tessera.llm.shared import arrow_rows, materialise
 
-SHARD, QUERY_BLOCK, STEP, FIRST, LENGTHS = 8192, 1024, 16, 64, 10_000
+SHARD, QUERY_BLOCK, STEP, FIRST = 8192, 1024, 16, 64
 #: A score is carried in two numbers, of which the lower has 62 bits.
 LOW = (1 << 62) - 1
+SCALE = 256
+
+
+def integers(x: np.ndarray, big: bool) -> np.ndarray:
+    """floor(SCALE * x); as Python's integers if some are large."""
+    if not big:
+        return np.floor(x * SCALE).astype(np.int64)
+    whole = [int(c) * SCALE if abs(c) >= 2.0**53 else int(np.floor(c * SCALE)) for c in x.ravel().tolist()]
+    return np.array([*whole, None], object)[:-1].reshape(x.shape)
+
+
+def sortable(score: int) -> bytes:
+    """Bytes whose order is that of the scores, of any size."""
+    size = (abs(score).bit_length() + 7) // 8
+    raw = size.to_bytes(4, "big") + abs(score).to_bytes(size, "big")
+    return b"\x01" + raw if score >= 0 else b"\x00" + bytes(255 - b for b in raw)
 
 
 def exact(q: np.ndarray, m: np.ndarray) -> list[int]:
@@ -42,7 +59,7 @@ def exact(q: np.ndarray, m: np.ndarray) -> list[int]:
 def best_in_shard(ids: np.ndarray, m: np.ndarray, q_id: int, q: np.ndarray, k: int, top: np.ndarray, low: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The k best (ids, scores) of one shard; m has a row for each dimension, top and low its extremes."""
     live = np.flatnonzero(ids != q_id)
-    if (np.abs(q.astype(float)) * np.maximum(np.abs(top.astype(float)), np.abs(low.astype(float)))).sum() * 4 >= 2.0**63:
+    if q.dtype == object or m.dtype == object or (np.abs(q.astype(float)) * np.maximum(np.abs(top.astype(float)), np.abs(low.astype(float)))).sum() * 4 >= 2.0**63:
         total = exact(q, m[:, live])
         first = sorted(range(len(live)), key=lambda i: (-total[i], ids[live[i]]))[:k]
         return ids[live][first], np.array([total[i] for i in first], object)
@@ -74,65 +91,67 @@ def best_in_shard(ids: np.ndarray, m: np.ndarray, q_id: int, q: np.ndarray, k: i
 
 
 def _packed(df: DataFrame, group: str) -> DataFrame:
-    """One row for each length and group of at most some thousand vectors: ids and components as bytes."""
+    """One row for each length, size and group of at most some thousand vectors: ids and components as bytes."""
 
     def pack(pdf: pd.DataFrame) -> pd.DataFrame:
-        m = np.concatenate([np.frombuffer(x, np.int64) for x in pdf["v"]]).reshape(len(pdf), -1)
-        return pd.DataFrame({"dims": [m.shape[1]], group: [pdf[group].iloc[0]], "ids": [pdf["id"].to_numpy(np.int64).tobytes()], "m": [np.ascontiguousarray(m.T).tobytes()]})
+        dims, big = int(pdf["dims"].iloc[0]), bool(pdf["big"].iloc[0])
+        m = np.frombuffer(b"".join(pdf["v"]), np.float64).reshape(len(pdf), dims)
+        return pd.DataFrame({"dims": [dims], "big": [big], group: [pdf[group].iloc[0]], "ids": [pdf["id"].to_numpy(np.int64).tobytes()], "m": [np.ascontiguousarray(m.T).tobytes()]})
 
-    return df.groupBy("dims", group).applyInPandas(pack, f"dims int, {group} long, ids binary, m binary")
+    return df.groupBy("dims", "big", group).applyInPandas(pack, f"dims int, big boolean, {group} long, ids binary, m binary")
 
 
-def integer_vectors(df: DataFrame, id_col: str, vector_col: str, scale: int = 256) -> DataFrame:
-    """id and v, the components as little-endian 64-bit integers; only whole, finite vectors."""
-    x = F.col(f"`{vector_col}`")
-    rows = df.select(F.col(f"`{id_col}`").cast("long").alias("id"), x.cast("array<double>").alias("x"))
-    fine = rows.filter(F.col("id").isNotNull() & F.col("x").isNotNull() & F.forall("x", lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) < F.lit(2.0**56 / scale))))
+def finite_vectors(df: DataFrame, id_col: str, vector_col: str) -> DataFrame:
+    """id, dims, big (a component of more than 56 bits once scaled) and v, the components' bytes; only whole, finite vectors."""
+    rows = df.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{vector_col}`").cast("array<double>").alias("x"))
+    fine = rows.filter(F.col("id").isNotNull() & F.col("x").isNotNull() & F.forall("x", lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) < F.lit(float("inf")))))
 
     @F.pandas_udf("binary")
     def to_bytes(v: pd.Series) -> pd.Series:
-        return v.map(lambda a: np.floor(np.asarray(a, float) * scale).astype(np.int64).tobytes())
+        return v.map(lambda a: np.asarray(a, np.float64).tobytes())
 
-    return fine.select("id", F.size("x").alias("dims"), to_bytes("x").alias("v"))
+    return fine.select("id", F.size("x").alias("dims"), F.exists("x", lambda c: F.abs(c) >= F.lit(2.0**56 / SCALE)).alias("big"), to_bytes("x").alias("v"))
 
 
 def top_k(df: DataFrame, queries: DataFrame, id_col: str, vector_col: str, k: int = 5) -> DataFrame:
     """query_id, rank, vec_id and score of the k rows of df with the highest scores for each row of queries."""
     spark = df.sparkSession
-    vectors = materialise(integer_vectors(df, id_col, vector_col), "vectors")
-    asked = materialise(integer_vectors(queries, id_col, vector_col), "asked")
+    vectors = materialise(finite_vectors(df, id_col, vector_col), "vectors")
+    asked = materialise(finite_vectors(queries, id_col, vector_col), "asked")
+    kinds = ["dims", "big"]
 
     def parts_of(rows: DataFrame, size: int) -> tuple[DataFrame, int]:
-        """How many parts of about so many rows each length makes, which is sent to all tasks as lengths are few; and all of them."""
-        found = rows.groupBy("dims").agg(F.ceil(F.count(F.lit(1)) / size).alias("parts")).limit(LENGTHS + 1).collect()
-        if len(found) > LENGTHS:
-            raise ValueError(f"vectors of more than {LENGTHS} lengths")
-        return F.broadcast(spark.createDataFrame([(r["dims"], r["parts"]) for r in found], "dims int, parts long")), sum(r["parts"] for r in found)
+        """How many parts of about so many rows each length and size makes; and all of them."""
+        found = materialise(rows.groupBy(*kinds).agg(F.ceil(F.count(F.lit(1)) / size).alias("parts")), "parts")
+        return found, found.agg(F.sum("parts")).first()[0] or 1
 
     def parted(rows: DataFrame, parts: DataFrame, name: str) -> DataFrame:
-        return rows.join(parts, "dims").withColumn(name, F.pmod(F.xxhash64("id", "v"), F.col("parts"))).select("dims", name, "id", "v")
+        return rows.join(parts, kinds).withColumn(name, F.pmod(F.xxhash64("id", "v"), F.col("parts"))).select(*kinds, name, "id", "v")
 
     (n_shards, some_shards), (n_blocks, some_blocks) = parts_of(vectors, SHARD), parts_of(asked, QUERY_BLOCK)
     shards = materialise(_packed(parted(vectors, n_shards, "shard"), "shard"), "shards")
     blocks = materialise(_packed(parted(asked, n_blocks, "block"), "block"), "blocks")
     # every block of queries is held against all shards of its length, as an exact answer asks
-    pairs = blocks.withColumnsRenamed({"ids": "q_ids", "m": "q_m"}).join(n_shards, "dims")
-    pairs = pairs.withColumn("shard", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1))).join(shards, ["dims", "shard"])
+    pairs = blocks.withColumnsRenamed({"ids": "q_ids", "m": "q_m", "big": "q_big"}).join(n_shards, "dims")
+    pairs = pairs.withColumn("shard", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1))).join(shards, [*kinds, "shard"])
 
     def search(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in parts:
             for x in pdf.itertuples():
                 ids, q_ids = np.frombuffer(x.ids, np.int64), np.frombuffer(x.q_ids, np.int64)
-                m, q = np.frombuffer(x.m, np.int64).reshape(x.dims, -1), np.frombuffer(x.q_m, np.int64).reshape(x.dims, -1)
+                m = integers(np.frombuffer(x.m, np.float64).reshape(x.dims, len(ids)), x.big)
+                q = integers(np.frombuffer(x.q_m, np.float64).reshape(x.dims, len(q_ids)), x.q_big)
                 top, low = (m.max(1), m.min(1)) if x.dims else (np.zeros(0, np.int64),) * 2
                 found = [(q_id, *best_in_shard(ids, m, q_id, q[:, i], k, top, low)) for i, q_id in enumerate(q_ids)]
-                score = np.concatenate([f[2] for f in found])
-                yield pd.DataFrame({"query_id": np.repeat([f[0] for f in found], [len(f[1]) for f in found]), "vec_id": np.concatenate([f[1] for f in found]), "high": (score >> 62).astype(np.int64), "low": (score & LOW).astype(np.int64)})
+                score = [int(s) for f in found for s in f[2].tolist()]
+                far = [not -(1 << 124) <= s < 1 << 124 for s in score]
+                high = [(1 << 62) * (1 if s > 0 else -1) if o else s >> 62 for s, o in zip(score, far, strict=True)]
+                yield pd.DataFrame({"query_id": np.repeat([f[0] for f in found], [len(f[1]) for f in found]), "vec_id": np.concatenate([f[1] for f in found]), "high": high, "low": [0 if o else s & LOW for s, o in zip(score, far, strict=True)], "far": [sortable(s) if o else None for s, o in zip(score, far, strict=True)]})
 
     with arrow_rows(spark, 16):
-        dealt = pairs.repartition(max(1, some_shards * some_blocks), "dims", "shard", "block")
-        found = materialise(dealt.mapInPandas(search, "query_id long, vec_id long, high long, low long"), "found")
-    ranked = found.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("high"), F.desc("low"), "vec_id")))
+        dealt = pairs.repartition(max(1, some_shards * some_blocks), "dims", "big", "shard", "q_big", "block")
+        found = materialise(dealt.mapInPandas(search, "query_id long, vec_id long, high long, low long, far binary"), "found")
+    ranked = found.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("high"), F.desc("low"), F.desc("far"), "vec_id")))
     fits = F.shiftleft("high", 62) + F.col("low")
     score = F.when(F.col("high") > 1, F.lit(2**63 - 1)).when(F.col("high") < -2, F.lit(-(2**63))).otherwise(fits)
     return ranked.filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", score.alias("score"))

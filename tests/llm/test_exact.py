@@ -5,6 +5,7 @@ import math
 import random
 import re
 from collections import Counter, defaultdict
+from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
@@ -202,9 +203,11 @@ def test_top_k_of_other_lengths_large_components_and_repeated_ids(spark):
     rows = [(i, [float(x) for x in rng.normal(0, 1, 4)], "x") for i in range(30)]
     rows += [(i, [float(x) for x in rng.normal(0, 1, 3)], "x") for i in range(100, 108)]
     rows += [(150, [2.0**47, -(2.0**47), 1.0, 0.0], "x"), (151, [2.0**46, 2.0**45, -1.0, 3.0], "x"), (5, rows[6][1], "x"), (152, [2.0**49, 0.0, 0.0, 0.0], "x")]
+    rows += [(200, [], "x"), (201, [], "x"), (250, [3e14, 0.5], "x"), (251, [0.25, -7e13], "x"), (252, [-1e300, 1e300], "x"), (300, [1e307, -1.7e308], "x"), (301, [1.0, 1.0], "x"), (302, [1e307, -1.6e308], "x")]
+    rows += [(1000 + i, [float(i)] * (5 + i), "x") for i in range(0, 100, 10)]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, score string")
     got = topk.top_k(df, df.filter("vec_id % 50 = 0"), "vec_id", "embedding").collect()
-    v = [(i, [math.floor(256 * c) for c in x]) for i, x, _ in rows if max(map(abs, x)) < 2.0**48]
+    v = [(i, [math.floor(256 * Fraction(c)) for c in x]) for i, x, _ in rows]
     want = set()
     for q, x in v:
         if q % 50 == 0:
