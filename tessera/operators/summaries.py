@@ -6,8 +6,9 @@ variable that each parameter of the callee gets. A summary is a set of facts (fn
 dst R or K. At a call, P2 to R of the callee is a flow from the third argument to dst, and so on.
 
 Functions are taken by components of the call graph, callees first: a component's level is the longest way from it to one
-that calls none. Within a level new facts alone are joined again, until none is left; a component that still gets facts in
-round limit (32) is given up: its facts are dropped, its status is NON_CONVERGED, and callers get a flow from U (unknown).
+that calls none. Within a level new facts alone are joined again, until none is left. Rounds that bring a recursive component
+facts are counted; one that still gets some after limit (32) of them is given up: its facts are dropped, its status is
+NON_CONVERGED, and callers get a flow from U (unknown).
 Calls of functions that are not in functions give U as well. Null keys take no part. Repeated rows change nothing. Empty
 tables: no rows.
 """
@@ -75,13 +76,18 @@ def solve(functions: DataFrame, flows: DataFrame, calls: DataFrame, bound: DataF
             ways = ways.unionByName(through)
         ways = cut(ways.distinct())
         seen = front = cut(front.distinct())
-        late = None
-        for turn in range(limit + 1):
+        late, passes = None, 0
+        round_ = cut(own.filter("recursive").select("fn", "comp"))
+        some = not round_.isEmpty()
+        while True:
             facts = seen.filter("at IN ('R', 'K')").select("fn", "src", F.col("at").alias("dst"))
             new = front.filter("at IN ('R', 'K')").select("fn", "src", F.col("at").alias("dst"))
-            if turn == limit:
-                late = cut(new.select("fn").distinct().join(own.filter("recursive"), "fn").select("comp").distinct())
-                break
+            if some and not new.join(round_, "fn", "left_semi").isEmpty():
+                passes += 1
+            if passes > limit:
+                late = cut(new.join(round_, "fn").select("comp").distinct())
+                front = cut(front.join(round_, "fn", "left_anti"))
+                new, some, passes = front.filter("at IN ('R', 'K')").select("fn", "src", F.col("at").alias("dst")), False, 0
             along = front.join(ways, (front["fn"] == ways["fn"]) & (front["at"] == ways["src"])).select(front["fn"], front["src"], F.col("dst").alias("at"))
             # calls inside the level: what is new of the callee with all that is known of the caller, and the other way round
             now, old = _through(mine, new), _through(mine, facts)
