@@ -108,17 +108,43 @@ def _names(s: np.ndarray, order: np.ndarray, length: np.ndarray) -> np.ndarray:
     return np.cumsum(~same) - 1
 
 
-def _doubling(s: np.ndarray) -> np.ndarray:
-    """Suffix array by rank doubling, for strings over nearly as many symbols as they are long, where induction would take its buckets one by one."""
-    n = len(s)
-    rank, step = np.unique(s, return_inverse=True)[1].astype(np.int64), 1
-    while True:
-        key = rank * (n + 1)
-        key[: n - step] += rank[step:] + 1
-        found, rank = np.unique(key, return_inverse=True)
-        if len(found) == n or step >= n:
-            return np.argsort(rank, kind="stable")
-        step *= 2
+#: Names up to which a reduced string is induced as it is.
+BUCKETS = 600
+
+
+def _digits(s: np.ndarray) -> np.ndarray:
+    """Each number as two digits, and a least symbol behind; suffixes that begin with a first digit are in the order of those of s."""
+    base = int(np.ceil(np.sqrt(s.max() + 1)))
+    out = np.zeros(2 * len(s) + 1, np.int64)
+    out[0:-1:2], out[1::2] = s // base + 1, s % base + 1
+    return out
+
+
+def reduced(names: np.ndarray) -> np.ndarray:
+    """Suffixes of a string of names in order, by induced sorting again.
+
+    Names that stand once are in place by themselves; of them only those right behind a shared one are needed, as no
+    comparison goes on beyond them. Of many different names the rest is written in two digits, so that there are few buckets
+    to induce, if that leaves clearly fewer suffixes for the next level; else it is sorted as it is, which halves them. So
+    levels are at most as many as a logarithm of the length.
+    """
+    shared = (np.bincount(names) > 1)[names]
+    keep = shared.copy()
+    keep[1:] |= shared[:-1]
+    keep[-1] = True
+    at = np.flatnonzero(keep)
+    dense = np.cumsum(np.bincount(names[at], minlength=int(names.max()) + 1) > 0) - 1
+    few = dense[names[at]]
+    two = _digits(few)
+    t = s_types(two)
+    if few.max() < BUCKETS or (t[1:] & ~t[:-1]).sum() > 0.8 * len(few):
+        sa = suffix_array(few)
+    else:
+        sa = suffix_array(two)
+        sa = sa[(sa % 2 == 0) & (sa < 2 * len(few))] // 2
+    rank = np.zeros(len(names), np.int64)
+    rank[at[sa]] = np.arange(len(sa))
+    return np.lexsort((rank, names))
 
 
 def suffix_array(s: np.ndarray, sizes: np.ndarray | None = None) -> np.ndarray:
@@ -143,10 +169,8 @@ def suffix_array(s: np.ndarray, sizes: np.ndarray | None = None) -> np.ndarray:
     short = name[lms]
     if named[-1] + 1 == len(lms):
         sorted_lms = order
-    elif (named[-1] + 1) * 64 <= len(lms):
-        sorted_lms = lms[suffix_array(short)]
     else:
-        sorted_lms = lms[_doubling(short)]
+        sorted_lms = lms[reduced(short)]
     return induce(s, t, sorted_lms, bounds)
 
 
