@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -9,7 +11,8 @@ from pyspark.sql import types as T
 from tessera.operators import dataflow
 from tessera.plans.base import query, shared
 from tessera.streaming import events as ev
-from tessera.tables import table
+from tessera.streaming import stateful
+from tessera.tables import shared_folder, table
 
 shared("d_last_def", """
 WITH s AS (SELECT event_id, user_id, event_type, <<last_value(CASE WHEN event_type = 'purchase' THEN event_id END, true)|||last_value(CASE WHEN event_type = 'purchase' THEN event_id END IGNORE NULLS)>> OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS def_id FROM {events})
@@ -76,6 +79,27 @@ def x_audit_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ev.chained(table(spark, sf_dir, "events")).select("user_id", "event_id", "previous_hash", "event_hash")
 
 
+#: Events come in three files by time; some of the first days come with the last file and are too late.
+_CUTS = "2024-01-10", "2024-01-20"
+
+
+@query(f"""WITH RECURSIVE c AS (SELECT * FROM events WHERE NOT (event_id % 50 = 0 AND ts < TIMESTAMP '2024-01-08') AND ts <= (SELECT max(ts) - INTERVAL '1 hour' FROM events)),
+e AS (SELECT user_id, event_id, event_type, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k FROM c), r AS (SELECT user_id, event_id, k, '' AS previous_hash, sha256('|' || event_id || '|' || event_type) AS event_hash FROM e WHERE k = 1
+UNION ALL SELECT e.user_id, e.event_id, e.k, r.event_hash, sha256(r.event_hash || '|' || e.event_id || '|' || e.event_type) FROM r JOIN e ON e.user_id = r.user_id AND e.k = r.k + 1)
+SELECT user_id AS key, event_id AS id, previous_hash, event_hash, (SELECT count(*) FROM events WHERE event_id % 50 = 0 AND ts < TIMESTAMP '2024-01-08') AS n_late FROM r""")
+def x_stateful_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hash chains of users' events as a stream with state and timers; what comes too late is dropped and counted."""
+    events = table(spark, sf_dir, "events").select("event_id", F.col("ts").cast("timestamp").alias("ts"), "user_id", "event_type")
+    late = (F.col("event_id") % 50 == 0) & (F.col("ts") < "2024-01-08")
+    part = F.when(late | (F.col("ts") >= _CUTS[1]), 2).when(F.col("ts") >= _CUTS[0], 1).otherwise(0)
+    folder = f"{shared_folder(spark)}/fed-{uuid.uuid4().hex}"
+    for n in range(3):  # one after the other, as a stream takes files by the time they were written
+        events.filter(part == n).coalesce(1).write.mode("append").parquet(folder)
+    fed = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", "1").parquet(folder)
+    found, dropped = stateful.drained(stateful.in_order(fed, stateful.Chained(), "user_id", "ts", "event_id", "event_type"))
+    return found.withColumn("n_late", F.lit(dropped).cast("long"))
+
+
 @query("WITH p AS (SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS place FROM events) SELECT user_id, count(*) AS n, min(CASE WHEN event_id % 97 = 0 THEN place END) AS first_break FROM p GROUP BY user_id")
 def x_audit_verify(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every 97th event is tampered with after the chain was built."""
