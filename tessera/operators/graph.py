@@ -119,7 +119,7 @@ def statistics(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     n, m = nodes.agg(F.count(F.lit(1)).alias("n_nodes")), edges.agg(F.count(F.lit(1)).alias("n_edges"))
     one = n.withColumn("k", F.lit(1)).join(m.withColumn("k", F.lit(1)), "k")
     many = F.col("n_nodes") * (F.col("n_nodes") - 1)
-    return one.select("n_nodes", "n_edges", F.round(F.when(many > 0, F.col("n_edges") / many).otherwise(0.0), 12).alias("density"))
+    return one.select("n_nodes", "n_edges", F.round(F.when(many > 0, F.col("n_edges") / many).otherwise(0.0), 6).alias("density"))
 
 
 def compare_nodes(old: DataFrame, new: DataFrame, columns: list[str]) -> DataFrame:

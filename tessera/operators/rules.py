@@ -2,7 +2,8 @@
 
 A condition is a dict; its entries must all hold. Keys: all, any (lists of
 conditions), not (one), node_type_equals, has_attribute, attribute_equals and
-attribute_contains ({key, value}), incoming_edge and outgoing_edge ({type,
+attribute_contains ({key, value}), source_kind_equals, sink_kind_equals,
+flow_taint_state_equals (of the attributes so named), incoming_edge and outgoing_edge ({type,
 source_type or target_type}), edge_count ({direction, type, min, max}).
 """
 
@@ -51,6 +52,8 @@ def _compiled(condition: dict, counts: dict[tuple, str]) -> Column:
             one = attribute(value["key"]).eqNullSafe(F.lit(value["value"]))
         elif key == "attribute_contains":
             one = sure(F.contains(attribute(value["key"]), F.lit(str(value["value"]))))
+        elif key == "flow_taint_state_equals":
+            one = F.coalesce(attribute("flow_taint_state"), F.lit("UNKNOWN")) == F.lit(str(value).upper())
         elif key in ("source_kind_equals", "sink_kind_equals"):
             one = F.coalesce(attribute(key.removesuffix("_equals")), F.lit("")) == F.lit(str(value))
         elif key in ("incoming_edge", "outgoing_edge"):
@@ -66,9 +69,8 @@ def _compiled(condition: dict, counts: dict[tuple, str]) -> Column:
     return out
 
 
-def matching(nodes: DataFrame, edges: DataFrame, condition: dict) -> DataFrame:
-    """Nodes for which the condition holds. Edges are counted by node before they are joined, so hubs cost one row."""
-    keys = sorted(_edge_keys(condition), key=str)
+def _counted(nodes: DataFrame, edges: DataFrame, keys: list[tuple]) -> tuple[DataFrame, dict[tuple, str]]:
+    """nodes with a count for each key. Edges are counted by node before they are joined, so hubs cost one row."""
     own, names = nodes, {k: f"_n{i}" for i, k in enumerate(keys)}
     for (way, edge_type, other), name in names.items():
         here, there = ("dst", "src") if way == "incoming_edge" else ("src", "dst")
@@ -76,13 +78,22 @@ def matching(nodes: DataFrame, edges: DataFrame, condition: dict) -> DataFrame:
         if other is not None:
             near = near.join(nodes.filter(F.col("node_type") == other).select(F.col("id").alias(there)), there, "left_semi")
         own = own.join(near.groupBy(F.col(here).alias("id")).agg(F.count(F.lit(1)).alias(name)), "id", "left").na.fill(0, [name])
+    return own, names
+
+
+def matching(nodes: DataFrame, edges: DataFrame, condition: dict) -> DataFrame:
+    """Nodes for which the condition holds."""
+    own, names = _counted(nodes, edges, sorted(_edge_keys(condition), key=str))
     return own.filter(_compiled(condition, names)).select(*nodes.columns)
 
 
 def findings(nodes: DataFrame, edges: DataFrame, rules: list[dict]) -> DataFrame:
-    """A row for each rule (id, severity, condition) and node that it holds for: rule_id, severity, id, fingerprint."""
-    parts = [matching(nodes, edges, r["condition"]).select(F.lit(r["id"]).alias("rule_id"), F.lit(r.get("severity", "MEDIUM")).alias("severity"), "id") for r in rules]
-    out = parts[0]
-    for x in parts[1:]:
-        out = out.unionByName(x)
+    """A row for each rule (id, severity, condition) and node that it holds for: rule_id, severity, id, fingerprint.
+
+    All rules look at a node in one pass; an edge count that several ask for is made once.
+    """
+    own, names = _counted(nodes, edges, sorted(set().union(*(_edge_keys(r["condition"]) for r in rules)), key=str))
+    hits = [F.when(_compiled(r["condition"], names), F.struct(F.lit(r["id"]).alias("rule_id"), F.lit(r.get("severity", "MEDIUM")).alias("severity"))) for r in rules]
+    kind = "array<struct<rule_id:string,severity:string>>"
+    out = own.select("id", F.explode(F.array_compact(F.array(*hits)).cast(kind)).alias("r")).select("r.rule_id", "r.severity", "id")
     return out.withColumn("fingerprint", F.sha2(F.concat_ws("|", "rule_id", "id"), 256))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.operators import invariants, provenance, rule_pipeline
+from tessera.operators import guards, invariants, provenance, rule_pipeline, verdicts
 from tessera.plans.base import query
 from tessera.tables import cut, table
 
@@ -72,3 +72,49 @@ def r_rule_pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     parts = table(spark, sf_dir, "pages").select("page_id", F.posexplode(F.regexp_extract_all("html", F.lit("<[a-z0-9]+[^>]*>[^<]*"), F.lit(0))).alias("pos", "text"))
     nodes = parts.select((F.col("page_id") * 100000 + F.col("pos")).alias("node"), F.regexp_extract("text", "^<([a-z0-9]+)", 1).alias("node_type"), F.lit("html").alias("language"), "text", F.lit(None).cast("string").alias("symbol"), F.lit(None).cast("map<string,string>").alias("aliases"))
     return rule_pipeline.findings(nodes, _page_rules(spark, sf_dir))
+
+
+@query("""WITH t AS (SELECT l_returnflag, l_linestatus, l_orderkey AS o, l_linenumber AS ln, CAST(l_quantity AS BIGINT) AS q, CAST(l_quantity AS BIGINT) % 8 AS f, ['SQL_INJECTION', 'command_exec', ' xss ', 'PATH_TRAVERSAL', 'LDAP'][l_partkey % 5 + 1] AS category, [NULL, 'SQL_VALUE', 'SQL_ORDER_BY', 'SHELL_ARGUMENT'][l_suppkey % 4 + 1] AS context FROM lineitem),
+b AS (SELECT category, context, [[], ['NUMERIC'], ['INTEGER', 'NUMERIC'], ['DIGITS_ONLY'], ['SHELL_ESCAPED'], ['HTML_ESCAPED', 'NUMERIC'], ['PATH_NORMALIZED'], ['SQL_ESCAPED']][f + 1] AS facts FROM t),
+d AS (SELECT category, context, array_to_string(facts, ' ') AS facts, CASE WHEN list_contains(facts, 'INTEGER') THEN 'INTEGER' WHEN list_contains(facts, 'DIGITS_ONLY') THEN 'DIGITS_ONLY' WHEN list_contains(facts, 'NUMERIC') THEN 'NUMERIC' END AS ty FROM b),
+x AS (SELECT *, CASE WHEN ty IS NOT NULL AND category = 'SQL_INJECTION' THEN CASE WHEN context IS NULL OR context = 'SQL_VALUE' THEN 'COMPATIBLE:' ELSE 'NOT_PROVEN:' END || ty
+  WHEN ty IS NOT NULL AND category = 'command_exec' AND (context IS NULL OR context = 'SHELL_ARGUMENT') THEN 'COMPATIBLE:' || ty WHEN ty IS NOT NULL AND category = ' xss ' THEN 'COMPATIBLE:' || ty
+  WHEN facts = 'SHELL_ESCAPED' THEN CASE category WHEN 'command_exec' THEN 'COMPATIBLE' ELSE 'NOT_PROVEN' END || ':SHELL_ESCAPED' WHEN facts LIKE 'HTML%' THEN CASE category WHEN ' xss ' THEN 'COMPATIBLE' ELSE 'NOT_PROVEN' END || ':HTML_ESCAPED'
+  WHEN facts = 'PATH_NORMALIZED' AND category = 'PATH_TRAVERSAL' THEN 'COMPATIBLE:PATH_NORMALIZED' ELSE 'NOT_PROVEN:' END AS a FROM d)
+SELECT category, context, facts, split_part(a, ':', 1) AS decision, nullif(split_part(a, ':', 2), '') AS fact, count(*) AS n FROM x GROUP BY ALL""")
+def s_sink_compatibility(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is proven of values, and whether it is enough where they go."""
+    pick = lambda names, i: F.get(F.array(*(F.lit(x) for x in names)), i.cast("int"))
+    sets = ((), ("NUMERIC",), ("INTEGER", "NUMERIC"), ("DIGITS_ONLY",), ("SHELL_ESCAPED",), ("HTML_ESCAPED", "NUMERIC"), ("PATH_NORMALIZED",), ("SQL_ESCAPED",))
+    own = F.col("l_quantity").cast("long") % 8
+    rows = table(spark, sf_dir, "lineitem").select(pick(("SQL_INJECTION", "command_exec", " xss ", "PATH_TRAVERSAL", "LDAP"), F.col("l_partkey") % 5).alias("category"), pick((None, "SQL_VALUE", "SQL_ORDER_BY", "SHELL_ARGUMENT"), F.col("l_suppkey") % 4).alias("context"), pick([" ".join(s) for s in sets], own).alias("facts"), pick([sum(guards.BIT[f] for f in s) for s in sets], own).alias("bits"))
+    answer = verdicts.compatibility(F.col("bits"), F.col("category"), F.col("context"))
+    return rows.withColumn("a", answer).groupBy("category", "context", "facts", "a.decision", "a.fact").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("""WITH v AS (SELECT l_orderkey * 10 + l_linenumber AS verdict_id, l_returnflag AS rule, ['src/App.php', './src\\app.php', '././SRC/app.php', 'lib/db.php'][l_partkey % 4 + 1] AS file, 'f' || (l_suppkey % 3) AS fn, l_linenumber AS line, 'SQL' AS sc, 'v#' || (l_partkey % 2) AS vv, CASE WHEN l_suppkey % 2 = 0 THEN 'ctx' END AS cc, l_linestatus AS br,
+  CASE WHEN l_partkey % 3 = 0 THEN 'a,b' ELSE 'b,c' END AS so, 'CONFIRMED' AS status, l_discount AS confidence, CAST(l_quantity AS BIGINT) AS np, l_linenumber AS ne FROM lineitem),
+k AS (SELECT *, sha256(rule || '|' || CASE WHEN file = 'lib/db.php' THEN file ELSE 'src/app.php' END || '|' || fn || '|' || line || '|' || sc || '|' || vv || '|' || coalesce(cc, '') || '|' || br || '|' || so || '|' || status)[1:16] AS h FROM v),
+r AS (SELECT h, verdict_id, count(*) OVER (PARTITION BY h) AS n, row_number() OVER (PARTITION BY h ORDER BY confidence DESC, np DESC, ne DESC, verdict_id DESC) AS p FROM k)
+SELECT 'corr_' || h AS correlation_id, verdict_id AS primary, n, n - 1 AS associated FROM r WHERE p = 1""")
+def f_correlated_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Verdicts that are the same one by ten marks, and the richest of each."""
+    files = F.array(*(F.lit(x) for x in ("src/App.php", "./src\\app.php", "././SRC/app.php", "lib/db.php")))
+    sources = F.when(F.col("l_partkey") % 3 == 0, F.array(F.lit("b"), F.lit("a"))).otherwise(F.array(F.lit("b"), F.lit("c")))
+    own = table(spark, sf_dir, "lineitem").select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("verdict_id"), F.col("l_returnflag").alias("rule"), F.get(files, (F.col("l_partkey") % 4).cast("int")).alias("file"), F.concat(F.lit("f"), F.col("l_suppkey") % 3).alias("function"), F.col("l_linenumber").alias("line"), F.lit("SQL").alias("sink_category"), F.concat(F.lit("v#"), F.col("l_partkey") % 2).alias("var_version"), F.when(F.col("l_suppkey") % 2 == 0, "ctx").alias("call_context"), F.col("l_linestatus").alias("branch"), sources.alias("sources"), F.lit("CONFIRMED").alias("status"), F.col("l_discount").alias("confidence"), F.col("l_quantity").cast("long").alias("n_provenance"), F.col("l_linenumber").alias("n_evidence"))
+    return verdicts.correlated(own)
+
+
+@query("""WITH f AS (SELECT CASE WHEN user_id % 40 < 5 THEN ['ACCOUNT_TAKEOVER', 'ROOT_ACCESS', 'CLOUD_ADMIN', 'TENANT_ESCAPE', 'CODE_EXECUTION'][user_id % 40 + 1] ELSE 'PROPERTY_' || user_id END AS property, CASE WHEN event_id % 7 = 0 THEN 'SAFE' WHEN event_id % 31 = 0 THEN 'CONFLICT' WHEN event_id % 3 = 0 THEN 'VULNERABLE' END AS r,
+  user_id % 5 = 0 AS quiet, event_type = 'view' AS missing FROM events),
+g AS (SELECT property, sum(CASE WHEN r = 'CONFLICT' AND NOT quiet THEN 1 ELSE 0 END) AS c, sum(CASE WHEN r = 'SAFE' AND property LIKE '%5' THEN 1 ELSE 0 END) AS s, sum(CASE WHEN r = 'VULNERABLE' AND NOT missing AND property NOT LIKE '%7' THEN 1 ELSE 0 END) AS v FROM f GROUP BY property),
+h AS (SELECT property, CASE WHEN c > 0 OR (v > 0 AND s > 0) THEN 'CONFLICT' WHEN v > 0 THEN 'VULNERABLE' WHEN s > 0 THEN 'SAFE' ELSE 'UNKNOWN' END AS resolution FROM g)
+SELECT property, resolution, CASE resolution WHEN 'VULNERABLE' THEN CASE WHEN property LIKE 'PROPERTY%' THEN 'HIGH' ELSE 'CRITICAL' END WHEN 'SAFE' THEN 'INFO' ELSE 'UNKNOWN' END AS severity, CASE WHEN resolution IN ('VULNERABLE', 'SAFE') THEN 'HIGH' ELSE 'UNKNOWN' END AS confidence FROM h""")
+def s_property_proofs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Properties and what findings prove of them."""
+    names = F.array(*(F.lit(x) for x in verdicts.CRITICAL))
+    own = F.col("user_id") % 40
+    prop = F.when(own < 5, F.get(names, own.cast("int"))).otherwise(F.concat(F.lit("PROPERTY_"), "user_id"))
+    rows = table(spark, sf_dir, "events").select(prop.alias("property"), "event_id", "user_id", "event_type")
+    r = F.when(F.col("event_id") % 7 == 0, F.when(F.col("property").endswith("5"), "SAFE")).when(F.col("event_id") % 31 == 0, F.when(F.col("user_id") % 5 != 0, "CONFLICT")).when((F.col("event_id") % 3 == 0) & ~F.col("property").endswith("7"), "VULNERABLE")
+    return verdicts.proofs(rows.select("property", r.alias("resolution"), F.lit(None).cast("boolean").alias("conflict"), F.lit(False).alias("safe_control"), (F.col("event_type") == "view").alias("missing")))

@@ -167,7 +167,7 @@ def g_broken_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.broken_edges(nodes, graph.build_edges(spark, sf_dir, ("PLACES",)))
 
 
-@query(f"SELECT n_nodes, n_edges, round(n_edges / CAST(n_nodes * (n_nodes - 1) AS DOUBLE), 12) AS density FROM (SELECT count(*) AS n_nodes FROM ({_nodes_sql(ALL)})), (SELECT count(*) AS n_edges FROM ({_edges_sql(ALL_TYPES)}))")
+@query(f"SELECT n_nodes, n_edges, round(n_edges / CAST(n_nodes * (n_nodes - 1) AS DOUBLE), 6) AS density FROM (SELECT count(*) AS n_nodes FROM ({_nodes_sql(ALL)})), (SELECT count(*) AS n_edges FROM ({_edges_sql(ALL_TYPES)}))")
 def g_stats_density(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.statistics(graph.build_nodes(spark, sf_dir), graph.build_edges(spark, sf_dir))
 
@@ -285,3 +285,23 @@ def r_graph_rule_edge_count(spark: SparkSession, sf_dir: str) -> DataFrame:
     nodes, edges = graph.build_nodes(spark, sf_dir, ("NATION", "SUPPLIER")), graph.build_edges(spark, sf_dir, ("IN_NATION",))
     suppliers = edges.join(nodes.filter("node_type = 'SUPPLIER'").select(F.col("id").alias("src")), "src", "left_semi")
     return rules.matching(nodes, suppliers, {"node_type_equals": "NATION", "edge_count": {"direction": "incoming", "type": "IN_NATION", "min": 3, "max": 5}}).select("id")
+
+
+@query(f"""WITH r AS (SELECT {_nid('NATION', 'n_nationkey')} AS id, n_nationkey AS k, count(s_suppkey) AS n FROM nation LEFT JOIN supplier ON s_nationkey = n_nationkey GROUP BY n_nationkey),
+f AS (SELECT 'busy' AS rule_id, 'HIGH' AS severity, id FROM r WHERE n >= 3 UNION ALL SELECT 'empty', 'MEDIUM', id FROM r WHERE n = 0 UNION ALL SELECT 'tainted', 'LOW', {_nid('REGION', 'r_regionkey')} FROM region WHERE r_regionkey % 2 = 0)
+SELECT rule_id, severity, id, sha256(rule_id || '|' || id) AS fingerprint FROM f""")
+def r_graph_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Several graph rules in one pass, one of them over the taint state of flows."""
+    edges = graph.build_edges(spark, sf_dir, ("IN_NATION",))
+    nodes = graph.build_nodes(spark, sf_dir, ("NATION", "REGION", "SUPPLIER"))
+    even = table(spark, sf_dir, "region").filter("r_regionkey % 2 = 0").select(graph.keyed("REGION", "r_regionkey").alias("id"), F.lit(True).alias("even"))
+    state = F.when(F.col("even"), F.map_concat("attributes", F.create_map(F.lit("flow_taint_state"), F.lit("TAINTED")))).otherwise(F.col("attributes"))
+    nodes = nodes.join(even, "id", "left").withColumn("attributes", state).drop("even")
+    from_supplier = {"type": "IN_NATION", "source_type": "SUPPLIER"}
+    found = [
+        {"id": "busy", "severity": "HIGH", "condition": {"node_type_equals": "NATION", "edge_count": {"direction": "incoming", "type": "IN_NATION", "min": 3}}},
+        {"id": "empty", "condition": {"node_type_equals": "NATION", "not": {"incoming_edge": from_supplier}}},
+        {"id": "tainted", "severity": "LOW", "condition": {"flow_taint_state_equals": "TAINTED"}},
+    ]
+    suppliers = edges.join(nodes.filter("node_type = 'SUPPLIER'").select(F.col("id").alias("src")), "src", "left_semi")
+    return rules.findings(nodes, suppliers, found)

@@ -34,6 +34,23 @@ def _parsed(text: str) -> list[dict]:
     return [x for d in found for x in (d if isinstance(d, list) else [d]) if isinstance(x, dict)]
 
 
+def _fault(text: str) -> str:
+    """What is wrong with a file that _parsed() finds nothing in."""
+    try:
+        import yaml
+    except ImportError:
+        try:
+            json.loads(text)
+        except ValueError as e:
+            return str(e).splitlines()[0]
+    else:
+        try:
+            list(yaml.safe_load_all(text))
+        except yaml.YAMLError as e:
+            return str(e).splitlines()[0]
+    return "no mapping"
+
+
 def _plain(values: object) -> dict[str, str]:
     return {str(k): v if isinstance(v, str) else json.dumps(v, default=str) for k, v in values.items() if v is not None} if isinstance(values, dict) else {}
 
@@ -67,6 +84,21 @@ def _read(spark: SparkSession, folder: str, pick: Callable[[dict], tuple | None]
     return files.mapInPandas(parse, schema)
 
 
+def unreadable(spark: SparkSession, folder: str) -> DataFrame:
+    """path and error of each rule file below folder that can't be read, or holds nothing that is a mapping."""
+
+    def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            rows = []
+            for path, text in zip(pdf["path"], pdf["value"], strict=True):
+                if text.strip() and not _parsed(text):
+                    rows.append((path, _fault(text)))
+            yield pd.DataFrame(rows, columns=["path", "error"])
+
+    files = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.{yaml,yml,json}").text(folder, wholetext=True)
+    return files.select(F.col("_metadata.file_path").alias("path"), "value").mapInPandas(parse, "path string, error string")
+
+
 def rules(spark: SparkSession, folder: str) -> DataFrame:
     """Rules of all files below folder; a document without an id is none."""
     return _read(spark, folder, _rule, RULES)

@@ -94,3 +94,28 @@ def test_problems_of_provenance(spark):
     links = spark.createDataFrame([(2, 3), (3, 2), (4, 3), (5, 5), (1, 99)], "id long, pred long")
     assert sorted(map(tuple, provenance.problems(nodes, links).collect())) == [(1, "orphan"), (2, "cycle"), (3, "cycle"), (4, "duplicate"), (5, "cycle"), (5, "self-reference")]
     assert {r["id"]: r["fingerprint"] is None for r in provenance.fingerprints(nodes, links).collect()} == {1: False, 2: True, 3: True, 4: True, 5: True}
+
+
+def test_sink_compatibility(spark):
+    from pyspark.sql import functions as F
+
+    from tessera.operators import verdicts
+    from tessera.operators.guards import BIT
+
+    rows = [(BIT["NUMERIC"], "SQL_INJECTION", "SQL_VALUE"), (BIT["NUMERIC"], "SQL_INJECTION", "SQL_IDENTIFIER"), (BIT["HTML_ESCAPED"], "SQL_INJECTION", "SQL_VALUE"), (BIT["SHELL_ESCAPED"] | BIT["INTEGER"], "COMMAND_INJECTION", "FILE_PATH"), (BIT["PATH_NORMALIZED"], "LFI", None), (0, "XSS", None), (None, None, None), (BIT["INTEGER"] | BIT["NUMERIC"], "xss", None)]
+    got = spark.createDataFrame(rows, "bits int, category string, context string").select(verdicts.compatibility(F.col("bits"), F.col("category"), F.col("context")).alias("a")).collect()
+    assert [tuple(r["a"]) for r in got] == [("COMPATIBLE", "NUMERIC"), ("NOT_PROVEN", "NUMERIC"), ("NOT_PROVEN", "HTML_ESCAPED"), ("COMPATIBLE", "SHELL_ESCAPED"), ("COMPATIBLE", "PATH_NORMALIZED"), ("NOT_PROVEN", None), ("NOT_PROVEN", None), ("COMPATIBLE", "INTEGER")]
+
+
+def test_correlated_verdicts_and_proofs(spark):
+    from tessera.operators import verdicts
+
+    schema = "verdict_id string, rule string, file string, function string, line int, sink_category string, var_version string, call_context string, branch string, sources array<string>, status string, confidence double, n_provenance int, n_evidence int"
+    row = lambda i, file, conf, prov, sources=("a", "b"), branch="T": (i, "r", file, "f", 3, "SQL", "x#1", None, branch, list(sources), "CONFIRMED", conf, prov, 1)
+    rows = [row("a", "./src/A.php", 0.5, 9), row("b", "SRC\\a.php", 0.9, 1, ("b", "a")), row("c", "src/a.php", 0.9, 2), row("d", "src/a.php", 0.9, 2), row("e", "src/a.php", 0.1, 1, branch="F"), row("f", None, 0.1, 1)]
+    got = sorted((r["primary"], r["n"], r["associated"]) for r in verdicts.correlated(spark.createDataFrame(rows, schema)).collect())
+    assert got == [("d", 4, 3), ("e", 1, 0), ("f", 1, 0)]
+    found = [("P", "VULNERABLE", None, None, None), ("P", "SAFE", None, None, None), ("ROOT_ACCESS", "VULNERABLE", False, False, False), ("Q", "VULNERABLE", None, None, True), ("R", "UNKNOWN", None, True, None), ("S", "SAFE", True, None, None), ("T", "VULNERABLE", None, None, None), (None, "SAFE", None, None, None), ("U", None, None, None, None)]
+    got = {r["property"]: (r["resolution"], r["severity"], r["confidence"]) for r in verdicts.proofs(spark.createDataFrame(found, "property string, resolution string, conflict boolean, safe_control boolean, missing boolean")).collect()}
+    unknown = ("UNKNOWN", "UNKNOWN", "UNKNOWN")
+    assert got == {"P": ("CONFLICT", "UNKNOWN", "UNKNOWN"), "ROOT_ACCESS": ("VULNERABLE", "CRITICAL", "HIGH"), "Q": unknown, "R": ("SAFE", "INFO", "HIGH"), "S": ("CONFLICT", "UNKNOWN", "UNKNOWN"), "T": ("VULNERABLE", "HIGH", "HIGH"), "U": unknown}

@@ -180,3 +180,11 @@ def test_rules_use_predicates(spark, tmp_path):
 def test_leases():
     got = _fold(workers.Leases(), [(1, 0, "a", 10), (1, 5, "b", 10), (1, 9, "a", 10), (1, 18, "b", 1), (1, 19, "b", 10), (1, 20, "a", 1), (2, 0, "a", 1)])
     assert got == ["HELD 1", "REFUSED", "HELD 1", "REFUSED", "HELD 2", "REFUSED", "HELD 1"]
+
+
+def test_rule_files_that_cannot_be_read_are_told(spark, tmp_path):
+    for name, text in (("a.yaml", "id: A\ncondition:\n  pattern: x\n"), ("b.yaml", "id: [unclosed"), ("c.yml", "just words"), ("d.yaml", ""), ("e.json", '{"id": ')):
+        (tmp_path / name).write_text(text)
+    got = {r["path"].rsplit("/", 1)[1]: r["error"] for r in rules.unreadable(spark, f"file://{tmp_path}").collect()}
+    assert set(got) == {"b.yaml", "c.yml", "e.json"} and all(got.values())
+    assert [r["rule_id"] for r in rules.rules(spark, f"file://{tmp_path}").collect()] == ["A"]
