@@ -70,21 +70,6 @@ def test_suffix_array():
             assert lcp[b] == n
 
 
-def test_suffix_array_recurses_on_text(monkeypatch, texts):
-    levels, again = [], suffix_array.reduced
-    monkeypatch.setattr(suffix_array, "reduced", lambda names: (levels.append(len(names)), again(names))[1])
-    raw = " ".join(t for t in texts if t).encode()[:60_000]
-    rng = np.random.default_rng(4)
-    pieces = b"".join(raw[i : i + 200] for i in rng.integers(0, 3000, 300).tolist())
-    for text in (raw, pieces, b"ab" * 3000, b"a" * 999, b"abaab" * 500 + b"b", bytes(range(200)) * 9):
-        s = np.append(np.frombuffer(text, np.uint8).astype(np.int64) + 4, 0)
-        sa = suffix_array.suffix_array(s)
-        tail = text + b"\x00"
-        order = [tail[i : i + 4000] for i in sa.tolist()]
-        assert sorted(sa.tolist()) == list(range(len(s))) and all(a <= b for a, b in zip(order[1:-1], order[2:], strict=True))
-    assert len(levels) > 10 and max(levels) > 10_000
-
-
 def test_anchors_of_long_text_in_pieces(monkeypatch):
     sym = np.random.default_rng(2).integers(0, 1 << 60, 5000).astype(np.uint64)
     whole = tk.anchors(sym, np.array([0, 5000]), 12, 24)
