@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import hashlib
 import json
-from collections import OrderedDict
 from dataclasses import dataclass, replace
 
 from pyspark.sql import DataFrame
@@ -77,19 +76,3 @@ def node(target: str | None = None) -> Query:
 def evidence(matches: DataFrame) -> DataFrame:
     """First and last match by id, and how many there are."""
     return matches.agg(F.min("id").alias("first_id"), F.max("id").alias("last_id"), F.count(F.lit(1)).alias("n"))
-
-
-class Plans:
-    """Results by fingerprint, the least recently used dropped first; frames are lazy, so only plans are held."""
-
-    def __init__(self, size: int = 1000):
-        self.size, self.held = size, OrderedDict()
-
-    def get(self, query: Query, nodes: DataFrame, edges: DataFrame) -> DataFrame:
-        key = query.fingerprint()
-        if key not in self.held:
-            self.held[key] = query.run(nodes, edges)
-        self.held.move_to_end(key)
-        while len(self.held) > self.size:
-            self.held.popitem(last=False)
-        return self.held[key]

@@ -76,3 +76,33 @@ def regression(baseline: DataFrame, candidate: DataFrame, key: str, precision_dr
     both = baseline.select(key, *(F.col(c).alias(f"was_{c}") for c in names)).join(candidate.select(key, *names), key)
     out = both.select(key, *((F.col(c) - F.col(f"was_{c}")).alias(f"{c}_delta") for c in names))
     return out.withColumn("acceptable", (F.col("precision__delta") >= -precision_drop) & (F.col("recall__delta") >= -recall_drop))
+
+
+#: Fixed value: lines that a finding may be away from its case.
+WINDOW = 3
+
+
+def matched_cases(cases: DataFrame, findings: DataFrame, window: int = WINDOW) -> DataFrame:
+    """case_id, finding_id of the first finding (by place, then id) that fits each case; null if none does.
+
+    cases: case_id, file, line, rule. findings: finding_id, place, file, line, rule, correlated (an array of rules or null).
+    Files are equal; rules are equal, or one is empty or null, or the case's is among the finding's correlated ones; lines are
+    at most window apart, or one is null. Files are compared as they are: bring paths to one form first.
+
+    Lines are dealt to buckets of the window's width, and a case looks into three of them. Of the findings of a rule on one
+    line, or of a rule in one file where lines don't count, only the first goes on, so no case meets more than some rows.
+    """
+    any_rule, width = "\x00", window + 1
+    text = lambda c: F.coalesce(c, F.lit(""))
+    keys = F.array_distinct(F.concat(F.array(text(F.col("rule")), F.lit(any_rule)), F.coalesce("correlated", F.array().cast("array<string>"))))
+    own = findings.filter("finding_id IS NOT NULL").select("file", F.col("line").cast("long").alias("line"), F.struct("place", "finding_id").alias("first"), F.explode(keys).alias("key"))
+    rows = own.groupBy("file", "key", "line").agg(F.min("first").alias("first"))
+    near = rows.filter("line IS NOT NULL").select("file", "key", F.floor(F.col("line") / width).alias("bucket"), "line", "first")
+    wild = rows.filter("line IS NULL").select("file", "key", "first")
+    every = rows.groupBy("file", "key").agg(F.min("first").alias("first"))
+    asked = cases.select("case_id", "file", F.col("line").cast("long").alias("at"), F.explode(F.when(text(F.col("rule")) == "", F.array(F.lit(any_rule))).otherwise(F.array(F.col("rule"), F.lit("")))).alias("key"))
+    b = F.floor(F.col("at") / width)
+    close = asked.filter("at IS NOT NULL").withColumn("bucket", F.explode(F.array(b - 1, b, b + 1))).join(near, ["file", "key", "bucket"]).filter(F.abs(F.col("line") - F.col("at")) <= window)
+    hits = close.select("case_id", "first").unionByName(asked.filter("at IS NOT NULL").join(wild, ["file", "key"]).select("case_id", "first")).unionByName(asked.filter("at IS NULL").join(every, ["file", "key"]).select("case_id", "first"))
+    best = hits.groupBy("case_id").agg(F.min("first").alias("first"))
+    return cases.select("case_id").join(best, "case_id", "left").select("case_id", F.col("first.finding_id").alias("finding_id"))

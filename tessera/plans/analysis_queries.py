@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.operators import guards, invariants, provenance, rule_pipeline, verdicts
+from tessera.operators import evaluation, guards, invariants, provenance, rule_pipeline, verdicts
 from tessera.plans.base import query
 from tessera.tables import cut, table
 
@@ -118,3 +118,17 @@ def s_property_proofs(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "events").select(prop.alias("property"), "event_id", "user_id", "event_type")
     r = F.when(F.col("event_id") % 7 == 0, F.when(F.col("property").endswith("5"), "SAFE")).when(F.col("event_id") % 31 == 0, F.when(F.col("user_id") % 5 != 0, "CONFLICT")).when((F.col("event_id") % 3 == 0) & ~F.col("property").endswith("7"), "VULNERABLE")
     return verdicts.proofs(rows.select("property", r.alias("resolution"), F.lit(None).cast("boolean").alias("conflict"), F.lit(False).alias("safe_control"), (F.col("event_type") == "view").alias("missing")))
+
+
+@query("""WITH g AS (SELECT event_id AS case_id, user_id AS file, CASE WHEN event_id % 9 > 0 THEN event_id % 97 END AS line, CASE WHEN event_id % 4 > 0 THEN 'r' || (event_id % 3) ELSE '' END AS rule FROM events WHERE event_type = 'error'),
+f AS (SELECT event_id AS finding_id, epoch_us(ts) AS place, user_id AS file, CASE WHEN event_id % 11 > 0 THEN event_id % 100 END AS line, CASE WHEN event_id % 13 > 0 THEN 'r' || (event_id % 5) END AS rule, CASE WHEN event_id % 7 = 0 THEN 'r' || ((event_id + 1) % 5) END AS other FROM events WHERE event_type <> 'error'),
+m AS (SELECT g.case_id, f.finding_id, row_number() OVER (PARTITION BY g.case_id ORDER BY f.place, f.finding_id) AS k FROM g JOIN f ON f.file = g.file AND (f.rule = g.rule OR g.rule = '' OR f.rule IS NULL OR f.other = g.rule) AND (f.line IS NULL OR g.line IS NULL OR abs(f.line - g.line) <= 3))
+SELECT g.case_id, m.finding_id FROM g LEFT JOIN m ON m.case_id = g.case_id AND m.k = 1""")
+def e_matched_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cases and the first finding that fits each: the same file, a rule that fits, lines near each other."""
+    events = table(spark, sf_dir, "events")
+    e = F.col("event_id")
+    name = lambda n, m: F.concat(F.lit("r"), n % m)
+    cases = events.filter("event_type = 'error'").select(e.alias("case_id"), F.col("user_id").alias("file"), F.when(e % 9 > 0, e % 97).alias("line"), F.when(e % 4 > 0, name(e, 3)).otherwise("").alias("rule"))
+    found = events.filter("event_type <> 'error'").select(e.alias("finding_id"), F.col("ts").alias("place"), F.col("user_id").alias("file"), F.when(e % 11 > 0, e % 100).alias("line"), F.when(e % 13 > 0, name(e, 5)).alias("rule"), F.when(e % 7 == 0, F.array(name(e + 1, 5))).alias("correlated"))
+    return evaluation.matched_cases(cases, found)

@@ -119,3 +119,15 @@ def test_correlated_verdicts_and_proofs(spark):
     got = {r["property"]: (r["resolution"], r["severity"], r["confidence"]) for r in verdicts.proofs(spark.createDataFrame(found, "property string, resolution string, conflict boolean, safe_control boolean, missing boolean")).collect()}
     unknown = ("UNKNOWN", "UNKNOWN", "UNKNOWN")
     assert got == {"P": ("CONFLICT", "UNKNOWN", "UNKNOWN"), "ROOT_ACCESS": ("VULNERABLE", "CRITICAL", "HIGH"), "Q": unknown, "R": ("SAFE", "INFO", "HIGH"), "S": ("CONFLICT", "UNKNOWN", "UNKNOWN"), "T": ("VULNERABLE", "HIGH", "HIGH"), "U": unknown}
+
+
+def test_matched_cases(spark):
+    from tessera.operators import evaluation
+
+    rng = random.Random(7)
+    cases = [(i, rng.choice("fg"), rng.choice([None, rng.randrange(30)]), rng.choice(["", "a", "b", None])) for i in range(80)]
+    found = [(i, rng.randrange(50), rng.choice("fgh"), rng.choice([None, rng.randrange(30)]), rng.choice(["", "a", "b", "c", None]), rng.choice([None, [], ["a"], ["b", "x"]])) for i in range(60)]
+    got = {r["case_id"]: r["finding_id"] for r in evaluation.matched_cases(spark.createDataFrame(cases, "case_id long, file string, line int, rule string"), spark.createDataFrame(found, "finding_id long, place long, file string, line int, rule string, correlated array<string>")).collect()}
+    for c, file, line, rule in cases:
+        fits = [(p, i) for i, p, f, at, r, co in found if f == file and (not r or not rule or r == rule or rule in (co or ())) and (line is None or at is None or abs(line - at) <= 3)]
+        assert got[c] == (min(fits)[1] if fits else None)
