@@ -188,6 +188,26 @@ def test_guard_scenarios(spark):
     assert run(early, "my_check", "true")[5, "id"] == ("TAINTED", 0)
 
 
+def test_guards_of_large_functions_and_of_loops_that_never_settle(spark):
+    """Streamed functions and rounds of joins give the same, and states that go round a loop are told."""
+    rng = random.Random(11)
+    edges, lines, held = [], [], []
+    for f in range(40):
+        edges += [(f, 0, 1, "FALLTHROUGH")] + [(f, b, d, k) for b in range(1, 7) for d, k in ((b + 1, "TRUE_BRANCH"), (rng.randint(1, 7), "FALSE_BRANCH"))]
+        ops = ["source", "const", "copy", "copy", "intval", "basename", "unheard_of"]
+        lines += [(f, rng.randint(1, 7), i, rng.choice("xyz"), rng.choice(ops), rng.choice("xyz")) for i in range(9)]
+        held += [(f, rng.randint(1, 6), "TRUE_BRANCH", rng.choice("xyz"), 1) for _ in range(2)]
+    # 7 is TAINTED for one round only, and that goes round 8, 9 and 10 for ever
+    edges += [(99, a, b, "TRUE_BRANCH") for a, b in ((0, 1), (0, 4), (0, 5), (1, 2), (5, 4), (4, 6), (2, 7), (6, 7), (7, 8), (8, 9), (9, 10), (10, 8))]
+    lines += [(99, b, 1, "x", "source", "x") for b in (1, 5)]
+    held += [(99, b, "TRUE_BRANCH", "x", 1) for b in (1, 4)]
+    frame = spark.createDataFrame
+    frames = frame(edges, "fn long, src long, dst long, kind string"), frame(lines, "fn long, block long, line long, var string, op string, src string"), frame(held, "fn long, block long, kind string, var string, bits int")
+    streamed, joins = (sorted(map(tuple, guards.states(*frames, limit=5, large=large).collect())) for large in (10**6, 0))
+    assert streamed == joins and len({r[:3] for r in joins}) == len(joins) > 100 and {r[5] for r in joins} == {True, False}
+    assert {r["fn"] for r in guards.states(*frames, limit=None).filter("NOT settled").collect()} == {99}
+
+
 SITES = {"defs": "fn long, line long, var string, op string, src string, callee long", "sinks": "fn long, line long, var string", "params": "fn long, pos int, var string", "args": "fn long, line long, callee long, pos int, var string", "returns": "fn long, line long, var string"}
 
 
