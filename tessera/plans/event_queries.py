@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -79,7 +80,7 @@ def x_audit_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ev.chained(table(spark, sf_dir, "events")).select("user_id", "event_id", "previous_hash", "event_hash")
 
 
-#: Events come in three files by time; some of the first days come with the last file and are too late.
+#: Events come in three deliveries by time; some of the first days come with the last one and are too late.
 _CUTS = "2024-01-10", "2024-01-20"
 
 
@@ -93,10 +94,11 @@ def x_stateful_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
     late = (F.col("event_id") % 50 == 0) & (F.col("ts") < "2024-01-08")
     part = F.when(late | (F.col("ts") >= _CUTS[1]), 2).when(F.col("ts") >= _CUTS[0], 1).otherwise(0)
     folder = f"{shared_folder(spark)}/fed-{uuid.uuid4().hex}"
-    for n in range(3):  # one after the other, as a stream takes files by the time they were written
-        events.filter(part == n).coalesce(1).write.mode("append").parquet(folder)
-    fed = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", "1").parquet(folder)
-    found, dropped = stateful.drained(stateful.in_order(fed, stateful.Chained(), "user_id", "ts", "event_id", "event_type"))
+    put = lambda n: events.filter(part == n).write.mode("append").parquet(folder)
+    put(0)
+    fed = spark.readStream.schema(events.schema).parquet(folder)
+    rows = stateful.in_order(fed, stateful.Chained(), "user_id", "ts", "event_id", "event_type")
+    found, dropped = stateful.drained(rows, [functools.partial(put, 1), functools.partial(put, 2)])
     return found.withColumn("n_late", F.lit(dropped).cast("long"))
 
 

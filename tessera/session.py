@@ -39,5 +39,8 @@ def ship_package(spark: SparkSession) -> SparkSession:
             for p in sorted(root.rglob("*.py")):
                 z.write(p, Path(root.name) / p.relative_to(root))
         spark.sparkContext.addPyFile(target)
+        # the driver's own Python worker of stateful streams gets no added files
+        environment = spark.sparkContext.environment
+        environment["PYTHONPATH"] = os.pathsep.join(filter(None, (target, environment.get("PYTHONPATH"))))
         _shipped.add(app)
     return spark

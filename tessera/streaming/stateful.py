@@ -1,7 +1,7 @@
 """Streams with state and timers: hash chains and sequences checked against epochs, in order of event time.
 
-Rows wait in their key's state until the watermark has passed them; a timer for each time wakes the key, and what is due is
-taken in order of time and id. So the result is that of a batch over the same rows, however the stream cuts them. Rows behind
+Rows wait in their key's state until the watermark has passed them; a timer for the first of them wakes the key, and all that
+is due by then is taken in order of time and id. So the result is that of a batch over the same rows, however the stream cuts them. Rows behind
 the watermark are dropped by Spark, and drained() tells how many. State of a key is its last hash (or epoch and sequence)
 and the rows that wait, which the watermark bounds.
 
@@ -11,7 +11,7 @@ Null keys, times and ids take no part. Repeated rows are rows of their own. An e
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
 from typing import Any
 
 import pandas as pd
@@ -35,16 +35,19 @@ class InOrder(StatefulProcessor):
         self.last = handle.getValueState("last", "hash string, epoch long, seq long")
 
     def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
-        for pdf in rows:
-            own = pdf[["us", "id", "what", "epoch", "seq"]]
-            for row in own.itertuples(index=False, name=None):
-                self.waiting.appendValue(tuple(None if pd.isna(x) else int(x) if not isinstance(x, str) else x for x in row))
-            for ms in sorted({-(-int(us) // 1000) for us in own["us"]}):
-                self.handle.registerTimer(ms)
+        plain = lambda x: None if pd.isna(x) else x if isinstance(x, str) else int(x)
+        own = [tuple(map(plain, r)) for pdf in rows for r in pdf[["us", "id", "what", "epoch", "seq"]].itertuples(index=False, name=None)]
+        if own:
+            self.waiting.appendList(own)
+            self.wake(own)
         return iter([])
 
+    def wake(self, rows: list[tuple]) -> None:
+        """A timer for the first of rows; timers go off when the watermark is later, so it is set a millisecond earlier."""
+        self.handle.registerTimer(-(-min(r[0] for r in rows) // 1000) - 1)
+
     def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[pd.DataFrame]:
-        now = expiredTimerInfo.getExpiryTimeInMs() * 1000
+        now = timerValues.getCurrentWatermarkInMs() * 1000
         rows = list(self.waiting.get())
         due = sorted((r for r in rows if r[0] <= now), key=lambda r: (r[0], r[1]))
         if not due:
@@ -52,6 +55,7 @@ class InOrder(StatefulProcessor):
         later = [r for r in rows if r[0] > now]
         if later:
             self.waiting.put(later)
+            self.wake(later)
         else:
             self.waiting.clear()
         state = tuple(self.last.get()) if self.last.exists() else ("", None, None)
@@ -102,8 +106,11 @@ def in_order(stream: DataFrame, processor: InOrder, key: str, time: str, id_: st
     return rows.groupBy("key").transformWithStateInPandas(processor, schema, "Append", "EventTime")
 
 
-def drained(stream: DataFrame) -> tuple[DataFrame, int]:
-    """All that a stream gives for the rows there now, and how many rows its watermark dropped."""
+def drained(stream: DataFrame, feeds: Iterable[Callable[[], None]] = ()) -> tuple[DataFrame, int]:
+    """All that a stream gives for the rows there now, and how many rows its watermark dropped.
+
+    feeds bring more rows: each is called when the stream has taken what was there, and the stream goes on from its checkpoint.
+    """
     spark = stream.sparkSession
     folder = f"{shared_folder(spark)}/stateful-{uuid.uuid4().hex}"
     name, store = "spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
@@ -114,11 +121,15 @@ def drained(stream: DataFrame) -> tuple[DataFrame, int]:
         def put(batch: DataFrame, number: int) -> None:
             batch.write.mode("overwrite").parquet(f"{folder}/rows/batch-{number}")
 
-        q = stream.writeStream.foreachBatch(put).option("checkpointLocation", f"{folder}/state").outputMode("append").trigger(availableNow=True).start()
-        if not q.awaitTermination(600):
-            q.stop()
-            raise TimeoutError("the stream did not end")
-        dropped = sum(s.numRowsDroppedByWatermark for p in q.recentProgress for s in p.stateOperators)
+        def run() -> int:
+            q = stream.writeStream.foreachBatch(put).option("checkpointLocation", f"{folder}/state").outputMode("append").trigger(availableNow=True).start()
+            q.awaitTermination()
+            return sum(s.numRowsDroppedByWatermark for p in q.recentProgress for s in p.stateOperators)
+
+        dropped = run()
+        for feed in feeds:
+            feed()
+            dropped += run()
     finally:
         spark.conf.unset(name) if before is None else spark.conf.set(name, before)
     return spark.read.schema(stream.schema).option("recursiveFileLookup", "true").parquet(f"{folder}/rows"), dropped
