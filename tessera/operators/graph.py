@@ -8,10 +8,10 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tessera.tables import table
+from tessera.tables import cut, table
 
 
 def node_id(*parts: Column | str) -> Column:
@@ -70,11 +70,26 @@ def build_edges(spark: SparkSession, sf_dir: str, types: tuple[str, ...] | None
 
 
 def link_colocated(nodes: DataFrame, pairs: DataFrame) -> DataFrame:
-    """Edges between nodes of the same place whose types pairs (from_type, to_type, edge_type) joins; nodes without a file link with nothing."""
-    placed = nodes.filter(F.coalesce("file_path", F.lit("")) != "").select("id", "node_type", "file_path", "line_number")
-    left = placed.withColumnsRenamed({"id": "src", "node_type": "from_type"}).join(pairs, "from_type")
-    right = placed.withColumnsRenamed({"id": "dst", "node_type": "to_type"})
-    return left.join(right, ["to_type", "file_path", "line_number"]).filter("src <> dst").select("src", "dst", "edge_type").distinct()
+    """Edges between nodes of the same place whose types pairs (from_type, to_type, edge_type) joins; nodes without a file link with nothing.
+
+    There are as many edges as pairs of nodes of a place, so they are not shuffled: nodes and pairs are made distinct first,
+    and only edges of an id that stands in several places or types can be made twice. Places are parted, and dealt to a set
+    number of tasks, as the nodes' size tells nothing of the edges'.
+    """
+    tasks, parts, place = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions")), 8, ["to_type", "file_path", "line_number", "part"]
+    placed = nodes.filter(F.coalesce("file_path", F.lit("")) != "").select("id", "node_type", "file_path", "line_number").distinct()
+    placed = cut(placed.withColumn("often", F.count(F.lit(1)).over(Window.partitionBy("id")) > 1))
+    joins = pairs.select("from_type", "to_type", "edge_type").distinct()
+
+    def joined(left: DataFrame, right: DataFrame) -> DataFrame:
+        own = left.select(F.col("id").alias("src"), F.col("node_type").alias("from_type"), "file_path", "line_number", F.pmod(F.xxhash64("id"), F.lit(parts)).alias("part")).join(joins, "from_type")
+        other = right.select(F.col("id").alias("dst"), F.col("node_type").alias("to_type"), "file_path", "line_number", F.explode(F.sequence(F.lit(0), F.lit(parts - 1)).cast("array<long>")).alias("part"))
+        return own.repartition(tasks, *place).join(other.repartition(tasks, *place), place).filter("src <> dst").select("src", "dst", "edge_type")
+
+    once, often = placed.filter("NOT often"), placed.filter("often")
+    if often.isEmpty():
+        return joined(once, once)
+    return joined(once, once).unionByName(joined(often, placed).unionByName(joined(once, often)).distinct())
 
 
 def scan(nodes: DataFrame, target: str | None) -> DataFrame:

@@ -263,3 +263,15 @@ def test_text(spark):
     kinds = {"x = os.getenv('A')": "ENV_REFERENCE", "'k' => Vault::get()": "SECRET_PROVIDER_REFERENCE", "p: base_path": "STATIC_CONSTANT", 's = ""': "EMPTY_LITERAL", "s = None": "NULL_LITERAL", "s = 'abc'": "LITERAL_SECRET", "if x = 1": "UNKNOWN", " ": "EMPTY_LITERAL", "s = 5": "UNKNOWN"}
     got = spark.createDataFrame([(k,) for k in kinds], "t string").select("t", text.value_kind(F.col("t")).alias("k")).collect()
     assert {r["t"]: r["k"] for r in got} == kinds
+
+
+def test_colocated_edges_are_not_shuffled(spark):
+    """Every pair of a place once, those of repeated ids and rows too, and no shuffle of edges where ids stand once."""
+    kinds = "id string, node_type string, file_path string, line_number long"
+    pairs = spark.createDataFrame([("A", "A", "X"), ("A", "B", "X"), ("A", "A", "X"), ("B", "A", "Y")], "from_type string, to_type string, edge_type string")
+    rows = [(f"n{i % 9}", "AB"[i % 2], f"f{i % 3}", i % 2) for i in range(40)] + [("n1", "A", "f0", 0), ("p", "A", None, 0), ("q", "A", "", 0), ("s", "A", "f1", 1)]
+    want = {(a[0], b[0], e) for a in rows for b in rows for f, t, e in [("A", "A", "X"), ("A", "B", "X"), ("B", "A", "Y")] if a[2] and a[2:] == b[2:] and (a[1], b[1]) == (f, t) and a[0] != b[0]}
+    got = [tuple(r) for r in graph.link_colocated(spark.createDataFrame(rows, kinds), pairs).collect()]
+    assert len(got) == len(set(got)) and set(got) == want
+    single = graph.link_colocated(spark.createDataFrame([(f"n{i}", "A", "f", i % 5) for i in range(50)], kinds), pairs)
+    assert single.count() == 50 * 9 and "Aggregate" not in single._jdf.queryExecution().optimizedPlan().toString().split("Join")[0]
