@@ -36,30 +36,24 @@ co AS (SELECT q.item_id, p.doc_id, round(sum(qf * tf) / (max(nd.norm) * max(nq.n
 cor AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM co)"""
 
 
-def _index(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    docs = table(spark, sf_dir, "documents")
-    return retrieval.postings(docs, "doc_id", "text"), retrieval.lengths_of(docs, "doc_id", "text"), retrieval.postings(table(spark, sf_dir, "benchmark"), "item_id", "text")
+def _best(spark: SparkSession, sf_dir: str, k: int, *kinds: str) -> list[DataFrame]:
+    queries = retrieval.postings(table(spark, sf_dir, "benchmark"), "item_id", "text")
+    return list(retrieval.best(table(spark, sf_dir, "documents"), queries, k, "doc_id", "text", "item_id", kinds).values())
 
 
 @query(f"WITH {_POSTINGS} SELECT item_id, doc_id, score, rank FROM bmr WHERE rank <= 5")
 def t_bm25_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs, queries = table(spark, sf_dir, "documents"), retrieval.postings(table(spark, sf_dir, "benchmark"), "item_id", "text")
-    index = retrieval.postings(docs, "doc_id", "text", queries)
-    return retrieval.top(retrieval.bm25(index, retrieval.lengths_of(docs, "doc_id", "text"), queries, "doc_id", "item_id"), "item_id", "doc_id", 5)
+    return _best(spark, sf_dir, 5, "bm25")[0]
 
 
 @query(f"WITH {_POSTINGS} SELECT item_id, doc_id, score, rank FROM cor WHERE rank <= 5")
 def t_cosine_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs, _, queries = _index(spark, sf_dir)
-    return retrieval.top(retrieval.cosine(docs, queries, "doc_id", "item_id"), "item_id", "doc_id", 5)
+    return _best(spark, sf_dir, 5, "cosine")[0]
 
 
 @query(f"WITH {_POSTINGS}, u AS (SELECT item_id, doc_id, rank FROM bmr WHERE rank <= 10 UNION ALL SELECT item_id, doc_id, rank FROM cor WHERE rank <= 10), r AS (SELECT item_id, doc_id, round(sum(1.0 / (60 + rank)), 9) AS score FROM u GROUP BY item_id, doc_id), k AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM r) SELECT item_id, doc_id, score, rank FROM k WHERE rank <= 5")
 def t_rrf(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs, lengths, queries = _index(spark, sf_dir)
-    scored = retrieval.bm25(docs, lengths, queries, "doc_id", "item_id"), retrieval.cosine(docs, queries, "doc_id", "item_id")
-    lists = [retrieval.top(x, "item_id", "doc_id", 10) for x in scored]
-    return retrieval.fuse(lists, "item_id", "doc_id", 5)
+    return retrieval.fuse(_best(spark, sf_dir, 10, "bm25", "cosine"), "item_id", "doc_id", 5)
 
 
 #: Lines put before a text, by its id, so that every kind of value stands in some of them.

@@ -275,3 +275,19 @@ def test_colocated_edges_are_not_shuffled(spark):
     assert len(got) == len(set(got)) and set(got) == want
     single = graph.link_colocated(spark.createDataFrame([(f"n{i}", "A", "f", i % 5) for i in range(50)], kinds), pairs)
     assert single.count() == 50 * 9 and "Aggregate" not in single._jdf.queryExecution().optimizedPlan().toString().split("Join")[0]
+
+
+def test_best_equals_all_pairs_in_blocks_of_queries(spark, monkeypatch):
+    """The k best without a shuffle of pairs are those of all pairs: ties, empty texts, several blocks of queries and tasks."""
+    monkeypatch.setattr(retrieval, "BLOCK_QUERIES", 4)
+    monkeypatch.setattr(retrieval, "PAIRS", 20)
+    rng = random.Random(8)
+    text_of = lambda n: " ".join(rng.choice("Red red fox dog K\u212a it's a_b x-y 10 \u0130i").join("ab") if rng.random() < 0.1 else rng.choice(["Red", "fox", "dog", "it's", "x-y", "\u212a9", "\u0130z"]) for _ in range(n))
+    docs = spark.createDataFrame([(i, None if i == 3 else text_of(rng.randint(0, 12))) for i in range(120)], "doc_id long, text string").repartition(5)
+    asked = spark.createDataFrame([(i, text_of(rng.randint(0, 5))) for i in range(11)], "item_id long, text string")
+    index, queries = retrieval.postings(docs, "doc_id", "text"), retrieval.postings(asked, "item_id", "text")
+    want = {"bm25": retrieval.bm25(index, retrieval.lengths_of(docs, "doc_id", "text"), queries, "doc_id", "item_id"), "cosine": retrieval.cosine(index, queries, "doc_id", "item_id")}
+    got = retrieval.best(docs, queries, 5, "doc_id", "text", "item_id", ("bm25", "cosine"))
+    for kind, df in got.items():
+        a, b = (sorted(map(tuple, x.collect())) for x in (df, retrieval.top(want[kind], "item_id", "doc_id", 5)))
+        assert a == b and a, kind
