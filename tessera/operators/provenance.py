@@ -8,14 +8,21 @@ its least row counts. Links to nodes that aren't there are told and left out. Nu
 
 from __future__ import annotations
 
+from collections import defaultdict
+from collections.abc import Iterator
 from functools import reduce
+from hashlib import sha256
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.operators import paths
 from tessera.tables import cut
 
+#: Steps of a graph that one task holds.
+LARGE = 100_000
+
 
 def _known(nodes: DataFrame, links: DataFrame) -> tuple[DataFrame, DataFrame]:
     own = cut(nodes.filter("id IS NOT NULL").groupBy("id").agg(F.min(F.struct("kind", "meta")).alias("x")).select("id", "x.kind", "x.meta"))
@@ -71,3 +78,60 @@ def compared(old: DataFrame, new: DataFrame) -> DataFrame:
     a, b = (x.select("id", F.struct("kind", "meta").alias(f"own_{n}"), F.col("fingerprint").alias(f"fp_{n}")) for n, x in (("a", old), ("b", new)))
     status = F.when(F.col("own_a").isNull(), "ADDED").when(F.col("own_b").isNull(), "REMOVED").when(F.col("fp_a").eqNullSafe(F.col("fp_b")), "SAME").when(~F.col("own_a").eqNullSafe(F.col("own_b")), "CHANGED").otherwise("DEPENDS")
     return a.join(b, "id", "full").select("id", status.alias("status"))
+
+
+def _folded(steps: list[dict]) -> Iterator[tuple]:
+    """id, fingerprint, status of a graph's steps, taken when all their predecessors have been."""
+    own: dict[int, tuple] = {}
+    for s in steps:
+        if s["id"] is not None:
+            row = (s["kind"] or "", s["meta"] or "", s["now"] or "")
+            own[s["id"]] = min(row, own.get(s["id"], row))
+    before, after = defaultdict(set), defaultdict(list)
+    for s in steps:
+        before[s["id"]].update(x for x in s["preds"] or () if x in own)
+    for x in own:
+        for y in before[x]:
+            after[y].append(x)
+    missing = {x: len(before[x]) for x in own}
+    ready, prints = [x for x, n in missing.items() if not n], {}
+    while ready:
+        x = ready.pop()
+        kind, *metas = own[x]
+        above = sorted(before[x])
+        prints[x] = tuple(sha256(f"{x}:{kind}:{m}:{'|'.join(f'{y}={prints[y][i]}' for y in above)}".encode()).hexdigest() for i, m in enumerate(metas))
+        for y in after[x]:
+            missing[y] -= 1
+            if not missing[y]:
+                ready.append(y)
+    for x, (_, meta, now) in own.items():
+        a, b = prints.get(x, (None, None))
+        yield x, b, "SAME" if a == b else "CHANGED" if meta != now else "DEPENDS"
+
+
+def _each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for i in range(0, batch.num_rows, 1000):
+            rows = [r for steps in batch.column(0).slice(i, 1000).to_pylist() for r in _folded(steps)]
+            ids, prints, status = zip(*rows, strict=True) if rows else ((), (), ())
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(prints, pa.string()), pa.array(status, pa.string())], names=["id", "fingerprint", "status"])
+
+
+def compared_graphs(steps: DataFrame, large: int = LARGE) -> DataFrame:
+    """id, fingerprint (of the new state) and status of many graphs' steps: graph, id, kind, meta (old), now (new), preds (ids of the same graph).
+
+    Both states of a graph are folded in one task, so steps are shuffled once, by graph. Graphs of more than large steps
+    take rounds of joins.
+    """
+    many = cut(steps.groupBy("graph").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > large).select("graph"))
+    some = not many.isEmpty()
+    own = steps.join(F.broadcast(many), "graph", "left_anti") if some else steps  # graphs of that size are few
+    rows = own.groupBy("graph").agg(F.collect_list(F.struct("id", "kind", "meta", "now", "preds")).alias("steps")).select("steps")
+    found = rows.mapInArrow(_each, "id long, fingerprint string, status string")
+    if not some:
+        return found
+    rest = cut(steps.join(F.broadcast(many), "graph", "left_semi"))
+    links = rest.select("id", F.explode("preds").alias("pred"))
+    old, new = rest.select("id", "kind", "meta"), rest.select("id", "kind", F.col("now").alias("meta"))
+    a, b = fingerprints(old, links), cut(fingerprints(new, links))
+    return found.unionByName(compared(old.join(a, "id"), new.join(b, "id")).join(b.select("id", "fingerprint"), "id"))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tessera.operators import evaluation, guards, invariants, provenance, rule_pipeline, verdicts
 from tessera.plans.base import query
-from tessera.tables import cut, table
+from tessera.tables import table
 
 #: What events stand for: by type and number.
 _ACTIONS = ("REVOKE", "USE", "CACHE_INVALIDATED", "PROOF", "GRANT", "CHECK", "LOCK", "TRANSACTION", "CONCURRENT_MUTATION", "CLIENT_STATE", "SERVER_STATE", "DB_MUTATION", "CACHE_READ", "REQUEST", "PAY", "APPROVE", "SHARED_READ", "DEBIT", "CREDIT_FAIL", "AUTH_ISSUED", "AUTH_USED", "AUTH_CHECKED", "ACTIVATE", "MUTATE", "NONCE", "TENANT_A", "TENANT_B", "STATE_RAISED", "STATE_LOWERED")
@@ -46,11 +46,9 @@ r(tree, line, a, b) AS (SELECT DISTINCT tree, CAST(0 AS BIGINT), CAST([] AS VARC
 SELECT s.id, r.b[s.line] AS fingerprint, CASE WHEN r.a[s.line] = r.b[s.line] THEN 'SAME' WHEN s.meta <> s.now THEN 'CHANGED' ELSE 'DEPENDS' END AS status FROM steps s JOIN r ON r.tree = s.tree AND r.line = s.line""")
 def p_provenance(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Steps of each part's history, each resting on two before it; some are tampered with, and what depends on them shows it."""
-    steps = cut(spark.sql(f"WITH {_DAG} SELECT * FROM steps", lineitem=table(spark, sf_dir, "lineitem")))
-    links = steps.filter("line > 1").selectExpr("id", "explode(array(id - line + greatest(1, line div 2), id - line + greatest(1, line div 3))) AS pred").distinct()
-    old, new = steps.select("id", "kind", "meta"), steps.select("id", "kind", F.col("now").alias("meta"))
-    a, b = provenance.fingerprints(old, links), cut(provenance.fingerprints(new, links))
-    return provenance.compared(old.join(a, "id"), new.join(b, "id")).join(b.select("id", "fingerprint"), "id")
+    steps = spark.sql(f"WITH {_DAG} SELECT * FROM steps", lineitem=table(spark, sf_dir, "lineitem"))
+    preds = F.when(F.col("line") > 1, F.expr("array(id - line + greatest(1, line div 2), id - line + greatest(1, line div 3))"))
+    return provenance.compared_graphs(steps.select(F.col("tree").alias("graph"), "id", "kind", "meta", "now", preds.alias("preds")))
 
 
 #: A rule for each word of the benchmark: the word is the trigger, some have a pattern or an exclusion.

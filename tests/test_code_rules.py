@@ -131,3 +131,15 @@ def test_matched_cases(spark):
     for c, file, line, rule in cases:
         fits = [(p, i) for i, p, f, at, r, co in found if f == file and (not r or not rule or r == rule or rule in (co or ())) and (line is None or at is None or abs(line - at) <= 3)]
         assert got[c] == (min(fits)[1] if fits else None)
+
+
+def test_graphs_are_compared_in_one_shuffle(spark):
+    """Graphs that a task holds and graphs by rounds give the same, circles and predecessors that aren't there among them."""
+    rows = [(g, 100 * g + i, "k", f"m{i}", "new" if (g, i) == (1, 2) else f"m{i}", [100 * g + x for x in (i // 2, i // 3) if 0 < x] if i > 1 else None) for g in range(1, 4) for i in range(1, 20)]
+    rows += [(9, 901, "k", "a", "b", [902]), (9, 902, "k", "a", "a", [901, 999]), (9, 903, None, None, "x", [999]), (9, 904, "k", "a", "a", [903, 903])]
+    steps = spark.createDataFrame(rows, "graph long, id long, kind string, meta string, now string, preds array<long>")
+    held, joins = ({r["id"]: (r["fingerprint"], r["status"]) for r in provenance.compared_graphs(steps, large=n).select("id", "fingerprint", "status").collect()} for n in (1000, 2))
+    assert held == joins and len(held) == len(rows)
+    assert held[102][1] == "CHANGED" and held[104][1] == held[119][1] == "DEPENDS" and held[204][1] == "SAME" and held[901] == (None, "SAME") and held[904][1] == "DEPENDS"
+    plan = provenance.compared_graphs(steps)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and "Join" not in plan
