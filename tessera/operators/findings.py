@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.operators import paths
+from tessera.tables import cut, discard
 
 #: The weight of each severity, and identities that stand for a missing one.
 WEIGHTS = {"CRITICAL": 5, "HIGH": 4, "MEDIUM": 3, "LOW": 2, "INFO": 1}
@@ -72,9 +73,12 @@ def links(findings: DataFrame) -> DataFrame:
 
 def clusters(findings: DataFrame) -> DataFrame:
     """findings with cluster_id, the least finding that links connect each with."""
-    ids = findings.select(F.col("finding_id").alias("id")).distinct()
-    comp = paths.components(ids, links(findings)).select(F.col("id").alias("finding_id"), F.col("comp").alias("cluster_id"))
-    return findings.join(comp, "finding_id")
+    near = cut(links(findings))
+    ids = near.select(F.col("src").alias("id")).unionByName(near.select(F.col("dst").alias("id"))).distinct()
+    comp = paths.components(ids, near).select(F.col("id").alias("finding_id"), F.col("comp").alias("cluster_id"))
+    discard(near)
+    # findings without a link take no part in the rounds and are clusters of their own
+    return findings.filter("finding_id IS NOT NULL").join(comp, "finding_id", "left").withColumn("cluster_id", F.coalesce("cluster_id", "finding_id"))
 
 
 def _several(*columns: str) -> Column:

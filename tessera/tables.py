@@ -29,3 +29,10 @@ def cut(df: DataFrame) -> DataFrame:
     path = f"{shared_folder(spark)}/cut-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def discard(df: DataFrame) -> None:
+    """Delete the folder of a table that cut() wrote and that nothing reads any more."""
+    for file in df.inputFiles()[:1]:
+        folder = df.sparkSession._jvm.org.apache.hadoop.fs.Path(file).getParent()
+        folder.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(folder, True)

@@ -291,3 +291,16 @@ def test_best_equals_all_pairs_in_blocks_of_queries(spark, monkeypatch):
     for kind, df in got.items():
         a, b = (sorted(map(tuple, x.collect())) for x in (df, retrieval.top(want[kind], "item_id", "doc_id", 5)))
         assert a == b and a, kind
+
+
+def test_components_delete_what_rounds_replaced(spark):
+    from pathlib import Path
+    from urllib.parse import urlparse
+
+    from tessera.tables import shared_folder
+
+    tables = lambda: set(Path(urlparse(shared_folder(spark)).path).glob("cut-*"))
+    before = tables()
+    got = paths.components(spark.range(30), spark.range(19).selectExpr("id AS src", "id + 1 AS dst"))
+    assert len(tables() - before) == 1
+    assert {r["id"]: r["comp"] for r in got.collect()} == {i: 0 if i < 20 else i for i in range(30)}
