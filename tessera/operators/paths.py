@@ -116,12 +116,13 @@ def levels(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     done = None
     level = 0
     while True:
-        inner = own.join(left.select(F.col("id").alias("src")), "src")
-        free = cut(left.join(inner.select(F.col("dst").alias("id")), "id", "left_anti").withColumn("level", F.lit(level)))
+        held = own.join(left.select(F.col("id").alias("src")), "src", "left_semi").select(F.col("dst").alias("id"), F.lit(True).alias("held")).distinct()
+        parted = cut(left.join(held, "id", "left"))
+        free = parted.filter("held IS NULL").select("id", F.lit(level).alias("level"))
+        left = parted.filter("held").select("id")
         if free.isEmpty():
             break
         done = free if done is None else done.unionByName(free)
-        left = cut(left.join(free, "id", "left_anti"))
         level += 1
     rest = left.withColumn("level", F.lit(None).cast("int"))
     return rest if done is None else done.unionByName(rest)

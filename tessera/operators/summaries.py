@@ -6,24 +6,37 @@ variable that each parameter of the callee gets. A summary is a set of facts (fn
 dst R or K. At a call, P2 to R of the callee is a flow from the third argument to dst, and so on.
 
 Functions are taken by components of the call graph, callees first: a component's level is the longest way from it to one
-that calls none. Within a level new facts alone are joined again, until none is left. Rounds that bring a recursive component
-facts are counted; one that still gets some after limit (32) of them is given up: its facts are dropped, its status is
-NON_CONVERGED, and callers get a flow from U (unknown).
-Calls of functions that are not in functions give U as well. Null keys take no part. Repeated rows change nothing. Empty
-tables: no rows.
+that calls none. A level is one pass: what callees below give is joined to its calls, and each component is solved in one
+task, its rows sorted and streamed there. Components of more than large (200,000) rows take rounds of joins, with the same
+facts. Within a component new facts alone are taken again, until none is left. Rounds that bring a recursive component
+facts are counted for each component; one that gets some in more than limit (32) of them is given up: its facts are dropped,
+its status is NON_CONVERGED, and callers get a flow from U (unknown).
+Calls of functions that are not in functions give U as well. Null keys and places take no part. Repeated rows change
+nothing. Empty tables: no rows.
 """
 
 from __future__ import annotations
 
+import re
+from collections import defaultdict
+from collections.abc import Callable, Iterator
 from functools import reduce
+from itertools import groupby
+from operator import itemgetter
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from tessera.operators import paths
-from tessera.tables import cut
+from tessera.tables import cut, discard
 
 LIMIT = 32
+LARGE = 200_000
+#: What a row of a component is. A call inside it waits for facts, one of a lower level has them.
+FLOW, START, INNER, OUTER = range(4)
+ORIGIN = "S|U|P[0-9]+"
 
 
 def bound_arguments(args: DataFrame, params: DataFrame) -> DataFrame:
@@ -39,82 +52,201 @@ def bound_arguments(args: DataFrame, params: DataFrame) -> DataFrame:
 
 
 def ordered(functions: DataFrame, calls: DataFrame) -> DataFrame:
-    """fn, comp, recursive, level: components of the call graph, those that call no other at level 0."""
-    nodes = functions.select(F.col("fn").alias("id"))
-    edges = calls.select(F.col("fn").alias("src"), F.col("callee").alias("dst")).join(nodes.select(F.col("id").alias("dst")), "dst", "left_semi").select("src", "dst").distinct()
-    edges = cut(edges)
-    comps = cut(paths.strong_components(nodes, edges))
-    a, b = comps.select(F.col("id").alias("src"), F.col("comp").alias("ca")), comps.select(F.col("id").alias("dst"), F.col("comp").alias("cb"))
-    named = cut(edges.join(a, "src").join(b, "dst"))
+    """fn, comp, recursive, level: components of the call graph, those that call no other at level 0.
+
+    Functions that call each other are put together first. Only what then has no level, being on or above a longer
+    circle, is parted by paths.strong_components.
+    """
+    nodes = cut(functions.filter("fn IS NOT NULL").select(F.col("fn").alias("id")).distinct())
+    edges = calls.select(F.col("fn").alias("src"), F.col("callee").alias("dst")).distinct()
+    edges = cut(edges.join(nodes.select(F.col("id").alias("dst")), "dst", "left_semi").join(nodes.select(F.col("id").alias("src")), "src", "left_semi").select("src", "dst"))
+    mutual = cut(edges.filter("src < dst").join(edges.filter("src > dst").select(F.col("dst").alias("src"), F.col("src").alias("dst")), ["src", "dst"], "left_semi"))
+    comps = nodes.withColumn("comp", F.col("id"))
+    if not mutual.isEmpty():
+        comps = _renamed(comps, paths.components(mutual.select(F.explode(F.array("src", "dst")).alias("id")).distinct(), mutual))
+    named, level = _levels(comps, edges)
+    stuck = level.filter("level IS NULL").select("id")
+    if not stuck.isEmpty():
+        up = named.filter("ca <> cb").select(F.col("ca").alias("src"), F.col("cb").alias("dst")).distinct()
+        up = up.join(stuck.withColumnRenamed("id", "src"), "src", "left_semi").join(stuck.withColumnRenamed("id", "dst"), "dst", "left_semi")
+        comps = _renamed(comps, paths.strong_components(stuck, up))
+        named, level = _levels(comps, edges)
     inner = named.filter("ca = cb").select(F.col("ca").alias("comp")).distinct().withColumn("recursive", F.lit(True))
-    up = named.filter("ca <> cb").select(F.col("cb").alias("src"), F.col("ca").alias("dst")).distinct()
-    level = paths.levels(comps.select(F.col("comp").alias("id")).distinct(), up).select(F.col("id").alias("comp"), "level")
+    level = level.withColumnRenamed("id", "comp")
     return cut(comps.join(level, "comp").join(inner, "comp", "left").select(F.col("id").alias("fn"), "comp", F.coalesce("recursive", F.lit(False)).alias("recursive"), "level"))
 
 
-def solve(functions: DataFrame, flows: DataFrame, calls: DataFrame, bound: DataFrame, limit: int = LIMIT) -> tuple[DataFrame, DataFrame]:
+def _renamed(comps: DataFrame, names: DataFrame) -> DataFrame:
+    """Components (id, comp) some of which names (id, comp) puts together; names are least ids, so they stay that."""
+    new = names.select(F.col("id").alias("comp"), F.col("comp").alias("new"))
+    return cut(comps.join(new, "comp", "left").select("id", F.coalesce("new", "comp").alias("comp")))
+
+
+def _levels(comps: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Edges between components (ca, cb), once each, and the level of each component (id, level)."""
+    a, b = comps.select(F.col("id").alias("src"), F.col("comp").alias("ca")), comps.select(F.col("id").alias("dst"), F.col("comp").alias("cb"))
+    named = cut(edges.join(a, "src").join(b, "dst").select("ca", "cb").distinct())
+    up = named.filter("ca <> cb").select(F.col("cb").alias("src"), F.col("ca").alias("dst"))
+    return named, cut(paths.levels(comps.select(F.col("comp").alias("id")).distinct(), up))
+
+
+def solve(functions: DataFrame, flows: DataFrame, calls: DataFrame, bound: DataFrame, limit: int = LIMIT, large: int = LARGE) -> tuple[DataFrame, DataFrame]:
     """Facts (fn, src, dst), and fn, recursive, level, status (PRECISE or NON_CONVERGED)."""
     order = ordered(functions, calls)
-    flows = cut(flows.select("fn", "src", "dst").distinct())
-    sites = cut(calls.select("fn", "line", "callee", F.col("dst").alias("to")).distinct())
-    given = cut(bound.withColumn("param", F.concat(F.lit("P"), "pos")).join(sites, ["fn", "line"]).select("fn", "callee", "param", "var", "to").distinct())
-    results = sites.select("fn", "callee", "to").distinct()
-    starts = flows.filter("src = 'S' OR src = 'U' OR src RLIKE '^P[0-9]+$'").select("fn", F.col("src"), F.col("dst").alias("at"))
-    lost = results.join(functions.select(F.col("fn").alias("callee")), "callee", "left_anti").select("fn", F.lit("U").alias("src"), F.col("to").alias("at"))
-    starts = cut(starts.unionByName(lost).distinct())
-    solved: DataFrame | None = None  # facts of lower levels
-    status: list[DataFrame] = []
+    rows = cut(_rows(order, flows, calls, bound))
+    many = cut(rows.groupBy("comp").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > large).select("comp"))
+    some = not many.isEmpty()
+    fn = dict(order.dtypes)["fn"]
+    found = order.sparkSession.createDataFrame([], f"fn {fn}, src string, dst string, late boolean")
+    run = _streamed(limit, to_arrow_schema(found.schema))
+    done: list[DataFrame] = []
     top = order.agg(F.max("level")).first()[0]
     for level in range((-1 if top is None else top) + 1):
-        own = order.filter(F.col("level") == level)
-        here = own.select("fn")
-        mine, ways, out = given.join(here, "fn", "left_semi"), flows.join(here, "fn", "left_semi"), results.join(here, "fn", "left_semi")
-        front = starts.join(here, "fn", "left_semi")
-        if solved is not None:
-            front = front.unionByName(_returned(out, solved))
-            through = cut(_through(mine, solved))
-            ways = ways.unionByName(through)
-        ways = cut(ways.distinct())
-        seen = front = cut(front.distinct())
-        late, passes = None, 0
-        round_ = cut(own.filter("recursive").select("fn", "comp"))
-        some = not round_.isEmpty()
-        while True:
-            facts = seen.filter("at IN ('R', 'K')").select("fn", "src", F.col("at").alias("dst"))
-            new = front.filter("at IN ('R', 'K')").select("fn", "src", F.col("at").alias("dst"))
-            if some and not new.join(round_, "fn", "left_semi").isEmpty():
-                passes += 1
-            if passes > limit:
-                late = cut(new.join(round_, "fn").select("comp").distinct())
-                front = cut(front.join(round_, "fn", "left_anti"))
-                new, some, passes = front.filter("at IN ('R', 'K')").select("fn", "src", F.col("at").alias("dst")), False, 0
-            along = front.join(ways, (front["fn"] == ways["fn"]) & (front["at"] == ways["src"])).select(front["fn"], front["src"], F.col("dst").alias("at"))
-            # calls inside the level: what is new of the callee with all that is known of the caller, and the other way round
-            now, old = _through(mine, new), _through(mine, facts)
-            a = seen.join(now, (seen["fn"] == now["fn"]) & (seen["at"] == now["src"])).select(seen["fn"], seen["src"], F.col("dst").alias("at"))
-            b = front.join(old, (front["fn"] == old["fn"]) & (front["at"] == old["src"])).select(front["fn"], front["src"], F.col("dst").alias("at"))
-            near = reduce(DataFrame.unionByName, [along, a, b, _returned(out, new)]).distinct()
-            front = cut(near.join(seen, ["fn", "src", "at"], "left_anti"))
-            if front.isEmpty():
-                break
-            seen = seen.unionByName(front)
+        own = rows.filter(F.col("level") == level).drop("level")
+        if level:  # a callee's facts are one text, so that calls are joined to one row each
+            below = reduce(DataFrame.unionByName, done).groupBy(F.col("fn").alias("callee")).agg(F.array_join(F.collect_set(F.concat("src", "dst")), " ").alias("facts"))
+            own = own.filter(F.col("part") != OUTER).withColumn("facts", F.lit(None).cast("string")).unionByName(own.filter(F.col("part") == OUTER).join(below, "callee"))
+        else:
+            own = own.withColumn("facts", F.lit(None).cast("string"))
+        small = own.join(many, "comp", "left_anti") if some else own
+        small = small.select("comp", "fn", "recursive", "part", "callee", "param", "var", "to", "facts")
+        new = small.repartition("comp").sortWithinPartitions("comp").mapInArrow(run, found.schema)
+        done.append(cut(new.unionByName(_rounds(cut(own.join(many, "comp", "left_semi")), limit)) if some else new))
+    found = reduce(DataFrame.unionByName, done, found)
+    late = found.filter("late").select("fn").distinct().withColumn("status", F.lit("NON_CONVERGED"))
+    return found.select("fn", "src", "dst"), order.join(late, "fn", "left").select("fn", "recursive", "level", F.coalesce("status", F.lit("PRECISE")).alias("status"))
+
+
+def _rows(order: DataFrame, flows: DataFrame, calls: DataFrame, bound: DataFrame) -> DataFrame:
+    """comp, level, recursive, fn, part, callee, param, var, to: flows and starts from var to to, and calls, those of arguments
+    with the parameter and the variable that it gets, those of results without."""
+    results = calls.select("fn", "callee", F.lit(None).cast("string").alias("param"), F.lit(None).cast("string").alias("var"), F.col("dst").alias("to"))
+    given = bound.select("fn", "line", F.concat(F.lit("P"), "pos").alias("param"), "var").join(calls.select("fn", "line", "callee", F.col("dst").alias("to")), ["fn", "line"])
+    sites = results.unionByName(given.select("fn", "callee", "param", "var", "to"))
+    sites = sites.join(order.select(F.col("fn").alias("callee"), F.col("comp").alias("of"), F.lit(True).alias("known")), "callee", "left")
+    lost = F.col("known").isNull()
+    sites = sites.filter(~lost | F.col("param").isNull()).withColumn("var", F.when(lost, "U").otherwise(F.col("var"))).withColumn("part", F.when(lost, START).otherwise(INNER))
+    kind, of = dict(order.dtypes)["fn"], dict(order.dtypes)["comp"]
+    own = flows.filter("src IS NOT NULL AND dst IS NOT NULL").select("fn", F.lit(FLOW).alias("part"), F.lit(None).cast(kind).alias("callee"), F.lit(None).cast("string").alias("param"), F.col("src").alias("var"), F.col("dst").alias("to"), F.lit(None).cast(of).alias("of"))
+    rows = own.unionByName(sites.select("fn", "part", "callee", "param", "var", "to", "of")).join(order, "fn")
+    part = F.when((F.col("part") == INNER) & (F.col("of") != F.col("comp")), OUTER).otherwise(F.col("part"))
+    return rows.select("comp", "level", "recursive", "fn", part.alias("part"), "callee", "param", "var", "to").sortWithinPartitions("level")
+
+
+def _given(param: str | None, var: str | None, to: str | None, facts: list[tuple[str, str]]) -> Iterator[tuple[int, str, str]]:
+    """What a callee's facts make of an argument, flows, or of a result, starts."""
+    for src, dst in facts:
+        end = "K" if dst == "K" else to
+        if param is None:
+            if src in ("S", "U") and dst == "R" and to is not None:
+                yield START, src, to
+        elif src == param and var is not None and end is not None:
+            yield FLOW, var, end
+
+
+def _component(rows: Iterator[tuple], limit: int) -> tuple[set[tuple], set[tuple], bool]:
+    """Functions, facts, and whether they are given up, of a component's rows."""
+    origin = re.compile(ORIGIN).fullmatch
+    fns, ways, seen, recursive = set(), defaultdict(set), set(), False
+    waits, results = defaultdict(set), defaultdict(set)
+    for _, fn, recursive, part, callee, param, var, to, facts in rows:
+        fns.add(fn)
+        if part == INNER:
+            if param is None:
+                results[callee].add((fn, to))
+            else:
+                waits[callee, param].add((fn, var, to))
+            continue
+        for kind, a, b in [(part, var, to)] if part != OUTER else _given(param, var, to, [(f[:-1], f[-1]) for f in facts.split(" ")]):
+            if a is None or b is None:
+                continue
+            if kind == FLOW:
+                ways[fn, a].add(b)
+            if kind == START or part == FLOW and origin(a):
+                seen.add((fn, a, b))
+    front, passes = seen, 0
+    at = defaultdict(set)  # what has come to a place, if calls may still add ways from there
+    while front:
+        new = [x for x in front if x[2] in ("R", "K")]
+        passes += bool(recursive and new)
+        if passes > limit:
+            return fns, set(), True
+        near = set()
+        if recursive:
+            for fn, src, place in front:
+                at[fn, place].add(src)
+        for fn, src, end in new:
+            for caller, var, to in waits.get((fn, src), ()):
+                for _, a, b in _given(src, var, to, [(src, end)]):
+                    ways[caller, a].add(b)
+                    near.update((caller, x, b) for x in at.get((caller, a), ()))
+            for caller, to in results.get(fn, ()):
+                near.update((caller, x, b) for _, x, b in _given(None, None, to, [(src, end)]))
+        for fn, src, place in front:
+            near.update((fn, src, b) for b in ways.get((fn, place), ()))
+        front = near - seen
+        seen = seen | front
+    return fns, {x for x in seen if x[2] in ("R", "K")}, False
+
+
+def _streamed(limit: int, schema: pa.Schema) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Rows of components, sorted by them, as facts of their functions."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = (r for b in batches for r in zip(*(c.to_pylist() for c in b.columns), strict=True))
+        made = lambda: pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), schema, strict=True)], schema=schema)
+        out = []
+        for _, own in groupby(rows, key=itemgetter(0)):
+            fns, facts, late = _component(own, limit)
+            out += [(fn, "U", "R", True) for fn in fns] if late else [(*x, False) for x in facts]
+            if len(out) > 10_000:
+                yield made()
+                out = []
+        if out:
+            yield made()
+
+    return run
+
+
+def _rounds(own: DataFrame, limit: int) -> DataFrame:
+    """The facts of components of any size, fn, src, dst, late, from their rows with the facts of lower levels: rounds of joins."""
+    fact = F.explode(F.split("facts", " ")).alias("fact")
+    outer = own.filter(F.col("part") == OUTER).select("fn", "param", "var", "to", fact).select("fn", "param", "var", "to", F.expr("left(fact, length(fact) - 1)").alias("src"), F.expr("right(fact, 1)").alias("end"))
+    flow = own.filter(F.col("part") == FLOW).select("fn", F.col("var").alias("src"), F.col("to").alias("dst"))
+    inner = own.filter(F.col("part") == INNER)
+    given, results = cut(inner.filter("param IS NOT NULL").select("fn", "callee", "param", "var", "to").distinct()), cut(inner.filter("param IS NULL AND to IS NOT NULL").select("fn", "callee", "to").distinct())
+    through = outer.filter("param = src").select("fn", F.col("var").alias("src"), F.when(F.col("end") == "K", "K").otherwise(F.col("to")).alias("dst"))
+    ways = cut(flow.unionByName(through.filter("dst IS NOT NULL")).distinct())
+    starts = flow.filter(F.col("src").rlike(f"^({ORIGIN})$")).unionByName(own.filter((F.col("part") == START) & F.col("to").isNotNull()).select("fn", F.col("var").alias("src"), F.col("to").alias("dst")))
+    starts = starts.unionByName(outer.filter("param IS NULL AND src IN ('S', 'U') AND end = 'R' AND to IS NOT NULL").select("fn", "src", F.col("to").alias("dst")))
+    seen = front = cut(starts.select("fn", "src", F.col("dst").alias("at")).distinct())
+    members = cut(own.select("fn", "comp", "recursive").distinct())
+    counted = cut(members.filter("recursive").select("comp", F.lit(0).alias("n")).distinct())
+    while not front.isEmpty():
+        hit = front.filter("at IN ('R', 'K')").join(members, "fn").select("comp", F.lit(1).alias("n")).distinct()
+        counted = cut(counted.unionByName(hit.join(counted, "comp", "left_semi")).groupBy("comp").agg(F.sum("n").alias("n")))
+        # those that are given up leave the rounds, and no others
+        front = front.join(members.join(counted.filter(F.col("n") > limit), "comp", "left_semi"), "fn", "left_anti")
         facts = seen.filter("at IN ('R', 'K')").select("fn", "src", F.col("at").alias("dst"))
-        state = own.withColumn("status", F.lit("PRECISE"))
-        if late is not None:
-            state = own.join(late.withColumn("late", F.lit(True)), "comp", "left").withColumn("status", F.when(F.col("late"), "NON_CONVERGED").otherwise("PRECISE"))
-            gone = cut(state.filter("status = 'NON_CONVERGED'").select("fn"))
-            facts = facts.join(gone, "fn", "left_anti").unionByName(gone.select("fn", F.lit("U").alias("src"), F.lit("R").alias("dst")))
-        status.append(state.select("fn", "recursive", "level", "status"))
-        solved = cut(facts if solved is None else solved.unionByName(facts))
-    if solved is None:
-        return starts.select("fn", "src", F.col("at").alias("dst")), order.select("fn", "recursive", "level", F.lit("PRECISE").alias("status"))
-    return solved, reduce(DataFrame.unionByName, status)
+        new = front.filter("at IN ('R', 'K')").select("fn", "src", F.col("at").alias("dst"))
+        along = front.join(ways, (front["fn"] == ways["fn"]) & (front["at"] == ways["src"])).select(front["fn"], front["src"], F.col("dst").alias("at"))
+        # calls inside a component: what is new of the callee with all that is known of the caller, and the other way round
+        now, old = _through(given, new), _through(given, facts)
+        a = seen.join(now, (seen["fn"] == now["fn"]) & (seen["at"] == now["src"])).select(seen["fn"], seen["src"], F.col("dst").alias("at"))
+        b = front.join(old, (front["fn"] == old["fn"]) & (front["at"] == old["src"])).select(front["fn"], front["src"], F.col("dst").alias("at"))
+        near = reduce(DataFrame.unionByName, [along, a, b, _returned(results, new)]).distinct()
+        front = cut(near.join(seen, ["fn", "src", "at"], "left_anti"))
+        before, seen = seen, cut(seen.unionByName(front))
+        discard(before)
+    late = members.join(counted.filter(F.col("n") > limit), "comp", "left_semi").select("fn")
+    facts = seen.filter("at IN ('R', 'K')").select("fn", "src", F.col("at").alias("dst")).join(late, "fn", "left_anti").withColumn("late", F.lit(False))
+    return facts.unionByName(late.select("fn", F.lit("U").alias("src"), F.lit("R").alias("dst"), F.lit(True).alias("late")))
 
 
 def _through(given: DataFrame, facts: DataFrame) -> DataFrame:
     """fn, src, dst: flows that callees' facts make of arguments."""
     f = facts.select(F.col("fn").alias("callee"), F.col("src").alias("param"), F.col("dst").alias("end"))
-    return given.join(f, ["callee", "param"]).select("fn", F.col("var").alias("src"), F.when(F.col("end") == "K", "K").otherwise(F.col("to")).alias("dst"))
+    return given.join(f, ["callee", "param"]).select("fn", F.col("var").alias("src"), F.when(F.col("end") == "K", "K").otherwise(F.col("to")).alias("dst")).filter("dst IS NOT NULL")
 
 
 def _returned(results: DataFrame, facts: DataFrame) -> DataFrame:

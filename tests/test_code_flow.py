@@ -263,6 +263,67 @@ def test_recursion_that_does_not_settle_in_time(spark):
     assert {r["status"] for r in status.collect()} == {"NON_CONVERGED"} and {tuple(r) for r in facts.collect()} == {(i, "U", "R") for i in range(n)}
 
 
+def summarised(functions, flows, calls, bound):
+    """A plain fixpoint of all functions at once."""
+    to = {(fn, line): (callee, dst) for fn, line, callee, dst in calls}
+    seen = {(f, a, b) for f, a, b in flows if a in ("S", "P0", "P1")} | {(f, "U", dst) for f, _, callee, dst in calls if callee not in functions}
+    while True:
+        more = {(f, x, b) for f, x, at in seen for g, a, b in flows if (f, at) == (g, a)}
+        for f, line, pos, var in bound:
+            callee, dst = to[f, line]
+            more |= {(f, x, "K" if end == "K" else dst) for g, x, at in seen if (g, at) == (f, var) for end in ("R", "K") if (callee, f"P{pos}", end) in seen}
+        more |= {(f, x, dst) for f, _, callee, dst in calls for x in ("S", "U") if (callee, x, "R") in seen}
+        if more <= seen:
+            return sorted(x for x in seen if x[2] in ("R", "K"))
+        seen |= more
+
+
+FRAMES = "fn long", "fn long, src string, dst string", "fn long, line long, callee long, dst string", "fn long, line long, pos int, var string"
+
+
+@pytest.mark.parametrize("large", [10**6, 20])
+def test_summaries_of_components_in_tasks_and_by_joins(spark, large):
+    rng = random.Random(5)
+    functions, names = list(range(12)), ["a", "b", "c"]
+    flows = [(f, rng.choice(["S", "P0", "P1", *names]), rng.choice([*names, "R", "K"])) for f in functions for _ in range(4)]
+    flows += [(f, p, rng.choice(names)) for f in functions for p in ("P0", "P1")] + [(f, rng.choice(names), "R") for f in functions]
+    # circles of three and of two, calls of itself, calls from later functions to earlier ones and to none
+    goes = [(f, f - f % 6 + (f + 1) % 3) for f in functions if f % 6 < 3] + [(f, f ^ 1) for f in functions if f % 6 > 3] + [(3, 3), (9, 9), (11, 99), (8, 98)] + [(f, rng.randrange(f)) for f in functions if f > 5]
+    calls = [(f, i, g, rng.choice(names)) for i, (f, g) in enumerate(goes)]
+    bound = [(f, i, pos, rng.choice(names)) for i, (f, g) in enumerate(goes) for pos in (0, 1) if g in functions]
+    want = summarised(functions, flows, calls, bound)
+    rows = [(f,) for f in [*functions, 3, None]], [*flows, flows[0], (1, None, "a"), (1, "S", None), (None, "S", "R")], [*calls, calls[0], (None, 1, 2, "a")], [*bound, bound[0]]
+    facts, status = summaries.solve(*map(spark.createDataFrame, rows, FRAMES), large=large)
+    assert sorted(map(tuple, facts.collect())) == want and len({x[0] for x in want}) > 10
+    state = {r["fn"]: r for r in status.collect()}
+    assert sorted(state) == functions and {r["status"] for r in state.values()} == {"PRECISE"}
+    assert {f for f in state if state[f]["recursive"]} >= {*functions}
+    assert all(state[f]["level"] >= state[g]["level"] for f, g in goes if g in functions)
+
+
+@pytest.mark.parametrize("large", [10**6, 0])
+def test_only_components_that_do_not_settle_are_given_up(spark, large):
+    n = 5  # a ring that is given up, and a function that calls itself, whose first fact comes later than that
+    flows = [(i, "P0", "x") for i in range(n)] + [(i, "y", "R") for i in range(n)] + [(0, "x", "R")]
+    flows += [(50, "P0", "x0"), (50, "x7", "R"), (60, "v", "R")] + [(50, f"x{i}", f"x{i + 1}") for i in range(7)]
+    calls = [(i, 1, (i + 1) % n, "y") for i in range(n)] + [(50, 1, 50, "y"), (60, 1, 0, "v"), (60, 2, 50, "v")]
+    bound = [(i, 1, 0, "x") for i in range(n)] + [(50, 1, 0, "x0")]
+    frames = list(map(spark.createDataFrame, ([(i,) for i in [*range(n), 50, 60]], flows, calls, bound), FRAMES))
+    facts, status = summaries.solve(*frames, limit=1, large=large)
+    assert {tuple(r) for r in facts.collect()} == {(i, "U", "R") for i in [*range(n), 60]} | {(50, "P0", "R")}
+    assert {r["fn"]: r["status"] for r in status.collect()} == dict.fromkeys(range(n), "NON_CONVERGED") | {50: "PRECISE", 60: "PRECISE"}
+
+
+def test_tables_written_for_summaries_do_not_grow_with_functions(spark, monkeypatch):
+    written = []
+    for module in (summaries, summaries.paths):
+        monkeypatch.setattr(module, "cut", lambda df, old=module.cut: written.append(1) or old(df))
+    flows = [(f, f"x{i}", f"x{i + 1}") for f in (1, 2) for i in range(60)] + [(f, "P0", "x0") for f in (1, 2)] + [(f, "x60", "R") for f in (1, 2)]
+    calls, bound = [(1, 1, 2, "x30"), (2, 1, 1, "x30")], [(1, 1, 0, "x9"), (2, 1, 0, "x9")]
+    facts, _ = summaries.solve(*map(spark.createDataFrame, ([(1,), (2,)], flows, calls, bound), FRAMES))
+    assert {tuple(r) for r in facts.collect()} == {(1, "P0", "R"), (2, "P0", "R")} and len(written) < 25
+
+
 def test_symbols(spark):
     frame = spark.createDataFrame
     scopes = frame([("f", 1, 10, 20), ("f", 2, 12, 15), ("f", 3, 30, None), ("g", 1, 5, 6)], "file string, scope long, lo long, hi long")
