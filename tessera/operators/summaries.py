@@ -18,6 +18,7 @@ nothing. Empty tables: no rows.
 from __future__ import annotations
 
 import re
+import uuid
 from collections import defaultdict
 from collections.abc import Callable, Iterator
 from functools import reduce
@@ -30,7 +31,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from tessera.operators import paths
-from tessera.tables import cut, discard
+from tessera.tables import cut, discard, shared_folder
 
 LIMIT = 32
 LARGE = 200_000
@@ -96,25 +97,24 @@ def solve(functions: DataFrame, flows: DataFrame, calls: DataFrame, bound: DataF
     rows = cut(_rows(order, flows, calls, bound))
     many = cut(rows.groupBy("comp").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > large).select("comp"))
     some = not many.isEmpty()
-    fn = dict(order.dtypes)["fn"]
-    found = order.sparkSession.createDataFrame([], f"fn {fn}, src string, dst string, late boolean")
-    run = _streamed(limit, to_arrow_schema(found.schema))
-    done: list[DataFrame] = []
+    spark = order.sparkSession
+    found = spark.createDataFrame([], f"fn {dict(order.dtypes)['fn']}, facts string, late boolean")
+    schema, folder = found.schema, f"{shared_folder(spark)}/summaries-{uuid.uuid4().hex}"
+    run = _streamed(limit, to_arrow_schema(schema))
     top = order.agg(F.max("level")).first()[0]
     for level in range((-1 if top is None else top) + 1):
         own = rows.filter(F.col("level") == level).drop("level")
-        if level:  # a callee's facts are one text, so that calls are joined to one row each
-            below = reduce(DataFrame.unionByName, done).groupBy(F.col("fn").alias("callee")).agg(F.array_join(F.collect_set(F.concat("src", "dst")), " ").alias("facts"))
-            own = own.filter(F.col("part") != OUTER).withColumn("facts", F.lit(None).cast("string")).unionByName(own.filter(F.col("part") == OUTER).join(below, "callee"))
-        else:
-            own = own.withColumn("facts", F.lit(None).cast("string"))
+        ready, waits = own.filter(F.col("part") != OUTER).withColumn("facts", F.lit(None).cast("string")), own.filter(F.col("part") == OUTER)
+        own = ready.unionByName(waits.join(found.select(F.col("fn").alias("callee"), "facts"), "callee")) if level else ready
         small = own.join(many, "comp", "left_anti") if some else own
         small = small.select("comp", "fn", "recursive", "part", "callee", "param", "var", "to", "facts")
-        new = small.repartition("comp").sortWithinPartitions("comp").mapInArrow(run, found.schema)
-        done.append(cut(new.unionByName(_rounds(cut(own.join(many, "comp", "left_semi")), limit)) if some else new))
-    found = reduce(DataFrame.unionByName, done, found)
-    late = found.filter("late").select("fn").distinct().withColumn("status", F.lit("NON_CONVERGED"))
-    return found.select("fn", "src", "dst"), order.join(late, "fn", "left").select("fn", "recursive", "level", F.coalesce("status", F.lit("PRECISE")).alias("status"))
+        new = small.repartition("comp").sortWithinPartitions("comp").mapInArrow(run, schema)
+        new = new.unionByName(_rounds(cut(own.join(many, "comp", "left_semi")), limit)) if some else new
+        new.write.mode("append").parquet(folder)
+        found = spark.read.schema(schema).parquet(folder)  # the levels written so far
+    late = found.filter("late").select("fn").withColumn("status", F.lit("NON_CONVERGED"))
+    facts = found.select("fn", F.explode(F.split("facts", " ")).alias("fact")).selectExpr("fn", "left(fact, length(fact) - 1) AS src", "right(fact, 1) AS dst")
+    return facts, order.join(late, "fn", "left").select("fn", "recursive", "level", F.coalesce("status", F.lit("PRECISE")).alias("status"))
 
 
 def _rows(order: DataFrame, flows: DataFrame, calls: DataFrame, bound: DataFrame) -> DataFrame:
@@ -190,7 +190,7 @@ def _component(rows: Iterator[tuple], limit: int) -> tuple[set[tuple], set[tuple
 
 
 def _streamed(limit: int, schema: pa.Schema) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Rows of components, sorted by them, as facts of their functions."""
+    """Rows of components, sorted by them, as a row for each function that has facts: these as one text, such as P0R SK."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = (r for b in batches for r in zip(*(c.to_pylist() for c in b.columns), strict=True))
@@ -198,7 +198,13 @@ def _streamed(limit: int, schema: pa.Schema) -> Callable[[Iterator[pa.RecordBatc
         out = []
         for _, own in groupby(rows, key=itemgetter(0)):
             fns, facts, late = _component(own, limit)
-            out += [(fn, "U", "R", True) for fn in fns] if late else [(*x, False) for x in facts]
+            if late:
+                out += [(fn, "UR", True) for fn in fns]
+            else:
+                by = defaultdict(list)
+                for fn, src, end in facts:
+                    by[fn].append(src + end)
+                out += [(fn, " ".join(x), False) for fn, x in by.items()]
             if len(out) > 10_000:
                 yield made()
                 out = []
@@ -209,7 +215,7 @@ def _streamed(limit: int, schema: pa.Schema) -> Callable[[Iterator[pa.RecordBatc
 
 
 def _rounds(own: DataFrame, limit: int) -> DataFrame:
-    """The facts of components of any size, fn, src, dst, late, from their rows with the facts of lower levels: rounds of joins."""
+    """What _streamed makes, of components of any size: rounds of joins."""
     fact = F.explode(F.split("facts", " ")).alias("fact")
     outer = own.filter(F.col("part") == OUTER).select("fn", "param", "var", "to", fact).select("fn", "param", "var", "to", F.expr("left(fact, length(fact) - 1)").alias("src"), F.expr("right(fact, 1)").alias("end"))
     flow = own.filter(F.col("part") == FLOW).select("fn", F.col("var").alias("src"), F.col("to").alias("dst"))
@@ -239,8 +245,8 @@ def _rounds(own: DataFrame, limit: int) -> DataFrame:
         before, seen = seen, cut(seen.unionByName(front))
         discard(before)
     late = members.join(counted.filter(F.col("n") > limit), "comp", "left_semi").select("fn")
-    facts = seen.filter("at IN ('R', 'K')").select("fn", "src", F.col("at").alias("dst")).join(late, "fn", "left_anti").withColumn("late", F.lit(False))
-    return facts.unionByName(late.select("fn", F.lit("U").alias("src"), F.lit("R").alias("dst"), F.lit(True).alias("late")))
+    facts = seen.filter("at IN ('R', 'K')").join(late, "fn", "left_anti").groupBy("fn").agg(F.array_join(F.collect_set(F.concat("src", "at")), " ").alias("facts"))
+    return facts.withColumn("late", F.lit(False)).unionByName(late.select("fn", F.lit("UR").alias("facts"), F.lit(True).alias("late")))
 
 
 def _through(given: DataFrame, facts: DataFrame) -> DataFrame:
