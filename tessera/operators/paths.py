@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.tables import cut, discard
+from tessera.tables import cut, cut_tidy, discard
 
 
 def distances(starts: DataFrame, edges: DataFrame, depth: int) -> DataFrame:
@@ -55,13 +55,13 @@ def shortest_paths(starts: DataFrame, edges: DataFrame, depth: int) -> DataFrame
 
 def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """id and the least id it is connected with, edges taken both ways; what a round has replaced is deleted."""
-    both = cut(edges.select("src", "dst").unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct())
-    labels = cut(nodes.select("id", F.col("id").alias("comp")))
+    both = cut_tidy(edges.select("src", "dst").unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct())
+    labels = cut_tidy(nodes.select("id", F.col("id").alias("comp")))
     while True:
         near = both.join(labels.select(F.col("id").alias("dst"), F.col("comp").alias("c")), "dst").groupBy(F.col("src").alias("id")).agg(F.min("c").alias("c"))
         low = labels.join(near, "id", "left").select("id", "comp", F.least("comp", F.coalesce("c", "comp")).alias("low"))
         jump = labels.select(F.col("id").alias("low"), F.col("comp").alias("up"))
-        new = cut(low.join(jump, "low").select("id", F.col("up").alias("new"), "comp"))
+        new = cut_tidy(low.join(jump, "low").select("id", F.col("up").alias("new"), "comp"))
         discard(labels)
         labels = new.select("id", F.col("new").alias("comp"))
         if new.filter("new <> comp").isEmpty():

@@ -304,3 +304,32 @@ def test_components_delete_what_rounds_replaced(spark):
     got = paths.components(spark.range(30), spark.range(19).selectExpr("id AS src", "id + 1 AS dst"))
     assert len(tables() - before) == 1
     assert {r["id"]: r["comp"] for r in got.collect()} == {i: 0 if i < 20 else i for i in range(30)}
+
+
+def test_clusters_keep_one_shuffle_and_equal_all_pairs(spark, monkeypatch):
+    from itertools import combinations
+    from random import Random
+
+    rand = Random(4)
+    cols = ("flow_id", "source_fact_id", "sink_fact_id", "source_node_id", "sink_node_id", "call_context")
+    word = lambda kind, n: rand.choice([None, *findings.MISSING] + 9 * [f"{kind}{rand.randrange(n)}"])
+    rows = [(f"i{rand.randrange(250)}" if rand.random() < 0.97 else None, rand.choice(["XSS", "SQL", None]), word("f", 150), word("s", 30), word("k", 15), word("n", 30), word("m", 15), word("c", 20)) for _ in range(300)]
+    df = spark.createDataFrame(rows, ", ".join(f"{c} string" for c in ("finding_id", "vulnerability_class", *cols)))
+    best = {r[0]: r[0] for r in rows if r[0]}
+    root = lambda x: x if best[x] == x else root(best[x])
+    for a, b in combinations([r for r in rows if r[0] and r[1]], 2):
+        same = lambda *at: all(a[i] is not None and a[i] == b[i] for i in at)  # noqa: E731, B023
+        known = lambda i: a[i] not in findings.MISSING  # noqa: E731, B023
+        if a[1] == b[1] and (same(2) and known(2) or same(3, 4) and known(3) or same(5, 6) and known(5) or same(3, 7)):
+            low, high = sorted((root(a[0]), root(b[0])))
+            best[high] = low
+    want = sorted((x, root(x)) for x in best)
+    assert len({c for _, c in want}) < len(want)
+    disk = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    shuffles = lambda: {f.rsplit("/", 1)[1].split("_")[1] for f in disk.getAllFiles().mkString("\n").split("\n") if "/shuffle_" in f}
+    for heavy in (1_000_000, 3):
+        monkeypatch.setattr(findings, "HEAVY", heavy)
+        before = shuffles()
+        got = findings.clusters(df).select("finding_id", "cluster_id").distinct()
+        assert not shuffles() - before, heavy
+        assert sorted(map(tuple, got.collect())) == want, heavy
